@@ -134,6 +134,14 @@ class Bpe:
         parts = [np.array([self.special[s]], "<u4") if s in self.special else self._plain(s) for s in self.split._cut.split(text)]
         return np.concatenate(parts)
 
+    def word(self, word: str) -> list[int]:
+        """The ids of a word that is an added token or holds none."""
+        if word in self.special:
+            return [self.special[word]]
+        if self.fast is not None and (word.isascii() or _SURE.fullmatch(word)):
+            return self.fast.encode_ordinary(word)
+        return self.tok.encode(word, add_special_tokens=False).ids
+
     def _plain(self, text: str) -> np.ndarray:
         if len(text) > self.piece:
             return np.concatenate([self._piece(p) for p in cut_long(text, self.piece)])

@@ -31,7 +31,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = new_table(df.sparkSession, name)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(by) if by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not by else df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def texts(docs: DataFrame) -> DataFrame:
