@@ -130,6 +130,8 @@ def _add_back(g: Graph, new: np.ndarray, kept: np.ndarray, degree: int, alpha: f
     """Edges back from the neighbours of new nodes; a node whose room is used up is pruned."""
     source = np.repeat(new, kept.shape[1])[kept.ravel() >= 0]
     target = kept.ravel()[kept.ravel() >= 0]
+    if not len(target):
+        return
     by = np.lexsort((source, target))
     source, target = source[by], target[by]
     first = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
