@@ -1,6 +1,9 @@
-"""All queries outside the training-data subpackage, and their SQL."""
+"""All queries outside the training-data subpackage, and their SQL. Importing a module registers its queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import tidemark.operators.indicators  # noqa: F401
+import tidemark.sources.bars  # noqa: F401
+from tidemark.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
