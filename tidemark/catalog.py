@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tidemark.operators.indicators  # noqa: F401
 import tidemark.operators.relational  # noqa: F401
+import tidemark.operators.text_events  # noqa: F401
 import tidemark.plans.rules  # noqa: F401
 import tidemark.sources.bars  # noqa: F401
 from tidemark.registry import ORACLE_SQL, QUERIES
