@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import tidemark.functions.predicates  # noqa: F401
+import tidemark.operators.backtest  # noqa: F401
 import tidemark.operators.indicators  # noqa: F401
+import tidemark.operators.ledger  # noqa: F401
+import tidemark.operators.market  # noqa: F401
 import tidemark.operators.relational  # noqa: F401
 import tidemark.operators.text_events  # noqa: F401
 import tidemark.plans.rules  # noqa: F401
 import tidemark.sources.bars  # noqa: F401
+import tidemark.sources.parsers  # noqa: F401
 from tidemark.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

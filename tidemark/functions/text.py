@@ -81,8 +81,9 @@ def strip_publisher(title: Column, publisher: Column) -> Column:
 
 def feed_time(text: Column) -> Column:
     """A feed's time in UTC by the first layout that fits; null if none does, never the present."""
-    layouts = ["EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "d MMM yyyy"]
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(x)) for x in layouts])
+    layouts = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "d MMM yyyy"]
+    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},?\s+", "")  # without the day of the week
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(x)) for x in layouts])
 
 
 def pipe_facts(text: Column) -> Column:
