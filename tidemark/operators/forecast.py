@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.predicates import skewness, unit_rank
 from tidemark.operators.indicators import last_n, r6, series, with_market
 from tidemark.registry import query, table
+from tidemark.operators.indicators import _RETURNS_SQL
 from tidemark.sources.bars import HOURLY_SQL, MARKET_SQL, USERS_SQL, filled, hourly, market, users_daily
 
 # Panels and factors
@@ -504,3 +505,72 @@ def f32_report_timing(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     h = e.where("event_type = 'purchase'").groupBy("user_id").agg((F.count_if(F.hour("ts") >= 16) * 2 > F.count("*")).alias("late"))
     return e.select("user_id").distinct().join(h, "user_id", "left").select("user_id", F.coalesce("late", F.lit(True)).alias("after_close"))
+
+
+# Blends, jumps, ensembles, scenarios
+
+
+@query(f"""WITH {HOURLY_SQL}, v AS (SELECT symbol, ts, greatest(pow(ln(high / low), 2) / (4 * ln(2.0::DOUBLE)), 1e-6) AS v FROM bars),
+w AS (SELECT symbol, ts, avg(v) OVER (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING) AS short, avg(v) OVER (PARTITION BY symbol ORDER BY ts ROWS 65 PRECEDING) AS long FROM v)
+SELECT symbol, ts, round(0.75 * short + 0.25 * long, 6) AS h5, round(long + (0.75 * short + 0.25 * long - long) * pow(0.9::DOUBLE, 15), 6) AS h20 FROM w""")
+def f14_term_structure(spark, sf_dir):
+    """A blend of a fast and a slow variance, and its way back to the slow one over a longer horizon."""
+    v = F.greatest(F.pow(F.ln(F.col("high") / F.col("low")), 2) / (4 * F.ln(F.lit(2.0))), F.lit(1e-6))
+    w = hourly(spark, sf_dir).withColumn("v", v).select("symbol", "ts", F.avg("v").over(last_n(5)).alias("short"), F.avg("v").over(last_n(66)).alias("long"))
+    blend = 0.75 * F.col("short") + 0.25 * F.col("long")
+    return w.select("symbol", "ts", r6("h5", blend), r6("h20", F.col("long") + (blend - F.col("long")) * F.pow(F.lit(0.9), 15)))
+
+
+@query(f"""WITH {HOURLY_SQL}, j AS (SELECT symbol, ts, ln(open / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS jump, extract(hour FROM ts) IN (9, 16) AS report FROM bars),
+own AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS nth FROM j WHERE report AND jump IS NOT NULL), pool AS (SELECT stddev_samp(jump) AS sd FROM own WHERE nth <= 24)
+SELECT symbol, count(*) AS n, round(CASE WHEN count(*) >= 8 THEN stddev_samp(jump) ELSE (SELECT sd FROM pool) END, 6) AS spread, round(max(jump) - avg(jump), 6) AS largest FROM own WHERE nth <= 24 GROUP BY 1""")
+def f16_report_jumps(spark, sf_dir):
+    """Jumps at reports: a symbol's own last 24 if eight are there, else the pool's spread; demeaned."""
+    j = hourly(spark, sf_dir).withColumn("jump", F.ln(F.col("open") / F.lag("close").over(series()))).where(F.hour("ts").isin(9, 16) & F.col("jump").isNotNull())
+    own = j.withColumn("nth", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where("nth <= 24")
+    pool = F.broadcast(own.agg(F.stddev_samp("jump").alias("sd")))  # one row
+    g = own.groupBy("symbol").agg(F.count("*").alias("n"), F.stddev_samp("jump").alias("s"), r6("largest", F.max("jump") - F.avg("jump"))).join(pool)
+    return g.select("symbol", "n", r6("spread", F.when(F.col("n") >= 8, F.col("s")).otherwise(F.col("sd"))), "largest")
+
+
+@query(f"""WITH {_PANEL_SQL}, x AS (SELECT symbol, t, close / lag(close) OVER w - 1 AS a, close / lag(close, 3) OVER w - 1 AS b FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY t)), v AS (SELECT * FROM x WHERE a IS NOT NULL AND b IS NOT NULL),
+z AS (SELECT symbol, t, 0.5 * (a - avg(a) OVER d) / nullif(stddev_samp(a) OVER d, 0) + 0.5 * (b - avg(b) OVER d) / nullif(stddev_samp(b) OVER d, 0) AS s FROM v WINDOW d AS (PARTITION BY t))
+SELECT symbol, t, round(s, 6) AS ensemble FROM z WHERE s IS NOT NULL""")
+def f19_ensemble_score(spark, sf_dir):
+    """Two scores, each in units of its session's spread, in equal parts."""
+    lag = lambda n: F.lag("close", n).over(series())
+    v = panel(spark, sf_dir).select("symbol", "t", (F.col("close") / lag(1) - 1).alias("a"), (F.col("close") / lag(3) - 1).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    d = Window.partitionBy("t")
+    z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(d), F.stddev_samp(c).over(d))
+    return v.select("symbol", "t", r6("ensemble", 0.5 * z("a") + 0.5 * z("b"))).where("ensemble IS NOT NULL")
+
+
+@query(f"""WITH {_ENS_SQL}, q AS (SELECT symbol, day, y, quantile_cont(v, 0.5) AS m FROM (SELECT symbol, day, y, unnest(x) AS v FROM e WHERE y IS NOT NULL) GROUP BY 1, 2, 3)
+SELECT date_trunc('week', day)::DATE AS period, count(*) AS n, round(avg(CASE WHEN y > m THEN 1.0 ELSE 0 END), 6) AS above FROM q GROUP BY GROUPING SETS ((date_trunc('week', day)::DATE), ())""")
+def f24_pooled_summary(spark, sf_dir):
+    """Each period's record and all of them together (period null)."""
+    q = _ensembles(spark, sf_dir).select("symbol", "day", "y", F.explode("x").alias("v")).groupBy("symbol", "day", "y").agg(F.percentile("v", 0.5).alias("m"))
+    return q.rollup(F.to_date(F.date_trunc("week", "day")).alias("period")).agg(F.count("*").alias("n"), r6("above", F.avg((F.col("y") > F.col("m")).cast("double"))))
+
+
+def scenario(draws: Column, low: float, high: float) -> Column:
+    """Chances of under ``low``, between, and over ``high``."""
+    n = F.size(draws)
+    down, up = F.size(F.filter(draws, lambda v: v < low)) / n, F.size(F.filter(draws, lambda v: v > high)) / n
+    return F.struct(down.alias("down"), (1 - down - up).alias("middle"), up.alias("up"))
+
+
+@query(f"WITH {_ENS_SQL} SELECT symbol, day, round(len(list_filter(x, lambda v: v < 20))::DOUBLE / len(x), 6) AS down, round(len(list_filter(x, lambda v: v > 60))::DOUBLE / len(x), 6) AS up FROM e WHERE y IS NOT NULL")
+def f26_scenarios(spark, sf_dir):
+    s = _ensembles(spark, sf_dir).select("symbol", "day", scenario(F.col("x"), 20.0, 60.0).alias("s"))
+    return s.select("symbol", "day", r6("down", F.col("s.down")), r6("up", F.col("s.up")))
+
+
+@query(f"""WITH {_RETURNS_SQL}, l AS (SELECT symbol, arg_max(beta, ts) AS beta, var_samp(r) AS total, var_samp(m) AS mv FROM beta GROUP BY 1) SELECT symbol, round(greatest(total - beta * beta * mv, 0.15 * total), 6) AS idio_variance FROM l""")
+def f31_simulation_inputs(spark, sf_dir):
+    """A symbol's own variance: what the market doesn't explain, at least 15 percent."""
+    from tidemark.operators.indicators import rolling_beta
+
+    x = with_market(hourly(spark, sf_dir), market(spark, sf_dir)).withColumn("beta", rolling_beta())
+    l = x.groupBy("symbol").agg(F.max_by("beta", "ts").alias("beta"), F.var_samp("r").alias("total"), F.var_samp("m").alias("mv"))
+    return l.select("symbol", r6("idio_variance", F.greatest(F.col("total") - F.col("beta") * F.col("beta") * F.col("mv"), 0.15 * F.col("total"))))

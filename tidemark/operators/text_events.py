@@ -444,3 +444,21 @@ def t16_t35_replay(spark, sf_dir):
     h = headlines(spark, sf_dir).where(F.length("title") > 0).where(tx.script_readable(F.col("title")))
     p = h.select("doc_id", "lang", tx.title_key(F.col("title")).alias("key"), classified(F.col("title"), F.col("body")).alias("c")).where("c.importance >= 1")
     return p.groupBy("lang", "key").agg(F.min("doc_id").alias("event"), F.count("*").alias("evidence"), F.min_by("c.kind", "doc_id").alias("kind"))
+
+
+@query("""WITH d AS (SELECT event_type AS symbol, count(*) AS n, round(max(value)) AS top, avg(value) > median(value) AS skewed FROM events GROUP BY 1)
+SELECT symbol, symbol || ': ' || n || ' events, the largest ' || CAST(top AS BIGINT) || CASE WHEN skewed THEN ', a few large ones carry the mean' ELSE '' END AS note FROM d""")
+def t33_plain_notes(spark, sf_dir):
+    """Sentences from numbers that were computed."""
+    d = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"), F.round(F.max("value")).cast("long").alias("top"), (F.avg("value") > F.median("value")).alias("skewed"))
+    return d.select("symbol", F.concat("symbol", F.lit(": "), "n", F.lit(" events, the largest "), "top", F.when(F.col("skewed"), ", a few large ones carry the mean").otherwise("")).alias("note"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, CAST(doc_id // 50 AS BIGINT) AS slot, list_distinct(string_split(lower(split_part(text, chr(10), 1)), ' ')) AS s FROM documents WHERE doc_id % 4 = 0)
+SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM d a JOIN d b ON a.lang = b.lang AND a.slot = b.slot AND a.doc_id < b.doc_id WHERE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) >= 0.3""")
+def j17_theta_pairs(spark, sf_dir):
+    """Pairs of one language and slot of time whose titles are similar: an equi-join on the block, then the condition."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("doc_id", "lang", F.floor(F.col("doc_id") / 50).alias("slot"), F.array_distinct(F.split(F.lower(F.substring_index("text", "\n", 1)), " ")).alias("s"))
+    a, b = (d.select("lang", "slot", F.col("doc_id").alias(x), F.col("s").alias("s" + x)) for x in "ab")
+    pairs = a.join(b, ["lang", "slot"]).where("a < b").withColumn("sim", tx.jaccard(F.col("sa"), F.col("sb")))
+    return pairs.where("sim >= 0.3").select("a", "b", r6("similarity", F.col("sim")))

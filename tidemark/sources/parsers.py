@@ -276,3 +276,62 @@ def s25_own_archive(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     most = F.broadcast(d.agg(F.max("doc_id").alias("most")))  # one row
     return d.join(most).where((F.col("doc_id") >= F.col("most") - 450) & F.contains(F.lower("text"), F.lit("the"))).select("doc_id", F.when(F.col("doc_id") % 3 == 0, 100).otherwise((F.col("n_chars") % 90).cast("int")).alias("trust"))
+
+
+def aggregator_json(payloads: DataFrame, foreign: list[str]) -> DataFrame:
+    """Articles of an aggregator's JSON; an empty body gives none, hosts on the list go, dates are YYYYMMDDThhmmssZ."""
+    x = payloads.select(F.from_json("json", "struct<articles: array<struct<url: string, title: string, domain: string, seendate: string>>>").alias("x")).select(F.inline("x.articles"))
+    return x.where(~F.lower("domain").isin(foreign)).select("url", "title", "domain", F.try_to_timestamp("seendate", F.lit("yyyyMMdd'T'HHmmssX")).alias("seen_at"))
+
+
+@query("""SELECT 'https://h' || page_id % 5 || '.test/' || page_id AS url, 'P' || page_id AS title, TIMESTAMP '2024-01-01' + to_hours(CAST(page_id % 700 AS INT)) AS seen_at FROM pages WHERE page_id % 5 <> 3""")
+def s13_aggregator_json(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") % 700 * 3600), "yyyyMMdd'T'HHmmss'Z'")
+    host = F.concat(F.lit("h"), F.col("page_id") % 5, F.lit(".test"))
+    article = F.struct(F.concat(F.lit("https://"), host, F.lit("/"), F.col("page_id")).alias("url"), F.concat(F.lit("P"), F.col("page_id")).alias("title"), host.alias("domain"), at.alias("seendate"))
+    j = p.groupBy((F.col("page_id") % 20).alias("k")).agg(F.to_json(F.struct(F.collect_list(article).alias("articles"))).alias("json"))
+    got = aggregator_json(j.select("json").union(spark.createDataFrame([("",), (None,)], "json string")), ["h3.test"])
+    return got.select("url", "title", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"))
+
+
+@query("""SELECT 'page' AS origin, 'p' || page_id AS id, 50 AS trust FROM pages UNION ALL SELECT 'document', 'd' || doc_id, CASE WHEN source = 'src0' THEN 100 ELSE 60 END FROM documents UNION ALL SELECT 'benchmark', 'b' || item_id, 80 FROM benchmark""")
+def s24_findings(spark, sf_dir):
+    """Connectors behind one shape of rows."""
+    part = lambda t, origin, key, trust: table(spark, sf_dir, t).select(F.lit(origin).alias("origin"), F.concat(F.lit(origin[0]), F.col(key)).alias("id"), trust.alias("trust"))
+    return part("pages", "page", "page_id", F.lit(50)).union(part("documents", "document", "doc_id", F.when(F.col("source") == "src0", 100).otherwise(60))).union(part("benchmark", "benchmark", "item_id", F.lit(80)))
+
+
+@query("""SELECT p_partkey AS symbol, CASE WHEN p_size BETWEEN 0 AND 40 THEN p_size::DOUBLE END AS pe, round(p_retailprice, 2) AS price, CASE WHEN p_partkey % 3 = 0 THEN 'annual' ELSE 'quarter' END AS period_type FROM part""")
+def s29_wire_fundamentals(spark, sf_dir):
+    """A snapshot from JSON: fields renamed, ratios out of bounds null."""
+    p = table(spark, sf_dir, "part")
+    j = p.select(F.to_json(F.struct(F.col("p_partkey").alias("ticker"), F.struct(F.col("p_size").alias("trailingPE"), F.round("p_retailprice", 2).alias("currentPrice")).alias("info"), F.when(F.col("p_partkey") % 3 == 0, "annual").otherwise("quarter").alias("kind"))).alias("json"))
+    x = j.select(F.from_json("json", "struct<ticker: long, info: struct<trailingPE: double, currentPrice: double>, kind: string>").alias("x"))
+    return x.select(F.col("x.ticker").alias("symbol"), F.when(F.col("x.info.trailingPE").between(0, 40), F.col("x.info.trailingPE")).alias("pe"), F.col("x.info.currentPrice").alias("price"), F.col("x.kind").alias("period_type"))
+
+
+@query("""SELECT c_custkey, c_mktsegment, 'new' AS origin FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_mktsegment, 'old' FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 3 = 0""")
+def s31_dimension_upsert(spark, sf_dir):
+    """Calendar rows: new ones replace old ones of their key, others stay."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    new, old = c.where("c_custkey % 2 = 0").withColumn("origin", F.lit("new")), c.where("c_custkey % 3 = 0").withColumn("origin", F.lit("old"))
+    return new.unionByName(old.join(new, "c_custkey", "left_anti"))
+
+
+@query("""SELECT upper(r_name) AS symbol, count(*) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")
+def s20_reference_join(spark, sf_dir):
+    """Reference rows joined to a list, unmatched dropped, the first of a key kept; CSV files go through reference_csv."""
+    n = table(spark, sf_dir, "nation").dropDuplicates(["n_nationkey"])
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.upper("r_name").alias("symbol"))
+    return n.join(r, "n_regionkey").groupBy("symbol").agg(F.count("*").alias("nations"))
+
+
+@query("""SELECT r_name AS symbol FROM region""")
+def s9_synthetic_bars(spark, sf_dir):
+    """Symbols whose walks give the same bars twice, all of them sound."""
+    from tidemark.sources.bars import random_walk, valid
+
+    names = [r[0] for r in table(spark, sf_dir, "region").select("r_name").collect()]  # five rows
+    a, b = (random_walk(spark, names, 50) for _ in range(2))
+    return a.intersectAll(b).where(valid()).groupBy("symbol").count().where("count = 50").select("symbol")
