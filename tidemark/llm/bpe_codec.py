@@ -1,178 +1,165 @@
 """BPE encoding and decoding of whole texts (operator 1).
 
-1. Texts are cut into words where the pre-tokenizer cuts. Consecutive texts form a block; a block numbers its own
-   distinct words, and its texts become positions in that list.
-2. The words of all blocks, dealt out by word, form the distinct-word table. Each distinct word is encoded once; an
-   id-to-piece join (the vocabulary, of a size that the tokenizer file fixes) decodes its ids again.
-3. Ids and pieces are joined back to (block, position), packed, dealt out by block, and read off along the positions.
-
-A block is named by a digest of its rows, so both passes over the input agree or the run fails; a word occurs once for
-each block, so a frequent word is no hot key. Null and empty texts have no ids and decode to the empty text; repeated
-rows each get their row; columns beside doc_id and text are ignored.
+1. Texts are cut into words where the pre-tokenizer cuts. Consecutive texts form a block, whose texts become positions in
+   the list of its distinct words.
+2. The words of all blocks are dealt out by a hash of the word and make up the distinct-word table, a part of it in each
+   task. Each distinct word is encoded once, and its ids go back to the blocks that hold it.
+3. A join of ids with the pieces of the vocabulary, whose size the tokenizer file fixes, decodes a block's words again, and
+   each text is read off along its positions.
+
+Words travel in packed columns, one row for a block and a part, so a frequent word is one entry a block and no hot key.
+The number of parts is ``spark.sql.shuffle.partitions``. Words and positions are cut in two passes over the input rather
+than written down in between, which halves the disk; a digest in both makes the run fail should the passes differ. Null
+and empty texts have no ids and decode to the empty text; repeated rows each get their row; columns beside doc_id and text
+are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
 from tidemark.llm.shared import documents, texts
+from tidemark.llm.words import BpeWords, gathered, one
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class _Numbers(dict):
-    """Numbers words in the order of their first use."""
-
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        return n
-
-
-class _Words(dict):
-    """The numbers of the fine units of a rough part, as bytes."""
-
-    def __init__(self, numbers: _Numbers):
-        self.numbers = numbers
-
-    def __missing__(self, part):
-        units = bpe.fine_units(part if part[:1] == "\n" else " " + part)
-        v = self[part] = np.fromiter(map(self.numbers.__getitem__, units), "<u4", len(units)).tobytes()
-        return v
-
-
-def blocks(batches, split: bpe.Splitter, most: int) -> Iterator[tuple[int, list[int], list[bytes], list[str]]]:
-    """(name, doc_ids, numbers of each text, words) of consecutive rows with about ``most`` characters."""
-    ids: list[int] = []
-    codes: list[bytes] = []
-    digest, size, numbers = hashlib.blake2b(digest_size=8), 0, _Numbers()
-    words = _Words(numbers)
-    for b in batches:
-        for doc, value in zip(b.column(0).to_pylist(), b.column(1)):
-            text = value.as_py()
-            if (parts := split.rough(text)) is None:
-                units = split.careful(text)
-            else:
-                units = bpe.fine_units(parts[0])
-            head = np.fromiter(map(numbers.__getitem__, units), "<u4", len(units)).tobytes()
-            codes.append(head if parts is None else head + b"".join(map(words.__getitem__, parts[1:])))
-            ids.append(doc)
-            digest.update(b"%d,%d;" % (doc if doc is not None else -1, len(text)))
-            digest.update(codes[-1])
-            if (size := size + len(text)) >= most:
-                yield int.from_bytes(digest.digest(), "little", signed=True), ids, codes, list(numbers)
-                ids, codes, size, numbers, digest = [], [], 0, _Numbers(), hashlib.blake2b(digest_size=8)
-                words = _Words(numbers)
-    if ids:
-        yield int.from_bytes(digest.digest(), "little", signed=True), ids, codes, list(numbers)
-
-
-def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece) of a tokenizer file, pieces in the byte alphabet; added tokens, which it gives as plain text, too."""
-    with open(path, encoding="utf-8") as f:
-        j = json.load(f)
-    char = {b: c for c, b in bpe.byte_of_char().items()}
-    rows = {i: p for p, i in j["model"]["vocab"].items()}
-    rows |= {a["id"]: "".join(char[b] for b in a["content"].encode()) for a in j["added_tokens"]}
-    return spark.createDataFrame(sorted(rows.items()), "id int, piece string")
-
-
-def encode_decode(docs: DataFrame, path: str | None = None, block_chars: int = 48 << 20) -> DataFrame:
+def packed(table: pa.Table) -> bytes:
+    """A table as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+class Codec:
+    """Encodes words and decodes their ids again."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            j = json.load(f)
+        self.ids = bpe.loaded(path).word
+        byte = bpe.byte_of_char()
+        pieces = {i: bytes(byte[c] for c in p) if all(c in byte for c in p) else p.encode() for p, i in j["model"]["vocab"].items()}
+        pieces |= {a["id"]: a["content"].encode() for a in j["added_tokens"]}
+        self.vocabulary = pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.binary())
+        self.kind = pa.uint16() if len(self.vocabulary) <= 1 << 16 else pa.uint32()
+
+    def encode(self, words: pa.Array) -> pa.ListArray:
+        """The ids of each word."""
+        ids = [self.ids(w) for w in words.to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)))])
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(offsets[-1]))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat).cast(self.kind))
+
+    def decode(self, ids: pa.ListArray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(number of ids, ids in decimals, bytes of the joined pieces) of each word, through a join of id to piece."""
+        offsets, flat = ids.offsets, ids.values
+        decimals = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.cast(flat, pa.string())), ",")
+        pieces = pc.binary_join(pa.ListArray.from_arrays(offsets, self.vocabulary.take(flat)), b"")
+        return np.diff(offsets.to_numpy()), decimals, pieces
+
+
+_CODECS: dict[str, Codec] = {}
+
+
+def codec(path: str) -> Codec:
+    """One codec for each file and Python process."""
+    if path not in _CODECS:
+        _CODECS[path] = Codec(path)
+    return _CODECS[path]
+
+
+class Block:
+    """Consecutive rows: positions of each text in the list of the block's words, which are in order of their part."""
+
+    def __init__(self, table: pa.Table, words_of: BpeWords, parts: int, name: int):
+        self.name, self.doc_ids = name, one(table.column(0)).to_pylist()
+        codes, self.lengths, words = words_of(one(table.column(1)))
+        part = np.fromiter((zlib.crc32(w.as_buffer()) for w in words), np.int64, len(words)) % parts
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.codes, self.words = place[codes].astype("<i4"), words.take(pa.array(order))
+        self.edges = np.searchsorted(part[order], np.arange(parts + 1))
+        self.digest = int.from_bytes(hashlib.blake2b(self.codes.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def encode_decode(docs: DataFrame, path: str | None = None, block_bytes: int = 40 << 20) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs`` (doc_id, text)."""
     spark, path = docs.sparkSession, path or bpe.default_path()
-    rows = texts(docs)
-
-    def splitter() -> bpe.Splitter:
-        return bpe.loaded(path).split
-
-    def words_of(batches):
-        for name, _, _, words in blocks(batches, splitter(), block_chars):
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int32()), pa.array(part, pa.string())], ["block", "at", "word"])
-
-    def codes_of(batches):
-        for name, ids, codes, _ in blocks(batches, splitter(), block_chars):
-            step = 256
-            for at in range(0, len(ids), step):
-                part = codes[at : at + step]
-                packed = pa.compress(b"".join(part), "zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids[at : at + step]], pa.list_(pa.int64())), pa.array([[len(c) // 4 for c in part]], pa.list_(pa.int32())), pa.array([packed], pa.binary())], ["block", "doc_ids", "lengths", "codes"])
-
-    @F.pandas_udf("array<int>")
-    def encoded(words):
-        import pandas as pd
-
-        ids = bpe.loaded(path).ids
-        return pd.Series([ids(w).astype("<i4") for w in words])
-
-    placed = rows.mapInArrow(words_of, "block long, at int, word string").repartition("word")
-    # All columns are used, so that the exchange above serves this table and the join alike.
-    distinct = placed.groupBy("word").agg(F.count("block").alias("n_blocks"), F.min("at").alias("least")).select("word", encoded("word").alias("ids"))
-    piece = F.broadcast(vocabulary(spark, path))
-    decoded = (
-        distinct.select("word", F.posexplode("ids").alias("k", "id")).join(piece, "id")
-        .groupBy("word").agg(F.array_sort(F.collect_list(F.struct("k", "id", "piece"))).alias("x"))
-        .select("word", F.array_join(F.transform("x", lambda x: x["id"].cast("string")), ",").alias("ids"), F.array_join(F.transform("x", lambda x: x["piece"]), "").alias("pieces"))
-    )
-
-    def packed(batches):
-        kept, n = {}, 0
-
-        def flush():
-            for name, (at, ids, pieces) in kept.items():
-                raw = json.dumps([at, ids, pieces], ensure_ascii=False, separators=(",", ":")).encode()
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([len(raw)], pa.int32()), pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())], ["block", "size", "pack"])
-
-        for b in batches:
-            for name, *row in zip(*(c.to_pylist() for c in b.columns)):
-                mine = kept.get(name)
-                if mine is None:
-                    mine = kept[name] = ([], [], [])
-                for into, value in zip(mine, row):
-                    into.append(value)
-            n += b.num_rows
-            if n >= 200_000:
-                yield from flush()
-                kept, n = {}, 0
-        yield from flush()
-
-    answers = placed.join(decoded, "word").select("block", "at", "ids", "pieces").mapInArrow(packed, "block long, size int, pack binary")
-
-    def read_off(codes: pa.Table, packs: pa.Table) -> pa.Table:
-        byte = {ord(c): b for c, b in bpe.byte_of_char().items()}
-        ids: list = []
-        raw: list = []
-        for size, pack in zip(packs.column("size").to_pylist(), packs.column("pack").to_pylist()):
-            at, strings, pieces = json.loads(pa.decompress(pack, size, "zstd", asbytes=True))
-            if (top := max(at) + 1) > len(ids):
-                ids += [None] * (top - len(ids))
-                raw += [None] * (top - len(raw))
-            for k, s, p in zip(at, strings, pieces):
-                ids[k], raw[k] = s, p.translate(byte).encode("latin-1")
-        count = np.array([s.count(",") + 1 if s else 0 for s in ids], "i8")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def blocks(batches):
+        from pyspark import TaskContext
+
+        words_of = BpeWords(bpe.loaded(path).split)
+        for nth, table in enumerate(gathered(batches, 1, block_bytes)):
+            yield Block(table, words_of, parts, TaskContext.get().partitionId() << 24 | nth)
+
+    def words_out(batches):
+        for b in blocks(batches):
+            some = [p for p in range(parts) if b.edges[p + 1] > b.edges[p]]
+            packs = [packed(pa.table({"word": b.words.slice(b.edges[p], b.edges[p + 1] - b.edges[p])})) for p in some]
+            yield pa.RecordBatch.from_arrays([pa.array([b.name] * len(some), pa.int64()), pa.array([b.digest] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(packs, pa.binary())], ["block", "digest", "part", "pack"])
+
+    def codes_out(batches):
+        for b in blocks(batches):
+            body = pa.compress(b.codes.tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([b.name], pa.int64()), pa.array([b.digest], pa.int64()), pa.array([b.doc_ids], pa.list_(pa.int64())), pa.array([b.lengths], pa.list_(pa.int32())), pa.array([body], pa.binary())], ["block", "digest", "doc_ids", "lengths", "codes"])
+
+    kind = "block long, digest long, part int, pack binary"
+
+    def encode(group: pa.Table) -> pa.Table:
+        mine = [one(unpacked(x).column("word")) for x in group.column("pack").to_pylist()]
+        distinct = pc.dictionary_encode(pa.concat_arrays(mine))
+        ids = codec(path).encode(distinct.dictionary)
+        begin = np.concatenate([[0], np.cumsum([len(w) for w in mine])])
+        out = [packed(pa.table({"ids": ids.take(distinct.indices.slice(a, z - a))})) for a, z in zip(begin, begin[1:])]
+        return pa.table({"block": group.column("block"), "digest": group.column("digest"), "part": group.column("part"), "pack": pa.array(out, pa.binary())})
+
+    answers = texts(docs).mapInArrow(words_out, kind).groupBy("part").applyInArrow(encode, kind)
+
+    def read_off(left: pa.Table, right: pa.Table) -> pa.Table:
+        if set(left.column("digest").to_pylist()) != set(right.column("digest").to_pylist()):
+            raise ValueError("the input gave other rows when it was read again")
+        found = [one(unpacked(x).column("ids")) for _, x in sorted(zip(right.column("part").to_pylist(), right.column("pack").to_pylist()))]
+        count, ids, pieces = codec(path).decode(pa.concat_arrays(found))
         out: list = [[], [], [], []]
-        for docs_, lengths, blob in zip(*(codes.column(c).to_pylist() for c in ("doc_ids", "lengths", "codes"))):
-            flat = np.frombuffer(pa.decompress(blob, 4 * sum(lengths), "zstd", asbytes=True), "<u4")
-            start = 0
-            for doc, n in zip(docs_, lengths):
-                mine = flat[start : start + n].tolist()
-                start += n
-                out[0].append(doc)
-                out[1].append(int(count[mine].sum()) if mine else 0)
-                out[2].append(hashlib.sha256(",".join([ids[k] for k in mine]).encode()).hexdigest())
-                text = b"".join([raw[k] for k in mine]).decode("utf-8", "replace")
-                out[3].append(hashlib.sha256(text.encode()).hexdigest())
+        for doc_ids, lengths, body in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "lengths", "codes"))):
+            codes = np.frombuffer(pa.decompress(body, 4 * sum(lengths), "zstd", asbytes=True), "<i4")
+            begin = np.concatenate([[0], np.cumsum(lengths)])
+            # The empty word has no ids: a text begins with it where a space or line feed comes first.
+            some = count[codes] > 0
+            seen = np.concatenate([[0], np.cumsum(some)])
+            sums = np.concatenate([[0], np.cumsum(count[codes], dtype=np.int64)])
+            step = 512
+            for a in range(0, len(doc_ids), step):
+                z = min(a + step, len(doc_ids))
+                mine = pa.array(codes[begin[a] : begin[z]][some[begin[a] : begin[z]]])
+                offsets = pa.array((seen[begin[a : z + 1]] - seen[begin[a]]).astype(np.int32))
+                decimals = pc.binary_join(pa.ListArray.from_arrays(offsets, ids.take(mine)), ",")
+                raw = pc.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(mine)), b"")
+                out[2] += [hashlib.sha256(x.as_buffer()).hexdigest() for x in decimals]
+                out[3] += [hashlib.sha256(x.as_py().decode("utf-8", "replace").encode()).hexdigest() for x in raw]
+            out[0] += doc_ids
+            out[1] += (sums[begin[1:]] - sums[begin[:-1]]).tolist()
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    coded = rows.mapInArrow(codes_of, "block long, doc_ids array<long>, lengths array<int>, codes binary")
+    coded = texts(docs).mapInArrow(codes_out, "block long, digest long, doc_ids array<long>, lengths array<int>, codes binary")
     return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read_off, SCHEMA)
 
 
