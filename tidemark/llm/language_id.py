@@ -6,7 +6,7 @@ profile names the language; ties go to the name that sorts first.
 
 Profiles learn from labelled rows outside the held-out fold; of a language with more than ``sample`` such rows, a share
 of about ``sample`` rows is taken by a hash of doc_id, which bounds the work of learning, and whole texts count. Only the
-profiles, ``top`` rows a language, reach the driver. Prediction reads whole texts and shuffles nothing.
+profiles, ``top`` rows a language, and the languages' counts reach the driver. Prediction reads whole texts and shuffles nothing.
 
 ``und`` with score 0: null texts, texts without a letter, and all rows if nothing could be learned. Repeated rows each
 get their row. Columns beside doc_id, text and lang are ignored.
@@ -91,9 +91,13 @@ class Profiles:
 def learn(docs: DataFrame, top: int = 300, sample: int = 2000, folds: int = 5) -> Profiles:
     """Profiles of all languages of the rows outside the held-out fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out(folds) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    # One number for each language: no join, and no shuffle of texts.
+    share = {r["lang"]: min(1.0, sample / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    if not share:
+        return Profiles({}, top)
+    of_lang = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
     draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
+    chosen = rows.where(draw < F.try_element_at(of_lang, F.col("lang"))).select("lang", "text")
 
     def counted(batches):
         for b in batches:

@@ -9,11 +9,12 @@ multisets is at least 0.8; classes are what links connect.
    powers of two, and each of the signature's registers keeps the earliest point under the weight. The chance that a
    register agrees is the weighted Jaccard similarity. Points are drawn up to a time by which registers are filled, and
    further where one is still empty, so the cost hardly depends on weights.
-3. Registers are banded into buckets. In each bucket every member is compared with the smallest; then those it is linked
-   with, at whatever distance, are compared with the others; then the others among themselves, unless already connected.
-   So no pair of a bucket that could connect two classes stays unseen, and a large class costs about one pair a member.
-4. Candidate pairs whose registers agree far too seldom are left out (over five standard errors); all others are
-   verified on whole texts by exact overlap of their multisets.
+3. Registers are banded into buckets. In each bucket every member is compared with the smallest, which connects most of a
+   large class at about one pair a member. Then, in buckets that still hold several components, members of different
+   components are compared. So no pair of a bucket that could connect two classes stays unseen.
+4. Of each register three bits are kept. Candidate pairs that differ in over five standard errors more registers than
+   texts of similarity 0.8 would are left out, inside the join; all others are verified on whole texts by exact overlap of
+   their multisets.
 
 At similarity 0.8 the default 40 bands of 6 miss a pair with probability 6e-6. Null texts and texts without a word are
 classes of their own; so are rows without a doc_id, whose class is null. Repeated rows get their row each; rows of one
@@ -24,10 +25,11 @@ and text are ignored. An empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -130,8 +132,23 @@ def banded(registers: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def planes_of(registers: np.ndarray) -> np.ndarray:
+    """(texts, longs) the three lowest bits of each register's hash, a plane of longs for each bit."""
+    low = mixed(registers.view(np.uint64))
+    pad = -registers.shape[1] % 64
+    bits = [np.pad(np.packbits(((low >> _U(k)) & _U(1)).astype(np.uint8), axis=1), ((0, 0), (0, pad // 8))) for k in range(3)]
+    return np.concatenate(bits, axis=1).view(np.int64)
+
+
+def differing(x: str, y: str, size: int) -> Column:
+    """In how many registers two columns of planes differ."""
+    longs = -(-size // 64)
+    bit = lambda k, p: F.get(x, p * longs + k).bitwiseXOR(F.get(y, p * longs + k))
+    return reduce(Column.__add__, [F.bit_count(bit(k, 0).bitwiseOR(bit(k, 1)).bitwiseOR(bit(k, 2))) for k in range(longs)])
+
+
 def profiles(docs: DataFrame, run: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, d1, d2, weight, sketch, buckets): digests of the features, and a byte of each register; all but doc_id null
+    """(doc_id, d1, d2, weight, planes, buckets): digests of the features, and bits of the registers; all but doc_id null
     for texts without a word."""
     size = bands * rows
 
@@ -147,52 +164,40 @@ def profiles(docs: DataFrame, run: int, bands: int, rows: int) -> DataFrame:
                 part = b.slice(start, at - start)
                 mine = features.of(part.column(1))
                 some = [k for k, (x, _) in enumerate(mine) if len(x)]
-                d1, d2, weight, sketch, buckets = ([None] * len(mine) for _ in range(5))
+                d1, d2, weight, planes, buckets = ([None] * len(mine) for _ in range(5))
                 if some:
                     registers = signatures([mine[k] for k in some], size)
-                    low = mixed(registers.view(np.uint64)).astype(np.uint8)
-                    for j, (k, bucket) in enumerate(zip(some, banded(registers, bands))):
+                    for k, plane, bucket in zip(some, planes_of(registers), banded(registers, bands)):
                         digest = hashlib.blake2b(mine[k][0].tobytes() + mine[k][1].tobytes(), digest_size=16).digest()
                         d1[k], d2[k] = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
-                        weight[k], sketch[k], buckets[k] = int(mine[k][1].sum()), low[j].tobytes(), bucket
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(weight, pa.int64()), pa.array(sketch, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "weight", "sketch", "buckets"])
+                        weight[k], planes[k], buckets[k] = int(mine[k][1].sum()), plane, bucket
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(weight, pa.int64()), pa.array(planes, pa.list_(pa.int64())), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "weight", "planes", "buckets"])
 
-    return texts(docs).mapInArrow(work, "doc_id long, d1 long, d2 long, weight long, sketch binary, buckets array<long>")
+    return texts(docs).mapInArrow(work, "doc_id long, d1 long, d2 long, weight long, planes array<long>, buckets array<long>")
 
 
 class Links:
-    """Verifies candidate pairs of representatives and keeps the links found so far."""
+    """Verifies candidate pairs of representatives."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, run: int, least: float, size: int):
-        self.docs, self.reps, self.run, self.least, self.size = texts(docs), reps, run, least, size
-        self.seen: DataFrame | None = None
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of ``pairs`` (a < b) at similarity ``least`` or more, each pair judged once over all calls."""
-        pairs = pairs.distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        self.seen = pairs if self.seen is None else self.seen.union(pairs)
-        run, least, size = self.run, self.least, self.size
-        # Registers agree by chance in one of 256; five standard errors under ``least`` stay in.
-        floor = least - 5 * (least * (1 - least) / size) ** 0.5
-
-        def likely(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, size) for k in (2, 3))
-                wa, wb = b.column(4).to_numpy(), b.column(5).to_numpy()
-                keep = ((x == y).mean(1) >= floor) & (np.minimum(wa, wb) >= least * np.maximum(wa, wb))
-                part = b.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"])
+        self.docs, self.run, self.least, self.size = texts(docs), run, least, size
+        self.sketch = reps.select("rep", "weight", "planes")
+
+    def sketched(self, rows: DataFrame, v: str, weight: str, planes: str) -> DataFrame:
+        """``rows`` with weight and planes of the representative in column ``v``."""
+        return rows.join(self.sketch.select(F.col("rep").alias(v), F.col("weight").alias(weight), F.col("planes").alias(planes)).hint("merge"), v)
+
+    def likely(self) -> Column:
+        """Whether sketches (wx, px) and (wy, py) leave it open that a pair is linked."""
+        p = (1 - self.least) * 7 / 8
+        most = int(self.size * p + 5 * (self.size * p * (1 - p)) ** 0.5)
+        return (F.least("wx", "wy") >= self.least * F.greatest("wx", "wy")) & (differing("px", "py", self.size) <= most)
 
-        one = self.reps.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("weight").alias("wa"))
-        two = self.reps.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("weight").alias("wb"))
-        close = written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "wa", "wb").mapInArrow(likely, "a long, b long"), "close")
-        ends = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-        needed = written(self.docs.join(ends, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "needed")
+    def verify(self, close: DataFrame) -> DataFrame:
+        """(a, b) of those pairs of ``close`` (a, b) that are linked."""
+        run, least = self.run, self.least
+        ends = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        needed = written(self.docs.join(ends.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "needed")
 
         def exact(batches):
             features, kept = Features(run), {}
@@ -212,34 +217,35 @@ class Links:
 
         left = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("t"))
         right = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("u"))
-        return written(close.join(right, "b").join(left, "a").select("a", "b", "t", "u").mapInArrow(exact, "a long, b long"), "found")
+        return written(close.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "t", "u").mapInArrow(exact, "a long, b long"), "found")
 
 
 def classes(docs: DataFrame, run: int = 5, least: float = 0.8, bands: int = 40, rows: int = 6) -> DataFrame:
     """(doc_id, class_id) of every row of ``docs`` (doc_id, text): the smallest doc_id of the row's class."""
     profile = written(profiles(docs, run, bands, rows), "profiles")
     known = profile.where(F.col("doc_id").isNotNull() & F.col("d1").isNotNull())
-    reps = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets")), "reps")
+    reps = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("planes").alias("planes"), F.first("buckets").alias("buckets")), "reps")
     members = reps.select(F.col("rep").alias("v"), F.explode("buckets").alias("bucket")).repartition("bucket")
     heads = members.groupBy("bucket").agg(F.min("v").alias("head"), F.max("v").alias("tail")).where("head < tail").select("bucket", "head")
-    shared = written(members.join(heads, "bucket"), "buckets")
+    shared = written(members.join(heads.hint("merge"), "bucket"), "buckets")
     links = Links(docs, reps, run, least, bands * rows)
 
-    found = links.verify(shared.where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b")))
-    for last in (False, True):
-        label = components(found)
-        named = shared.join(label, "v", "left").withColumn("c", F.coalesce("c", "v")).join(label.select(F.col("v").alias("head"), F.col("c").alias("hc")), "head", "left").withColumn("hc", F.coalesce("hc", "head"))
-        named = written(named.select("bucket", "v", "c", "hc"), "named")
-        other = named.where("c <> hc")
-        if not other.limit(1).count():
-            break
-        mates = other.select("bucket", F.col("v").alias("w"), F.col("c").alias("d"))
-        inner = (other if last else named.where("c = hc").join(mates.select("bucket").distinct(), "bucket", "left_semi")).select("bucket", "v", "c")
-        pairs = inner.join(mates, "bucket").where("c <> d" + " AND v < w" * last).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
-        found = found.union(links.verify(pairs))
+    # Each member with the smallest of its buckets.
+    star = shared.where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct()
+    both = links.sketched(links.sketched(star, "a", "wx", "px"), "b", "wy", "py")
+    found = links.verify(written(both.where(links.likely()).select("a", "b"), "close"))
+    label = components(found)
+
+    # Members of different components of a bucket with each other; the smallest has been compared with all.
+    named = shared.join(label.hint("merge"), "v", "left").withColumn("c", F.coalesce("c", "v"))
+    mixed_up = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    rest = written(links.sketched(named.where("v <> head").join(mixed_up.hint("merge"), "bucket", "left_semi").select("bucket", "v", "c"), "v", "wx", "px"), "rest")
+    other = rest.select("bucket", F.col("v").alias("b"), F.col("c").alias("d"), F.col("wx").alias("wy"), F.col("px").alias("py"))
+    pairs = rest.withColumnRenamed("v", "a").join(other.hint("merge"), (rest["bucket"] == other["bucket"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & links.likely())
+    found = found.union(links.verify(written(pairs.select("a", "b").distinct(), "close")))
     label = components(found)
-    named = reps.select("d1", "d2", "rep").join(label.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", F.coalesce("c", "rep").alias("class"))
-    return profile.select("doc_id", "d1", "d2").join(named, ["d1", "d2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"))
+    named = reps.select("d1", "d2", "rep").join(label.withColumnRenamed("v", "rep").hint("merge"), "rep", "left").select("d1", "d2", F.coalesce("c", "rep").alias("class"))
+    return profile.select("doc_id", "d1", "d2").join(named.hint("merge"), ["d1", "d2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,8 @@ def walk(bars: pd.DataFrame, plan: Plan) -> list[tuple]:
     time; stop before target inside a bar, then the hold at its close; an exit rule fills at the next open; the last bar
     closes what is left. A bar that closes a position may open the next."""
     o, h, low, c = (bars[k].to_numpy(float) for k in ("open", "high", "low", "close"))
-    enter, leave, ts = bars["signal"].fillna(False).to_numpy(bool), bars["exit_signal"].fillna(False).to_numpy(bool), bars["ts"].to_list()
+    # Unknown signals are none.
+    enter, leave, ts = (bars["signal"] == True).to_numpy(bool), (bars["exit_signal"] == True).to_numpy(bool), bars["ts"].to_list()  # noqa: E712
     out, since, price = [], None, 0.0
     sign = 1 if plan.long else -1
 
@@ -122,9 +123,9 @@ def _one_bar(spark, sf_dir) -> DataFrame:
     return trades(b, Plan(hold=1)).where("reason = 'hold'")
 
 
-@query(f"WITH {_HOLD_SQL} SELECT symbol, entry_at, exit_at, entry, exit, round(ret, 6) AS ret FROM t")
+@query(f"WITH {_HOLD_SQL} SELECT symbol, entry_at, exit_at, entry, exit, round(ret, 10) AS ret FROM t")
 def b2_trade_returns(spark, sf_dir):
-    return _one_bar(spark, sf_dir).select("symbol", "entry_at", "exit_at", "entry", "exit", r6("ret", F.col("ret")))
+    return _one_bar(spark, sf_dir).select("symbol", "entry_at", "exit_at", "entry", "exit", F.round("ret", 10).alias("ret"))
 
 
 @query(f"WITH {_HOLD_SQL} SELECT symbol, entry_at, round(least(1, 0.02 / 0.3), 6) AS by_risk, round(least(1, 0.02 / abs(entry / (entry * 0.9) - 1)), 6) AS by_stop FROM t")

@@ -419,10 +419,10 @@ def _ensembles(spark, sf_dir) -> DataFrame:
     return d.withColumn("y", F.lead("last").over(Window.partitionBy("symbol").orderBy("day"))).where("y IS NOT NULL")
 
 
-@query(f"""WITH {_ENS_SQL} SELECT symbol, day, round(list_avg(list_transform(x, lambda v: abs(v - y))) - list_avg(flatten(list_transform(x, lambda v: list_transform(x, lambda u: abs(u - v))))) / 2, 4) AS crps,
+@query(f"""WITH {_ENS_SQL} SELECT symbol, day, round(list_avg(list_transform(x, lambda v: abs(v - y))) - list_avg(flatten(list_transform(x, lambda v: list_transform(x, lambda u: abs(u - v))))) / 2, 10) AS crps,
  round((len(list_filter(x, lambda v: v < y)) + 0.5::DOUBLE * len(list_filter(x, lambda v: v = y))) / len(x), 6) AS pit FROM e WHERE y IS NOT NULL""")
 def f21_proper_scores(spark, sf_dir):
-    return _ensembles(spark, sf_dir).select("symbol", "day", F.round(crps(F.col("x"), F.col("y")), 4).alias("crps"), r6("pit", pit(F.col("x"), F.col("y"))))
+    return _ensembles(spark, sf_dir).select("symbol", "day", F.round(crps(F.col("x"), F.col("y")), 10).alias("crps"), r6("pit", pit(F.col("x"), F.col("y"))))
 
 
 def pooled_adjacent(p: list[float], w: list[float]) -> list[float]:
