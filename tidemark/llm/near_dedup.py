@@ -12,9 +12,11 @@ multisets is at least 0.8; classes are what links connect.
 3. Registers are banded into buckets. In each bucket every member is compared with the smallest, which connects most of a
    large class at about one pair a member. Then, in buckets that still hold several components, members of different
    components are compared. So no pair of a bucket that could connect two classes stays unseen.
-4. Of each register three bits are kept. Candidate pairs that differ in over five standard errors more registers than
-   texts of similarity 0.8 would are left out, inside the join; all others are verified on whole texts by exact overlap of
-   their multisets.
+4. Two tests inside the join leave candidate pairs out before texts are fetched. Features fall into 1024 cells, of which a
+   bit each tells whether it is taken; a cell that only one text has taken is a feature the other lacks, so the cells
+   bound the similarity from above, and no linked pair is lost. Of each register three bits are kept, and pairs that
+   differ in over five standard errors more registers than texts of similarity 0.8 would go too. All others are verified on
+   whole texts by exact overlap of their multisets.
 
 At similarity 0.8 the default 40 bands of 6 miss a pair with probability 6e-6. Null texts and texts without a word are
 classes of their own; so are rows without a doc_id, whose class is null. Repeated rows get their row each; rows of one
@@ -37,6 +39,8 @@ from tidemark.llm.shared import documents, texts, written
 from tidemark.llm.words import white_space_words
 
 _U = np.uint64
+CELLS = 1024
+SKETCH = "struct<weight: long, taken: int, cells: array<long>, planes: array<long>>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -140,7 +144,14 @@ def planes_of(registers: np.ndarray) -> np.ndarray:
     return np.concatenate(bits, axis=1).view(np.int64)
 
 
-def differing(x: str, y: str, size: int) -> Column:
+def cells_of(features: np.ndarray) -> np.ndarray:
+    """Which of the ``CELLS`` cells the features take, as longs."""
+    taken = np.zeros(CELLS, np.uint8)
+    taken[features >> _U(64 - CELLS.bit_length() + 1)] = 1
+    return np.packbits(taken).view(np.int64)
+
+
+def differing(x: Column, y: Column, size: int) -> Column:
     """In how many registers two columns of planes differ."""
     longs = -(-size // 64)
     bit = lambda k, p: F.get(x, p * longs + k).bitwiseXOR(F.get(y, p * longs + k))
@@ -148,9 +159,10 @@ def differing(x: str, y: str, size: int) -> Column:
 
 
 def profiles(docs: DataFrame, run: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, d1, d2, weight, planes, buckets): digests of the features, and bits of the registers; all but doc_id null
-    for texts without a word."""
+    """(doc_id, d1, d2, sketch, buckets): digests of the features, their weight, cells and bits of the registers; all but
+    doc_id null for texts without a word."""
     size = bands * rows
+    kind = pa.struct([("weight", pa.int64()), ("taken", pa.int32()), ("cells", pa.list_(pa.int64())), ("planes", pa.list_(pa.int64()))])
 
     def work(batches):
         features = Features(run)
@@ -164,16 +176,17 @@ def profiles(docs: DataFrame, run: int, bands: int, rows: int) -> DataFrame:
                 part = b.slice(start, at - start)
                 mine = features.of(part.column(1))
                 some = [k for k, (x, _) in enumerate(mine) if len(x)]
-                d1, d2, weight, planes, buckets = ([None] * len(mine) for _ in range(5))
+                d1, d2, sketch, buckets = ([None] * len(mine) for _ in range(4))
                 if some:
                     registers = signatures([mine[k] for k in some], size)
                     for k, plane, bucket in zip(some, planes_of(registers), banded(registers, bands)):
                         digest = hashlib.blake2b(mine[k][0].tobytes() + mine[k][1].tobytes(), digest_size=16).digest()
                         d1[k], d2[k] = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
-                        weight[k], planes[k], buckets[k] = int(mine[k][1].sum()), plane, bucket
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(weight, pa.int64()), pa.array(planes, pa.list_(pa.int64())), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "weight", "planes", "buckets"])
+                        cells = cells_of(mine[k][0])
+                        sketch[k], buckets[k] = {"weight": int(mine[k][1].sum()), "taken": int(np.bitwise_count(cells.view(np.uint64)).sum()), "cells": cells, "planes": plane}, bucket
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, kind), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "sketch", "buckets"])
 
-    return texts(docs).mapInArrow(work, "doc_id long, d1 long, d2 long, weight long, planes array<long>, buckets array<long>")
+    return texts(docs).mapInArrow(work, f"doc_id long, d1 long, d2 long, sketch {SKETCH}, buckets array<long>")
 
 
 class Links:
@@ -181,17 +194,22 @@ class Links:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, run: int, least: float, size: int):
         self.docs, self.run, self.least, self.size = texts(docs), run, least, size
-        self.sketch = reps.select("rep", "weight", "planes")
+        self.sketch = reps.select("rep", "sketch")
 
-    def sketched(self, rows: DataFrame, v: str, weight: str, planes: str) -> DataFrame:
-        """``rows`` with weight and planes of the representative in column ``v``."""
-        return rows.join(self.sketch.select(F.col("rep").alias(v), F.col("weight").alias(weight), F.col("planes").alias(planes)).hint("merge"), v)
+    def sketched(self, rows: DataFrame, v: str, name: str) -> DataFrame:
+        """``rows`` with the sketch of the representative in column ``v``."""
+        return rows.join(self.sketch.select(F.col("rep").alias(v), F.col("sketch").alias(name)).hint("merge"), v)
 
     def likely(self) -> Column:
-        """Whether sketches (wx, px) and (wy, py) leave it open that a pair is linked."""
+        """Whether sketches ``x`` and ``y`` leave it open that a pair is linked."""
         p = (1 - self.least) * 7 / 8
         most = int(self.size * p + 5 * (self.size * p * (1 - p)) ** 0.5)
-        return (F.least("wx", "wy") >= self.least * F.greatest("wx", "wy")) & (differing("px", "py", self.size) <= most)
+        x, y = F.col("x"), F.col("y")
+        either = reduce(Column.__add__, [F.bit_count(F.get(x["cells"], k).bitwiseOR(F.get(y["cells"], k))) for k in range(CELLS // 64)])
+        common = F.least(x["weight"] - either + y["taken"], y["weight"] - either + x["taken"])
+        # least * (weight of both - common) <= common, at the most that common can be; the last term is for rounding.
+        open_ = common * (1 + self.least) >= self.least * (x["weight"] + y["weight"]) - 1e-6
+        return open_ & (differing(x["planes"], y["planes"], self.size) <= most)
 
     def verify(self, close: DataFrame) -> DataFrame:
         """(a, b) of those pairs of ``close`` (a, b) that are linked."""
@@ -224,7 +242,7 @@ def classes(docs: DataFrame, run: int = 5, least: float = 0.8, bands: int = 40,
     """(doc_id, class_id) of every row of ``docs`` (doc_id, text): the smallest doc_id of the row's class."""
     profile = written(profiles(docs, run, bands, rows), "profiles")
     known = profile.where(F.col("doc_id").isNotNull() & F.col("d1").isNotNull())
-    reps = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("planes").alias("planes"), F.first("buckets").alias("buckets")), "reps")
+    reps = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets")), "reps")
     members = reps.select(F.col("rep").alias("v"), F.explode("buckets").alias("bucket")).repartition("bucket")
     heads = members.groupBy("bucket").agg(F.min("v").alias("head"), F.max("v").alias("tail")).where("head < tail").select("bucket", "head")
     shared = written(members.join(heads.hint("merge"), "bucket"), "buckets")
@@ -232,15 +250,15 @@ def classes(docs: DataFrame, run: int = 5, least: float = 0.8, bands: int = 40,
 
     # Each member with the smallest of its buckets.
     star = shared.where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct()
-    both = links.sketched(links.sketched(star, "a", "wx", "px"), "b", "wy", "py")
+    both = links.sketched(links.sketched(star, "a", "x"), "b", "y")
     found = links.verify(written(both.where(links.likely()).select("a", "b"), "close"))
     label = components(found)
 
     # Members of different components of a bucket with each other; the smallest has been compared with all.
     named = shared.join(label.hint("merge"), "v", "left").withColumn("c", F.coalesce("c", "v"))
     mixed_up = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    rest = written(links.sketched(named.where("v <> head").join(mixed_up.hint("merge"), "bucket", "left_semi").select("bucket", "v", "c"), "v", "wx", "px"), "rest")
-    other = rest.select("bucket", F.col("v").alias("b"), F.col("c").alias("d"), F.col("wx").alias("wy"), F.col("px").alias("py"))
+    rest = written(links.sketched(named.where("v <> head").join(mixed_up.hint("merge"), "bucket", "left_semi").select("bucket", "v", "c"), "v", "x"), "rest")
+    other = rest.select("bucket", F.col("v").alias("b"), F.col("c").alias("d"), F.col("x").alias("y"))
     pairs = rest.withColumnRenamed("v", "a").join(other.hint("merge"), (rest["bucket"] == other["bucket"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & links.likely())
     found = found.union(links.verify(written(pairs.select("a", "b").distinct(), "close")))
     label = components(found)
