@@ -1,6 +1,7 @@
 """Text functions, parsers, clustering and streams on small inputs."""
 
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -105,6 +106,25 @@ def test_clusters(spark):
     assert {r.doc_id: r.parent for r in text_events.clusters(df, 200, 0.55).collect()} == {1: 1, 5: 1, 9: 9, 300: 300, 6: 6, 7: 7}
 
 
+def test_clusters_lose_no_pair(spark):
+    pick = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, pick.choice(("en", "fr")), " ".join(pick.sample(words[: pick.choice((12, 20, 60))], pick.choice((1, 2, 5, 9, 11, 20)) % 13 or 12)), "") for k in range(250)]
+    common = [f"c{k}" for k in range(9)]  # Jaccard 9 / 15, but the rarest tokens differ
+    rows += [(1000, "en", " ".join([*common, "x1", "x2", "x3"]), ""), (1001, "en", " ".join(["y1", "y2", "y3", *common]), "")]
+    rows += [(1200 + k, "en", " ".join([*common, f"z{k}"]), "") for k in range(4)]
+    both = [f"b{k}" for k in range(11)]  # 11 / 20 is the threshold itself
+    rows += [(2000, "en", " ".join([*both, *(f"e{k}" for k in range(9))]), ""), (2001, "en", " ".join(both), "")]
+    sets = {r[0]: (r[1], set(r[2].split())) for r in rows}
+    want = {}
+    for i, (lang, s) in sets.items():
+        met = [(-len(s & t) / len(s | t), p) for p, (other, t) in sets.items() if other == lang and p < i <= p + 90 and len(s & t) / len(s | t) >= 0.55]
+        want[i] = min(met)[1] if met else i
+    assert want[1001] == 1000 and want[2001] == 2000 and sum(i != p for i, p in want.items()) > 40
+    df = spark.createDataFrame(rows, "doc_id long, lang string, title string, body string")
+    assert {r.doc_id: r.parent for r in text_events.clusters(df, 90, 0.55).collect()} == want
+
+
 def test_screens_reject_what_is_not_one():
     for bad in ('{"conditions": [{"field": "x; drop", "op": ">", "value": 1}]}', '{"conditions": [{"field": "volume", "op": "=", "value": 1}]}', '{"match": "some"}', '{"sort_by": "name"}', '{"other": 1}', '{"limit": -1}'):
         with pytest.raises(ValueError):
