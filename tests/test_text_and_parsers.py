@@ -125,6 +125,13 @@ def test_clusters_lose_no_pair(spark):
     assert {r.doc_id: r.parent for r in text_events.clusters(df, 90, 0.55).collect()} == want
 
 
+def test_clusters_read_whole_first_lines(spark, tmp_path):
+    same = " ".join(f"word{k}" for k in range(30))  # over 200 characters
+    rows = [(1, "en", "s", same + "".join(f" a{k}" for k in range(90)) + "\nx"), (2, "en", "s", same + "".join(f" b{k}" for k in range(90)) + "\nx"), (3, "en", "s", same + "".join(f" b{k}" for k in range(90)))]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.parent for r in text_events.t4_clusters(spark, str(tmp_path)).collect()} == {1: 1, 2: 2, 3: 2}
+
+
 def test_screens_reject_what_is_not_one():
     for bad in ('{"conditions": [{"field": "x; drop", "op": ">", "value": 1}]}', '{"conditions": [{"field": "volume", "op": "=", "value": 1}]}', '{"match": "some"}', '{"sort_by": "name"}', '{"other": 1}', '{"limit": -1}'):
         with pytest.raises(ValueError):

@@ -28,10 +28,11 @@ CLASSES = [
 ]
 
 
-def headlines(spark, sf_dir) -> DataFrame:
-    """(doc_id, source, lang, title, body): the first line and the whole text."""
+def headlines(spark, sf_dir, longest: int | None = 200) -> DataFrame:
+    """(doc_id, source, lang, title, body): the first line, or as much of it as ``longest`` says, and the whole text."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "source", "lang", F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("title"), F.col("text").alias("body"))
+    line = F.substring_index("text", "\n", 1)
+    return d.select("doc_id", "source", "lang", (F.substring(line, 1, longest) if longest else line).alias("title"), F.col("text").alias("body"))
 
 
 _HEAD = "h AS (SELECT doc_id, source, lang, substring(split_part(text, chr(10), 1), 1, 200) AS title, text AS body FROM documents)"
@@ -220,7 +221,7 @@ def clusters(docs: DataFrame, window: int, least: float) -> DataFrame:
 @query()
 def t4_clusters(spark, sf_dir):
     """Tested against a plain loop over all pairs."""
-    return clusters(headlines(spark, sf_dir), 200, 0.55)
+    return clusters(headlines(spark, sf_dir, None), 200, 0.55)
 
 
 @query(f"""WITH RECURSIVE {_KEY}, g AS (SELECT lang, key, doc_id FROM k WHERE key <> ''),
