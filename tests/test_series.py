@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import backtest as bt
 from tidemark.operators import forecast as fc
 from tidemark.operators import indicators as ind
+from tidemark.operators import ledger
 from tidemark.plans import rules
 from tidemark.sources import bars as sb
 
@@ -151,6 +152,40 @@ def test_regimes_recover_states():
     assert sd[0] < sd[1] and ((p[:, 1] > 0.5) == s).mean() > 0.85
 
 
+def test_regimes_query_runs_all_rounds(spark, monkeypatch):
+    r = np.random.default_rng(2).standard_t(12, 150) * 0.01  # hardly two states, so the rounds go on for long
+    df = spark.createDataFrame([(k, float(c)) for k, c in enumerate(np.exp(np.r_[0, r.cumsum()]))], "ts long, mclose double")
+    monkeypatch.setattr(fc, "market", lambda *_: df)
+    mu, sd, _, p = fc.regimes(r, 200)
+    assert not np.allclose(sd, fc.regimes(r, 50)[1], rtol=1e-3, atol=0)
+    got = fc.f13_regimes(spark, "").orderBy("state").collect()
+    assert np.allclose([(g["mean"], g["deviation"], g["now"]) for g in got], np.c_[mu, sd, p[-1]], rtol=1e-4, atol=1e-9)
+
+
+def test_ridge_query_learns_from_all_sessions(spark, sf01_dir):
+    rows = fc.learning_rows(spark, sf01_dir).toPandas()
+    x, y = np.c_[np.ones(len(rows)), rows[["f1", "f2", "f3", "f4"]].to_numpy(float)], rows["y"].to_numpy(float)
+    w = np.linalg.solve(x.T @ x + 0.01 * len(rows) * np.diag([0, 1, 1, 1, 1]), x.T @ y)
+    assert rows["t"].max() > 20 and np.allclose([r.weight for r in fc.f8_ridge(spark, sf01_dir).collect()], w, atol=2e-6)
+
+
+def test_luck_draws_as_many_entries_as_trips(spark):
+    close, trips = np.random.default_rng(8).lognormal(4, 0.05, 120), 45
+    bars = spark.createDataFrame([("A", k, float(c)) for k, c in enumerate(close)], "symbol string, ts long, close double")
+    done = spark.createDataFrame([("A", 0.004, 2)] * trips + [("B", 0.1, 1)] * 9, "symbol string, ret double, bars int")
+    picks = spark.range(1, 301).select(F.col("id").cast("int").alias("s"), F.explode(F.sequence(F.lit(1), F.lit(trips))).alias("d")).select("s", F.pmod(F.xxhash64("s", "d", F.lit(11)), F.lit(118)).alias("k")).orderBy("s", "d").collect()
+    k = np.array([p.k for p in picks]).reshape(300, trips)
+    want = float(((close[k + 2] / close[k] - 1).mean(1) < 0.004).mean() * 100)
+    got = ledger.luck(done, bars, 300).collect()
+    assert [(r.symbol, round(r.percentile, 9)) for r in got] == [("A", round(want, 9))] and 0 < want < 100
+
+
+def test_luck_query_runs_a_thousand_simulations(spark, sf_dir):
+    full = ledger.luck(bt._one_bar(spark, sf_dir), sb.hourly(spark, sf_dir), 1000)
+    want = {r.symbol: r.percentile for r in full.collect()}
+    assert want and {r.symbol: r.percentile for r in ledger.b12_luck_test(spark, sf_dir).collect()} == want
+
+
 def test_boosted_trees_find_an_interaction(spark):
     rng = np.random.default_rng(6)
     x = rng.uniform(-1, 1, (4000, 4))

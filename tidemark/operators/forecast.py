@@ -148,8 +148,8 @@ _X = ["f1", "f2", "f3", "f4"]
 
 @query()
 def f8_ridge(spark, sf_dir):
-    """Weights; tested against numpy on collected rows."""
-    rows = learning_rows(spark, sf_dir).where("t < 20").cache()
+    """Weights learnt from all sessions; tested against numpy on collected rows."""
+    rows = learning_rows(spark, sf_dir).cache()
     w = ridge(rows, _X, "y")
     return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(["intercept", *_X], w)], "name string, weight double")
 
@@ -360,7 +360,7 @@ def f13_regimes(spark, sf_dir):
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         r = np.diff(np.log(pdf.sort_values("ts")["mclose"].to_numpy(float)))
-        mu, sd, move, p = regimes(r, 50)
+        mu, sd, move, p = regimes(r)
         return pd.DataFrame({"state": [0, 1], "mean": mu, "deviation": sd, "stays": np.diag(move), "now": p[-1]})
 
     return market(spark, sf_dir).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "state int, mean double, deviation double, stays double, now double")

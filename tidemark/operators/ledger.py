@@ -143,11 +143,12 @@ def b11_round_trips(spark, sf_dir):
 
 def luck(trips: DataFrame, bars: DataFrame, simulations: int = 1000, seed: int = 11) -> DataFrame:
     """(symbol, actual, percentile): where the mean gain of a symbol's trips stands among draws of random entries held as
-    long. Each draw is a hash of its number, so it is repeatable; null under ten trips."""
+    long. A draw has as many entries as the symbol has trips. Each entry is a hash of its number, so it is repeatable;
+    symbols under ten trips have no row."""
     w = Window.partitionBy("symbol").orderBy("ts")
     b = bars.withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
     mean = trips.groupBy("symbol").agg(F.count("*").alias("trips"), F.avg("ret").alias("actual"), F.max("bars").alias("hold")).where("trips >= 10")
-    draws = mean.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(simulations)))).withColumn("d", F.explode(F.sequence(F.lit(1), F.least("trips", F.lit(20)).cast("int"))))
+    draws = mean.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(simulations)))).withColumn("d", F.explode(F.sequence(F.lit(1), F.col("trips").cast("int"))))
     size = b.groupBy("symbol").agg(F.max("n").alias("n"))
     picked = draws.join(size, "symbol").withColumn("k", F.pmod(F.xxhash64("s", "d", F.lit(seed)), F.col("n") - F.col("hold")))
     held = b.select("symbol", "k", "close")
@@ -162,7 +163,7 @@ def b12_luck_test(spark, sf_dir):
     """Rows only: a simulation."""
     from tidemark.operators.backtest import _one_bar
 
-    return luck(_one_bar(spark, sf_dir), hourly(spark, sf_dir), 200).select("symbol", r6("actual", F.col("actual")), "percentile")
+    return luck(_one_bar(spark, sf_dir), hourly(spark, sf_dir)).select("symbol", r6("actual", F.col("actual")), "percentile")
 
 
 @query("""WITH p AS (SELECT l_partkey AS position, CAST(l_quantity AS BIGINT) AS held, l_linenumber * 8 AS sold, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_orderkey FROM lineitem)
