@@ -94,6 +94,21 @@ def test_bounds_hold_and_certify():
     assert packing.bound(np.array([34] * 6), 100) == 3
 
 
+def test_packing_stops_at_the_certified_bound(spark, monkeypatch, caplog):
+    # No two of these fit into a sequence: the sum of tokens is far below, the dual bound is met at once.
+    docs = spark.createDataFrame([(k, "x y " * 20 + "z") for k in range(60)], "doc_id long, text string")
+    size = packing.pack(docs, size=4096).first().length + 10
+    runs, once = [], packing.packed_once
+    monkeypatch.setattr(packing, "packed_once", lambda *a: runs.append(a[1]) or once(*a))
+    rows = packing.pack(docs, size=size, part_items=10, slack=2).collect()
+    assert len({r.sequence_id for r in rows}) == 60 and runs == [6] and not caplog.records
+
+
+def test_bound_of_counted_lengths():
+    x = np.random.default_rng(3).integers(1, 101, 500)
+    assert packing.bound(np.unique(x), 100, np.unique(x, return_counts=True)[1]) == packing.bound(x, 100)
+
+
 def test_language_on_held_out_rows(spark, sf01_dir, docs01):
     rows = QUERIES["op4_language_id"](spark, sf01_dir).collect()
     assert len(rows) == len(docs01)

@@ -2,9 +2,11 @@
 
 Texts become ids with an end id 0; a longer one is cut into pieces of ``size``, of which the first may be shorter. Whole
 pieces are sequences of their own. The others are dealt out to partitions of bounded size, each packed by best-fit
-decreasing. Lower bounds from dual feasible functions certify the number of bins of each partition and of all. Bins that
-aren't nearly full are opened again while the total exceeds its bound: partitions exchange these documents, of which
-fewer partitions are formed, and rerun best-fit decreasing, until one partition is left or a rerun gains nothing.
+decreasing. A lower bound from dual feasible functions, over the lengths of all pieces, certifies the number of bins. While
+the total exceeds it, bins with more than ``slack`` left are opened again: partitions exchange their pieces, of which
+fewer partitions are formed, and rerun best-fit decreasing, until one partition is left or a rerun of the same pieces
+gains no bin, where the packing before stays. Partitions that meet their own bounds exchange too, as these add up to more
+than the bound of all. A gap that is left is logged.
 
 A null or empty text is one piece of the end id alone. Repeated rows are packed each. Columns beside doc_id and text are
 ignored. An empty table gives an empty table.
@@ -12,6 +14,8 @@ ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
+import logging
 import math
 import zlib
 from functools import reduce
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe
 from tidemark.llm.shared import documents, texts, written
 
+log = logging.getLogger(__name__)
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
-PLACED = PIECE + ", bin long, offset long, open boolean, bins long, bound long"
+PLACED = PIECE + ", bin long, offset long, open boolean"
 
 
 def pieces_of(docs: DataFrame, size: int, path: str | None) -> DataFrame:
@@ -50,24 +56,27 @@ def pieces_of(docs: DataFrame, size: int, path: str | None) -> DataFrame:
     return texts(docs).mapInArrow(cut, PIECE)
 
 
-def bound(lengths: np.ndarray, size: int) -> int:
+def bound(lengths: np.ndarray, size: int, counts: np.ndarray | None = None) -> int:
     """A number of bins that no packing goes under: the largest of sums of dual feasible functions. Below a threshold t,
-    lengths over size - t count a whole bin and those under t nothing; lengths over size / k count by k + 1 parts."""
+    lengths over size - t count a whole bin and those under t nothing; lengths over size / k count by k + 1 parts.
+    ``counts``: how often each length comes, once by default."""
     if not len(lengths):
         return 0
-    x = np.sort(lengths.astype(np.int64))
-    total = np.concatenate([[0], np.cumsum(x)])
+    order = np.argsort(lengths, kind="stable")
+    x = lengths.astype(np.int64)[order]
+    c = np.ones(len(x), np.int64) if counts is None else counts.astype(np.int64)[order]
+    total, number = np.concatenate([[0], np.cumsum(x * c)]), np.concatenate([[0], np.cumsum(c)])
     best = -(-int(total[-1]) // size)
     for t in np.unique(x[x <= size // 2]):
         big = np.searchsorted(x, size - t, "right")
         low = np.searchsorted(x, t, "left")
-        best = max(best, len(x) - big - (-(int(total[big] - total[low])) // size))
+        best = max(best, int(number[-1] - number[big]) - (-(int(total[big] - total[low])) // size))
     for k in range(1, 20):
         # u(k): whole multiples of size / (k + 1) stay, others round down to a multiple of size / k.
         scaled = x * (k + 1)
         exact = scaled % size == 0
         value = np.where(exact, x * k, scaled // size * size)
-        best = max(best, -(-int(value.sum()) // (size * k)))
+        best = max(best, -(-int((value * c).sum()) // (size * k)))
     return best
 
 
@@ -106,9 +115,8 @@ def packed_once(items: DataFrame, parts: int, size: int, slack: int) -> DataFram
         where, offset, room = best_fit(lengths, size)
         opened = room > slack
         opened[room.argmax()] |= room.max() > 0
-        n = len(table)
-        more = [pa.array(where), pa.array(offset), pa.array(opened[where]), pa.array(np.full(n, len(room))), pa.array(np.full(n, bound(lengths, size)))]
-        for name, column in zip(("bin", "offset", "open", "bins", "bound"), more):
+        more = [pa.array(where), pa.array(offset), pa.array(opened[where])]
+        for name, column in zip(("bin", "offset", "open"), more):
             table = table.append_column(name, column)
         return table.select([f.split()[0] for f in PLACED.split(", ")] + ["part"])
 
@@ -116,27 +124,33 @@ def packed_once(items: DataFrame, parts: int, size: int, slack: int) -> DataFram
     return dealt.groupBy("part").applyInArrow(pack, PLACED + ", part long")
 
 
-def pack(docs: DataFrame, size: int = 2048, path: str | None = None, part_items: int = 50_000, slack: int = 32, rounds: int = 4) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, path: str | None = None, part_items: int = 50_000, slack: int = 32) -> DataFrame:
     """Each piece of each row of ``docs`` with its sequence and its place there; see the module's text."""
     items = written(pieces_of(docs, size, path), "pieces")
     whole = items.where(F.col("length") == size).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 60)).withColumn("offset", F.lit(0).cast("long"))
     rest, done = items.where(F.col("length") < size), [whole]
-    tally = rest.agg(F.count("*"), F.sum("length")).first()
-    count, before = tally[0], None
-    for k in range(rounds):
+    tally = rest.groupBy("length").count().toPandas()  # under ``size`` rows
+    certified = bound(tally["length"].to_numpy(), size, tally["count"].to_numpy())
+    count, closed, opened, last = int(tally["count"].sum()), 0, None, None
+    for k in itertools.count():
         if not count:
             break
         parts = max(1, math.ceil(count / part_items))
         placed = written(packed_once(rest, parts, size, slack), f"packed-{k}")
         numbered = placed.withColumn("sequence_id", (F.lit(k) * (1 << 32) + F.col("part")) * (1 << 24) + F.col("bin"))
-        by_part = placed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"), F.sum("length").alias("tokens"))
-        bins, certified, tokens = by_part.agg(F.sum("bins"), F.sum("bound"), F.sum("tokens")).first()
-        if parts == 1 or bins <= -(-tokens // size) or before == bins or k == rounds - 1:
-            done.append(numbered)
+        each = placed.groupBy("part", "bin").agg(F.first("open").alias("open"), F.count("*").alias("n"))
+        bins, again, count = (int(v or 0) for v in each.agg(F.count("*"), F.sum(F.col("open").cast("long")), F.sum(F.when(F.col("open"), F.col("n")))).first())
+        gained = opened is None or bins < opened
+        if not gained or parts == 1 or closed + bins <= certified or not again:
+            done.append(numbered if gained else last)
+            gap = closed + (bins if gained else opened) - certified
+            if gap > 0:
+                log.warning("%d sequences of pieces, %d over the certified bound of %d", certified + gap, gap, certified)
             break
         done.append(numbered.where(~F.col("open")))
+        last = numbered.where(F.col("open"))
         rest = placed.where(F.col("open")).select(*[f.split()[0] for f in PIECE.split(", ")])
-        count, before = rest.count(), bins
+        closed, opened = closed + bins - again, again
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return reduce(DataFrame.unionByName, [d.select(*columns) for d in done])
 
