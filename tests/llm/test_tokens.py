@@ -54,6 +54,28 @@ def test_codec_odd_rows(spark, odd):
     assert bpe_codec.encode_decode(odd.limit(0)).count() == token_count.token_counts(odd.limit(0)).count() == 0
 
 
+def test_long_texts_are_counted_piece_by_piece(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    texts = ["Some words, and more: don't stop\nhere  now. été 中文 " * 300, "<|endoftext|>" + "a b c " * 500 + "<|endoftext|>", "x" * 9000, "word " * 2000 + "<|endoftext|>tail", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_bytes) for r in token_count.token_counts(df, batch_bytes=700, piece_bytes=300).collect()}
+    assert got == {k: (w[0], len(t.encode())) for k, (t, w) in enumerate(zip(texts, expected(texts)))}
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r.doc_id: r.n_tokens for r in token_count.token_counts(df, path, batch_bytes=700, piece_bytes=300).collect()}
+    assert got == {k: len(model.encode(t)) for k, t in enumerate(texts)}
+    assert len(token_count.counter(path).cut(texts[3], 300)) > 10
+
+
+def test_batches_hold_about_equal_bytes():
+    pieces = [(k, "é" * (k % 7 + 1)) for k in range(500)]
+    batches = list(token_count.batches_of(pieces, 100))
+    assert [x for rows, kept in batches for x in zip(rows, kept)] == pieces
+    assert all(100 <= sum(len(t.encode()) for t in kept) < 114 for _, kept in batches[:-1])
+
+
 def test_sentencepiece_counts(spark, odd):
     import public_tokenizers
     import sentencepiece

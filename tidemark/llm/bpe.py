@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -127,12 +127,27 @@ class Bpe:
             ranks = {bytes(back[c] for c in k): v for k, v in vocab.items() if k not in self.special}
             self.fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def parts(self, text: str) -> list[str]:
+        """``text`` cut around added special tokens."""
+        return [p for p in self.split._cut.split(text) if p] if any(s in text for s in self.special) else [text]
+
     def ids(self, text: str) -> np.ndarray:
         """The ids of a whole text, as unsigned 32-bit integers."""
-        if not any(s in text for s in self.special):
-            return self._plain(text)
-        parts = [np.array([self.special[s]], "<u4") if s in self.special else self._plain(s) for s in self.split._cut.split(text)]
-        return np.concatenate(parts)
+        pieces = [self._piece(p) for part in self.parts(text) for p in cut_long(part, self.piece)]
+        return pieces[0] if len(pieces) == 1 else np.concatenate([np.empty(0, "<u4"), *pieces])
+
+    def lengths(self, batch: list[str]) -> list[int]:
+        """How many ids each text of a batch has; each is an added token or holds none. The batch is encoded in one call
+        for each of the two engines."""
+        out = [0] * len(batch)
+        fast = [k for k, t in enumerate(batch) if self.fast is not None and t not in self.special and (t.isascii() or _SURE.fullmatch(t))]
+        for k, x in zip(fast, self.fast.encode_ordinary_batch([batch[k] for k in fast], num_threads=1) if fast else []):
+            out[k] = len(x)
+        known = set(fast)
+        rest = [k for k in range(len(batch)) if k not in known]
+        for k, e in zip(rest, self.tok.encode_batch_fast([batch[k] for k in rest], add_special_tokens=False) if rest else []):
+            out[k] = len(e.ids)
+        return out
 
     def word(self, word: str) -> list[int]:
         """The ids of a word that is an added token or holds none."""
@@ -142,12 +157,9 @@ class Bpe:
             return self.fast.encode_ordinary(word)
         return self.tok.encode(word, add_special_tokens=False).ids
 
-    def _plain(self, text: str) -> np.ndarray:
-        if len(text) > self.piece:
-            return np.concatenate([self._piece(p) for p in cut_long(text, self.piece)])
-        return self._piece(text)
-
     def _piece(self, text: str) -> np.ndarray:
+        if text in self.special:
+            return np.array([self.special[text]], "<u4")
         if self.fast is not None and (text.isascii() or _SURE.fullmatch(text)):
             return self.fast.encode_to_numpy(text)
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
@@ -161,16 +173,3 @@ def loaded(path: str | None = None) -> Bpe:
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
     return _LOADED[path]
-
-
-def by_bytes(texts: Iterable[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Consecutive lists of texts of about ``most`` characters."""
-    kept, size = [], 0
-    for t in texts:
-        kept.append(t)
-        size += len(t)
-        if size >= most:
-            yield kept
-            kept, size = [], 0
-    if kept:
-        yield kept
