@@ -14,23 +14,28 @@ LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def plain_scores(rows, mu):
+def plain_scores(rows, mu, order=2):
     tokens = [(i, [*WORD.findall((t or "").translate(LOW)), None]) for i, t in rows]
     held = [i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in tokens]
-    one, two, before = Counter(), Counter(), Counter()
+    seen, history = Counter(), Counter()
     for (_, x), out in zip(tokens, held):
-        if not out:
-            one.update(x)
-            pairs = list(zip(["<s>", *x], x))
-            two.update(pairs)
-            before.update(a for a, _ in pairs)
-    n, v = sum(one.values()), len(one)
-    p = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+        padded = ["<s>"] * (order - 1) + x
+        for at in range(order - 1, 0 if out else len(padded)):
+            for n in range(order):
+                seen[tuple(padded[at - n : at + 1])] += 1
+                history[tuple(padded[at - n : at])] += 1
+    n, v = history[()], sum(len(g) == 1 for g in seen)
+
+    def p(h, w):
+        if not h:
+            return (seen[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        return (seen[(*h, w)] + mu * p(h[1:], w)) / (history[h] + mu)
+
     out = []
     for (i, x), h in zip(tokens, held):
-        base = sum(math.log10(p(w)) for w in x)
-        full = sum(math.log10((two[a, w] + mu * p(w)) / (before[a] + mu)) for a, w in zip(["<s>", *x], x))
-        out.append((i, h, len(x), sum(one[w] > 0 for w in x), n, base, full))
+        padded = ["<s>"] * (order - 1) + x
+        full = sum(math.log10(p(tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(x))
+        out.append((i, h, len(x), sum(seen[(w,)] > 0 for w in x), n, sum(math.log10(p((), w)) for w in x), full))
     return sorted(out, key=str)
 
 
@@ -46,11 +51,19 @@ def test_scores_against_plain_counts(spark, sf01_dir, docs01):
 
 def test_scores_odd_rows(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
-    compare(lm_score.scores(odd.repartition(3), block_bytes=500, range_tokens=300).collect(), plain_scores(rows, 20.0))
+    for order in (1, 2, 3, 4):
+        got = lm_score.scores(odd.repartition(3), order=order, block_bytes=500, range_tokens=300).collect()
+        compare(got, plain_scores(rows, 20.0, order))
     assert lm_score.scores(odd.limit(0)).count() == 0
     assert lm_score.scores(odd.where("doc_id = 3")).count() == 2
 
 
+def test_scores_of_order_three(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    compare(lm_score.scores(docs.repartition(5), order=3, mu=2.0, range_tokens=20_000).collect(), plain_scores(rows, 2.0, 3))
+
+
 def plain_classes(rows):
     f = near_dedup.Features()
     sets = {i: x for (i, _), x in zip(rows, f.of(pa.array([t for _, t in rows], pa.string()))) if len(x[0])}

@@ -1,38 +1,40 @@
 """Language-model scores (operator 8).
 
-The model is a weighted backoff automaton over words. Each word seen in training is a state, and so is the start of a
-text; a state's arcs are the words that followed it, and its failure arc leads to the root, whose arcs are single words:
+The model is a weighted backoff automaton over words, of order n. A state is a history of up to n - 1 words seen in
+training (texts begin with n - 1 start marks); its arcs are the words that followed it, its failure arc leads to the state
+without the oldest word, and the root's arcs are single words. Smoothed probabilities come from counts c:
 
-    p(w | h) = (c(h, w) + mu * p(w)) / (c(h) + mu)       p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
+    p(w | h) = (c(h, w) + mu * p(w | h')) / (c(h) + mu)       p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
-so the failure arc of h weighs mu / (c(h) + mu), and probabilities of a state add up to 1. A text is read once from left
-to right: the state is the word before, a word takes its arc or the failure arc and the root's, and logarithms add up.
+where h' is h without its oldest word. So an arc weighs its p, the failure arc of h weighs mu / (c(h) + mu), and the
+probabilities of a state add up to 1. A text is traversed once from left to right: the state is carried from word to word,
+failure arcs are followed until the state has an arc for the word, and logarithms of the weights add up.
 
-Counts cover all training texts, and neither words nor pairs are cut off. Consecutive texts form a block, which numbers
-its own words. Words of all blocks are dealt out by word and summed; pairs are dealt out by ranges of a 64-bit hash, as
-sorted arrays, whose number follows the number of tokens; both come back to their blocks, where texts are scored along
-their numbers. A block names a word or pair once, so frequent ones are no hot keys.
+Counts cover all training texts, and neither words nor histories are cut off. Consecutive texts form a block, which numbers
+its own words. The distinct-word table sums the words of all blocks; n-grams travel as ranges of a 64-bit hash, sorted and
+as differences, whose number follows the number of tokens. Both come back to their blocks as the part of the automaton that
+the block's texts can reach. A block names a word or n-gram once, so frequent ones are no hot keys.
 
-Null and empty texts are the end token alone. Rows without a doc_id are held out. Repeated rows get their row each.
-Without training texts every token is unknown, and the score is that of the base formula at N = 0. Columns beside doc_id
-and text are ignored. An empty table gives an empty table.
+Null and empty texts are the end token alone. Rows without a doc_id are held out. Repeated rows get their row each. A very
+long text is a block of its own. Without training texts every token is unknown, and the score is that of the base formula
+at N = 0. Columns beside doc_id and text are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.shared import documents, written
-from tidemark.llm.words import gathered, one, white_space_words
+from tidemark.llm.words import by_block, from_planes, gathered, hashes_of, one, to_planes, white_space_words
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, hashes binary, words array<string>, counts array<long>, train long, tokens long"
+ANSWER = "block long, part int, size int, body binary, new long"
 _U = np.uint64
 _START, _END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 
@@ -41,31 +43,96 @@ def held_out(folds: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def pair_keys(codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key for each pair of neighbours of each text, start and end included; and where each text begins."""
-    begin = np.concatenate([[0], np.cumsum(lengths + 1)])
-    now = np.empty(begin[-1], np.uint64)
-    ends = np.zeros(len(now), bool)
-    ends[begin[1:] - 1] = True
-    now[~ends] = hashes[codes]
-    now[ends] = _END
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    before[begin[:-1]] = _START
-    key = before * _U(0x9E3779B97F4A7C15) + now
-    key = (key ^ (key >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return key ^ (key >> _U(32)), begin
-
-
-def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each range of hashes begins among sorted ``keys``."""
-    return np.searchsorted(keys, np.array([(k << 64) // ranges for k in range(ranges)], np.uint64))
-
-
-def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, block_bytes: int = 40 << 20, range_tokens: int = 4_000_000) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text), columns as in ``SCHEMA``."""
+class Grams:
+    """The n-grams of a block of texts, for n from 2 to ``order``, by their place: the token they end with. Each text has
+    its words and an end token, and start marks before."""
+
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, order: int):
+        self.order, self.codes, self.lengths = order, codes, lengths
+        self.begin = np.concatenate([[0], np.cumsum(lengths + 1)])
+        h = np.empty(self.begin[-1], np.uint64)
+        self.ends = np.zeros(len(h), bool)
+        self.ends[self.begin[1:] - 1] = True
+        h[~self.ends], h[self.ends] = hashes[codes], _END
+        key, keys = h, []
+        for k in range(1, order):
+            # The word k places before, a start mark where the text doesn't reach so far.
+            before = np.full_like(h, _START)
+            before[k:] = h[:-k]
+            for j in range(k):
+                at = self.begin[:-1] + j
+                before[at[at < self.begin[1:]]] = _START
+            key = before * _U(0x9E3779B97F4A7C15) + key * _U(0xD1342543DE82EF95) + _U(k)
+            key = (key ^ (key >> _U(32))) * _U(0xD6E8FEB86659FD93)
+            key ^= key >> _U(32)
+            keys.append(key)
+        #: 63-bit keys, those of bigrams before those of trigrams and so on.
+        self.keys = np.concatenate(keys) >> _U(1) if keys else np.empty(0, np.uint64)
+
+    def distinct(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct keys, how often each occurs in texts for which ``training`` holds)."""
+        marked = self.keys << _U(1) | np.tile(np.repeat(training, self.lengths + 1), self.order - 1)
+        marked.sort()
+        keys = marked >> _U(1)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        return keys[first], np.add.reduceat((marked & _U(1)).astype(np.int64), first) if len(first) else first
+
+    def spread(self, totals: np.ndarray) -> list[np.ndarray]:
+        """``totals`` of the distinct keys at the place of each n-gram, an array for each n."""
+        order = np.argsort(self.keys)
+        ranked = self.keys[order]
+        number = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])) if len(ranked) else order
+        if len(ranked) and number[-1] + 1 != len(totals):
+            raise ValueError("a block and its counts do not fit together")
+        out = np.empty(len(order), np.int64)
+        out[order] = totals[number]
+        return list(out.reshape(self.order - 1, -1))
+
+
+class Automaton:
+    """The states and arcs that the texts of a block can reach, held by the token at which they are looked up."""
+
+    def __init__(self, grams: Grams, single: np.ndarray, more: list[np.ndarray], train: int, whole: float, mu: float):
+        """``single``: counts of each token; ``more``: counts of the n-grams that end with it, by n."""
+        self.grams, p = grams, (single + 0.1) / whole
+        self.root = np.log10(p)
+        #: For each n from 2: whether the state of n - 1 words has an arc for the token, its weight, the failure weight.
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        shorter = single
+        for count in more:
+            history = np.empty_like(count)
+            history[1:], history[grams.begin[:-1]] = shorter[:-1], train
+            p = (count + mu * p) / (history + mu)
+            self.levels.append((count > 0, np.log10(p), np.log10(mu / (history + mu))))
+            shorter = count
+
+    def traverse(self) -> np.ndarray:
+        """The score of each text, from left to right."""
+        out = np.empty(len(self.grams.lengths))
+        top = len(self.levels)
+        for k, (a, z) in enumerate(zip(self.grams.begin.tolist(), self.grams.begin[1:].tolist())):
+            root = self.root[a:z].tolist()
+            levels = [tuple(x[a:z].tolist() for x in level) for level in self.levels]
+            state, score = top, 0.0
+            for i, weight in enumerate(root):
+                while state:
+                    arc, arc_weight, failure = levels[state - 1]
+                    if arc[i]:
+                        weight = arc_weight[i]
+                        break
+                    score += failure[i]
+                    state -= 1
+                score += weight
+                if state < top:
+                    state += 1
+            out[k] = score
+        return out
+
+
+def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 2, block_bytes: int = 40 << 20, range_tokens: int = 4_000_000) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text), columns as in ``SCHEMA``; ``order``: the n of the longest n-grams,
+    1 at least."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(folds).alias("held"), F.col("text"))
-    name = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, hashes binary, words array<string>, counts array<long>, train long, tokens long"
 
     def read(batches):
         from pyspark import TaskContext
@@ -75,109 +142,88 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, block_bytes: int
             ids, held = block.column(0).to_pylist(), block.column(1).to_pylist()
             flat, lengths, words = white_space_words(one(block.column(2)))
             counts = np.bincount(flat[np.repeat(~np.array(held), lengths)], minlength=len(words))
-            hashes = np.fromiter((int.from_bytes(hashlib.blake2b(w.as_buffer(), digest_size=8).digest(), "little") for w in words), np.uint64, len(words))
             train = len(held) - sum(held)
             yield pa.RecordBatch.from_arrays([
                 pa.array([part << 24 | nth], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())),
-                pa.array([pa.compress(flat.astype("<u4").tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([hashes.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([counts], pa.list_(pa.int64())),
+                pa.array([to_planes(flat)], pa.binary()), pa.array([hashes_of(words).tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([counts], pa.list_(pa.int64())),
                 pa.array([train], pa.int64()), pa.array([int(counts.sum()) + train], pa.int64()),
-            ], [f.split()[0] for f in name.split(", ")])
+            ], [f.split()[0] for f in BLOCK.split(", ")])
             nth += 1
 
-    table = written(rows.mapInArrow(read, name), "blocks")
-    train, tokens, all_tokens = table.agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.size("counts").cast("long")), F.lit(0))).first()
-    ranges = max(1, math.ceil((tokens + all_tokens) / range_tokens))
+    table = written(rows.mapInArrow(read, BLOCK), "blocks")
+    train, tokens, entries = table.agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.size("counts").cast("long")), F.lit(0))).first()
+    ranges = max(1, math.ceil((order - 1) * (tokens + entries) / range_tokens))
 
-    # Words: the count over all blocks, back at (block, at). Pack rows hold "at" and counts of one block.
-    placed = table.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    of_word = Window.partitionBy("word")
-    summed = placed.withColumn("c", F.sum("n").over(of_word)).withColumn("nth", F.row_number().over(of_word.orderBy("block")))
+    # The distinct-word table, and its counts back at the words' places.
+    at = table.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n")).repartition("word")
+    distinct = at.groupBy("word").agg(F.sum("n").alias("c"), F.min(F.struct("block", "at")).alias("first"))
+    summed = at.join(distinct.hint("merge"), "word").select("block", "at", "c", ((F.struct("block", "at") == F.col("first")) & (F.col("c") > 0)).alias("new"))
 
     def pack(batches):
-        for b in batches:
-            block, at, c, nth = (b.column(k).to_numpy() for k in range(4))
-            order = np.argsort(block, kind="stable")
-            edges = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0, [True]])) if len(order) else []
-            for a, z in zip(edges, edges[1:]):
-                mine = order[a:z]
-                new = int(((nth[mine] == 1) & (c[mine] > 0)).sum())
-                body = at[mine].astype("<i4").tobytes() + c[mine].astype("<i8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([int(block[mine[0]])], pa.int64()), pa.array([-1], pa.int32()), pa.array([z - a], pa.int32()), pa.array([pa.compress(body, "zstd", asbytes=True)], pa.binary()), pa.array([new], pa.int64())], ["block", "part", "size", "body", "new"])
-
-    answer = "block long, part int, size int, body binary, new long"
-    words = written(summed.select("block", "at", "c", "nth").mapInArrow(pack, answer), "words")
-    distinct = (words.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0] or 0) + (1 if train else 0)
-
-    # Pairs: sorted keys by range, summed over blocks, and the counts back in the order of the keys.
-    def keys_of(row_lengths, codes, hashes):
-        lengths = np.array(row_lengths, np.int64)
-        flat = np.frombuffer(pa.decompress(codes, 4 * int(lengths.sum()), "zstd", asbytes=True), "<u4")
-        return (*pair_keys(flat, lengths, np.frombuffer(hashes, "<u8")), flat, lengths)
-
-    def pairs(batches):
+        for block, mine in by_block(batches):
+            body = mine[1].astype("<i4").tobytes() + mine[2].astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([len(mine[1])], pa.int32()), pa.array([pa.compress(body, "zstd", asbytes=True)], pa.binary()), pa.array([int(mine[3].sum())], pa.int64())], ["block", "part", "size", "body", "new"])
+
+    words = written(summed.mapInArrow(pack, ANSWER), "words")
+    known = (words.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0] or 0) + (1 if train else 0)
+
+    def grams_of(lengths, codes, hashes) -> Grams:
+        n = np.array(lengths, np.int64)
+        return Grams(from_planes(codes, int(n.sum())), n, np.frombuffer(hashes, "<u8"), order)
+
+    def send(batches):
+        edge = np.array([(k << 63) // ranges for k in range(ranges)], np.uint64)
         for b in batches:
             for block, held, lengths, codes, hashes in zip(*(c.to_pylist() for c in b.columns)):
-                keys, _, _, n = keys_of(lengths, codes, hashes)
-                distinct_keys = np.unique(keys)
-                mine = np.sort(keys[np.repeat(~np.array(held), n + 1)])
-                first = np.searchsorted(mine, distinct_keys)
-                counts = np.searchsorted(mine, distinct_keys, "right") - first
-                edges = [*_range(distinct_keys, ranges), len(distinct_keys)]
+                keys, counts = grams_of(lengths, codes, hashes).distinct(~np.array(held, bool))
+                edges = [*np.searchsorted(keys, edge), len(keys)]
                 for k, (a, z) in enumerate(zip(edges, edges[1:])):
                     if z > a:
-                        body = pa.compress(counts[a:z].astype("<u4").tobytes(), "zstd", asbytes=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([distinct_keys[a:z].tobytes()], pa.binary()), pa.array([body], pa.binary())], ["block", "part", "keys", "counts"])
+                        steps = np.diff(keys[a:z], prepend=_U(0))
+                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([z - a], pa.int32()), pa.array([to_planes(steps)], pa.binary()), pa.array([to_planes(counts[a:z].astype("<u4"))], pa.binary())], ["block", "part", "size", "keys", "counts"])
 
     def add_up(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, "<u8") for x in group.column("keys").to_pylist()]
-        counts = [np.frombuffer(pa.decompress(x, 4 * len(k), "zstd", asbytes=True), "<u4") for x, k in zip(group.column("counts").to_pylist(), keys)]
+        sizes = group.column("size").to_pylist()
+        keys = [np.cumsum(from_planes(x, n, "<u8"), dtype=np.uint64) for x, n in zip(group.column("keys").to_pylist(), sizes)]
+        counts = [from_planes(x, n, "<u4") for x, n in zip(group.column("counts").to_pylist(), sizes)]
         all_, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts), len(all_)).astype("<u4")
-        back = [pa.compress(total[np.searchsorted(all_, k)].tobytes(), "zstd", asbytes=True) for k in keys]
-        return pa.table([group.column("block"), group.column("part"), pa.array([len(k) for k in keys], pa.int32()), pa.array(back, pa.binary()), pa.array([0] * len(keys), pa.int64())], ["block", "part", "size", "body", "new"])
+        total = np.bincount(inverse, np.concatenate(counts), len(all_)).astype("<i8")
+        back = [to_planes(total[x]) for x in np.split(inverse, np.cumsum(sizes)[:-1])]
+        return pa.table([group.column("block"), group.column("part"), group.column("size"), pa.array(back, pa.binary()), pa.array([0] * len(back), pa.int64())], ["block", "part", "size", "body", "new"])
 
-    sent = table.select("block", "held", "lengths", "codes", "hashes").mapInArrow(pairs, "block long, part int, keys binary, counts binary")
-    answers = words.unionByName(sent.groupBy("part").applyInArrow(add_up, answer))
-    whole = tokens + 0.1 * (distinct + 1)
+    answers = words
+    if order > 1:
+        sent = table.select("block", "held", "lengths", "codes", "hashes").mapInArrow(send, "block long, part int, size int, keys binary, counts binary")
+        answers = words.unionByName(sent.groupBy("part").applyInArrow(add_up, ANSWER))
+    whole = tokens + 0.1 * (known + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = sorted(zip(*(right.column(c).to_pylist() for c in ("part", "size", "body"))), key=lambda x: x[0])
         out: list = [[] for _ in range(7)]
-        for ids, held, row_lengths, codes, hashes in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "held", "lengths", "codes", "hashes"))):
-            keys, begin, flat, lengths = keys_of(row_lengths, codes, hashes)
-            count = np.zeros(len(hashes) // 8, np.int64)
-            known = 0
-            arcs = []
+        for ids, held, lengths, codes, hashes in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "held", "lengths", "codes", "hashes"))):
+            grams = grams_of(lengths, codes, hashes)
+            count, found, totals = np.zeros(len(hashes) // 8, np.int64), 0, [np.empty(0, np.int64)]
             for part, size, body in parts:
                 if part < 0:
                     raw = pa.decompress(body, 12 * size, "zstd", asbytes=True)
                     count[np.frombuffer(raw, "<i4", size)] = np.frombuffer(raw, "<i8", size, 4 * size)
-                    known += size
+                    found += size
                 else:
-                    arcs.append(np.frombuffer(pa.decompress(body, 4 * size, "zstd", asbytes=True), "<u4"))
-            distinct_keys, inverse = np.unique(keys, return_inverse=True)
-            arc = np.concatenate(arcs)
-            if known != len(count) or len(arc) != len(distinct_keys):
-                raise ValueError("a block and its counts do not fit together")
-            ends = np.zeros(len(keys), bool)
-            ends[begin[1:] - 1] = True
-            c = np.empty(len(keys), np.int64)
-            c[~ends], c[ends] = count[flat], train
-            state = np.empty(len(keys), np.int64)
-            state[1:] = c[:-1]
-            state[begin[:-1]] = train
-            root = (c + 0.1) / whole
-            seen = arc[inverse]
-            by_arc = np.log10(np.where(seen > 0, (seen + mu * root) / (state + mu), 1.0))
-            by_failure = np.log10(mu / (state + mu)) + np.log10(root)
-            step = np.where(seen > 0, by_arc, by_failure)
+                    totals.append(from_planes(body, size, "<i8"))
+            if found != len(count):
+                raise ValueError("a block and its words do not fit together")
+            single = np.empty(len(grams.ends), np.int64)
+            single[~grams.ends], single[grams.ends] = count[grams.codes], train
+            more = grams.spread(np.concatenate(totals)) if order > 1 else []
+            automaton = Automaton(grams, single, more, train, whole, mu)
+            begin = grams.begin[:-1]
             out[0] += ids
             out[1] += held
-            out[2] += (lengths + 1).tolist()
-            out[3] += np.add.reduceat((c > 0).astype(np.int64), begin[:-1]).tolist()
+            out[2] += (grams.lengths + 1).tolist()
+            out[3] += np.add.reduceat((single > 0).astype(np.int64), begin).tolist()
             out[4] += [tokens] * len(ids)
-            out[5] += np.add.reduceat(np.log10(root), begin[:-1]).tolist()
-            out[6] += np.add.reduceat(step, begin[:-1]).tolist()
+            out[5] += np.add.reduceat(automaton.root, begin).tolist()
+            out[6] += automaton.traverse().tolist()
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -26,6 +26,49 @@ def gathered(batches, column: int, most: int):
         yield pa.Table.from_batches(kept).combine_chunks()
 
 
+def to_planes(values: np.ndarray, kind: str | None = None) -> bytes:
+    """Whole numbers as compressed bytes, first all lowest bytes, then all next ones."""
+    x = np.ascontiguousarray(values, kind or ("<i4" if values.dtype.kind == "i" and values.dtype.itemsize <= 4 else None))
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def from_planes(data: bytes, size: int, kind: str = "<i4") -> np.ndarray:
+    """The ``size`` numbers of a kind that ``to_planes`` made ``data`` of."""
+    wide = np.dtype(kind).itemsize
+    raw = pa.decompress(data, wide * size, "zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, size).T).view(kind).ravel()
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+
+
+def by_block(batches, rows: int = 1 << 20):
+    """(block, columns of its rows as arrays), for the first column of record batches, gathered over about ``rows`` rows."""
+    kept, size = [], 0
+
+    def groups():
+        columns = [np.concatenate(c) for c in zip(*kept)]
+        order = np.argsort(columns[0], kind="stable")
+        columns = [c[order] for c in columns]
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(columns[0]) != 0, [True]]))
+        for a, z in zip(edges, edges[1:]):
+            yield int(columns[0][a]), [c[a:z] for c in columns]
+
+    for b in batches:
+        if b.num_rows:
+            kept.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            size += b.num_rows
+        if size >= rows:
+            yield from groups()
+            kept, size = [], 0
+    if kept:
+        yield from groups()
+
+
 def one(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
