@@ -155,7 +155,7 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 2, b
     ranges = max(1, math.ceil((order - 1) * (tokens + entries) / range_tokens))
 
     # The distinct-word table, and its counts back at the words' places.
-    at = table.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n")).repartition("word")
+    at = table.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n")).where(F.col("word").isNotNull()).repartition("word")
     distinct = at.groupBy("word").agg(F.sum("n").alias("c"), F.min(F.struct("block", "at")).alias("first"))
     summed = at.join(distinct.hint("merge"), "word").select("block", "at", "c", ((F.struct("block", "at") == F.col("first")) & (F.col("c") > 0)).alias("new"))
 
