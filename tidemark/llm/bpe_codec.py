@@ -1,146 +1,148 @@
 """BPE encoding and decoding of whole texts (operator 1).
 
-1. Texts are cut into words where the pre-tokenizer cuts. Consecutive texts form a block, whose texts become positions in
-   the list of its distinct words.
-2. The words of all blocks are dealt out by a hash of the word and make up the distinct-word table, a part of it in each
-   task. Each distinct word is encoded once, and its ids go back to the blocks that hold it.
-3. A join of ids with the pieces of the vocabulary, whose size the tokenizer file fixes, decodes a block's words again, and
-   each text is read off along its positions.
-
-Words travel in packed columns, one row for a block and a part, so a frequent word is one entry a block and no hot key.
-The number of parts is ``spark.sql.shuffle.partitions``. Words and positions are cut in two passes over the input rather
-than written down in between, which halves the disk; a digest in both makes the run fail should the passes differ. Null
-and empty texts have no ids and decode to the empty text; repeated rows each get their row; columns beside doc_id and text
-are ignored. An empty table gives an empty table.
+1. Texts are cut into words where the pre-tokenizer cuts. Consecutive texts form a block; each distinct word of a block is
+   a row (word, block, at), and a text is a list of positions ``at``.
+2. The distinct-word table has each word of all blocks once and encodes it once: (word, ids).
+3. A join on the word brings the ids back to the positions of each block, where they travel packed, many positions a row.
+4. Ids are decoded through a join with the vocabulary table (id, piece), whose size the tokenizer file fixes, and each
+   text is read off along its positions.
+
+A frequent word is one row a block, so no key is hot. Words and positions are cut in two passes over the input rather than
+written down in between, which halves the disk. So that both passes see the same rows, ``docs`` is first written to the
+shared folder, unless the caller says that it is a plain scan of stored files (``stored``).
+
+Null and empty texts have no ids and decode to the empty text; repeated rows each get their row; a very long text is a
+block of its own; columns beside doc_id and text are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
-from tidemark.llm.shared import documents, texts
-from tidemark.llm.words import BpeWords, gathered, one
+from tidemark.llm.shared import documents, texts, written
+from tidemark.llm.words import BpeWords, from_planes, gathered, one, to_planes
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+BLOCK = "block long, doc_ids array<long>, lengths array<int>, words int, codes binary"
+#: Ids of many positions of a block: positions, how many ids each has, all ids in a row.
+PACK = "block long, size int, at binary, n binary, n_ids int, ids binary"
 
 
-def packed(table: pa.Table) -> bytes:
-    """A table as compressed bytes."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
+def packed(block: int, at: np.ndarray, n: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+    return [pa.array([block], pa.int64()), pa.array([len(at)], pa.int32()), pa.array([to_planes(at, "<i4")], pa.binary()), pa.array([to_planes(n, "<i4")], pa.binary()), pa.array([len(ids)], pa.int32()), pa.array([to_planes(ids, "<i4")], pa.binary())]
 
 
-def unpacked(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all().combine_chunks()
-
-
-class Codec:
-    """Encodes words and decodes their ids again."""
+class Vocabulary:
+    """The table (id, piece) of a tokenizer file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
-        self.ids = bpe.loaded(path).word
         byte = bpe.byte_of_char()
         pieces = {i: bytes(byte[c] for c in p) if all(c in byte for c in p) else p.encode() for p, i in j["model"]["vocab"].items()}
         pieces |= {a["id"]: a["content"].encode() for a in j["added_tokens"]}
-        self.vocabulary = pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.binary())
-        self.kind = pa.uint16() if len(self.vocabulary) <= 1 << 16 else pa.uint32()
-
-    def encode(self, words: pa.Array) -> pa.ListArray:
-        """The ids of each word."""
-        ids = [self.ids(w) for w in words.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)))])
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(offsets[-1]))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat).cast(self.kind))
-
-    def decode(self, ids: pa.ListArray) -> tuple[np.ndarray, pa.Array, pa.Array]:
-        """(number of ids, ids in decimals, bytes of the joined pieces) of each word, through a join of id to piece."""
-        offsets, flat = ids.offsets, ids.values
-        decimals = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.cast(flat, pa.string())), ",")
-        pieces = pc.binary_join(pa.ListArray.from_arrays(offsets, self.vocabulary.take(flat)), b"")
-        return np.diff(offsets.to_numpy()), decimals, pieces
-
+        self.ids = np.array(sorted(pieces), np.int64)
+        self.pieces = pa.array([pieces[i] for i in self.ids.tolist()], pa.binary())
 
-_CODECS: dict[str, Codec] = {}
+    def joined(self, ids: np.ndarray) -> pa.Array:
+        """The piece of each id."""
+        at = np.searchsorted(self.ids, ids)
+        if len(ids) and (at.max() == len(self.ids) or (self.ids[at] != ids).any()):
+            raise ValueError("an id is not in the vocabulary")
+        return self.pieces.take(pa.array(at))
 
 
-def codec(path: str) -> Codec:
-    """One codec for each file and Python process."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+_VOCABULARIES: dict[str, Vocabulary] = {}
 
 
-class Block:
-    """Consecutive rows: positions of each text in the list of the block's words, which are in order of their part."""
+def vocabulary(path: str) -> Vocabulary:
+    """One vocabulary for each file and Python process."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
 
-    def __init__(self, table: pa.Table, words_of: BpeWords, parts: int, name: int):
-        self.name, self.doc_ids = name, one(table.column(0)).to_pylist()
-        codes, self.lengths, words = words_of(one(table.column(1)))
-        part = np.fromiter((zlib.crc32(w.as_buffer()) for w in words), np.int64, len(words)) % parts
-        order = np.argsort(part, kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        self.codes, self.words = place[codes].astype("<i4"), words.take(pa.array(order))
-        self.edges = np.searchsorted(part[order], np.arange(parts + 1))
-        self.digest = int.from_bytes(hashlib.blake2b(self.codes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-
-def encode_decode(docs: DataFrame, path: str | None = None, block_bytes: int = 40 << 20) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | None = None, block_bytes: int = 40 << 20, stored: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs`` (doc_id, text)."""
-    spark, path = docs.sparkSession, path or bpe.default_path()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = path or bpe.default_path()
+    rows = texts(docs) if stored else written(texts(docs), "texts")
 
     def blocks(batches):
+        """(name, doc_ids, positions, words of each text, distinct words)"""
         from pyspark import TaskContext
 
         words_of = BpeWords(bpe.loaded(path).split)
         for nth, table in enumerate(gathered(batches, 1, block_bytes)):
-            yield Block(table, words_of, parts, TaskContext.get().partitionId() << 24 | nth)
+            yield (TaskContext.get().partitionId() << 24 | nth, one(table.column(0)).to_pylist(), *words_of(one(table.column(1))))
 
     def words_out(batches):
-        for b in blocks(batches):
-            some = [p for p in range(parts) if b.edges[p + 1] > b.edges[p]]
-            packs = [packed(pa.table({"word": b.words.slice(b.edges[p], b.edges[p + 1] - b.edges[p])})) for p in some]
-            yield pa.RecordBatch.from_arrays([pa.array([b.name] * len(some), pa.int64()), pa.array([b.digest] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(packs, pa.binary())], ["block", "digest", "part", "pack"])
+        for name, _, _, _, words in blocks(batches):
+            for a in range(0, len(words), 1 << 16):
+                part = words.slice(a, 1 << 16)
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), name)), pa.array(np.arange(a, a + len(part), dtype=np.int32))], ["word", "block", "at"])
 
     def codes_out(batches):
-        for b in blocks(batches):
-            body = pa.compress(b.codes.tobytes(), "zstd", asbytes=True)
-            yield pa.RecordBatch.from_arrays([pa.array([b.name], pa.int64()), pa.array([b.digest], pa.int64()), pa.array([b.doc_ids], pa.list_(pa.int64())), pa.array([b.lengths], pa.list_(pa.int32())), pa.array([body], pa.binary())], ["block", "digest", "doc_ids", "lengths", "codes"])
-
-    kind = "block long, digest long, part int, pack binary"
-
-    def encode(group: pa.Table) -> pa.Table:
-        mine = [one(unpacked(x).column("word")) for x in group.column("pack").to_pylist()]
-        distinct = pc.dictionary_encode(pa.concat_arrays(mine))
-        ids = codec(path).encode(distinct.dictionary)
-        begin = np.concatenate([[0], np.cumsum([len(w) for w in mine])])
-        out = [packed(pa.table({"ids": ids.take(distinct.indices.slice(a, z - a))})) for a, z in zip(begin, begin[1:])]
-        return pa.table({"block": group.column("block"), "digest": group.column("digest"), "part": group.column("part"), "pack": pa.array(out, pa.binary())})
-
-    answers = texts(docs).mapInArrow(words_out, kind).groupBy("part").applyInArrow(encode, kind)
+        for name, doc_ids, codes, lengths, words in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()), pa.array([to_planes(codes, "<i4")], pa.binary())], [f.split()[0] for f in BLOCK.split(", ")])
+
+    def encode(batches):
+        ids_of = bpe.loaded(path).word
+        for b in batches:
+            ids = [ids_of(w) for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+    at = rows.mapInArrow(words_out, "word string, block long, at int").where(F.col("word").isNotNull()).repartition("word")
+    # One row a word. It asks for all columns and the filter of the join, so that both sides of the join read one exchange.
+    once = at.groupBy("word").agg(F.max("at").alias("at"), F.max("block").alias("block"))
+    distinct = once.mapInArrow(encode, "word string, ids array<int>")
+    back = at.join(distinct.hint("merge"), "word").select("block", "at", "ids")
+
+    def pack(batches):
+        kept, size = [], 0
+
+        def out():
+            t = pa.Table.from_batches(kept).combine_chunks().sort_by([("block", "ascending"), ("at", "ascending")])
+            block = t.column("block").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+            for a, z in zip(edges, edges[1:]):
+                mine = t.slice(a, z - a)
+                ids = one(mine.column("ids"))
+                yield pa.RecordBatch.from_arrays(packed(int(block[a]), mine.column("at").to_numpy(), pc.list_value_length(ids).to_numpy(), ids.flatten().to_numpy()), [f.split()[0] for f in PACK.split(", ")])
+
+        for b in batches:
+            kept.append(b)
+            size += b.num_rows
+            if size >= 1 << 20:
+                yield from out()
+                kept, size = [], 0
+        if size:
+            yield from out()
+
+    answers = back.mapInArrow(pack, PACK)
 
     def read_off(left: pa.Table, right: pa.Table) -> pa.Table:
-        if set(left.column("digest").to_pylist()) != set(right.column("digest").to_pylist()):
-            raise ValueError("the input gave other rows when it was read again")
-        found = [one(unpacked(x).column("ids")) for _, x in sorted(zip(right.column("part").to_pylist(), right.column("pack").to_pylist()))]
-        count, ids, pieces = codec(path).decode(pa.concat_arrays(found))
+        packs = [(from_planes(a, s), from_planes(n, s), from_planes(i, k)) for s, a, n, k, i in zip(*(right.column(c).to_pylist() for c in ("size", "at", "n", "n_ids", "ids")))]
+        at, n, flat = (np.concatenate([p[k] for p in packs] or [np.empty(0, np.int32)]) for k in range(3))
+        order = np.argsort(at)
+        if not np.array_equal(at[order], np.arange(sum(left.column("words").to_pylist()))):
+            raise ValueError("a block and its words do not fit together")
+        begin, count = (np.cumsum(n) - n)[order], n[order]
+        flat = flat[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(flat))]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+        # Of each word: its ids in decimals, and its text, by the pieces of its ids.
+        ids = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.cast(pa.array(flat), pa.string())), ",")
+        pieces = pc.binary_join(pa.ListArray.from_arrays(offsets, vocabulary(path).joined(flat)), b"")
         out: list = [[], [], [], []]
         for doc_ids, lengths, body in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "lengths", "codes"))):
-            codes = np.frombuffer(pa.decompress(body, 4 * sum(lengths), "zstd", asbytes=True), "<i4")
+            codes = from_planes(body, sum(lengths))
             begin = np.concatenate([[0], np.cumsum(lengths)])
             # The empty word has no ids: a text begins with it where a space or line feed comes first.
             some = count[codes] > 0
@@ -150,18 +152,18 @@ def encode_decode(docs: DataFrame, path: str | None = None, block_bytes: int = 4
             for a in range(0, len(doc_ids), step):
                 z = min(a + step, len(doc_ids))
                 mine = pa.array(codes[begin[a] : begin[z]][some[begin[a] : begin[z]]])
-                offsets = pa.array((seen[begin[a : z + 1]] - seen[begin[a]]).astype(np.int32))
-                decimals = pc.binary_join(pa.ListArray.from_arrays(offsets, ids.take(mine)), ",")
-                raw = pc.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(mine)), b"")
+                of_text = pa.array((seen[begin[a : z + 1]] - seen[begin[a]]).astype(np.int32))
+                decimals = pc.binary_join(pa.ListArray.from_arrays(of_text, ids.take(mine)), ",")
+                raw = pc.binary_join(pa.ListArray.from_arrays(of_text, pieces.take(mine)), b"")
                 out[2] += [hashlib.sha256(x.as_buffer()).hexdigest() for x in decimals]
                 out[3] += [hashlib.sha256(x.as_py().decode("utf-8", "replace").encode()).hexdigest() for x in raw]
             out[0] += doc_ids
             out[1] += (sums[begin[1:]] - sums[begin[:-1]]).tolist()
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    coded = texts(docs).mapInArrow(codes_out, "block long, digest long, doc_ids array<long>, lengths array<int>, codes binary")
+    coded = rows.mapInArrow(codes_out, BLOCK)
     return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read_off, SCHEMA)
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(documents(spark, sf_dir))
+    return encode_decode(documents(spark, sf_dir), stored=True)
