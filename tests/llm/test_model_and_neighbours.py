@@ -110,6 +110,41 @@ def test_near_dedup_hot_groups_and_chains(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == plain_classes(rows)
 
 
+def test_links_with_and_without_the_test_on_registers(spark, sf_dir):
+    """Texts around the threshold, small blocks of a bucket: classes equal all pairs' either way."""
+    pick = np.random.default_rng(11)
+    word = lambda: "w%d" % pick.integers(0, 10**9)
+    rows, base = [], [[word() for _ in range(120)] for _ in range(3)]
+    for k in range(240):
+        x = list(base[k % 3])
+        for j in pick.integers(0, 120, pick.integers(0, 6)):
+            x[j] = word()
+        rows.append((k, " ".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_classes(rows)
+    for errors in (None, 7.0):
+        assert {r.doc_id: r.class_id for r in near_dedup.classes(df, errors=errors, block=16).collect()} == want
+
+
+def test_chance_of_losing_a_link_to_the_test_on_registers():
+    """The binomial tail at the threshold itself, summed up."""
+    size, p = 240, 0.2 * 7 / 8
+    most = near_dedup.most_differing(0.8, size, 7.0)
+    tail = sum(math.comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(most + 1, size + 1))
+    assert tail < 3e-10
+
+
+def test_a_hot_group_of_texts_below_the_threshold(spark):
+    """2,000 texts of one bucket or another, of which few are links: none is lost, none made."""
+    pick = np.random.default_rng(12)
+    base = ["b%d" % k for k in range(90)]
+    rows = [(k, " ".join(base[:60] + ["w%d" % pick.integers(0, 10**9) for _ in range(30)])) for k in range(1980)]
+    rows += [(5000 + k, rows[k * 90][1] + " tail") for k in range(20)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    want = {k: k for k, _ in rows} | {5000 + k: k * 90 for k in range(20)}
+    assert got == want
+
+
 def test_near_dedup_odd_rows(spark, odd):
     got = near_dedup.classes(odd).collect()
     assert len(got) == odd.count()
@@ -166,6 +201,29 @@ def test_nearest_ties_and_unusable_rows(spark):
     assert nearest.neighbours(df.limit(0), df.vec_id % 100 == 0).count() == 0
 
 
+def test_nearest_of_ids_with_several_vectors(spark):
+    """An id with several vectors asks with the first in order and is as far as its nearest."""
+    pick = np.random.default_rng(6)
+    rows = [(k, pick.normal(size=8).tolist()) for k in range(600)]
+    rows += [(k, pick.normal(size=8).tolist()) for k in [0, 100, 200, *range(300, 420)] for _ in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest.neighbours(df, df.vec_id % 100 == 0, shard_rows=150).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    assert sorted(got) == [0, 100, 200, 300, 400, 500]
+    hit = 0
+    for q, found in got.items():
+        asked, away = min(x for i, x in rows if i == q), {}
+        for i, x in rows:
+            d = math.sqrt(sum((a - b) ** 2 for a, b in zip(asked, x)))
+            away[i] = min(d, away.get(i, d))
+        want = sorted((d, i) for i, d in away.items() if i != q)[:10]
+        assert len({i for _, i in found}) == 10 and found == sorted(found)
+        assert all(abs(away[i] - d) < 1e-12 for d, i in found)
+        hit += len({i for _, i in found} & {i for _, i in want})
+    assert hit >= 54
+
+
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_graphs_of_few_vectors(n):
     g = nearest.build(np.eye(n + 1)[:n])

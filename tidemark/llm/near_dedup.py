@@ -15,8 +15,9 @@ multisets is at least 0.8; classes are what links connect.
 4. Two tests inside the join leave candidate pairs out before texts are fetched. Features fall into 1024 cells, of which a
    bit each tells whether it is taken; a cell that only one text has taken is a feature the other lacks, so the cells
    bound the similarity from above, and no linked pair is lost. Of each register three bits are kept, and pairs that
-   differ in over five standard errors more registers than texts of similarity 0.8 would go too. All others are verified on
-   whole texts by exact overlap of their multisets.
+   differ in over seven standard errors more registers than texts of similarity 0.8 would go too, which a linked pair does
+   with probability 3e-10, next to 6e-6 for the bands (``errors=None`` goes without this test). All others are verified
+   on whole texts by exact overlap of their multisets.
 
 At similarity 0.8 the default 40 bands of 6 miss a pair with probability 6e-6. Null texts and texts without a word are
 classes of their own; so are rows without a doc_id, whose class is null. Repeated rows get their row each; rows of one
@@ -189,11 +190,18 @@ def profiles(docs: DataFrame, run: int, bands: int, rows: int) -> DataFrame:
     return texts(docs).mapInArrow(work, f"doc_id long, d1 long, d2 long, sketch {SKETCH}, buckets array<long>")
 
 
+def most_differing(least: float, size: int, errors: float) -> int:
+    """In how many of ``size`` registers, of three bits each, two texts of similarity ``least`` differ at most, but for
+    what lies over ``errors`` standard errors."""
+    p = (1 - least) * 7 / 8
+    return min(size, int(size * p + errors * (size * p * (1 - p)) ** 0.5))
+
+
 class Links:
     """Verifies candidate pairs of representatives."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, run: int, least: float, size: int):
-        self.docs, self.run, self.least, self.size = texts(docs), run, least, size
+    def __init__(self, docs: DataFrame, reps: DataFrame, run: int, least: float, size: int, errors: float | None):
+        self.docs, self.run, self.least, self.size, self.errors = texts(docs), run, least, size, errors
         self.sketch = reps.select("rep", "sketch")
 
     def sketched(self, rows: DataFrame, v: str, name: str) -> DataFrame:
@@ -202,14 +210,14 @@ class Links:
 
     def likely(self) -> Column:
         """Whether sketches ``x`` and ``y`` leave it open that a pair is linked."""
-        p = (1 - self.least) * 7 / 8
-        most = int(self.size * p + 5 * (self.size * p * (1 - p)) ** 0.5)
         x, y = F.col("x"), F.col("y")
         either = reduce(Column.__add__, [F.bit_count(F.get(x["cells"], k).bitwiseOR(F.get(y["cells"], k))) for k in range(CELLS // 64)])
         common = F.least(x["weight"] - either + y["taken"], y["weight"] - either + x["taken"])
         # least * (weight of both - common) <= common, at the most that common can be; the last term is for rounding.
         open_ = common * (1 + self.least) >= self.least * (x["weight"] + y["weight"]) - 1e-6
-        return open_ & (differing(x["planes"], y["planes"], self.size) <= most)
+        if self.errors is None:
+            return open_
+        return open_ & (differing(x["planes"], y["planes"], self.size) <= most_differing(self.least, self.size, self.errors))
 
     def verify(self, close: DataFrame) -> DataFrame:
         """(a, b) of those pairs of ``close`` (a, b) that are linked."""
@@ -238,15 +246,16 @@ class Links:
         return written(close.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "t", "u").mapInArrow(exact, "a long, b long"), "found")
 
 
-def classes(docs: DataFrame, run: int = 5, least: float = 0.8, bands: int = 40, rows: int = 6) -> DataFrame:
-    """(doc_id, class_id) of every row of ``docs`` (doc_id, text): the smallest doc_id of the row's class."""
+def classes(docs: DataFrame, run: int = 5, least: float = 0.8, bands: int = 40, rows: int = 6, errors: float | None = 7.0, block: int = 256) -> DataFrame:
+    """(doc_id, class_id) of every row of ``docs`` (doc_id, text): the smallest doc_id of the row's class. ``errors``: the
+    standard errors of the test on registers, None to go without it; ``block``: members of a bucket in a task's block."""
     profile = written(profiles(docs, run, bands, rows), "profiles")
     known = profile.where(F.col("doc_id").isNotNull() & F.col("d1").isNotNull())
     reps = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets")), "reps")
     members = reps.select(F.col("rep").alias("v"), F.explode("buckets").alias("bucket")).repartition("bucket")
     heads = members.groupBy("bucket").agg(F.min("v").alias("head"), F.max("v").alias("tail")).where("head < tail").select("bucket", "head")
     shared = written(members.join(heads.hint("merge"), "bucket"), "buckets")
-    links = Links(docs, reps, run, least, bands * rows)
+    links = Links(docs, reps, run, least, bands * rows, errors)
 
     # Each member with the smallest of its buckets.
     star = shared.where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct()
@@ -254,12 +263,16 @@ def classes(docs: DataFrame, run: int = 5, least: float = 0.8, bands: int = 40,
     found = links.verify(written(both.where(links.likely()).select("a", "b"), "close"))
     label = components(found)
 
-    # Members of different components of a bucket with each other; the smallest has been compared with all.
-    named = shared.join(label.hint("merge"), "v", "left").withColumn("c", F.coalesce("c", "v"))
-    mixed_up = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    rest = written(links.sketched(named.where("v <> head").join(mixed_up.hint("merge"), "bucket", "left_semi").select("bucket", "v", "c"), "v", "x"), "rest")
-    other = rest.select("bucket", F.col("v").alias("b"), F.col("c").alias("d"), F.col("x").alias("y"))
-    pairs = rest.withColumnRenamed("v", "a").join(other.hint("merge"), (rest["bucket"] == other["bucket"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & links.likely())
+    # Members of different components of a bucket with each other; the smallest has been compared with all. A bucket's
+    # members are dealt into blocks, and each two blocks of a bucket are a key of their own, so no task gets a whole bucket.
+    named = shared.join(label.hint("merge"), "v", "left").withColumn("c", F.coalesce("c", "v")).where("v <> head")
+    mixed_up = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("low < high").select("bucket", "blocks")
+    rest = written(links.sketched(named.join(mixed_up.hint("merge"), "bucket").select("bucket", "v", "c", "blocks"), "v", "x"), "rest")
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    one = rest.select("bucket", F.col("v").alias("a"), "c", "x", F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("j"))
+    other = rest.select("bucket", F.col("v").alias("b"), F.col("c").alias("d"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), "mine")).alias("i"), F.col("mine").alias("j"))
+    open_pairs = one.join(other.hint("merge"), ["bucket", "i", "j"]).where((F.col("c") != F.col("d")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & links.likely())
+    pairs = open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = found.union(links.verify(written(pairs.select("a", "b").distinct(), "close")))
     label = components(found)
     named = reps.select("d1", "d2", "rep").join(label.withColumnRenamed("v", "rep").hint("merge"), "rep", "left").select("d1", "d2", F.coalesce("c", "rep").alias("class"))

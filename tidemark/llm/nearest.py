@@ -5,12 +5,14 @@ far propose a vector's neighbours, and pruning with a relaxed distance keeps tho
 few long edges stay beside the short ones. Beam search answers the queries on each shard; its candidates are then
 measured exactly in double precision, and each query keeps the nearest over all shards.
 
-Graphs are rows of a table in the shared folder. Queries meet shards in blocks: a task holds one shard and one block.
+Graphs are rows of a table in the shared folder. Queries meet shards in blocks: a task holds one shard and one block. Every
+query goes to every shard: routing queries by centroids would lose neighbours (README).
 A graph's nodes are distinct vectors with all their ids, so a vector that many rows share costs one node a shard.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part, as queries or candidates; vectors of
-another dimension than the query's are no candidates. Rows of one vec_id and one vector count once. Ties go to the
-smaller vec_id. Columns beside vec_id and embedding are ignored. An empty table gives an empty table.
+another dimension than the query's are no candidates. Rows of one vec_id and one vector count once; of a vec_id with
+several vectors each is indexed, the id is as far as its nearest one, and a query asks with the first in the order of
+components. Ties go to the smaller vec_id. Columns beside vec_id and embedding are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -179,7 +181,7 @@ def index(rows: DataFrame, shards: int, degree: int = 32, width: int = 64) -> Da
 
 def search(graphs: DataFrame, queries: DataFrame, shards: int, k: int = 10, width: int = 96, block: int = 1 << 15) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for each row of ``queries`` (vec_id, vector, dim)."""
-    queries = queries.dropDuplicates(["vec_id"])
+    queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     blocks = max(1, math.ceil(queries.count() / block))
 
     def nearest(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -197,13 +199,17 @@ def search(graphs: DataFrame, queries: DataFrame, shards: int, k: int = 10, widt
                 for name, q, nodes in zip(names[at : at + 256].tolist(), want[at : at + 256], found):
                     nodes = nodes[nodes >= 0]
                     exact = np.sqrt(((vectors[nodes] - q) ** 2).sum(1))
-                    best: list = []
+                    best: dict = {}  # the distance of each id, that of its nearest vector
+                    far = 0.0
                     for j in np.argsort(exact, kind="stable").tolist():
-                        if len(best) >= k and exact[j] > best[-1][0]:
+                        if len(best) >= k and exact[j] > far:
                             break
-                        # Of equal vectors the k smallest ids, and one more as the query itself may be among them.
-                        best += [(exact[j], i) for i in ids[nodes[j]][: k + 1] if i != name]
-                    for d, i in sorted(best)[:k]:
+                        # Of equal vectors the smallest ids: k, one more as the query itself may be among them, and as
+                        # many as stand already.
+                        for i in ids[nodes[j]][: k + 1 + len(best)]:
+                            if i != name and i not in best:
+                                best[i] = far = exact[j]
+                    for d, i in sorted((d, i) for i, d in best.items())[:k]:
                         out[0].append(name)
                         out[1].append(i)
                         out[2].append(d)
