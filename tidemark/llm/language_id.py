@@ -8,7 +8,7 @@ Profiles learn from labelled rows outside the held-out fold; of a language with
 of about ``sample`` rows is taken by a hash of doc_id, which bounds the work of learning, and whole texts count. Only the
 profiles, ``top`` rows a language, and the languages' counts reach the driver. Prediction reads whole texts and shuffles nothing.
 
-``und`` with score 0: null texts, texts without a letter, and all rows if nothing could be learned. Repeated rows each
+Very long texts are read whole, in time n log n of their length. ``und`` with score 0: null and empty texts, texts without a letter, and all rows if nothing could be learned. Repeated rows each
 get their row. Columns beside doc_id, text and lang are ignored.
 """
 

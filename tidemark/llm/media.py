@@ -5,7 +5,9 @@ goes the way back: chunks with their checksums, zlib, numpy unfiltering. Feature
 image is averaged down to 32 x 32, and the signs of its low-frequency cosine-transform terms against their median make a
 64-bit hash. All of it is per row; nothing is shuffled.
 
-Null and empty texts are a payload of 64 zero bytes. Equal texts give equal values. A damaged file raises ValueError.
+Null and empty texts are a payload of 64 zero bytes. Equal texts give equal values, repeated rows a row each. Very long
+texts are stored whole, in as many rows of samples as they need. Terms that tie with the median count as not over it.
+Columns beside doc_id and text are ignored; an empty table gives an empty table. A damaged file raises ValueError.
 """
 
 from __future__ import annotations

@@ -2,14 +2,15 @@
 
 Texts become ids with an end id 0; a longer one is cut into pieces of ``size``, of which the first may be shorter. Whole
 pieces are sequences of their own. The others are dealt out to partitions of bounded size, each packed by best-fit
-decreasing. A lower bound from dual feasible functions, over the lengths of all pieces, certifies the number of bins. While
-the total exceeds it, bins with more than ``slack`` left are opened again: partitions exchange their pieces, of which
-fewer partitions are formed, and rerun best-fit decreasing, until one partition is left or a rerun of the same pieces
-gains no bin, where the packing before stays. Partitions that meet their own bounds exchange too, as these add up to more
-than the bound of all. A gap that is left is logged.
+decreasing, and lower bounds from dual feasible functions certify the bins of each partition. A partition that meets its
+bound is closed but for its emptiest bin, as each partition's bound rounds up; one with a gap opens all its bins that have
+room. What is open is exchanged: it is dealt out to fewer partitions, which rerun best-fit decreasing, until the total
+meets the bound over the lengths of all pieces, one partition is left, or a rerun of the same pieces gains no bin, where
+the packing before stays. A gap that is left is logged; the bound is a column of the result.
 
 A null or empty text is one piece of the end id alone. Repeated rows are packed each. Columns beside doc_id and text are
-ignored. An empty table gives an empty table.
+ignored. A very long text is cut, whole, into as many pieces as it needs; of equal lengths the order in the partition
+decides. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -107,13 +108,14 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def packed_once(items: DataFrame, parts: int, size: int, slack: int) -> DataFrame:
-    """``items`` in ``parts`` partitions, each packed by itself; ``open``: the bin has more than ``slack`` left, or it is
-    the emptiest."""
+    """``items`` in ``parts`` partitions, each packed by itself. ``open``: the bin takes part in the exchange. Of a
+    partition whose bins meet its own bound that is the emptiest bin alone, as bounds of partitions round up; of one with
+    a gap it is each bin with more than ``slack`` left."""
 
     def pack(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
         where, offset, room = best_fit(lengths, size)
-        opened = room > slack
+        opened = np.full(len(room), False) if len(room) == bound(lengths, size) else room > slack
         opened[room.argmax()] |= room.max() > 0
         more = [pa.array(where), pa.array(offset), pa.array(opened[where])]
         for name, column in zip(("bin", "offset", "open"), more):
@@ -124,12 +126,15 @@ def packed_once(items: DataFrame, parts: int, size: int, slack: int) -> DataFram
     return dealt.groupBy("part").applyInArrow(pack, PLACED + ", part long")
 
 
-def pack(docs: DataFrame, size: int = 2048, path: str | None = None, part_items: int = 50_000, slack: int = 32) -> DataFrame:
-    """Each piece of each row of ``docs`` with its sequence and its place there; see the module's text."""
+def pack(docs: DataFrame, size: int = 2048, path: str | None = None, part_items: int = 50_000, slack: int = 0) -> DataFrame:
+    """Each piece of each row of ``docs`` with its sequence and its place there, and ``least_sequences``, the certified
+    bound of all: no packing has fewer; see the module's text."""
     items = written(pieces_of(docs, size, path), "pieces")
     whole = items.where(F.col("length") == size).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 60)).withColumn("offset", F.lit(0).cast("long"))
     rest, done = items.where(F.col("length") < size), [whole]
-    tally = rest.groupBy("length").count().toPandas()  # under ``size`` rows
+    tally = items.groupBy("length").count().toPandas()  # at most ``size`` rows
+    full = tally["length"] == size
+    wholes, tally = int(tally["count"][full].sum()), tally[~full]
     certified = bound(tally["length"].to_numpy(), size, tally["count"].to_numpy())
     count, closed, opened, last = int(tally["count"].sum()), 0, None, None
     for k in itertools.count():
@@ -152,7 +157,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, part_items:
         rest = placed.where(F.col("open")).select(*[f.split()[0] for f in PIECE.split(", ")])
         closed, opened = closed + bins - again, again
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return reduce(DataFrame.unionByName, [d.select(*columns) for d in done])
+    return reduce(DataFrame.unionByName, [d.select(*columns) for d in done]).withColumn("least_sequences", F.lit(certified + wholes).cast("long"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
