@@ -2,8 +2,11 @@
 
 1. Texts are cut into words where the pre-tokenizer cuts. Consecutive texts form a block; each distinct word of a block is
    a row (word, block, at), and a text is a list of positions ``at``.
-2. The distinct-word table has each word of all blocks once and encodes it once: (word, ids).
-3. A join on the word brings the ids back to the positions of each block, where they travel packed, many positions a row.
+2. These rows are partitioned and sorted by word, so that all positions of a word stand together in one partition. Where
+   a word begins, its row of the distinct-word table is made: each distinct word is encoded once.
+3. The table's rows are merged with the positions in the same pass, as both are in order of the word. Ids go back to their
+   blocks by position, packed, many positions a row. (A table of its own and a sort-merge join give the same at 1.75
+   times the input on disk, over the check tool's 1.5.)
 4. Ids are decoded through a join with the vocabulary table (id, piece), whose size the tokenizer file fixes, and each
    text is read off along its positions.
 
@@ -24,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
 from tidemark.llm.shared import documents, texts, written
@@ -81,31 +83,27 @@ def encode_decode(docs: DataFrame, path: str | None = None, block_bytes: int = 4
 
         words_of = BpeWords(bpe.loaded(path).split)
         for nth, table in enumerate(gathered(batches, 1, block_bytes)):
-            yield (TaskContext.get().partitionId() << 24 | nth, one(table.column(0)).to_pylist(), *words_of(one(table.column(1))))
+            codes, lengths, words = words_of(one(table.column(1)))
+            # The most frequent words come first, so that positions are small numbers.
+            order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            yield TaskContext.get().partitionId() << 24 | nth, one(table.column(0)).to_pylist(), place[codes], lengths, words.take(pa.array(order))
 
     def words_out(batches):
         for name, _, _, _, words in blocks(batches):
+            order = pc.cast(pc.sort_indices(words), pa.int32())  # neighbours share their beginnings, which packs well
             for a in range(0, len(words), 1 << 16):
-                part = words.slice(a, 1 << 16)
-                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), name)), pa.array(np.arange(a, a + len(part), dtype=np.int32))], ["word", "block", "at"])
+                part = order.slice(a, 1 << 16)
+                yield pa.RecordBatch.from_arrays([words.take(part), pa.array(np.full(len(part), name)), part], ["word", "block", "at"])
 
     def codes_out(batches):
         for name, doc_ids, codes, lengths, words in blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()), pa.array([to_planes(codes, "<i4")], pa.binary())], [f.split()[0] for f in BLOCK.split(", ")])
 
     def encode(batches):
-        ids_of = bpe.loaded(path).word
-        for b in batches:
-            ids = [ids_of(w) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    at = rows.mapInArrow(words_out, "word string, block long, at int").where(F.col("word").isNotNull()).repartition("word")
-    # One row a word. It asks for all columns and the filter of the join, so that both sides of the join read one exchange.
-    once = at.groupBy("word").agg(F.max("at").alias("at"), F.max("block").alias("block"))
-    distinct = once.mapInArrow(encode, "word string, ids array<int>")
-    back = at.join(distinct.hint("merge"), "word").select("block", "at", "ids")
-
-    def pack(batches):
+        """Packed ids of the positions in ``batches``, which are in order of their words."""
+        ids_of, last = bpe.loaded(path).word, (None, [])
         kept, size = [], 0
 
         def out():
@@ -118,7 +116,15 @@ def encode_decode(docs: DataFrame, path: str | None = None, block_bytes: int = 4
                 yield pa.RecordBatch.from_arrays(packed(int(block[a]), mine.column("at").to_numpy(), pc.list_value_length(ids).to_numpy(), ids.flatten().to_numpy()), [f.split()[0] for f in PACK.split(", ")])
 
         for b in batches:
-            kept.append(b)
+            runs = pc.run_end_encode(b.column(0))
+            words, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            if not words:
+                continue
+            # A row of the distinct-word table for each run; a run may go on from the batch before.
+            table = pa.array([last[1] if w == last[0] else ids_of(w) for w in words], pa.list_(pa.int32()))
+            last = words[-1], table[len(words) - 1].as_py()
+            ids = table.take(pa.array(np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))))
+            kept.append(pa.RecordBatch.from_arrays([b.column(1), b.column(2), ids], ["block", "at", "ids"]))
             size += b.num_rows
             if size >= 1 << 20:
                 yield from out()
@@ -126,7 +132,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, block_bytes: int = 4
         if size:
             yield from out()
 
-    answers = back.mapInArrow(pack, PACK)
+    at = rows.mapInArrow(words_out, "word string, block long, at int")
+    answers = at.repartition("word").sortWithinPartitions("word").mapInArrow(encode, PACK)
 
     def read_off(left: pa.Table, right: pa.Table) -> pa.Table:
         packs = [(from_planes(a, s), from_planes(n, s), from_planes(i, k)) for s, a, n, k, i in zip(*(right.column(c).to_pylist() for c in ("size", "at", "n", "n_ids", "ids")))]
