@@ -129,7 +129,7 @@ class Automaton:
         return out
 
 
-def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 2, block_bytes: int = 40 << 20, range_tokens: int = 4_000_000) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 3, block_bytes: int = 40 << 20, range_tokens: int = 4_000_000) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text), columns as in ``SCHEMA``; ``order``: the n of the longest n-grams,
     1 at least."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(folds).alias("held"), F.col("text"))
@@ -154,10 +154,12 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 2, b
     train, tokens, entries = table.agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.size("counts").cast("long")), F.lit(0))).first()
     ranges = max(1, math.ceil((order - 1) * (tokens + entries) / range_tokens))
 
-    # The distinct-word table, and its counts back at the words' places.
+    # The distinct-word table, and its counts back at the words' places. A block has a word once, so the first of a word's
+    # blocks tells one of its rows. Both sides ask for all columns, so that one exchange serves the two.
     at = table.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n")).where(F.col("word").isNotNull()).repartition("word")
-    distinct = at.groupBy("word").agg(F.sum("n").alias("c"), F.min(F.struct("block", "at")).alias("first"))
-    summed = at.join(distinct.hint("merge"), "word").select("block", "at", "c", ((F.struct("block", "at") == F.col("first")) & (F.col("c") > 0)).alias("new"))
+    distinct = at.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("first"), F.max("at").alias("last"))
+    new = (F.col("block") == F.col("first")) & (F.col("c") > 0)
+    summed = at.join(distinct.hint("merge"), "word").select("block", "at", "c", new.alias("new"), "n", "last")
 
     def pack(batches):
         for block, mine in by_block(batches):
