@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe
 from tidemark.llm.shared import documents, texts, written
-from tidemark.llm.words import BpeWords, from_planes, gathered, one, to_planes
+from tidemark.llm.words import BpeWords, by_frequency, from_planes, gathered, one, to_planes
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 BLOCK = "block long, doc_ids array<long>, lengths array<int>, words int, codes binary"
@@ -84,11 +84,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, block_bytes: int = 4
         words_of = BpeWords(bpe.loaded(path).split)
         for nth, table in enumerate(gathered(batches, 1, block_bytes)):
             codes, lengths, words = words_of(one(table.column(1)))
-            # The most frequent words come first, so that positions are small numbers.
-            order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
-            yield TaskContext.get().partitionId() << 24 | nth, one(table.column(0)).to_pylist(), place[codes], lengths, words.take(pa.array(order))
+            codes, words = by_frequency(codes, words)
+            yield TaskContext.get().partitionId() << 24 | nth, one(table.column(0)).to_pylist(), codes, lengths, words
 
     def words_out(batches):
         for name, _, _, _, words in blocks(batches):

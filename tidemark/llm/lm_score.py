@@ -26,14 +26,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import documents, written
-from tidemark.llm.words import by_block, from_planes, gathered, hashes_of, one, to_planes, white_space_words
+from tidemark.llm.words import by_block, by_frequency, from_packed, from_planes, gathered, hashes_of, one, to_packed, to_planes, white_space_words
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, hashes binary, words array<string>, counts array<long>, train long, tokens long"
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, size int, words binary, counts binary, train long, tokens long"
 ANSWER = "block long, part int, size int, body binary, new long"
 _U = np.uint64
 _START, _END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
@@ -141,22 +142,32 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 3, b
         for block in gathered(batches, 2, block_bytes):
             ids, held = block.column(0).to_pylist(), block.column(1).to_pylist()
             flat, lengths, words = white_space_words(one(block.column(2)))
+            flat, words = by_frequency(flat, words)
             counts = np.bincount(flat[np.repeat(~np.array(held), lengths)], minlength=len(words))
             train = len(held) - sum(held)
             yield pa.RecordBatch.from_arrays([
                 pa.array([part << 24 | nth], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())),
-                pa.array([to_planes(flat)], pa.binary()), pa.array([hashes_of(words).tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([counts], pa.list_(pa.int64())),
+                pa.array([to_planes(flat, "<i4")], pa.binary()), pa.array([len(words)], pa.int32()), pa.array([to_packed(words)], pa.binary()), pa.array([to_planes(counts, "<i8")], pa.binary()),
                 pa.array([train], pa.int64()), pa.array([int(counts.sum()) + train], pa.int64()),
             ], [f.split()[0] for f in BLOCK.split(", ")])
             nth += 1
 
     table = written(rows.mapInArrow(read, BLOCK), "blocks")
-    train, tokens, entries = table.agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.size("counts").cast("long")), F.lit(0))).first()
+    train, tokens, entries = table.agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()
     ranges = max(1, math.ceil((order - 1) * (tokens + entries) / range_tokens))
 
     # The distinct-word table, and its counts back at the words' places. A block has a word once, so the first of a word's
     # blocks tells one of its rows. Both sides ask for all columns, so that one exchange serves the two.
-    at = table.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n")).where(F.col("word").isNotNull()).repartition("word")
+    def words_out(batches):
+        for b in batches:
+            for block, size, body, counts in zip(*(c.to_pylist() for c in b.columns)):
+                words, n = from_packed(body), pa.array(from_planes(counts, size, "<i8"))
+                order = pc.cast(pc.sort_indices(words), pa.int32())  # neighbours share their beginnings, which packs well
+                for k in range(0, size, 1 << 16):
+                    part = order.slice(k, 1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), part, words.take(part), n.take(part)], ["block", "at", "word", "n"])
+
+    at = table.select("block", "size", "words", "counts").mapInArrow(words_out, "block long, at int, word string, n long").where(F.col("word").isNotNull()).repartition("word")
     distinct = at.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("first"), F.max("at").alias("last"))
     new = (F.col("block") == F.col("first")) & (F.col("c") > 0)
     summed = at.join(distinct.hint("merge"), "word").select("block", "at", "c", new.alias("new"), "n", "last")
@@ -169,15 +180,15 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 3, b
     words = written(summed.mapInArrow(pack, ANSWER), "words")
     known = (words.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0] or 0) + (1 if train else 0)
 
-    def grams_of(lengths, codes, hashes) -> Grams:
+    def grams_of(lengths, codes, words) -> Grams:
         n = np.array(lengths, np.int64)
-        return Grams(from_planes(codes, int(n.sum())), n, np.frombuffer(hashes, "<u8"), order)
+        return Grams(from_planes(codes, int(n.sum())), n, hashes_of(from_packed(words)), order)
 
     def send(batches):
         edge = np.array([(k << 63) // ranges for k in range(ranges)], np.uint64)
         for b in batches:
-            for block, held, lengths, codes, hashes in zip(*(c.to_pylist() for c in b.columns)):
-                keys, counts = grams_of(lengths, codes, hashes).distinct(~np.array(held, bool))
+            for block, held, lengths, codes, words in zip(*(c.to_pylist() for c in b.columns)):
+                keys, counts = grams_of(lengths, codes, words).distinct(~np.array(held, bool))
                 edges = [*np.searchsorted(keys, edge), len(keys)]
                 for k, (a, z) in enumerate(zip(edges, edges[1:])):
                     if z > a:
@@ -195,23 +206,23 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 3, b
 
     answers = words
     if order > 1:
-        sent = table.select("block", "held", "lengths", "codes", "hashes").mapInArrow(send, "block long, part int, size int, keys binary, counts binary")
+        sent = table.select("block", "held", "lengths", "codes", "words").mapInArrow(send, "block long, part int, size int, keys binary, counts binary")
         answers = words.unionByName(sent.groupBy("part").applyInArrow(add_up, ANSWER))
     whole = tokens + 0.1 * (known + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = sorted(zip(*(right.column(c).to_pylist() for c in ("part", "size", "body"))), key=lambda x: x[0])
         out: list = [[] for _ in range(7)]
-        for ids, held, lengths, codes, hashes in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "held", "lengths", "codes", "hashes"))):
-            grams = grams_of(lengths, codes, hashes)
-            count, found, totals = np.zeros(len(hashes) // 8, np.int64), 0, [np.empty(0, np.int64)]
-            for part, size, body in parts:
+        for ids, held, lengths, codes, size, words in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "held", "lengths", "codes", "size", "words"))):
+            grams = grams_of(lengths, codes, words)
+            count, found, totals = np.zeros(size, np.int64), 0, [np.empty(0, np.int64)]
+            for part, n, body in parts:
                 if part < 0:
-                    raw = pa.decompress(body, 12 * size, "zstd", asbytes=True)
-                    count[np.frombuffer(raw, "<i4", size)] = np.frombuffer(raw, "<i8", size, 4 * size)
-                    found += size
+                    raw = pa.decompress(body, 12 * n, "zstd", asbytes=True)
+                    count[np.frombuffer(raw, "<i4", n)] = np.frombuffer(raw, "<i8", n, 4 * n)
+                    found += n
                 else:
-                    totals.append(from_planes(body, size, "<i8"))
+                    totals.append(from_planes(body, n, "<i8"))
             if found != len(count):
                 raise ValueError("a block and its words do not fit together")
             single = np.empty(len(grams.ends), np.int64)
@@ -229,7 +240,7 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 3, b
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    left = table.select("block", "doc_ids", "held", "lengths", "codes", "hashes")
+    left = table.select("block", "doc_ids", "held", "lengths", "codes", "size", "words")
     return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCHEMA)
 
 

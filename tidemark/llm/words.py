@@ -39,6 +39,27 @@ def from_planes(data: bytes, size: int, kind: str = "<i4") -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, size).T).view(kind).ravel()
 
 
+def to_packed(words: pa.Array) -> bytes:
+    """A string array as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    table = pa.table({"word": words})
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def from_packed(data: bytes) -> pa.Array:
+    return one(pa.ipc.open_stream(data).read_all().column("word"))
+
+
+def by_frequency(codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Positions and words once more, the most frequent words first, so that positions are small numbers."""
+    order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return place[codes], words.take(pa.array(order))
+
+
 def hashes_of(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word."""
     import xxhash
