@@ -28,10 +28,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the smallest doc_id stays, in one row."""
+    """Of each class of near duplicates the rows of the smallest doc_id stay. Rows of one doc_id with one text are one
+    row, that of the least other columns; with other texts each stays, as do all rows without a doc_id."""
     first = near_dedup.classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    same = [F.col("doc_id"), F.col("text").isNull().alias("none"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
+    row = F.struct("lang", "source", "n_chars", "text")
+    kept = docs.join(first, "doc_id", "left_semi").groupBy(*same).agg(F.min(row).alias("row")).select("doc_id", "row.*")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()).select("doc_id", "lang", "source", "n_chars", "text")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Tokenizers, profiles and signatures have no SQL: tests/llm holds the stages against plain versions.
+#: Tokenizers, profiles and signatures have no SQL: tests/llm/test_pipeline.py holds the stages and run() against plain versions.
 ORACLE_SQL = None
