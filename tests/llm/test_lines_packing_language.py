@@ -4,25 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 
-from tidemark.llm import bpe, language_id, line_dedup, packing
-from tidemark.llm.queries import QUERIES
-
-LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
-
-
-def plain_lines(rows):
-    keyed = [(i, [(x, x.strip(" \t\n\x0b\x0c\r").translate(LOW)) for x in (t or "").split("\n")]) for i, t in rows]
-    owner = {}
-    for i, lines in keyed:
-        for _, k in lines:
-            if i is not None and len(k) >= 10:
-                owner[k] = min(i, owner.get(k, i))
-    out = []
-    for i, lines in keyed:
-        kept = [x for x, k in lines if i is None or owner.get(k, i) == i]
-        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    return sorted(out, key=str)
+from tests_llm_plain import check_packing, plain_lines
 
+from tidemark.llm import language_id, line_dedup, packing
+from tidemark.llm.queries import QUERIES
 
 def test_line_dedup(spark, sf01_dir, docs01):
     got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in QUERIES["op6_line_dedup"](spark, sf01_dir).collect()]
@@ -40,34 +25,6 @@ def test_line_dedup_odd_rows(spark, odd):
     assert line_dedup.line_dedup(odd.limit(0)).count() == 0
 
 
-def check_packing(rows, docs, size):
-    """docs: (doc_id, text) of each row."""
-    tok = bpe.tokenizer()
-    ids = sorted([(i if i is not None else -1, [*tok.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in docs])
-    assert sum(r.length for r in rows) == sum(len(x) for _, x in ids)
-    pieces = defaultdict(list)
-    for r in rows:
-        pieces[r.doc_id if r.doc_id is not None else -1].append((r.piece, r.start, r.length, r.ids_crc32))
-    want = defaultdict(list)
-    for i, x in ids:
-        first = (len(x) - 1) % size + 1
-        for k, a in enumerate([0, *range(first, len(x), size)]):
-            part = x[a : first if k == 0 else a + size]
-            want[i].append((k, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
-    assert {k: sorted(v) for k, v in pieces.items()} == {k: sorted(v) for k, v in want.items()}
-    bins = defaultdict(list)
-    for r in rows:
-        bins[r.sequence_id].append((r.offset, r.length))
-    for b in bins.values():
-        at = 0
-        for offset, n in sorted(b):
-            assert offset == at
-            at += n
-        assert at <= size
-    least = -(-sum(len(x) for _, x in ids) // size)
-    return len(bins), least
-
-
 def test_packing(spark, sf01_dir, docs01):
     rows = QUERIES["op7_packing"](spark, sf01_dir).collect()
     bins, least = check_packing(rows, [(i, t) for i, (t, _) in docs01.items()], 2048)

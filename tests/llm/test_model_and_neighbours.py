@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tests_llm_plain import plain_classes
+
 from tidemark.llm import lm_score, near_dedup, nearest
 from tidemark.llm.queries import QUERIES
 
@@ -64,27 +66,6 @@ def test_scores_of_order_three(spark, sf_dir):
     compare(lm_score.scores(docs.repartition(5), order=3, mu=2.0, range_tokens=20_000).collect(), plain_scores(rows, 2.0, 3))
 
 
-def plain_classes(rows):
-    f = near_dedup.Features()
-    sets = {i: x for (i, _), x in zip(rows, f.of(pa.array([t for _, t in rows], pa.string()))) if len(x[0])}
-    names, parent = sorted(sets), {i: i for i, _ in rows}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    holders = defaultdict(set)
-    for i in names:
-        for x in sets[i][0].tolist():
-            holders[x].add(i)
-    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
-    for a, b in sorted(pairs):
-        if root(a) != root(b) and near_dedup.similarity(sets[a], sets[b]) >= 0.8:
-            parent[max(root(a), root(b))] = min(root(a), root(b))
-    return {i: root(i) for i, _ in rows}
-
-
 def test_near_dedup_against_all_pairs(spark, sf01_dir, docs01):
     got = {r.doc_id: r.class_id for r in QUERIES["op9_near_dedup"](spark, sf01_dir).collect()}
     assert got == plain_classes([(i, t) for i, (t, _) in docs01.items()])
