@@ -92,7 +92,7 @@ def test_rule_defaults():
 def test_registered_indicators_reach_rules(spark):
     rules.register_indicator("half_close", {}, lambda p: 1, expr=lambda p: F.col("close") / 2)
     try:
-        r = rules.parse('{"name": "x", "all": [{"indicator": "half_close", "op": "==", "value": 2}]}')
+        r = rules.parse('{"name": "x", "symbols": ["A"], "interval": "1h", "all": [{"indicator": "half_close", "op": "==", "value": 2}]}')
         assert [x.hit for x in rules.evaluated(series_df(spark, [4, 5]), r).orderBy("ts").collect()] == [True, False]
         with pytest.raises(ValueError):
             rules.register_indicator("none", {}, lambda p: 1)

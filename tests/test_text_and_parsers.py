@@ -140,14 +140,35 @@ def test_screens_reject_what_is_not_one():
 
 
 @pytest.mark.parametrize("side,kind,limit,stop,bar,want", [
-    ("buy", "limit", 99, 0, (101, 102, 100), None), ("buy", "limit", 99, 0, (101, 102, 98), 99), ("buy", "limit", 99, 0, (97, 98, 96), 97),
-    ("sell", "stop", 0, 95, (97, 98, 94), 95), ("sell", "stop", 0, 95, (90, 92, 89), 90), ("sell", "stop", 0, 95, (97, 98, 96), None), ("buy", "market", 0, 0, (97, 98, 96), 97),
+    ("buy", "limit", 9900, 0, (10100, 10200, 10000, 10100), None), ("buy", "limit", 9900, 0, (10100, 10200, 9800, 10000), 9900), ("buy", "limit", 9900, 0, (9700, 9800, 9600, 9700), 9700),
+    ("sell", "stop", 0, 9500, (9700, 9800, 9400, 9500), 9495), ("sell", "stop", 0, 9500, (9000, 9200, 8900, 9000), 8995), ("sell", "stop", 0, 9500, (9700, 9800, 9600, 9700), None),
+    ("buy", "market", 0, 0, (9700, 9800, 9600, 9790), 9795), ("sell", "market", 0, 0, (1, 1, 1, 1), 1),
+    ("buy", "stop_limit", 10100, 10000, (10200, 10300, 10000, 10200), 10100), ("buy", "stop_limit", 10100, 10400, (10200, 10300, 10000, 10200), None),
+    ("sell", "stop_limit", 9400, 9500, (9300, 9600, 9200, 9300), 9400), ("buy", "stop_limit", 10100, 10000, (10200, 10300, 10150, 10200), None),
 ])
 def test_fills(spark, side, kind, limit, stop, bar, want):
-    df = spark.createDataFrame([(side, kind, limit, stop, *bar)], "side string, kind string, limit long, stop long, open long, high long, low long")
+    df = spark.createDataFrame([(side, kind, limit, stop, *bar)], "side string, kind string, limit long, stop long, open long, high long, low long, close long")
     assert df.select(ledger.fill_price(*map(F.col, ("side", "kind", "limit", "stop"))).alias("p")).first().p == want
 
 
+@pytest.mark.parametrize("title,body,want", [
+    ("Acme files for chapter 11 as CEO quits", "", ("INSOLVENCY", 10, 0.6)),
+    ("Acme cuts its full-year earnings guidance", "", ("GUIDANCE", 8, 0.6)),
+    ("Acme speaks", "Nothing here. It wins an order today. Later a lawsuit.", ("ORDER_WIN", 8, 0.45)),
+    ("Acme speaks", "One. Two. Three lawsuit.", ("UNCLASSIFIED", 3, 0.0)),
+    ("Acme in a deal", "A merger of v2.0 makers and more of it", ("MERGER", 9, 0.45)),
+    ("Postwar compact", "", ("UNCLASSIFIED", 3, 0.0)),
+])
+def test_headline_classes(spark, title, body, want):
+    df = spark.createDataFrame([(title, body)], "title string, body string")
+    assert tuple(df.select(text_events.classified(F.col("title"), F.col("body")).alias("c")).first().c) == want
+
+
+def test_first_sentences(spark):
+    of = lambda t, n: value(spark, tx.first_sentences(F.lit(t), n))
+    assert of("One. Two.\nThree. Four", 2) == "One. Two." and of("v1.0 is out. Yes", 1) == "v1.0 is out." and of("no stop", 1) == "no stop" and of("end.", 1) == "end."
+
+
 def test_slippage_goes_against_the_trader(spark):
     assert value(spark, ledger.slipped(F.lit(10000), F.lit("buy"), 5)) == 10005 and value(spark, ledger.slipped(F.lit(10000), F.lit("sell"), 5)) == 9995
 

@@ -185,10 +185,25 @@ def p15_script_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.script_readable(F.col("text")).alias("readable"))
 
 
-@query("""SELECT doc_id, source <> 'src0' AND regexp_matches(substring(text, 1, 120), '(?i)\\b(the|of)\\b.*\\b(and|thin)\\b') AS noise FROM documents""")
+#: Coverage that no reader acts on where it names no company.
+MARKET_NOISE = [
+    "FTSE", "DAX", "CAC 40", "Nikkei", "Hang Seng", "Euro Stoxx", "Sensex", "Nifty", "52-week (?:high|low)", "moving average cross", "RSI alert", "oversold", "overbought", "intrinsic value",
+    "price target (?:raised|cut)", "analyst (?:upgrades|downgrades) stock",
+]
+_NOISE = r"(?i)\b(?:" + "|".join(MARKET_NOISE) + r")\b"
+_ONE = "regexp_extract(text, '" + tx.sentence_pattern(1) + "', 1)"
+
+
+def market_noise(title: Column, body: Column, names_company: Column) -> Column:
+    """Whether a headline or the first sentence behind it is market noise, and no company is named."""
+    return ~names_company & F.concat(title, F.lit(". "), tx.first_sentences(body, 1)).rlike(_NOISE)
+
+
+@query(f"""SELECT doc_id, source <> 'src0' AND regexp_matches(split_part(text, chr(10), 1) || CASE WHEN doc_id % 10 = 0 THEN ' nifty' ELSE '' END || '. ' || CASE WHEN {_ONE} = '' THEN text ELSE {_ONE} END, '{_NOISE}') AS noise FROM documents""")
 def p16_market_noise(spark, sf_dir):
-    noise = (F.col("source") != "src0") & F.substring("text", 1, 120).rlike(r"(?i)\b(the|of)\b.*\b(and|thin)\b")
-    return table(spark, sf_dir, "documents").select("doc_id", noise.alias("noise"))
+    """``src0`` stands for items that name a company; a word of the list is put into every tenth headline."""
+    title = F.concat(F.substring_index("text", "\n", 1), F.when(F.col("doc_id") % 10 == 0, " nifty").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", market_noise(title, F.col("text"), F.col("source") == "src0").alias("noise"))
 
 
 @query("""SELECT page_id FROM pages WHERE NOT regexp_matches(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '(^|\\.)(blog|m)\\.') AND right(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), 4) <> '.org'""")
@@ -213,12 +228,12 @@ def p19_point_in_time(spark, sf_dir):
     return p.withColumn("nth", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("period_end"), F.desc("o_orderkey")))).where("nth <= 4").drop("report_date")
 
 
-@query("""WITH e AS (SELECT d.doc_id, d.source, d.n_chars FROM documents d WHERE d.doc_id >= 300), a AS (SELECT doc_id, source, n_chars, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.doc_id AND l.quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.doc_id) AS known FROM e)
+@query("""WITH e AS (SELECT d.doc_id, d.source, d.n_chars FROM documents d), a AS (SELECT doc_id, source, n_chars, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.doc_id AND l.quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.doc_id) AS known FROM e)
 SELECT doc_id FROM a WHERE (good OR (source IN ('src1', 'src2', 'src3') AND NOT known)) AND n_chars >= 500""")
 def p20_feed_admission(spark, sf_dir):
-    """With a good entity, or of a sector-wide source without any entity; of some importance and age."""
+    """With a good entity, or of a sector-wide source without any entity; of some length."""
     lab = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.bool_or(F.col("quality") == 1).alias("good"))
-    d = table(spark, sf_dir, "documents").where("doc_id >= 300 AND n_chars >= 500").join(lab, "doc_id", "left")
+    d = table(spark, sf_dir, "documents").where("n_chars >= 500").join(lab, "doc_id", "left")
     return d.where(F.coalesce("good", F.lit(False)) | (F.col("source").isin("src1", "src2", "src3") & F.col("good").isNull())).select("doc_id")
 
 

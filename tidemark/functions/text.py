@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 #: Words that a title's key leaves out.
 STOP_WORDS = [
-    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "will", "with",
+    "a", "after", "amid", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "cent", "could", "down", "for", "from", "had", "has", "have", "in", "into", "is", "it",
+    "its", "may", "might", "more", "new", "of", "on", "or", "over", "per", "said", "says", "should", "than", "that", "the", "these", "this", "those", "to", "up", "was", "were",
+    "will", "with", "would",
 ]
 #: Query parameters that only track.
-TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref"]
+TRACKING = [
+    "__twitter_impression", "at_campaign", "at_medium", "campaign_id", "cmpid", "dclid", "fbclid", "feature", "gclid", "guccounter", "igshid", "mc_cid", "mc_eid", "msclkid", "ncid",
+    "partner", "ref", "ref_src", "referrer", "s", "smid", "source", "spm", "utm_campaign", "utm_content", "utm_id", "utm_medium", "utm_name", "utm_source", "utm_term", "yptr",
+]
 
 
 def tokens(text: Column) -> Column:
@@ -43,7 +48,7 @@ def canonical_url(url: Column) -> Column:
     rest = F.regexp_replace(F.regexp_replace(F.trim(url), r"(?i)^https?://", ""), r"#.*$", "")
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1)), r"^www\.", ""), r":\d+$", "")
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"/+$", "")
-    pairs = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(TRACKING))
+    pairs = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING))
     query = F.array_join(F.array_sort(pairs), "&")
     out = F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(F.trim(url).rlike(r"(?i)^https?://[^/?#]"), out)
@@ -60,7 +65,14 @@ def clean_html(html: Column) -> Column:
 
 
 def first_sentences(text: Column, n: int) -> Column:
-    return F.regexp_extract(text, rf"^((?:[^.!?]*[.!?]+\s*){{1,{n}}})", 1)
+    """A text up to its n-th full stop before a space or line feed; all of it where there are fewer."""
+    head = F.regexp_extract(text, sentence_pattern(n), 1)
+    return F.when(head == "", text).otherwise(head)
+
+
+def sentence_pattern(n: int) -> str:
+    """For both engines: n times as little as possible up to a full stop, of which a space or line feed follows."""
+    return r"(?s)^(" + r".*?\.[ \n]" * (n - 1) + r".*?\.)[ \n]"
 
 
 def stem(word: Column) -> Column:

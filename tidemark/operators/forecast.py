@@ -480,12 +480,12 @@ def f27_history_prior(spark, sf_dir):
     return r.groupBy("symbol").agg(F.count("r").alias("n"), *[r6(f"q{int(q * 100)}", F.percentile("r", q)) for q in (0.1, 0.5, 0.9)]).where("n >= 100")
 
 
-@query(f"""WITH {HOURLY_SQL}, o AS (SELECT event_id, event_type AS symbol, ts AS made FROM events WHERE event_id % 97 = 0), a AS (SELECT o.event_id, b.ts, b.close, row_number() OVER (PARTITION BY o.event_id ORDER BY b.ts) AS nth FROM o JOIN bars b ON b.symbol = o.symbol AND b.ts > o.made)
+@query(f"""WITH {HOURLY_SQL}, o AS (SELECT event_id, event_type AS symbol, ts AS made FROM events), a AS (SELECT o.event_id, b.ts, b.close, row_number() OVER (PARTITION BY o.event_id ORDER BY b.ts) AS nth FROM o JOIN bars b ON b.symbol = o.symbol AND b.ts > o.made)
 SELECT event_id, ts AS resolved_at, close FROM a WHERE nth = 5""")
 def f28_outlook_resolution(spark, sf_dir):
     """The close of the fifth bar after an outlook was made; the bars' order numbers replace a range join."""
     b = hourly(spark, sf_dir).select("symbol", "ts", "close")
-    o = table(spark, sf_dir, "events").where("event_id % 97 = 0").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").alias("made"))
+    o = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").alias("made"))
     both = b.withColumn("event_id", F.lit(None).cast("long")).unionByName(o.select("symbol", F.col("made").alias("ts"), "event_id"), allowMissingColumns=True)
     w = Window.partitionBy("symbol").orderBy("ts", F.col("event_id").asc_nulls_first())
     k = both.withColumn("k", F.count("close").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -13,19 +13,21 @@ from tidemark.registry import query, table
 from tidemark.sources.bars import HOURLY_SQL, hourly
 
 
-def fill_price(side: Column, kind: Column, limit: Column, stop: Column) -> Column:
-    """The price at which an order meets a bar (open, high, low), or null: a market order at the open; a limit at the
-    better of limit and open once touched; a stop at the worse of stop and open once hit."""
-    o, h, low, buy = F.col("open"), F.col("high"), F.col("low"), side == "buy"
-    at_limit = F.when(buy & (low <= limit), F.least(limit, o)).when(~buy & (h >= limit), F.greatest(limit, o))
-    at_stop = F.when(buy & (h >= stop), F.greatest(stop, o)).when(~buy & (low <= stop), F.least(stop, o))
-    both = F.when(at_stop.isNotNull() & F.when(buy, at_stop <= limit).otherwise(at_stop >= limit), at_stop)
-    return F.when(kind == "market", o).when(kind == "limit", at_limit).when(kind == "stop", at_stop).when(kind == "stop_limit", both)
+def slipped(price: Column, side: Column, basis_points: int) -> Column:
+    """The price moved against the trader by a share of it, to the next whole cent, one cent at least."""
+    off = F.ceil(price * F.lit(basis_points) / F.lit(10000.0))
+    return F.when(side == "buy", price + off).otherwise(F.greatest(F.lit(1), price - off)).cast("long")
 
 
-def slipped(price: Column, side: Column, basis_points: int) -> Column:
-    """The price moved against the trader, to the next whole cent."""
-    return F.when(side == "buy", F.ceil(price * (10000 + basis_points) / 10000)).otherwise(F.floor(price * (10000 - basis_points) / 10000)).cast("long")
+def fill_price(side: Column, kind: Column, limit: Column, stop: Column, basis_points: int = 5) -> Column:
+    """The price at which an order meets a bar (open, high, low, close), or null. A market order gets the slipped close. A
+    limit order gets the better of limit and open once the bar trades through it. A stop order gets, once touched, the
+    worse of stop and open, slipped; a stop-limit order, once its stop is touched, is a limit order in the same bar."""
+    o, h, low, buy = F.col("open"), F.col("high"), F.col("low"), side == "buy"
+    at_limit = F.when(buy & (low <= limit), F.least(limit, o)).when(~buy & (h >= limit), F.greatest(limit, o))
+    hit = F.when(buy, h >= stop).otherwise(low <= stop)
+    at_stop = F.when(hit, slipped(F.when(buy, F.greatest(stop, o)).otherwise(F.least(stop, o)), side, basis_points))
+    return F.when(kind == "market", slipped(F.col("close"), side, basis_points)).when(kind == "limit", at_limit).when(kind == "stop", at_stop).when(kind == "stop_limit", F.when(hit, at_limit))
 
 
 def fees(side: Column, qty: Column, cents: Column, commission: int = 0) -> Column:
@@ -58,23 +60,25 @@ def cents_bars(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "ts", *[F.round(F.col(c) * 100).cast("long").alias(c) for c in ("open", "high", "low", "close")])
 
 
-_ORD_SQL = f"""{HOURLY_SQL}, cb AS (SELECT symbol, ts, CAST(round(open * 100) AS BIGINT) AS open, CAST(round(high * 100) AS BIGINT) AS high, CAST(round(low * 100) AS BIGINT) AS low FROM bars),
+_ORD_SQL = f"""{HOURLY_SQL}, cb AS (SELECT symbol, ts, CAST(round(open * 100) AS BIGINT) AS open, CAST(round(high * 100) AS BIGINT) AS high, CAST(round(low * 100) AS BIGINT) AS low, CAST(round(close * 100) AS BIGINT) AS close FROM bars),
 o AS (SELECT event_id AS id, event_type AS symbol, ts AS placed, ts + INTERVAL 24 HOUR AS expires, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
- CASE event_id % 4 // 2 WHEN 0 THEN 'limit' ELSE 'stop' END AS kind, CAST(round(value * 80) AS BIGINT) AS lim, CAST(round(value * 120) AS BIGINT) AS stop, 1 + user_id % 7 AS qty, user_id AS wallet FROM events WHERE event_id % 20 < 4 AND value > 0)"""
+ CASE event_id % 8 // 2 WHEN 0 THEN 'limit' WHEN 1 THEN 'stop' WHEN 2 THEN 'stop_limit' ELSE 'market' END AS kind, CAST(round(value * 80) AS BIGINT) AS lim, CAST(round(value * 120) AS BIGINT) AS stop, 1 + user_id % 7 AS qty, user_id AS wallet FROM events WHERE value > 0)"""
 
 
 def _orders(spark, sf_dir) -> DataFrame:
-    k = F.col("event_id")
-    e = table(spark, sf_dir, "events").where("event_id % 20 < 4 AND value > 0")
-    return e.select(
+    """Each event of some worth as an order of one of the four kinds."""
+    k, worth = F.col("event_id"), F.col("value")
+    kind = F.floor(k % 8 / 2)
+    return table(spark, sf_dir, "events").where("value > 0").select(
         k.alias("id"), F.col("event_type").alias("symbol"), F.col("ts").alias("at"), (F.col("ts") + F.expr("INTERVAL 24 HOUR")).alias("expires"), F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"),
-        F.when(F.floor(k % 4 / 2) == 0, "limit").otherwise("stop").alias("kind"), F.round(F.col("value") * 80).cast("long").alias("limit"), F.round(F.col("value") * 120).cast("long").alias("stop"), (1 + F.col("user_id") % 7).alias("qty"), F.col("user_id").alias("wallet"))
+        F.when(kind == 0, "limit").when(kind == 1, "stop").when(kind == 2, "stop_limit").otherwise("market").alias("kind"), F.round(worth * 80).cast("long").alias("limit"), F.round(worth * 120).cast("long").alias("stop"), (1 + F.col("user_id") % 7).alias("qty"), F.col("user_id").alias("wallet"))
 
 
-_FILL_SQL = f"""{_ORD_SQL}, h AS (SELECT o.id, cb.ts, CASE WHEN kind = 'limit' AND side = 'buy' AND low <= lim THEN least(lim, open) WHEN kind = 'limit' AND side = 'sell' AND high >= lim THEN greatest(lim, open)
- WHEN kind = 'stop' AND side = 'buy' AND high >= stop THEN greatest(stop, open) WHEN kind = 'stop' AND side = 'sell' AND low <= stop THEN least(stop, open) END AS price
- FROM o JOIN cb ON cb.symbol = o.symbol AND cb.ts >= placed AND cb.ts < expires),
-f AS (SELECT id, min(ts) AS filled_at, arg_min(price, ts) AS price FROM h WHERE price IS NOT NULL GROUP BY 1)"""
+_SLIP = "CAST(CASE WHEN side = 'buy' THEN {0} + ceil({0} * 5 / 10000.0::DOUBLE) ELSE greatest(1, {0} - ceil({0} * 5 / 10000.0::DOUBLE)) END AS BIGINT)"
+_FILL_SQL = f"""{_ORD_SQL}, h AS (SELECT o.id, side, kind, cb.ts, close, CASE WHEN side = 'buy' AND low <= lim THEN least(lim, open) WHEN side = 'sell' AND high >= lim THEN greatest(lim, open) END AS at_limit,
+ CASE WHEN side = 'buy' THEN high >= stop ELSE low <= stop END AS hit, CASE WHEN side = 'buy' THEN greatest(stop, open) ELSE least(stop, open) END AS at_stop FROM o JOIN cb ON cb.symbol = o.symbol AND cb.ts >= placed AND cb.ts < expires),
+m AS (SELECT id, ts, CASE kind WHEN 'market' THEN {_SLIP.format('close')} WHEN 'limit' THEN at_limit WHEN 'stop' THEN CASE WHEN hit THEN {_SLIP.format('at_stop')} END ELSE CASE WHEN hit THEN at_limit END END AS price FROM h),
+f AS (SELECT id, min(ts) AS filled_at, arg_min(price, ts) AS price FROM m WHERE price IS NOT NULL GROUP BY id)"""
 
 
 def _fills(spark, sf_dir) -> DataFrame:
@@ -86,18 +90,28 @@ def b5_order_match(spark, sf_dir):
     return _fills(spark, sf_dir).select("id", "side", "kind", "filled_at", "price")
 
 
-@query(f"""WITH {_FILL_SQL}, p AS (SELECT o.id, side, qty, CAST(CASE WHEN side = 'buy' THEN ceil(price * 10005 / 10000) ELSE floor(price * 9995 / 10000) END AS BIGINT) AS paid FROM o JOIN f USING (id))
-SELECT id, paid, CAST(5 + CASE WHEN side = 'sell' THEN ceil(qty * paid * 27.8::DOUBLE / 1e6) + least(ceil(qty * 0.0166::DOUBLE), 830) ELSE 0 END AS BIGINT) AS fee FROM p""")
+@query(f"""WITH {_FILL_SQL} SELECT o.id, price AS paid, CAST(5 + CASE WHEN side = 'sell' THEN ceil(qty * price * 27.8::DOUBLE / 1e6) + least(ceil(qty * 0.0166::DOUBLE), 830) ELSE 0 END AS BIGINT) AS fee FROM o JOIN f USING (id)""")
 def b6_fees_and_slippage(spark, sf_dir):
-    p = _fills(spark, sf_dir).where("price IS NOT NULL").withColumn("paid", slipped(F.col("price"), F.col("side"), 5))
-    return p.select("id", "paid", fees(F.col("side"), F.col("qty"), F.col("paid"), 5).alias("fee"))
+    """Prices of market and stop orders are slipped."""
+    p = _fills(spark, sf_dir).where("price IS NOT NULL")
+    return p.select("id", F.col("price").alias("paid"), fees(F.col("side"), F.col("qty"), F.col("price"), 5).alias("fee"))
+
+
+def reserve(kind: Column, limit: Column, stop: Column, last: Column, qty: Column, commission: int = 0) -> Column:
+    """The worst cost of an open purchase: at its limit, else its stop, else the last price, of which stop and market
+    orders may move by 2 %; and the fee."""
+    price = F.when(kind.isin("limit", "stop_limit"), limit).when(kind == "stop", F.ceil(stop * F.lit(1.02))).otherwise(F.ceil(last * F.lit(1.02)))
+    return (price * qty + commission).cast("long")
 
 
-@query(f"WITH {_FILL_SQL} SELECT wallet, CAST(sum(qty * CASE WHEN kind = 'limit' THEN lim ELSE stop END) AS BIGINT) AS reserved FROM o LEFT JOIN f USING (id) WHERE price IS NULL AND side = 'buy' GROUP BY 1")
+@query(f"""WITH {_FILL_SQL}, l AS (SELECT symbol, arg_max(close, ts) AS last FROM cb GROUP BY 1)
+SELECT wallet, CAST(sum(5 + qty * CASE WHEN kind IN ('limit', 'stop_limit') THEN lim WHEN kind = 'stop' THEN ceil(stop * 1.02::DOUBLE) ELSE ceil(last * 1.02::DOUBLE) END) AS BIGINT) AS reserved
+FROM o LEFT JOIN f USING (id) JOIN l USING (symbol) WHERE price IS NULL AND side = 'buy' GROUP BY 1""")
 def b7_reserved(spark, sf_dir):
     """What open purchases may still cost."""
-    x = _fills(spark, sf_dir).where("price IS NULL AND side = 'buy'")
-    return x.groupBy("wallet").agg(F.sum(F.col("qty") * F.when(F.col("kind") == "limit", F.col("limit")).otherwise(F.col("stop"))).alias("reserved"))
+    last = cents_bars(hourly(spark, sf_dir)).groupBy("symbol").agg(F.max_by("close", "ts").alias("last"))
+    x = _fills(spark, sf_dir).where("price IS NULL AND side = 'buy'").join(last, "symbol")
+    return x.groupBy("wallet").agg(F.sum(reserve(F.col("kind"), F.col("limit"), F.col("stop"), F.col("last"), F.col("qty"), 5)).alias("reserved"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_totalprice > c_acctbal * 50 THEN 'buying power' WHEN o_orderkey % 2 = 1 AND o_orderkey % 11 > 8 THEN 'free shares' WHEN c_acctbal * 100 < 250000 AND o_orderkey % 5 >= 3 THEN 'day trades' WHEN o_totalprice > 400000 THEN 'agent limit' END AS refusal FROM orders JOIN customer ON c_custkey = o_custkey""")

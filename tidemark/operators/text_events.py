@@ -16,26 +16,80 @@ from tidemark.functions import text as tx
 from tidemark.operators.indicators import r6
 from tidemark.registry import query, table
 
-#: Classes by regular expressions over a headline: the first that fits names the type; with its importance.
+#: Classes of a headline in order of precedence, what each adds to the class's importance, and its phrases.
 CLASSES = [
-    ("earnings", r"\b(earnings|results|profit|revenue)\b", 7),
-    ("merger", r"\b(merger|acquires?|acquisition|takeover)\b", 9),
-    ("legal", r"\b(lawsuit|sues|court|settle[sd]?)\b", 6),
-    ("licence", r"\b(licensed?|license)\b", 4),
-    ("appointment", r"\b(appoints?|names|ceo|chief)\b", 5),
-    ("contact", r"\b(e-?mail|phone|call)\b", 2),
-    ("the", r"\bthe\b", 1),
+    ("INSOLVENCY", 2, ["insolvency", "bankruptcy", "liquidation", "winding up", "chapter (?:7|11|15)", "receivership", "files for chapter", "debtor[- ]in[- ]possession"]),
+    ("AUDITOR_CHANGE", 2, ["auditor resign(s|ed|ation)?", "resign(s|ed)? as (?:the )?(?:statutory )?auditor", "qualified opinion", "adverse opinion", "audit qualification", "auditor (?:change|replaced)"]),
+    ("REGULATORY_ACTION", 2, [
+        "(?:SEC|FTC|DOJ|CFTC|FINRA|OSHA|EPA|FDA) (?:bars|debars|charges|sues|fines|orders|penalis|penaliz)", "show cause notice", "regulatory action", "banned by", "debarred", "fined", "penalty",
+        "penalised", "penalized", "non[- ]compliance", "violat(es|ed|ion)", "enforcement action", "consent order", "cease and desist", "wells notice", "deferred prosecution", "settles with the (?:SEC|FTC|DOJ)",
+    ]),
+    ("TAX_ACTION", 1, ["raid(s|ed)?", "search and seizure", "tax demand", "income tax notice", "IRS (?:assess|audit|notice|demand|dispute)", "tax assessment", "back taxes", "transfer pricing (?:dispute|adjustment)"]),
+    ("LITIGATION", 0, ["lawsuit", "litigation", "sues", "sued", "court order", "arbitration", "tribunal"]),
+    ("CREDIT_RATING", 0, ["downgrade(s|d)?", "upgrade(s|d)?", "credit rating", "rating action", "outlook revised"]),
+    ("MANAGEMENT_CHANGE", 1, ["CEO", "chief executive", "managing director", "CFO", "chief financial officer", "chairman"]),
+    ("MANAGEMENT_CHANGE", 1, ["resign(s|ed|ation)?", "steps down", "quits", "exits"]),
+    ("MANAGEMENT_CHANGE", 0, ["appoint(s|ed|ment)?", "elevated to", "takes charge", "named as"]),
+    ("ACQUISITION", 1, ["acquir(e|es|ed|ing|ition)", "takeover", "buys stake", "acquisition"]),
+    ("MERGER", 1, ["merger", "merges", "amalgamation"]),
+    ("DEMERGER", 1, ["demerger", "demerges", "spin[- ]?off", "scheme of arrangement"]),
+    ("STAKE_SALE", 0, [
+        "stake sale", r"sells (?:[\w-]+ ){0,3}stake", "divest(s|ed|ment)?", "block deal", "offer for sale", "secondary offering", r"trims (?:its )?(?:[\w-]+ ){0,2}stake",
+        r"exits (?:its )?(?:[\w-]+ ){0,2}(?:stake|position)",
+    ]),
+    ("GUIDANCE", 1, ["guidance", "outlook (?:raised|cut|lowered|reaffirmed)", "forecast(s|ed)?", "(?:raises|cuts|lowers|reaffirms|withdraws) (?:its )?(?:full[- ]year|FY|Q[1-4]|annual)", "pre[- ]announce"]),
+    ("EARNINGS", 1, ["Q[1-4] results", "quarterly results", "net profit", "revenue (?:rose|fell|up|down)", "earnings", "PAT", "EBITDA"]),
+    ("DIVIDEND", 0, ["dividend", "interim dividend", "final dividend"]),
+    ("BUYBACK", 1, ["buyback", "buy[- ]back", "share repurchase"]),
+    ("BONUS", 0, ["bonus issue", "stock split", "share split", "rights issue"]),
+    ("ORDER_WIN", 1, [
+        "bags", "wins (?:an? )?(?:order|contract|deal)", "order win", "secures (?:an? )?(?:order|contract|deal)", "awarded (?:an? )?contract", r"lands (?:[\w-]+ ){0,3}(?:order|contract|deal)",
+        "L1 bidder", "receives (?:an? )?order",
+    ]),
+    ("CONTRACT", 0, ["contract", "agreement", "MoU", "partnership", "tie[- ]?up", "joint venture"]),
+    ("ORDER_CANCELLED", 1, [
+        "order cancel(led|ed)?", r"cancel(?:s|led|ed)? (?:an? |its )?(?:[\w-]+ ){0,3}(?:order|contract)", "contract terminated", r"terminates (?:an? |its )?(?:[\w-]+ ){0,2}(?:contract|agreement)",
+        "deal called off", "deal collapses", "walks away from",
+    ]),
+    ("FUND_RAISE", 0, [
+        "fund rais(e|ing)", r"raises \$", "IPO", "preferential allotment", "(?:secondary|follow[- ]on|equity) offering", "at[- ]the[- ]market offering", "private placement",
+        "PIPE (?:deal|financing)", "convertible note",
+    ]),
+    ("PLEDGE", 1, ["pledge(d|s)?", "encumbrance", "promoter (?:selling|buying|stake)"]),
+    ("DEBT", 0, [
+        "bond(s)? issue", "debt raise", "refinanc(e|ing)", "(?:senior|unsecured|secured|convertible) notes", "notes offering", r"prices (?:a |an )?\$", "credit facility", "revolving credit",
+        "term loan", "coupon", "tender offer for",
+    ]),
+    ("CAPEX", 0, [
+        "capex", "capital expenditure", r"new (?:[\w-]+ ){0,2}(?:plant|fab|facility|factory|mill)", "expansion", "greenfield", "brownfield", r"will invest \$", "breaks ground", "production capacity",
+    ]),
+    ("NEW_PRODUCT", 0, ["launch(es|ed)?", "new product", "unveils"]),
+    ("MACRO_EVENT", 0, [
+        "monetary policy", "inflation", "GDP", "CPI", "PPI", "PCE", "federal funds rate", "fed funds", "FOMC", "(?:the )?Fed (?:cuts|raises|holds|hikes)", "nonfarm payrolls", "jobless claims",
+        "unemployment rate", "retail sales", "consumer confidence", "yield curve", "rate (?:cut|hike)", "repo rate",
+    ]),
+    ("COMMODITY_EVENT", 0, ["crude", "brent", "OPEC", "oil price"]),
+    ("GEOPOLITICAL_EVENT", 0, ["tariff", "sanction(s)?", "war", "geopolitic", "trade restriction", "export ban"]),
+    ("REGULATORY_POLICY", 0, [
+        "circular", "regulation", "guidelines", "(?:SEC|FTC|Fed|Federal Reserve|CFPB|FCC|FERC|EPA|FDA|USTR) (?:proposes|adopts|finalis|finaliz|issues|notifies)", "(?:proposed|final|interim) rule",
+        "rulemaking", "comment period", "executive order", "Federal Register",
+    ]),
 ]
+#: The importance of a class before what its rule adds; 3 for others, 0 to 10 in the end.
+IMPORTANCE = {
+    "REGULATORY_ACTION": 9, "INSOLVENCY": 9, "TAX_ACTION": 9, "EARNINGS": 8, "ACQUISITION": 8, "MERGER": 8, "DEMERGER": 8, "AUDITOR_CHANGE": 8, "GUIDANCE": 7, "ORDER_WIN": 7,
+    "CREDIT_RATING": 7, "LITIGATION": 7, "STAKE_SALE": 7, "BUYBACK": 7, "PLEDGE": 7, "MANAGEMENT_CHANGE": 6, "DIVIDEND": 6, "BONUS": 6, "FUND_RAISE": 6, "CONTRACT": 6, "CAPEX": 6,
+    "DEBT": 6, "ORDER_CANCELLED": 6, "NEW_PRODUCT": 5, "MACRO_EVENT": 6, "COMMODITY_EVENT": 6, "GEOPOLITICAL_EVENT": 6, "REGULATORY_POLICY": 6,
+}
 
 
-def headlines(spark, sf_dir, longest: int | None = 200) -> DataFrame:
-    """(doc_id, source, lang, title, body): the first line, or as much of it as ``longest`` says, and the whole text."""
+def headlines(spark, sf_dir) -> DataFrame:
+    """(doc_id, source, lang, title, body): the first line, and the whole text."""
     d = table(spark, sf_dir, "documents")
-    line = F.substring_index("text", "\n", 1)
-    return d.select("doc_id", "source", "lang", (F.substring(line, 1, longest) if longest else line).alias("title"), F.col("text").alias("body"))
+    return d.select("doc_id", "source", "lang", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
 
 
-_HEAD = "h AS (SELECT doc_id, source, lang, substring(split_part(text, chr(10), 1), 1, 200) AS title, text AS body FROM documents)"
+_HEAD = "h AS (SELECT doc_id, source, lang, split_part(text, chr(10), 1) AS title, text AS body FROM documents)"
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "]"
 _TOK = f"t AS (SELECT *, list_filter(string_split(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')), ' '), lambda w: strlen(w) >= 2 AND NOT list_contains({_STOP}, w)) AS tokens FROM h)"
 _KEY = f"{_HEAD}, {_TOK}, k AS (SELECT *, CASE WHEN len(tokens) = 0 THEN '' ELSE substring(sha256(array_to_string(list_sort(list_distinct(tokens)), ' ')), 1, 24) END AS key FROM t)"
@@ -88,21 +142,33 @@ def t8_classification_merge(spark, sf_dir):
     return d.select("doc_id", F.coalesce(F.nullif("quality", F.lit(0)), F.lit(2)).alias("quality"), F.coalesce(F.when(F.col("toxic") == 1, "toxic"), F.nullif("lang", F.lit("en")), F.lit("default")).alias("kind"))
 
 
-def classified(title: Column, body: Column) -> Column:
-    """(type, importance, confidence): 0.6 by the headline, else 0.45 by the text, else a default."""
-    def ladder(x, confidence):
-        return [(x.rlike("(?i)" + rx), F.struct(F.lit(k).alias("kind"), F.lit(i).alias("importance"), F.lit(confidence).alias("confidence"))) for k, rx, i in CLASSES]
+def _pattern(phrases: list[str]) -> str:
+    return r"(?i)\b(?:" + "|".join(phrases) + r")\b"
+
 
-    steps = ladder(title, 0.6) + ladder(body, 0.45)
-    other = F.struct(F.lit("other").alias("kind"), F.lit(1).alias("importance"), F.lit(0.2).alias("confidence"))
+def classified(title: Column, body: Column) -> Column:
+    """(kind, importance, confidence): the first rule with a phrase in the headline or the first two sentences of the text.
+    Confidence is 0.6 if the headline has it, else 0.45; without any rule the item stays unclassified."""
+    head = F.concat(title, F.lit(". "), tx.first_sentences(body, 2))
+    steps = [
+        (head.rlike(_pattern(phrases)), F.struct(F.lit(kind).alias("kind"), F.lit(min(10, IMPORTANCE[kind] + bump)).alias("importance"), F.when(title.rlike(_pattern(phrases)), 0.6).otherwise(0.45).alias("confidence")))
+        for kind, bump, phrases in CLASSES
+    ]
+    other = F.struct(F.lit("UNCLASSIFIED").alias("kind"), F.lit(3).alias("importance"), F.lit(0.0).alias("confidence"))
     return reduce(lambda c, s: c.when(*s), steps[1:], F.when(*steps[0])).otherwise(other)
 
 
+_TWO = "regexp_extract(body, '" + tx.sentence_pattern(2).replace("\\n", "\n") + "', 1)"
+_LEAD = f"title || '. ' || CASE WHEN {_TWO} = '' THEN body ELSE {_TWO} END"
+
+
 def _class_sql(field: str) -> str:
-    def arms(x, confidence):
-        return " ".join(f"WHEN regexp_matches({x}, '(?i){rx}') THEN {({'kind': repr(k), 'importance': i, 'confidence': confidence})[field]}" for k, rx, i in CLASSES)
+    def arm(kind, bump, phrases):
+        rx = _pattern(phrases)
+        value = {"kind": f"'{kind}'", "importance": min(10, IMPORTANCE[kind] + bump), "confidence": f"CASE WHEN regexp_matches(title, '{rx}') THEN 0.6 ELSE 0.45 END"}[field]
+        return f"WHEN regexp_matches({_LEAD}, '{rx}') THEN {value}"
 
-    return f"CASE {arms('title', 0.6)} {arms('body', 0.45)} ELSE {({'kind': repr('other'), 'importance': 1, 'confidence': 0.2})[field]} END"
+    return f"CASE {' '.join(arm(*c) for c in CLASSES)} ELSE {({'kind': repr('UNCLASSIFIED'), 'importance': 3, 'confidence': 0.0})[field]} END"
 
 
 @query(f"""WITH {_HEAD} SELECT doc_id, {_class_sql('kind')} AS kind, CAST({_class_sql('importance')} AS INT) AS importance, CAST({_class_sql('confidence')} AS DOUBLE) AS confidence FROM h""")
@@ -110,24 +176,40 @@ def t9_keyword_classes(spark, sf_dir):
     return headlines(spark, sf_dir).select("doc_id", classified(F.col("title"), F.col("body")).alias("c")).select("doc_id", "c.*")
 
 
-def filing_class(form: Column, items: Column) -> Column:
-    """Type of a filing from its form and the item codes in its text; a substantive item goes before exhibits."""
-    codes = F.regexp_extract_all(items, F.lit(r"\b(\d\.\d\d)\b"), F.lit(1))
-    named = {"1.01": "agreement", "2.01": "acquisition", "2.02": "earnings", "5.02": "appointment", "7.01": "disclosure", "8.01": "other_event", "9.01": "exhibits"}
-    key = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
-    known = F.filter(codes, lambda c: c.isin(list(named)))
+#: The class of each item of a current report.
+ITEM_CLASSES = {
+    "1.01": "CONTRACT", "1.02": "ADMINISTRATIVE", "1.03": "INSOLVENCY", "2.01": "ACQUISITION", "2.02": "EARNINGS", "2.03": "DEBT", "2.04": "DEBT", "2.05": "ADMINISTRATIVE", "2.06": "ADMINISTRATIVE",
+    "3.01": "REGULATORY_ACTION", "3.02": "ALLOTMENT", "3.03": "SHAREHOLDING_CHANGE", "4.01": "AUDITOR_CHANGE", "4.02": "ADMINISTRATIVE", "5.01": "STAKE_SALE", "5.02": "MANAGEMENT_CHANGE",
+    "5.03": "ADMINISTRATIVE", "5.07": "AGM", "6.01": "ADMINISTRATIVE", "7.01": "PRESS_RELEASE", "8.01": "ADMINISTRATIVE", "9.01": "ADMINISTRATIVE",
+}
+
+
+def filing_class(form: Column, text: Column) -> Column:
+    """Type of a filing from its form and the items its text declares ("Item 5.02:"): the first substantive one, else the
+    first of those that only attach exhibits or tell other events."""
+    codes = F.regexp_extract_all(text, F.lit(r"Item\s+(\d{1,2}\.\d{2}):"), F.lit(1))
+    key = F.create_map(*[F.lit(x) for kv in ITEM_CLASSES.items() for x in kv])
+    known = F.filter(codes, lambda c: c.isin(list(ITEM_CLASSES)))
     strong = F.filter(known, lambda c: ~c.isin("8.01", "9.01"))
-    first = F.coalesce(F.get(strong, 0), F.get(known, 0))
-    return F.when(form == "4", "insider_trade").when(form == "13F-HR", "fund_holdings").when(form == "8-K", F.coalesce(F.try_element_at(key, first), F.lit("report"))).otherwise("filing")
+    of_item = F.coalesce(F.try_element_at(key, F.coalesce(F.get(strong, 0), F.get(known, 0))), F.lit("UNCLASSIFIED"))
+    return F.when(form.startswith("8-K"), of_item).when(form == "4", "INSIDER_TRANSACTION").when(form.startswith("13F"), "SHAREHOLDING_CHANGE").otherwise("UNCLASSIFIED")
+
+
+_CODES = list(ITEM_CLASSES)
+_ITEM_SQL = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ITEM_CLASSES.items()) + " END"
 
 
-@query("""WITH o AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '4' WHEN 1 THEN '13F-HR' ELSE '8-K' END AS form, CASE o_orderkey % 5 WHEN 0 THEN '9.01' WHEN 1 THEN '9.01 2.02' WHEN 2 THEN '8.01 9.01' WHEN 3 THEN '5.02 and 1.01' ELSE 'none' END AS items FROM orders)
-SELECT o_orderkey, CASE form WHEN '4' THEN 'insider_trade' WHEN '13F-HR' THEN 'fund_holdings' ELSE CASE o_orderkey % 5 WHEN 0 THEN 'exhibits' WHEN 1 THEN 'earnings' WHEN 2 THEN 'other_event' WHEN 3 THEN 'appointment' ELSE 'report' END END AS kind FROM o""")
+@query(f"""WITH c AS (SELECT {_CODES} || ['9.99'] AS codes), o AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '4' WHEN 1 THEN '13F-HR' WHEN 2 THEN '10-K' WHEN 3 THEN '8-K/A' ELSE '8-K' END AS form,
+ [codes[1 + o_orderkey % 23], codes[1 + o_custkey % 23], codes[1 + (o_orderkey + o_custkey) % 23]] AS items FROM orders, c),
+u AS (SELECT o_orderkey, unnest(items) AS code, generate_subscripts(items, 1) AS nth FROM o), k AS (SELECT o_orderkey, arg_min({_ITEM_SQL}, nth + CASE WHEN code IN ('8.01', '9.01') THEN 10 ELSE 0 END) AS kind FROM u WHERE code <> '9.99' GROUP BY 1)
+SELECT o_orderkey, CASE WHEN form LIKE '8-K%' THEN coalesce(kind, 'UNCLASSIFIED') WHEN form = '4' THEN 'INSIDER_TRANSACTION' WHEN form = '13F-HR' THEN 'SHAREHOLDING_CHANGE' ELSE 'UNCLASSIFIED' END AS kind FROM o LEFT JOIN k USING (o_orderkey)""")
 def t10_filing_classes(spark, sf_dir):
-    k = F.col("o_orderkey")
-    form = F.when(k % 4 == 0, "4").when(k % 4 == 1, "13F-HR").otherwise("8-K")
-    items = F.when(k % 5 == 0, "9.01").when(k % 5 == 1, "9.01 2.02").when(k % 5 == 2, "8.01 9.01").when(k % 5 == 3, "5.02 and 1.01").otherwise("none")
-    return table(spark, sf_dir, "orders").select("o_orderkey", filing_class(form, items).alias("kind"))
+    """Three items a filing, among them an unknown one."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    form = F.when(k % 5 == 0, "4").when(k % 5 == 1, "13F-HR").when(k % 5 == 2, "10-K").when(k % 5 == 3, "8-K/A").otherwise("8-K")
+    codes = F.array(*[F.lit(x) for x in [*_CODES, "9.99"]])
+    item = lambda x: F.concat(F.lit("Item "), F.get(codes, (x % 23).cast("int")), F.lit(": Some Words "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", filing_class(form, F.concat(item(k), item(c), item(k + c))).alias("kind"))
 
 
 SECTORS = {"license": "software", "licensed": "software", "the": "general", "de la": "romance", "und": "german", "erth": "energy", "thin": "metals"}
@@ -192,10 +274,14 @@ def t14_entity_mentions(spark, sf_dir):
     return mentions(headlines(spark, sf_dir), names, 2)
 
 
-@query("""SELECT page_id, 'https://' || regexp_replace(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', ''), ':\\d+$', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') AS canonical
-FROM pages WHERE NOT contains(url, '?')""")
+_TRACKING = "[" + ", ".join(f"'{t}'" for t in tx.TRACKING) + "]"
+
+
+@query(f"""WITH u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), p AS (SELECT page_id, 'https://' || regexp_replace(regexp_replace(lower(regexp_extract(u, '(?i)^https?://([^/?]*)', 1)), '^www\\.', ''), ':\\d+$', '')
+ || regexp_replace(regexp_extract(u, '(?i)^https?://[^/?]*([^?]*)', 1), '/+$', '') AS bare, list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT list_contains({_TRACKING}, lower(split_part(x, '=', 1))))) AS pairs FROM u)
+SELECT page_id, bare || CASE WHEN len(pairs) > 0 THEN '?' || array_to_string(pairs, '&') ELSE '' END AS canonical FROM p""")
 def t15_canonical_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where("NOT contains(url, '?')").select("page_id", tx.canonical_url(F.col("url")).alias("canonical"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.canonical_url(F.col("url")).alias("canonical"))
 
 
 def clusters(docs: DataFrame, window: int, least: float) -> DataFrame:
@@ -221,7 +307,7 @@ def clusters(docs: DataFrame, window: int, least: float) -> DataFrame:
 @query()
 def t4_clusters(spark, sf_dir):
     """Tested against a plain loop over all pairs."""
-    return clusters(headlines(spark, sf_dir, None), 200, 0.55)
+    return clusters(headlines(spark, sf_dir), 200, 0.55)
 
 
 @query(f"""WITH RECURSIVE {_KEY}, g AS (SELECT lang, key, doc_id FROM k WHERE key <> ''),
@@ -459,11 +545,14 @@ def t33_plain_notes(spark, sf_dir):
     return d.select("symbol", F.concat("symbol", F.lit(": "), "n", F.lit(" events, the largest "), "top", F.when(F.col("skewed"), ", a few large ones carry the mean").otherwise("")).alias("note"))
 
 
-@query("""WITH d AS (SELECT doc_id, lang, CAST(doc_id // 50 AS BIGINT) AS slot, list_distinct(string_split(lower(split_part(text, chr(10), 1)), ' ')) AS s FROM documents WHERE doc_id % 4 = 0)
-SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM d a JOIN d b ON a.lang = b.lang AND a.slot = b.slot AND a.doc_id < b.doc_id WHERE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) >= 0.3""")
+@query("""WITH d AS (SELECT doc_id, lang, list_distinct(string_split(lower(split_part(text, chr(10), 1)), ' ')) AS s FROM documents)
+SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM d a JOIN d b ON a.lang = b.lang AND a.doc_id < b.doc_id AND b.doc_id - a.doc_id <= 50
+WHERE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) >= 0.3""")
 def j17_theta_pairs(spark, sf_dir):
-    """Pairs of one language and slot of time whose titles are similar: an equi-join on the block, then the condition."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("doc_id", "lang", F.floor(F.col("doc_id") / 50).alias("slot"), F.array_distinct(F.split(F.lower(F.substring_index("text", "\n", 1)), " ")).alias("s"))
-    a, b = (d.select("lang", "slot", F.col("doc_id").alias(x), F.col("s").alias("s" + x)) for x in "ab")
-    pairs = a.join(b, ["lang", "slot"]).where("a < b").withColumn("sim", tx.jaccard(F.col("sa"), F.col("sb")))
+    """Pairs of one language within 50 of each other whose titles are similar: an equi-join on the language and a slot of 50,
+    or the one before, then the conditions. A document meets at most 100 others."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 50).alias("slot"), F.array_distinct(F.split(F.lower(F.substring_index("text", "\n", 1)), " ")).alias("s"))
+    early = d.select("lang", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"), F.col("doc_id").alias("a"), F.col("s").alias("sa"))
+    late = d.select("lang", "slot", F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    pairs = early.join(late, ["lang", "slot"]).where("a < b AND b - a <= 50").withColumn("sim", tx.jaccard(F.col("sa"), F.col("sb")))
     return pairs.where("sim >= 0.3").select("a", "b", r6("similarity", F.col("sim")))

@@ -9,6 +9,7 @@ indicators that a rule names are added to the bars once, before.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -17,11 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as ind
-from tidemark.operators.indicators import by_series, column, last_n, r6, series
+from tidemark.operators.indicators import _ema_walk, by_series, column, last_n, r6, series
 from tidemark.registry import query
 from tidemark.sources.bars import HOURLY_SQL, hourly
 
-MOST_CONDITIONS, MOST_SYMBOLS, LONGEST = 20, 50, 2000
+MOST_CONDITIONS, MOST_SYMBOLS, LONGEST, LONGEST_NAME = 20, 50, 2000, 120
 OPS = ("<", "<=", ">", ">=", "==", "!=", "crosses_above", "crosses_below")
 
 
@@ -56,6 +57,7 @@ for _field in ("open", "high", "low", "close", "volume"):
 register_indicator("sma", {"period": 20}, lambda p: p["period"], expr=lambda p: ind.sma(F.col("close"), p["period"]))
 register_indicator("vol_avg", {"period": 20}, lambda p: p["period"], expr=lambda p: ind.sma(F.col("volume"), p["period"]))
 register_indicator("vwap", {"period": 20}, lambda p: p["period"], expr=lambda p: ind.rolling_vwap(p["period"]))
+register_indicator("session_vwap", {}, lambda p: 1, expr=lambda p: ind.session_vwap(F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York"))))
 register_indicator("high_52w", {"period": 252}, lambda p: p["period"], expr=lambda p: ind.rolling(F.max, F.col("high"), p["period"]))
 register_indicator("low_52w", {"period": 252}, lambda p: p["period"], expr=lambda p: ind.rolling(F.min, F.col("low"), p["period"]))
 register_indicator("ema", {"period": 20}, lambda p: p["period"], walk=lambda p: lambda b: ind.ema(column("close")(b), p["period"]))
@@ -124,6 +126,7 @@ class Rule:
     interval: str = "1h"
     cooldown_hours: float = 0.0
     enabled: bool = True
+    watchlists: list[str] = field(default_factory=list)
 
     def operands(self) -> list[Operand]:
         return [o for c in self.root.leaves() for o in (c.left, c.right) if o]
@@ -140,9 +143,10 @@ class RuleError(ValueError):
         self.faults = faults
 
 
-_RULE = {"name", "symbols", "interval", "all", "any", "cooldown_hours", "notify", "enabled", "description"}
+_RULE = {"name", "symbols", "watchlists", "interval", "all", "any", "cooldown_hours", "notify", "enabled", "description"}
 _LEAF = {"indicator", "period", "fast", "slow", "signal", "shift", "op", "value", "compare"}
 _SIDE = {"indicator", "period", "fast", "slow", "signal", "shift", "mult", "offset"}
+_SYMBOL = re.compile(r"[A-Z0-9.\-_=^]{1,20}")
 INTERVALS = ("1m", "5m", "15m", "1h", "1d", "1wk")
 
 
@@ -211,16 +215,30 @@ def parse(text: str) -> Rule:
     if not known(x, _RULE, "rule"):
         raise RuleError(faults)
     symbols = [str(s).strip().upper() for s in x.get("symbols") or []]
-    if not x.get("name"):
+    name, hours = str(x.get("name") or "").strip(), x.get("cooldown_hours", 0)
+    if not name:
         faults.append("rule.name: missing")
+    elif len(name) > LONGEST_NAME:
+        faults.append(f"rule.name: over {LONGEST_NAME} characters")
+    if not symbols and not x.get("watchlists"):
+        faults.append("rule.symbols: name a symbol or a watchlist")
     if len(symbols) > MOST_SYMBOLS:
         faults.append(f"rule.symbols: over {MOST_SYMBOLS}")
-    if x.get("interval", "1h") not in INTERVALS:
+    for k, symbol in enumerate(symbols):
+        if not _SYMBOL.fullmatch(symbol):
+            faults.append(f"rule.symbols[{k}]: no symbol")
+        elif symbol in symbols[:k]:
+            faults.append(f"rule.symbols[{k}]: {symbol} again")
+    if "interval" not in x:
+        faults.append("rule.interval: missing")
+    elif x["interval"] not in INTERVALS:
         faults.append("rule.interval: unknown")
+    if not isinstance(hours, (int, float)) or isinstance(hours, bool) or not 0 <= hours <= 24 * 365:
+        faults.append("rule.cooldown_hours: not from 0 to a year")
     root = group({k: x[k] for k in ("all", "any") if k in x}, "rule", 0)
     if faults:
         raise RuleError(faults)
-    return Rule(x["name"], root, list(dict.fromkeys(symbols)), x.get("interval", "1h"), float(x.get("cooldown_hours", 0)), x.get("enabled", True))
+    return Rule(name, root, symbols, x["interval"], float(hours), x.get("enabled", True), list(x.get("watchlists") or []))
 
 
 def equal(a: Column, b: Column) -> Column:
@@ -274,12 +292,17 @@ def cooled(hits: DataFrame, keys: list[str], hours: float) -> DataFrame:
     return folded.select(*keys, F.explode(F.aggregate("x", start, step, lambda s: s["fired"])).alias("ts"))
 
 
-MOMENTUM = json.dumps({"name": "momentum", "all": [{"indicator": "close", "op": ">", "compare": {"indicator": "sma", "period": 20}}, {"indicator": "volume", "op": ">", "compare": {"indicator": "vol_avg", "period": 20, "mult": 1.5}}], "cooldown_hours": 24})
+_EVERYWHERE = {"watchlists": ["all"], "interval": "1h"}
+MOMENTUM = json.dumps({"name": "momentum", **_EVERYWHERE, "all": [{"indicator": "close", "op": ">", "compare": {"indicator": "sma", "period": 20}}, {"indicator": "volume", "op": ">", "compare": {"indicator": "vol_avg", "period": 20, "mult": 1.5}}], "cooldown_hours": 24})
+_BUSY = {"indicator": "volume", "op": ">", "compare": {"indicator": "vol_avg", "period": 20, "mult": 1.5}}
 TEMPLATES = {
-    "oversold_bounce": {"name": "oversold bounce", "all": [{"indicator": "rsi", "op": "<", "value": 30}, {"indicator": "close", "op": ">", "compare": {"indicator": "close", "shift": 1}}]},
-    "golden_cross": {"name": "golden cross", "all": [{"indicator": "sma", "period": 50, "op": "crosses_above", "compare": {"indicator": "sma", "period": 200}}]},
-    "year_breakout": {"name": "year breakout", "all": [{"indicator": "close", "op": ">", "compare": {"indicator": "high_52w", "shift": 1}}, {"indicator": "volume", "op": ">", "compare": {"indicator": "vol_avg", "mult": 1.5}}]},
-    "macd_turn": {"name": "macd turn", "all": [{"indicator": "macd", "op": "crosses_above", "compare": {"indicator": "macd_signal"}}]},
+    "oversold_bounce": {"name": "oversold bounce", **_EVERYWHERE, "cooldown_hours": 24, "all": [{"indicator": "rsi", "period": 14, "op": "<", "value": 35}, {"indicator": "close", "op": ">", "compare": {"indicator": "sma", "period": 200}}, _BUSY]},
+    "golden_cross": {"name": "golden cross", **_EVERYWHERE, "cooldown_hours": 168, "all": [{"indicator": "sma", "period": 50, "op": "crosses_above", "compare": {"indicator": "sma", "period": 200}}]},
+    "year_breakout": {"name": "year breakout", **_EVERYWHERE, "cooldown_hours": 72, "all": [{"indicator": "close", "op": ">", "compare": {"indicator": "high_52w", "period": 252, "shift": 1}}, _BUSY]},
+    "macd_turn": {"name": "macd turn", **_EVERYWHERE, "cooldown_hours": 48, "all": [
+        {"indicator": "macd", "fast": 12, "slow": 26, "signal": 9, "op": "crosses_above", "compare": {"indicator": "macd_signal", "fast": 12, "slow": 26, "signal": 9}},
+        {"any": [{"indicator": "close", "op": ">", "compare": {"indicator": "sma", "period": 50}}, {"indicator": "rsi", "period": 14, "op": ">", "value": 55}]},
+    ]},
 }
 
 _MOMENTUM_SQL = f"""{HOURLY_SQL}, m AS (SELECT *, CASE WHEN count(close) OVER w = 20 THEN avg(close) OVER w END AS sma20, CASE WHEN count(volume) OVER w = 20 THEN avg(volume) OVER w END AS vol20
@@ -354,9 +377,17 @@ def _template(spark, sf_dir, name: str) -> DataFrame:
     return evaluated(hourly(spark, sf_dir), parse(json.dumps(TEMPLATES[name]))).where("hit").select("symbol", "ts")
 
 
-@query()
+_RSI_SQL = f"""{HOURLY_SQL}, i AS (SELECT *, row_number() OVER w - 1 AS k, close - lag(close) OVER w AS d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+rsi_seed AS (SELECT symbol, avg(greatest(d, 0)) AS u, avg(greatest(-d, 0)) AS v FROM i WHERE k BETWEEN 1 AND 14 GROUP BY symbol HAVING count(d) = 14),
+rsi_walk AS (SELECT symbol, CAST(14 AS BIGINT) AS k, u, v FROM rsi_seed UNION ALL
+  SELECT w.symbol, w.k + 1, (w.u * 13 + greatest(i.d, 0)) / 14, (w.v * 13 + greatest(-i.d, 0)) / 14 FROM rsi_walk w JOIN i ON i.symbol = w.symbol AND i.k = w.k + 1),
+rsi AS (SELECT symbol, k, CASE WHEN v = 0 AND u = 0 THEN 50 WHEN v = 0 THEN 100 ELSE 100 - 100 / (1 + u / v) END AS rsi FROM rsi_walk)"""
+
+
+@query(f"""WITH RECURSIVE {_RSI_SQL}, a AS (SELECT symbol, ts, k, close, volume, CASE WHEN count(*) OVER l = 200 THEN avg(close) OVER l END AS sma200, CASE WHEN count(*) OVER v = 20 THEN avg(volume) OVER v END AS vol20 FROM i
+ WINDOW l AS (PARTITION BY symbol ORDER BY ts ROWS 199 PRECEDING), v AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING))
+SELECT symbol, ts FROM a JOIN rsi USING (symbol, k) WHERE rsi < 35 AND close > sma200 AND volume > vol20 * 1.5""")
 def r9_oversold_bounce(spark, sf_dir):
-    """Rows only: its recursive average is compared in w4_rsi14."""
     return _template(spark, sf_dir, "oversold_bounce")
 
 
@@ -374,12 +405,40 @@ def r9_year_breakout(spark, sf_dir):
     return _template(spark, sf_dir, "year_breakout")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RSI_SQL}, {_ema_walk('fast', 'i', 'close', 12, '0')}, {_ema_walk('slow', 'i', 'close', 26, '0')},
+line AS (SELECT i.symbol, i.ts, i.k, i.close, f.s - s.s AS line FROM i JOIN fast f USING (symbol, k) JOIN slow s USING (symbol, k)), {_ema_walk('sig', 'line', 'line', 9, '25')},
+a AS (SELECT symbol, k, CASE WHEN count(*) OVER l = 50 THEN avg(close) OVER l END AS sma50 FROM i WINDOW l AS (PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING)),
+p AS (SELECT l.symbol, l.k, l.ts, l.close, l.line, g.s AS signal, lag(l.line) OVER w AS pl, lag(g.s) OVER w AS ps FROM line l LEFT JOIN sig g USING (symbol, k) WINDOW w AS (PARTITION BY l.symbol ORDER BY l.k))
+SELECT symbol, ts FROM p JOIN a USING (symbol, k) LEFT JOIN rsi USING (symbol, k) WHERE pl <= ps AND line > signal AND (close > sma50 OR rsi > 55)""")
 def r9_macd_turn(spark, sf_dir):
-    """Rows only: its recursive averages are compared in w5_macd."""
     return _template(spark, sf_dir, "macd_turn")
 
 
+FAULTY = [
+    ({"name": "", "all": [{"indicator": "nope", "op": "~", "value": 1}]}, ["rule.name", "rule.symbols", "rule.interval", "rule.all[0].indicator", "rule.all[0].op"]),
+    ({"name": "n" * 121, "symbols": ["a", "A", "?"], "interval": "2h", "cooldown_hours": -1, "odd": 1, "all": []}, ["rule.odd", "rule.name", "rule.symbols[1]", "rule.symbols[2]", "rule.interval", "rule.cooldown_hours", "rule.all"]),
+    ({"name": "deep", **_EVERYWHERE, "any": [{"all": [{"any": []}]}, {"indicator": "sma", "period": 0, "op": ">", "value": 1, "compare": {"indicator": "close"}}]}, ["rule.any[0].all[0]", "rule.any[1].period", "rule.any[1]"]),
+    ({"name": "macd", **_EVERYWHERE, "all": [{"indicator": "macd", "fast": 26, "slow": 12, "op": ">", "value": True}]}, ["rule.all[0].fast", "rule.all[0].value"]),
+    (json.loads(MOMENTUM), []),
+]
+
+
+@query("SELECT rule, field FROM (VALUES " + ", ".join(f"({k}, '{f}')" for k, (_, fields) in enumerate(FAULTY) for f in fields) + ") t(rule, field)")
+def r8_rule_faults(spark, sf_dir):
+    """The fields at fault of a table of rule texts, all at once; a sound rule has none."""
+    rules = spark.createDataFrame([(k, json.dumps(rule)) for k, (rule, _) in enumerate(FAULTY)], "rule int, text string")
+
+    @F.udf("array<string>")
+    def faults(text):
+        try:
+            parse(text)
+        except RuleError as e:
+            return list(dict.fromkeys(f.split(": ")[0] for f in e.faults))
+        return []
+
+    return rules.select("rule", F.explode(faults("text")).alias("field"))
+
+
 @query(f"""WITH {_MOMENTUM_SQL}, last_fired AS (SELECT symbol, min(ts) + INTERVAL 600 HOUR AS fired FROM bars GROUP BY symbol),
 l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS nth FROM hits WHERE hit)
 SELECT symbol, l.ts, l.ts >= f.fired + INTERVAL 24 HOUR AS fires FROM l JOIN last_fired f USING (symbol) WHERE nth <= 3""")
