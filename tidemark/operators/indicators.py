@@ -1,4 +1,5 @@
-"""Indicators over bars (W1-W26). A value that a window can't give is null; no window looks ahead.
+"""Indicators over bars (W1-W26). A value that a window can't give is null. Windows look back only, but for those that
+say so: bodies of candles are measured against the mean of the whole series, and w20 has means of what comes.
 
 Windows run by (symbol, ts). Recursive indicators (averages of Wilder and exponential kind) are a grouped function over
 one symbol's series, whose length is the number of its bars.

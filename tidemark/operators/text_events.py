@@ -315,8 +315,12 @@ w AS (SELECT lang, key, min(doc_id) AS kept FROM g GROUP BY 1, 2 UNION ALL
   SELECT w.lang, w.key, (SELECT min(g.doc_id) FROM g WHERE g.lang = w.lang AND g.key = w.key AND g.doc_id > w.kept + 300) FROM w WHERE w.kept IS NOT NULL)
 SELECT lang, key, kept FROM w WHERE kept IS NOT NULL""")
 def t17_duplicate_merge(spark, sf_dir):
-    """Greedy in order of discovery: a copy within 300 of the kept one goes, a later one is kept anew. Folded by key."""
-    g = headlines(spark, sf_dir).withColumn("key", tx.title_key(F.col("title"))).where("key <> ''").groupBy("lang", "key").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    """Greedy in order of discovery: a copy within 300 of the kept one goes, a later one is kept anew. A copy over 300 behind
+    the copy before is kept in any case and begins a stretch; each stretch is folded by itself."""
+    w = Window.partitionBy("lang", "key").orderBy("doc_id")
+    g = headlines(spark, sf_dir).select("doc_id", "lang", tx.title_key(F.col("title")).alias("key")).where("key <> ''")
+    g = g.withColumn("fresh", F.when(F.col("doc_id") <= F.lag("doc_id").over(w) + 300, 0).otherwise(1)).withColumn("stretch", F.sum("fresh").over(w))
+    g = g.groupBy("lang", "key", "stretch").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
     step = lambda s, d: F.when(s["last"].isNull() | (d > s["last"] + 300), F.struct(d.alias("last"), F.concat(s["kept"], F.array(d)).alias("kept"))).otherwise(s)
     return g.select("lang", "key", F.explode(F.aggregate("ids", start, step, lambda s: s["kept"])).alias("kept"))
@@ -327,21 +331,40 @@ w AS (SELECT symbol, k, s, least(20, delta) AS heat FROM e WHERE k = 1 UNION ALL
   SELECT e.symbol, e.k, e.s, least(20, w.heat * pow(0.5, floor((e.s - w.s) / 2700)) * (1 - ((e.s - w.s) / 2700 - floor((e.s - w.s) / 2700)) / 2) + e.delta) FROM w JOIN e ON e.symbol = w.symbol AND e.k = w.k + 1)
 SELECT symbol, round(arg_max(heat, k), 4) AS heat, count(*) FILTER (WHERE heat >= 6) AS hot, count(*) FILTER (WHERE heat >= 2) AS warm FROM w GROUP BY symbol""")
 def t18_heat(spark, sf_dir):
-    """Heat halves every 45 minutes, linearly inside a half-life, and grows by each event; one series at a time."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s")
-        heat, last, hot, warm = 0.0, None, 0, 0
-        for s, delta in zip(pdf["s"], pdf["delta"]):
-            if last is not None:
-                lives = (s - last) / 2700
-                heat *= 0.5 ** int(lives) * (1 - (lives - int(lives)) / 2)
-            heat, last = min(20.0, heat + delta), s
+    """Heat halves every 45 minutes, linearly inside a half-life, and grows by each event to 20 at most. A step multiplies,
+    adds and caps, and a run of such steps is again one: x to min(cap, x * factor + gain). So each series is cut into days;
+    the steps of a day are put together, days carry their heat on, and then each day is walked through by itself."""
+    series = Window.partitionBy("symbol").orderBy("s", "event_id")
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), F.to_date("ts").alias("day"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), (F.col("value") / 100).alias("delta"))
+    lives = (F.col("s") - F.lag("s").over(series)) / 2700
+    fade = F.pow(F.lit(0.5), F.floor(lives)) * (1 - (lives - F.floor(lives)) / 2)
+    e = e.withColumn("fade", F.coalesce(fade, F.lit(0.0)))
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        cap, factor, gain = float("inf"), 1.0, 0.0
+        for fade, delta in zip(*(pdf.sort_values(["s", "event_id"])[c] for c in ("fade", "delta"))):
+            cap, factor, gain = min(20.0, cap * fade + delta), factor * fade, gain * fade + delta
+        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "day": [pdf["day"].iloc[0]], "cap": [cap], "factor": [factor], "gain": [gain]})
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        heat, before = 0.0, []
+        pdf = pdf.sort_values("day")
+        for cap, factor, gain in zip(pdf["cap"], pdf["factor"], pdf["gain"]):
+            before.append(heat)
+            heat = min(cap, heat * factor + gain)
+        return pdf.assign(heat=before)[["symbol", "day", "heat"]]
+
+    def walked(pdf: pd.DataFrame) -> pd.DataFrame:
+        heat, hot, warm = float(pdf["heat"].iloc[0]), 0, 0
+        for fade, delta in zip(*(pdf.sort_values(["s", "event_id"])[c] for c in ("fade", "delta"))):
+            heat = min(20.0, heat * fade + delta)
             hot, warm = hot + (heat >= 6), warm + (heat >= 2)
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "heat": [round(heat, 4)], "hot": [hot], "warm": [warm]})
+        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "day": [pdf["day"].iloc[0]], "heat": [heat], "hot": [hot], "warm": [warm]})
 
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), (F.col("value") / 100).alias("delta"))
-    return e.groupBy("symbol").applyInPandas(fold, "symbol string, heat double, hot long, warm long")
+    days = e.groupBy("symbol", "day").applyInPandas(composed, "symbol string, day date, cap double, factor double, gain double")
+    begin = days.groupBy("symbol").applyInPandas(carried, "symbol string, day date, heat double")  # one row a day
+    out = e.join(begin, ["symbol", "day"]).groupBy("symbol", "day").applyInPandas(walked, "symbol string, day date, heat double, hot long, warm long")
+    return out.groupBy("symbol").agg(F.round(F.max_by("heat", "day"), 4).alias("heat"), F.sum("hot").alias("hot"), F.sum("warm").alias("warm"))
 
 
 @query("""WITH e AS (SELECT event_id, event_type, extract(hour FROM ts) AS h, extract(dow FROM ts) IN (0, 6) AS weekend, event_id % 12 AS empties FROM events)
@@ -483,10 +506,34 @@ def t27_source_registry(spark, sf_dir):
     return s.withColumn("trust", F.when(F.col("usage") == "official", 100).when(F.col("usage") == "reported", 75).otherwise(50))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'rule' WHEN contains(lower(text), '@') THEN 'notice' WHEN source = 'src0' THEN 'official' ELSE 'other' END AS policy FROM documents""")
+#: Phrases of official publications by class, in order of precedence; and the class of a source's category.
+POLICY = [
+    ("MACRO_EVENT", ["monetary policy", "federal funds", "interest rate", "inflation", "gdp", "employment situation"]),
+    ("REGULATORY_POLICY", ["final rule", "proposed rule", "regulation", "amendment", "guidance"]),
+    ("REGULATORY_ACTION", ["penalty", "charges", "settles", "order against", "bars ", "debars"]),
+]
+POLICY_OF_CATEGORY = {"regulatory": "REGULATORY_POLICY", "government": "MACRO_EVENT"}
+
+
+def policy_class(title: Column, category: Column) -> Column:
+    """The first class with a phrase in the title, else that of the source's category."""
+    low = F.lower(title)
+    steps = [(reduce(Column.__or__, [F.contains(low, F.lit(p)) for p in phrases]), F.lit(kind)) for kind, phrases in POLICY]
+    steps += [(category == c, F.lit(kind)) for c, kind in POLICY_OF_CATEGORY.items()]
+    return reduce(lambda c, s: c.when(*s), steps[1:], F.when(*steps[0])).otherwise("UNCLASSIFIED")
+
+
+_ASIDE = ["", " final rule", " GDP and a final rule", " bars trade"]
+_POLICY_SQL = " ".join("WHEN " + " OR ".join(f"contains(x, '{p}')" for p in phrases) + f" THEN '{kind}'" for kind, phrases in POLICY) + " " + " ".join(f"WHEN category = '{c}' THEN '{k}'" for c, k in POLICY_OF_CATEGORY.items())
+
+
+@query(f"""WITH {_HEAD}, c AS (SELECT doc_id, lower(title || {_ASIDE}[1 + doc_id % 4]) AS x, CASE source WHEN 'src0' THEN 'regulatory' WHEN 'src1' THEN 'government' ELSE 'news' END AS category FROM h)
+SELECT doc_id, CASE {_POLICY_SQL} ELSE 'UNCLASSIFIED' END AS policy FROM c""")
 def t28_policy_classes(spark, sf_dir):
-    x = F.lower("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.contains(x, F.lit("license")), "rule").when(F.contains(x, F.lit("@")), "notice").when(F.col("source") == "src0", "official").otherwise("other").alias("policy"))
+    """Some words of the list are put behind titles, as the texts have none."""
+    aside = F.get(F.array(*map(F.lit, _ASIDE)), (F.col("doc_id") % 4).cast("int"))
+    category = F.when(F.col("source") == "src0", "regulatory").when(F.col("source") == "src1", "government").otherwise("news")
+    return headlines(spark, sf_dir).select("doc_id", policy_class(F.concat("title", aside), category).alias("policy"))
 
 
 @query("""WITH c AS (SELECT doc_id, source AS symbol, 0.9 AS confidence FROM documents UNION ALL SELECT doc_id, lang, 0.6 FROM documents UNION ALL SELECT doc_id, source, 0.99 FROM documents WHERE doc_id % 7 = 0)
@@ -521,11 +568,16 @@ def t32_headlines_of_big_moves(spark, sf_dir):
     return b.join(notes, ["symbol", "day"], "left").select("symbol", "day", F.coalesce("n", F.lit(0)).alias("notes"), "largest")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 'Director' WHEN o_orderpriority LIKE '%HIGH%' THEN 'Officer' WHEN o_orderstatus = 'F' THEN 'Owner' ELSE 'Insider' END AS role FROM orders""")
+def role(title: Column, officer: Column, director: Column, owner: Column) -> Column:
+    """How an insider is described: by the title, else the strongest tie."""
+    return F.when(title != "", title).when(officer, "Officer").when(director, "Director").when(owner, "10% owner").otherwise("Insider")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_clerk WHEN o_orderpriority LIKE '%URGENT%' THEN 'Officer' WHEN o_orderpriority LIKE '%HIGH%' THEN 'Director' WHEN o_orderstatus = 'F' THEN '10% owner' ELSE 'Insider' END AS role FROM (SELECT *, 'Chief ' || o_custkey AS o_clerk FROM orders)""")
 def t34_role_labels(spark, sf_dir):
     p = F.col("o_orderpriority")
-    label = F.coalesce(F.when(p.contains("URGENT"), "Director"), F.when(p.contains("HIGH"), "Officer"), F.when(F.col("o_orderstatus") == "F", "Owner"), F.lit("Insider"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", label.alias("role"))
+    title = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("Chief "), "o_custkey")).otherwise("")
+    return table(spark, sf_dir, "orders").select("o_orderkey", role(title, p.contains("URGENT"), p.contains("HIGH"), F.col("o_orderstatus") == "F").alias("role"))
 
 
 @query(f"""WITH {_KEY}, p AS (SELECT doc_id, lang, key, {_class_sql('kind')} AS kind, {_class_sql('importance')} AS importance FROM k WHERE length(title) > 0)

@@ -283,12 +283,16 @@ def latest(bars: DataFrame, rule: Rule) -> DataFrame:
 
 
 def cooled(hits: DataFrame, keys: list[str], hours: float) -> DataFrame:
-    """Those rows of ``hits`` (keys, ts) that fire: each silences the following ones for ``hours``. Order matters, so the
-    hits of one key are folded in order of time."""
+    """Those rows of ``hits`` (keys, ts) that fire: each silences the following ones for ``hours``. A hit that comes as long
+    after the one before fires whatever fired earlier, so it begins a stretch of its own; stretches are folded, in order of
+    time, each by itself."""
     start = F.struct(F.lit(None).cast("timestamp_ntz").alias("last"), F.array().cast("array<timestamp_ntz>").alias("fired"))
     wait = F.expr(f"INTERVAL {int(hours * 3600)} SECOND")
     step = lambda s, t: F.when(s["last"].isNull() | (t >= s["last"] + wait), F.struct(t.alias("last"), F.concat(s["fired"], F.array(t)).alias("fired"))).otherwise(s)
-    folded = hits.groupBy(*keys).agg(F.array_sort(F.collect_list("ts")).alias("x"))
+    w = Window.partitionBy(*keys).orderBy("ts")
+    before = F.lag("ts").over(w)
+    marked = hits.select(*keys, "ts", F.when(before.isNull() | (F.col("ts") >= before + wait), 1).otherwise(0).alias("fresh")).withColumn("stretch", F.sum("fresh").over(w))
+    folded = marked.groupBy(*keys, "stretch").agg(F.array_sort(F.collect_list("ts")).alias("x"))
     return folded.select(*keys, F.explode(F.aggregate("x", start, step, lambda s: s["fired"])).alias("ts"))
 
 

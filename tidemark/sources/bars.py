@@ -85,10 +85,12 @@ def joined_history(recent: DataFrame, older: DataFrame) -> DataFrame:
 
 def filled(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Bars on every session of ``calendar`` (ts) from a symbol's first bar on: a missing session carries the close before,
-    without volume."""
+    without volume. A join on months stands for the range join."""
     w = Window.partitionBy("symbol").orderBy("ts")
-    span = bars.groupBy("symbol").agg(F.min("ts").alias("from"))
-    grid = calendar.join(span, F.col("ts") >= F.col("from")).select("symbol", "ts")
+    last = F.broadcast(calendar.agg(F.max("ts").alias("last")))  # one row
+    span = bars.groupBy("symbol").agg(F.min("ts").alias("from")).join(last).where("from <= last")
+    span = span.select("symbol", "from", F.explode(F.sequence(F.trunc("from", "month"), F.trunc("last", "month"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    grid = calendar.withColumn("month", F.trunc("ts", "month")).join(span, "month").where("ts >= from").select("symbol", "ts")
     x = grid.join(bars, ["symbol", "ts"], "left").withColumn("carried", F.last("close", ignorenulls=True).over(w))
     price = {c: F.coalesce(c, "carried").alias(c) for c in PRICES}
     return x.select("symbol", "ts", *price.values(), F.coalesce("volume", F.lit(0.0)).alias("volume"), F.col("close").isNull().alias("carried_over"))

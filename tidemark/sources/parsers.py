@@ -128,9 +128,11 @@ def disclosed_tickers(texts: DataFrame) -> DataFrame:
 
 
 def reference_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """A reference table with headers in upper case; malformed rows and rows without a required value go."""
+    """A reference table with headers in upper case; malformed rows and rows without a required value go, and of rows with
+    one first required value the least in order of columns stays."""
     raw = spark.read.csv(path, header=True, mode="DROPMALFORMED")
-    return raw.toDF(*[c.strip().upper() for c in raw.columns]).dropna(subset=required).dropDuplicates(required[:1])
+    rows = raw.toDF(*[c.strip().upper() for c in raw.columns]).dropna(subset=required)
+    return rows.groupBy(required[0]).agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
 
 
 def original_filings(filings: DataFrame, n: int) -> DataFrame:

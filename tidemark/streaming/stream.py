@@ -1,7 +1,8 @@
 """Streams of events (X1-X9) and event-time windows (extensions).
 
-A run reads what is available now, in order of arrival, and writes Parquet to the shared folder that the cluster names in
-``spark.checkpoint.dir``; state and offsets are kept there too, so a restarted run goes on where the last one stopped.
+A run reads what is available now, a bounded number of files a micro-batch in order of arrival, and writes Parquet to the
+shared folder that the cluster names in ``spark.checkpoint.dir``; state and offsets are kept there too. A run that is given
+the name of an earlier one goes on where that one stopped; without a name it starts anew.
 """
 
 from __future__ import annotations
@@ -20,20 +21,31 @@ from tidemark.registry import query, table
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-
-
-def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    """A table read as a stream of files; times are instants, as watermarks ask for."""
+    """The folder that driver and executors share. Where none is set, a local session (tests) takes a temporary one; on a
+    cluster this raises."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.gettempdir()
+
+
+def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", files: int = 8) -> DataFrame:
+    """A table read as a stream of at most ``files`` files a micro-batch, which bounds what a key holds at once; times are
+    instants, as watermarks ask for."""
     kind = table(spark, sf_dir, name).schema
-    x = spark.readStream.schema(kind).parquet(f"{sf_dir}/{name}.parque[t]")
+    x = spark.readStream.schema(kind).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parque[t]")
     return x.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in kind.names else x
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream until nothing is left and returns what it wrote."""
-    at = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+def place(spark: SparkSession, name: str | None) -> str:
+    return f"{shared_dir(spark)}/stream-{name or uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
+    """Runs a stream until nothing is left and returns what it wrote, in earlier runs of this name too."""
+    at = place(stream.sparkSession, name)
     if mode == "append":
         run = stream.writeStream.format("parquet").option("path", f"{at}/out").outputMode("append")
     else:
@@ -42,24 +54,22 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def upserted(stream: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Micro-batches merged into a table by key, where the larger ``version`` stays; a batch that comes twice changes
-    nothing."""
-    spark, at = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/upsert-{uuid.uuid4().hex}"
-    best = F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), version).alias("r")
-    state = {"n": None}
+def upserted(stream: DataFrame, keys: list[str], version: str, name: str | None = None) -> DataFrame:
+    """Micro-batches merged into a table by key, where the larger ``version`` stays. A batch adds the newest row of each of
+    its keys, in a folder of its own, which a batch that comes again writes over; reading merges them."""
+    spark, at = stream.sparkSession, place(stream.sparkSession, name)
+    newest = F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), version).alias("r")
 
-    def merge(df: DataFrame, batch: int) -> None:
-        old = spark.read.schema(stream.schema).parquet(f"{at}/{state['n']}") if state["n"] is not None else df.limit(0)
-        old.unionByName(df).groupBy(*keys).agg(best).select(*keys, "r.*").write.mode("overwrite").parquet(f"{at}/{batch}")
-        state["n"] = batch
+    def add(df: DataFrame, batch: int) -> None:
+        df.groupBy(*keys).agg(newest).select(*keys, "r.*").write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/{state['n']}").select(*stream.columns) if state["n"] is not None else spark.createDataFrame([], stream.schema)
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{at}/out")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "r.*").select(*stream.columns)
 
 
 def stateful(stream: DataFrame, key: str, out: str, state: str, step: Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]) -> DataFrame:
-    """A function of a key's state and new rows, in order of time, to the next state and rows to emit."""
+    """A function of a key's state and its new rows of a micro-batch, in order of time, to the next state and rows to emit."""
 
     def work(k, batches, held: GroupState):
         pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
