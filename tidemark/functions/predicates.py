@@ -206,11 +206,78 @@ def p16_market_noise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", market_noise(title, F.col("text"), F.col("source") == "src0").alias("noise"))
 
 
-@query("""SELECT page_id FROM pages WHERE NOT regexp_matches(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '(^|\\.)(blog|m)\\.') AND right(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), 4) <> '.org'""")
+#: Hosts that write for another country's investors, and the names that aggregators give them.
+FOREIGN_HOSTS = [
+    "livemint.com", "economictimes.indiatimes.com", "timesofindia.indiatimes.com", "indiatimes.com", "economictimes.com", "timesofindia.com", "moneycontrol.com", "business-standard.com",
+    "financialexpress.com", "thehindubusinessline.com", "thehindu.com", "ndtv.com", "ndtvprofit.com", "hindustantimes.com", "zeebiz.com", "news18.com", "cnbctv18.com", "businesstoday.in",
+    "indiatoday.in", "outlookbusiness.com", "rediff.com", "firstpost.com", "deccanherald.com", "goodreturns.in", "tradebrains.in", "trendlyne.com", "tickertape.in", "angelone.in",
+    "zerodha.com", "groww.in", "5paisa.com", "upstox.com", "dsij.in", "equitymaster.com", "investing.com/india", "in.investing.com", "in.tradingview.com", "inc42.com", "entrackr.com", "yourstory.com",
+]
+FOREIGN_PUBLISHERS = [
+    "mint", "livemint", "the economic times", "economic times", "the times of india", "times of india", "moneycontrol", "moneycontrol.com", "business standard", "the financial express",
+    "financial express", "the hindu businessline", "businessline", "the hindu", "ndtv profit", "ndtv", "hindustan times", "zee business", "news18", "cnbc tv18", "cnbctv18", "cnbc-tv18",
+    "business today", "india today", "outlook business", "rediff", "firstpost", "deccan herald", "goodreturns", "trade brains", "groww", "zerodha", "5paisa", "upstox", "angel one", "dsij",
+    "equitymaster", "inc42", "entrackr", "yourstory", "the indian express", "indian express", "financial express - india",
+]
+_FOREIGN = r"(^|\.)(" + "|".join(h.replace(".", r"\.") for h in FOREIGN_HOSTS if "/" not in h) + ")$"
+_FOREIGN_PATH = "^(" + "|".join(h.replace(".", r"\.") for h in FOREIGN_HOSTS) + ")/"
+
+
+def foreign(url: Column, publisher: Column) -> Column:
+    """Whether a publisher writes for another market: by the end of its host, by host and path, or by its name."""
+    rest = F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), r"(?i)^https?://([^?#]*)", 1)), r"^www\.", "")
+    host = F.regexp_replace(F.regexp_extract(rest, "^([^/]*)", 1), r":\d+$", "")
+    return host.rlike(r"\.in$") | host.rlike(_FOREIGN) | rest.rlike(_FOREIGN_PATH) | F.lower(F.trim(publisher)).isin(FOREIGN_PUBLISHERS)
+
+
+_ELSEWHERE = ["https://www.livemint.com/a", "http://sub.thehindu.com:80/b?x", "https://www.investing.com/india/c", "https://investing.com/indian", "https://markets.in/", "https://notndtv.com/d", ""]
+
+
+@query(f"""WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {_ELSEWHERE}[1 + page_id // 3 % 7] ELSE url END AS url, CASE page_id % 20 WHEN 1 THEN ' The Hindu' WHEN 2 THEN 'Hindu' ELSE '' END AS publisher FROM pages),
+r AS (SELECT page_id, publisher, regexp_replace(lower(regexp_extract(trim(url), '(?i)^https?://([^?#]*)', 1)), '^www\\.', '') AS rest FROM u), h AS (SELECT *, regexp_replace(regexp_extract(rest, '^([^/]*)', 1), ':\\d+$', '') AS host FROM r)
+SELECT page_id FROM h WHERE NOT (regexp_matches(host, '\\.in$') OR regexp_matches(host, '{_FOREIGN}') OR regexp_matches(rest, '{_FOREIGN_PATH}') OR list_contains({FOREIGN_PUBLISHERS}, lower(trim(publisher))))""")
 def p17_foreign_publishers(spark, sf_dir):
-    """Hosts whose end or name is on a list go."""
-    host = F.lower(F.regexp_extract("url", "^https?://([^/?#:]*)", 1))
-    return table(spark, sf_dir, "pages").where(~host.rlike(r"(^|\.)(blog|m)\.") & ~host.endswith(".org")).select("page_id")
+    """Pages of foreign publishers go; every third page gets another address, some a publisher's name."""
+    k = F.col("page_id")
+    url = F.when(k % 3 == 0, F.get(F.array(*map(F.lit, _ELSEWHERE)), (F.floor(k / 3) % 7).cast("int"))).otherwise(F.col("url"))
+    publisher = F.when(k % 20 == 1, " The Hindu").when(k % 20 == 2, "Hindu").otherwise("")
+    return table(spark, sf_dir, "pages").where(~foreign(url, publisher)).select("page_id")
+
+
+LEVELS = {"none": 0.0, "weak": 0.25, "fair": 0.5, "good": 0.75, "full": 1.0}
+
+
+def expectation(shares: list[Column]) -> Column:
+    """The mean level of a rubric under shares of its levels, which need not add up to 1; null if all are 0."""
+    total = reduce(Column.__add__, shares)
+    worth = reduce(Column.__add__, [s * F.lit(v) for s, v in zip(shares, LEVELS.values())])
+    return F.try_divide(worth, total)
+
+
+@query("""SELECT p_partkey, round((a * 0.0 + b * 0.25 + c * 0.5 + d * 0.75 + e * 1.0) / nullif(a + b + c + d + e, 0), 6) AS expectation FROM (SELECT p_partkey, CAST(p_size % 2 AS DOUBLE) AS a, CAST(p_size % 3 AS DOUBLE) AS b, CAST(p_size % 5 AS DOUBLE) AS c, CAST(p_partkey % 2 AS DOUBLE) AS d, CAST(p_partkey % 3 AS DOUBLE) AS e FROM part)""")
+def f_expectation(spark, sf_dir):
+    shares = [(F.col(c) % k).cast("double") for c, k in (("p_size", 2), ("p_size", 3), ("p_size", 5), ("p_partkey", 2), ("p_partkey", 3))]
+    return table(spark, sf_dir, "part").select("p_partkey", r6("expectation", expectation(shares)))
+
+
+@query("""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), f AS (SELECT DISTINCT word || 's' AS word FROM w) SELECT word, CASE WHEN regexp_matches(word, '...ies$') THEN regexp_replace(word, 'ies$', 'y') WHEN regexp_matches(word, '(ch|sh|s|x)es$') THEN regexp_replace(word, 'es$', '') WHEN regexp_matches(word, '[^su]s$') THEN regexp_replace(word, 's$', '') ELSE word END AS stem FROM f""")
+def f_stem(spark, sf_dir):
+    w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).select(F.concat("w", F.lit("s")).alias("word")).distinct()
+    return w.select("word", tx.stem(F.col("word")).alias("stem"))
+
+
+@query("""SELECT doc_id, CASE WHEN t1 = '' THEN text ELSE t1 END AS first_one, CASE WHEN t3 = '' THEN text ELSE t3 END AS first_three FROM (SELECT doc_id, text, regexp_extract(text, '""" + tx.sentence_pattern(1) + """', 1) AS t1, regexp_extract(text, '""" + tx.sentence_pattern(3) + """', 1) AS t3 FROM documents)""")
+def f_first_sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.first_sentences(F.col("text"), 1).alias("first_one"), tx.first_sentences(F.col("text"), 3).alias("first_three"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE n_name || ' - ' || CASE WHEN n_nationkey % 3 = 1 THEN 'The Paper' ELSE 'today' END END AS title, CAST(round(n_nationkey * 1234.5::DOUBLE, 1) AS DOUBLE) AS loose FROM nation""")
+def f_headline_parts(spark, sf_dir):
+    """A title without its publisher, and a number in text with separators."""
+    k = F.col("n_nationkey")
+    title = F.concat("n_name", F.when(k % 3 == 2, " - today").otherwise(" - The Paper"))
+    number = F.format_number(k * 1234.5, 1)
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.when(k % 3 == 1, title).otherwise(tx.strip_publisher(title, F.lit("the paper"))).alias("title"), tx.loose_number(number).alias("loose"))
 
 
 @query("""WITH r AS (SELECT user_id, bool_or(event_type = 'error') AS retired, bool_or(event_type = 'purchase' AND value > 100) AS live FROM events GROUP BY 1) SELECT user_id FROM r WHERE NOT (retired AND NOT live)""")

@@ -151,6 +151,7 @@ def f8_ridge(spark, sf_dir):
     """Weights learnt from all sessions; tested against numpy on collected rows."""
     rows = learning_rows(spark, sf_dir).cache()
     w = ridge(rows, _X, "y")
+    rows.unpersist()
     return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(["intercept", *_X], w)], "name string, weight double")
 
 
@@ -162,6 +163,56 @@ def f9_information_coefficient(spark, sf_dir):
     return ic.agg(r6("mean_ic", F.avg("ic")), F.round(F.avg("ic") / F.stddev_samp("ic") * F.sqrt(F.count("*")), 4).alias("t_stat"), F.count("*").alias("days"))
 
 
+def newey_west(x: DataFrame, value: str, order: str, lags: int) -> DataFrame:
+    """(mean, t, n) of a short series: the variance of the mean from autocovariances up to ``lags``, with Bartlett weights.
+    ``x`` has one row a session."""
+    w = Window.orderBy(order)
+    d = x.withColumn("d", F.col(value) - F.avg(value).over(Window.partitionBy()))
+    d = d.withColumns({f"d{k}": F.col("d") * F.lag("d", k).over(w) for k in range(1, lags + 1)})
+    n = F.count(value)
+    total = F.sum(F.col("d") * F.col("d")) / n
+    for k in range(1, lags + 1):
+        total = total + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"d{k}"), F.lit(0.0)) / n
+    return d.agg(F.avg(value).alias("mean"), F.when(total > 0, F.avg(value) / F.sqrt(total / n)).alias("t"), n.alias("n"))
+
+
+_IC_SQL = f"""{_PANEL_SQL}, x AS (SELECT symbol, t, close / lag(close) OVER w - 1 AS a, close / lag(close, 3) OVER w - 1 AS b, ln(lead(close) OVER w / close) AS y FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+v AS (SELECT * FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL), r AS (SELECT t, y, (rank() OVER (PARTITION BY t ORDER BY a) - 1 + (count(*) OVER (PARTITION BY t, a) - 1) / 2.0::DOUBLE) / (count(*) OVER (PARTITION BY t) - 1) * 2 - 1 AS f1 FROM v),
+ic AS (SELECT t, corr(f1, y) AS ic FROM r GROUP BY t)"""
+
+
+@query(f"""WITH {_IC_SQL}, d AS (SELECT t, ic, ic - avg(ic) OVER () AS d FROM ic), l AS (SELECT ic, d, d * lag(d) OVER w AS d1, d * lag(d, 2) OVER w AS d2, d * lag(d, 3) OVER w AS d3, d * lag(d, 4) OVER w AS d4 FROM d WINDOW w AS (ORDER BY t)),
+s AS (SELECT avg(ic) AS m, count(ic) AS n, (sum(d * d) + 2 * (0.8::DOUBLE * sum(d1) + 0.6::DOUBLE * sum(d2) + 0.4::DOUBLE * sum(d3) + 0.2::DOUBLE * sum(d4))) / count(ic) AS v FROM l)
+SELECT round(m, 6) AS mean_ic, round(CASE WHEN v > 0 THEN m / sqrt(v / n) END, 4) AS t_stat, round(CASE WHEN v > 0 THEN m * least(1, pow(m / sqrt(v / n) / 2, 2)) END, 6) AS weight, n AS days FROM s""")
+def f9_newey_west_weight(spark, sf_dir):
+    """The weight of a factor: its mean information coefficient, shrunk where its t, robust to overlap, is under 2."""
+    ic = learning_rows(spark, sf_dir).groupBy("t").agg(F.corr("f1", "y").alias("ic"))
+    x = newey_west(ic, "ic", "t", 4)
+    weight = F.when(F.col("t").isNotNull(), F.col("mean") * F.least(F.lit(1.0), F.pow(F.col("t") / 2, 2)))
+    return x.select(r6("mean_ic", F.col("mean")), F.round("t", 4).alias("t_stat"), r6("weight", weight), F.col("n").alias("days"))
+
+
+@query(f"""WITH {_IC_SQL.split(", ic AS")[0]}, q AS (SELECT quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.99) AS hi FROM r), c AS (SELECT f1, least(greatest(y, lo), hi) AS y FROM r, q)
+SELECT round(regr_slope(y, f1), 6) AS slope, round(regr_intercept(y, f1), 6) AS intercept, count(*) AS n FROM c""")
+def f_winsorised_slope(spark, sf_dir):
+    """The slope of returns on a factor, returns drawn in to their first and last percentile."""
+    rows = learning_rows(spark, sf_dir).select("f1", "y")
+    q = F.broadcast(rows.agg(F.percentile("y", 0.01).alias("lo"), F.percentile("y", 0.99).alias("hi")))  # one row
+    c = rows.join(q).withColumn("y", F.least(F.greatest("y", "lo"), "hi"))
+    return c.agg(r6("slope", F.regr_slope("y", "f1")), r6("intercept", F.regr_intercept("y", "f1")), F.count("*").alias("n"))
+
+
+@query(f"""WITH {HOURLY_SQL}, v AS (SELECT symbol, ts, greatest(pow(ln(high / low), 2) / (4 * ln(2::DOUBLE)), 1e-6) AS v FROM bars), h AS (SELECT symbol, v, count(*) OVER w AS n, avg(v) OVER w AS h FROM v WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+SELECT symbol, round(avg(v / h - ln(v / h) - 1), 6) AS qlike, count(*) AS n FROM h WHERE n = 20 GROUP BY 1""")
+def f21_qlike(spark, sf_dir):
+    """The loss of the mean variance of 20 bars as a forecast of the next one's."""
+    v = F.greatest(F.pow(F.ln(F.col("high") / F.col("low")), 2) / (4 * F.ln(F.lit(2.0))), F.lit(1e-6))
+    w = series().rowsBetween(-20, -1)
+    x = hourly(spark, sf_dir).withColumn("v", v).withColumn("n", F.count("*").over(w)).withColumn("h", F.avg("v").over(w)).where("n = 20")
+    ratio = F.col("v") / F.col("h")
+    return x.groupBy("symbol").agg(r6("qlike", F.avg(ratio - F.ln(ratio) - 1)), F.count("*").alias("n"))
+
+
 # Boosted trees: histograms by Spark, splits on the driver
 
 
@@ -251,6 +302,7 @@ def f11_har(spark, sf_dir):
     """Weights of the log-variance regression; tested against numpy."""
     rows = har_rows(hourly(spark, sf_dir)).cache()
     w = ridge(rows, ["d", "w", "m"], "y", 1e-6)
+    rows.unpersist()
     return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(["intercept", "day", "week", "month"], w)], "name string, weight double")
 
 

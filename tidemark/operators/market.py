@@ -75,6 +75,22 @@ def _scored(spark, sf_dir) -> DataFrame:
     return scan(users_daily(spark, sf_dir), 15).withColumn("signals", signals()).withColumn("score", score())
 
 
+_SWEEPS: dict[tuple[str, str], str] = {}
+
+
+def sweep(spark, sf_dir: str, anew: bool = False) -> DataFrame:
+    """The session's stored scan of ``sf_dir``: swept once (or ``anew``), written to the shared folder, and read by every
+    screen and list after."""
+    from tidemark.streaming.stream import place
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if anew or key not in _SWEEPS:
+        path = place(spark, None).replace("stream-", "sweep-")
+        _scored(spark, sf_dir).write.parquet(path)
+        _SWEEPS[key] = path
+    return spark.read.parquet(_SWEEPS[key])
+
+
 @query(f"WITH {_SCAN_SQL} SELECT symbol, close_price, round(return_1d, 4) AS return_1d, round(return_z, 4) AS return_z, round(volume_z, 4) AS volume_z, round(volume_ratio, 4) AS volume_ratio, round(gap_percent, 4) AS gap_percent FROM scored")
 def a11_scan_metrics(spark, sf_dir):
     four = lambda c: F.round(c, 4).alias(c)
@@ -90,7 +106,7 @@ def a12_signals(spark, sf_dir):
 def a30_a31_findings(spark, sf_dir):
     """Findings by score; a note of the last hours explains one."""
     note = table(spark, sf_dir, "events").where("event_type = 'error' AND ts >= TIMESTAMP_NTZ '2024-01-29'").select(F.col("user_id").alias("symbol")).distinct().withColumn("explained", F.lit(True))
-    f = _scored(spark, sf_dir).where(F.size("signals") > 0).join(note, "symbol", "left").withColumn("explained", F.coalesce("explained", F.lit(False)))
+    f = sweep(spark, sf_dir).where(F.size("signals") > 0).join(note, "symbol", "left").withColumn("explained", F.coalesce("explained", F.lit(False)))
     heat = F.when(F.col("explained"), 2.5).otherwise(0.8 + F.least(F.col("score") * 0.25, F.lit(3.5)))
     return f.orderBy(F.desc("score"), "symbol").limit(40).select("symbol", "explained", (heat > 2).alias("warm"))
 
@@ -138,16 +154,21 @@ class Screen:
 @query(f"WITH {_SCAN_SQL} SELECT symbol, round(return_1d, 4) AS return_1d, round(volume_ratio, 4) AS volume_ratio FROM scored WHERE return_1d > 10 OR volume_ratio >= 1.5 ORDER BY close_price DESC NULLS LAST, symbol LIMIT 30")
 def k2_screen(spark, sf_dir):
     s = Screen.parse('{"match": "any", "conditions": [{"field": "return_1d", "op": ">", "value": 10}, {"field": "volume_ratio", "op": ">=", "value": 1.5}], "sort_by": "close_price", "limit": 30}')
-    return s.run(_scored(spark, sf_dir)).select("symbol", F.round("return_1d", 4).alias("return_1d"), F.round("volume_ratio", 4).alias("volume_ratio"))
+    return s.run(sweep(spark, sf_dir)).select("symbol", F.round("return_1d", 4).alias("return_1d"), F.round("volume_ratio", 4).alias("volume_ratio"))
 
 
-@query(f"""WITH {HOURLY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS nth, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS lr FROM bars),
-g AS (SELECT symbol, count(*) AS bars, max(close) FILTER (WHERE nth = 1) AS c, max(close) FILTER (WHERE nth = 6) AS w, max(close) FILTER (WHERE nth = 22) AS m, max(close) FILTER (WHERE nth = 253) AS y, stddev_samp(lr) FILTER (WHERE nth <= 252) AS sd, avg(volume) AS v FROM r GROUP BY 1)
-SELECT symbol, bars, round(c / w - 1, 6) AS return_1w, round(c / m - 1, 6) AS return_1m, round(c / y - 1, 6) AS return_1y, round(sd * sqrt(252), 6) AS volatility, round(v, 6) AS avg_volume FROM g WHERE bars >= 30""")
+@query(f"""WITH {HOURLY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS nth, ln(close / lag(close) OVER w) AS lr, max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 251 PRECEDING) AS peak FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+g AS (SELECT symbol, count(*) AS bars, max(close) FILTER (WHERE nth = 1) AS c, max(close) FILTER (WHERE nth = 6) AS w, max(close) FILTER (WHERE nth = 22) AS m, max(close) FILTER (WHERE nth = 64) AS q, max(close) FILTER (WHERE nth = 127) AS h, max(close) FILTER (WHERE nth = 253) AS y,
+ stddev_samp(lr) FILTER (WHERE nth <= 252) AS sd, min(close / peak - 1) FILTER (WHERE nth <= 252) AS dd, avg(volume) AS v FROM r GROUP BY 1)
+SELECT symbol, bars, round(c / w - 1, 6) AS return_1w, round(c / m - 1, 6) AS return_1m, round(c / q - 1, 6) AS return_3m, round(c / h - 1, 6) AS return_6m, round(c / y - 1, 6) AS return_1y, round(sd * sqrt(252), 6) AS volatility, round(dd, 6) AS drawdown, round(v, 6) AS avg_volume FROM g WHERE bars >= 30""")
 def a13_market_profile(spark, sf_dir):
-    r = hourly(spark, sf_dir).withColumn("nth", F.row_number().over(_newest_first())).withColumn("lr", F.ln(F.col("close") / F.lag("close").over(series())))
+    """Returns over a week, a month, a quarter, half a year and a year of bars; the year's volatility and drawdown."""
+    peak = F.max("close").over(series().rowsBetween(-251, 0))
+    r = hourly(spark, sf_dir).withColumn("nth", F.row_number().over(_newest_first())).withColumn("lr", F.ln(F.col("close") / F.lag("close").over(series()))).withColumn("below", F.col("close") / peak - 1)
     at = lambda k: F.max(F.when(F.col("nth") == k, F.col("close")))
-    g = r.groupBy("symbol").agg(F.count("*").alias("bars"), r6("return_1w", at(1) / at(6) - 1), r6("return_1m", at(1) / at(22) - 1), r6("return_1y", at(1) / at(253) - 1), r6("volatility", F.stddev_samp(F.when(F.col("nth") <= 252, F.col("lr"))) * F.sqrt(F.lit(252.0))), r6("avg_volume", F.avg("volume")))
+    year = lambda c: F.when(F.col("nth") <= 252, F.col(c))
+    returns = [r6(f"return_{n}", at(1) / at(k) - 1) for n, k in (("1w", 6), ("1m", 22), ("3m", 64), ("6m", 127), ("1y", 253))]
+    g = r.groupBy("symbol").agg(F.count("*").alias("bars"), *returns, r6("volatility", F.stddev_samp(year("lr")) * F.sqrt(F.lit(252.0))), r6("drawdown", F.min(year("below"))), r6("avg_volume", F.avg("volume")))
     return g.where("bars >= 30")
 
 
@@ -160,6 +181,21 @@ def a14_j12_beta(spark, sf_dir):
     return x.groupBy("symbol").agg(r6("beta", F.covar_pop("r", "m") / F.var_pop("m")), r6("correlation", F.corr("r", "m")), F.count_if(F.col("r") > F.col("m")).alias("ahead"), F.count_if(F.col("r") < F.col("m")).alias("behind"))
 
 
+@query(f"""WITH {HOURLY_SQL}, {MARKET_SQL}, x AS (SELECT symbol, ts, ln(close / lag(close) OVER w) AS r, ln(mclose / lag(mclose) OVER w) AS m FROM bars JOIN market USING (ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+v AS (SELECT * FROM x WHERE r IS NOT NULL AND m IS NOT NULL), f AS (SELECT symbol, regr_slope(r, m) AS b, regr_intercept(r, m) AS a FROM v GROUP BY 1), n AS (SELECT v.*, r - a - b * m AS abnormal, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS nth FROM v JOIN f USING (symbol))
+SELECT symbol, round(sum(abnormal) FILTER (WHERE nth <= 5), 6) AS abnormal_5, round(sum(abnormal) FILTER (WHERE nth <= 20), 6) AS abnormal_20, round(sum(r - m) FILTER (WHERE nth <= 5), 6) AS excess_5, round(sum(r - m) FILTER (WHERE nth <= 20), 6) AS excess_20, round(sum(r - m) FILTER (WHERE nth <= 60), 6) AS excess_60 FROM n GROUP BY 1""")
+def a14_abnormal_returns(spark, sf_dir):
+    """What the market model leaves of the newest bars, and excess over the market by horizon."""
+    from tidemark.operators.indicators import with_market
+
+    v = with_market(hourly(spark, sf_dir), market(spark, sf_dir)).where("r IS NOT NULL AND m IS NOT NULL").select("symbol", "ts", "r", "m")
+    f = v.groupBy("symbol").agg(F.regr_slope("r", "m").alias("b"), F.regr_intercept("r", "m").alias("a"))
+    n = v.join(f, "symbol").withColumn("abnormal", F.col("r") - F.col("a") - F.col("b") * F.col("m")).withColumn("nth", F.row_number().over(_newest_first()))
+    newest = lambda x, k: F.sum(F.when(F.col("nth") <= k, x))
+    excess = F.col("r") - F.col("m")
+    return n.groupBy("symbol").agg(*[r6(f"abnormal_{k}", newest(F.col("abnormal"), k)) for k in (5, 20)], *[r6(f"excess_{k}", newest(excess, k)) for k in (5, 20, 60)])
+
+
 def event_bars(events: DataFrame, bars: DataFrame, h: int) -> DataFrame:
     """Each event (event_id, symbol, at) with the bar that first closes after it: the close before, the entry, and the exit
     ``h`` bars on. Bars are hours and close at their end; a join on the day of the bar's span replaces the range join."""
@@ -238,3 +274,17 @@ def a18_a32_performance(spark, sf_dir):
     r = hourly(spark, sf_dir).withColumn("r", F.col("close") / F.lag("close").over(series()) - 1).withColumn("peak", F.max("close").over(series().rowsBetween(Window.unboundedPreceding, 0)))
     sharpe = F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(252.0))
     return r.groupBy("symbol").agg(r6("total_return", F.max_by("close", "ts") / F.min_by("close", "ts") - 1), r6("drawdown", F.min(F.col("close") / F.col("peak") - 1)), r6("sharpe", sharpe), F.when(sharpe > 2, "strong").when(F.avg("r") > 0, "positive").otherwise("negative").alias("verdict"))
+
+
+@query(f"""WITH {HOURLY_SQL}, {MARKET_SQL}, x AS (SELECT symbol, ts, close / lag(close) OVER w - 1 AS r, mclose / lag(mclose) OVER w - 1 AS m FROM bars JOIN market USING (ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+v AS (SELECT * FROM x WHERE r IS NOT NULL AND m IS NOT NULL)
+SELECT symbol, round(regr_slope(r, m), 6) AS beta, round(regr_intercept(r, m) * 252, 6) AS alpha, round(stddev_samp(r) * sqrt(252), 6) AS volatility, round(exp(sum(ln(1 + r))) - exp(sum(ln(1 + m))), 6) AS excess,
+ round(avg(r - m) / nullif(stddev_samp(r - m), 0) * sqrt(252), 6) AS information_ratio FROM v GROUP BY 1""")
+def a18_against_benchmark(spark, sf_dir):
+    """Alpha, beta, volatility and compounded excess against the market, whose returns are simple ones here."""
+    m = market(spark, sf_dir)
+    x = hourly(spark, sf_dir).join(m, "ts").withColumn("r", F.col("close") / F.lag("close").over(series()) - 1).withColumn("m", F.col("mclose") / F.lag("mclose").over(series()) - 1).where("r IS NOT NULL AND m IS NOT NULL")
+    over = F.col("r") - F.col("m")
+    total = lambda c: F.exp(F.sum(F.ln(1 + F.col(c))))
+    year = F.sqrt(F.lit(252.0))
+    return x.groupBy("symbol").agg(r6("beta", F.regr_slope("r", "m")), r6("alpha", F.regr_intercept("r", "m") * 252), r6("volatility", F.stddev_samp("r") * year), r6("excess", total("r") - total("m")), r6("information_ratio", F.try_divide(F.avg(over), F.stddev_samp(over)) * year))
