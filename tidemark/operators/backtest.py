@@ -156,14 +156,14 @@ def b4_warnings(spark, sf_dir):
 
 def equity(bars: DataFrame, t: DataFrame) -> DataFrame:
     """(symbol, ts, close, ret, held, equity): the account at each bar, which a trade's return moves when it ends; ``held``:
-    whether the bar ends a trade or stands inside of one that ends with the next bar."""
-    won = t.groupBy("symbol", F.col("exit_at").alias("ts")).agg(F.sum(F.ln(1 + F.col("ret"))).alias("won"))
+    whether the bar ends a trade or stands inside of one that ends with the next bar. Of an account that loses all a millionth is left."""
+    won = t.groupBy("symbol", F.col("exit_at").alias("ts")).agg(F.sum(F.ln(F.greatest(1 + F.col("ret"), F.lit(1e-6)))).alias("won"))
     x = bars.select("symbol", "ts", "close").join(won, ["symbol", "ts"], "left").withColumn("won", F.coalesce("won", F.lit(0.0)))
     ended = F.col("won") != 0
     return x.withColumn("held", ended | F.coalesce(F.lead("won").over(series()) != 0, F.lit(False))).withColumn("equity", F.exp(F.sum("won").over(series().rowsBetween(Window.unboundedPreceding, 0)))).withColumn("ret", F.exp("won") - 1)
 
 
-@query(f"""WITH {_HOLD_SQL}, won AS (SELECT symbol, exit_at AS ts, sum(ln(1 + ret)) AS won FROM t GROUP BY 1, 2), x AS (SELECT b.symbol, b.ts, b.close, coalesce(w.won, 0) AS won FROM bars b LEFT JOIN won w USING (symbol, ts)),
+@query(f"""WITH {_HOLD_SQL}, won AS (SELECT symbol, exit_at AS ts, sum(ln(greatest(1 + ret, 1e-6::DOUBLE))) AS won FROM t GROUP BY 1, 2), x AS (SELECT b.symbol, b.ts, b.close, coalesce(w.won, 0) AS won FROM bars b LEFT JOIN won w USING (symbol, ts)),
 e AS (SELECT *, won <> 0 OR coalesce(lead(won) OVER w <> 0, false) AS held, exp(sum(won) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS equity, exp(won) - 1 AS r FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 p AS (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM e)
 SELECT symbol, round(arg_max(equity, ts) - 1, 6) AS total_return, round(pow(arg_max(equity, ts), 168.0::DOUBLE / count(*)) - 1, 6) AS weekly, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(8760), 6) AS sharpe, round(least(min(equity / peak - 1), 0), 6) AS drawdown,
