@@ -230,3 +230,33 @@ def test_simulation_is_repeatable(spark):
     pool = spark.createDataFrame([("A", float(z)) for z in np.random.default_rng(1).normal(0, 0.01, 300)], "symbol string, z double")
     a, b = (fc.simulated(pool, 500).collect() for _ in range(2))
     assert a == b and all(r.q05 < r.q50 < r.q95 for r in a)
+
+
+def test_har_against_numpy(spark):
+    index = sb.random_walk(spark, ["M"], 500, seed=9).selectExpr("ts", "close AS mclose")
+    rows = fc.har_rows(sb.random_walk(spark, ["A", "B", "C"], 500), index)
+    assert fc.har(rows.limit(50)) is None
+    x = np.array([[1.0, *(r[c] for c in fc.HAR)] for r in rows.collect()])
+    y = np.array([r.y for r in rows.collect()])
+    assert len(y) >= 200
+    want = np.linalg.solve(x.T @ x / 1 + 1e-6 * len(y) * np.diag([0, *[1] * len(fc.HAR)]), x.T @ y)
+    w, smear = fc.har(rows)
+    assert np.allclose(w, want, rtol=1e-5, atol=1e-6)
+    ratios = np.exp(y - x @ want)
+    assert abs(smear - np.minimum(ratios, np.sort(ratios)[int(len(ratios) * 0.99)]).mean()) < 0.02
+
+
+def test_stretches_do_not_change_what_fires(spark):
+    """A plain walk over all hits of a key."""
+    pick = np.random.default_rng(5)
+    hours = {k: sorted(pick.choice(2000, 300, replace=False).tolist()) for k in "ab"}
+    df = spark.createDataFrame([(k, int(h)) for k, x in hours.items() for h in x], "symbol string, h long").selectExpr("symbol", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, h) AS ts")
+    got = {(r.symbol, r.ts) for r in rules.cooled(df, ["symbol"], 10).collect()}
+    want, start = set(), pd.Timestamp("2024-01-01")
+    for k, x in hours.items():
+        last = None
+        for h in x:
+            if last is None or h >= last + 10:
+                last = h
+                want.add((k, (start + pd.Timedelta(hours=h)).to_pydatetime()))
+    assert got == want

@@ -287,23 +287,46 @@ def f10_boosted_trees(spark, sf_dir):
 # Volatility and regimes
 
 
-def har_rows(bars: DataFrame) -> DataFrame:
-    """Log variances over 1, 5 and 22 bars and the next five bars' mean."""
-    v = F.greatest(F.pow(F.ln(F.col("high") / F.col("low")), 2) / (4 * math.log(2)), F.lit(1e-6))
-    b = bars.withColumn("v", v)
-    mean = lambda w: F.ln(F.avg("v").over(w))
-    ahead = series().rowsBetween(1, 5)
-    x = b.select("symbol", "ts", F.ln("v").alias("d"), mean(last_n(5)).alias("w"), mean(last_n(22)).alias("m"), F.when(F.count("*").over(ahead) == 5, mean(ahead)).alias("y"), F.row_number().over(series()).alias("k"))
-    return x.where("k >= 22 AND y IS NOT NULL")
+HAR = ["day", "week", "month", "year", "market_month", "market_week"]
+
+
+def har_rows(bars: DataFrame, index: DataFrame, h: int = 5, year: int = 252) -> DataFrame:
+    """(symbol, ts, ``HAR``, y): logs of the mean variance over 1, 5, 22 and ``year`` bars, of the market's over 22 and 5 (which
+    stands for the variance that options imply), and of the next ``h`` bars' mean. ``index``: (ts, mclose)."""
+    floor = F.lit(1e-8)
+    square = lambda c: F.pow(F.ln(F.col(c) / F.lag(c).over(series())), 2)
+    market_w = lambda n: Window.orderBy("ts").rowsBetween(1 - n, 0)  # noqa: E731  one row a bar of the market
+    m = index.withColumn("m2", F.pow(F.ln(F.col("mclose") / F.lag("mclose").over(Window.orderBy("ts"))), 2))
+    m = m.select("ts", *[F.avg("m2").over(market_w(n)).alias(f"m{n}") for n in (22, 5)])
+    b = bars.withColumn("v", F.greatest(F.pow(F.ln(F.col("high") / F.col("low")), 2) / (4 * math.log(2)), floor)).withColumn("r2", square("close")).join(m, "ts")
+    log = lambda x: F.ln(F.greatest(x, floor))
+    ahead = series().rowsBetween(1, h)
+    x = b.select(
+        "symbol", "ts", log(F.col("v")).alias("day"), log(F.avg("v").over(last_n(5))).alias("week"), log(F.avg("v").over(last_n(22))).alias("month"), log(F.avg("r2").over(last_n(year))).alias("year"),
+        log(F.col("m22")).alias("market_month"), log(F.col("m5")).alias("market_week"), F.when(F.count("*").over(ahead) == h, log(F.avg("v").over(ahead))).alias("y"), F.row_number().over(series()).alias("k"))
+    return x.where(F.col("k") > year).where("y IS NOT NULL AND market_week IS NOT NULL").drop("k")
+
+
+def har(rows: DataFrame) -> tuple[np.ndarray, float] | None:
+    """Weights of the log-variance regression, the intercept first, and the smearing factor: the mean ratio of variance to
+    forecast, ratios over their 99th percentile drawn in to it. None of under 200 rows."""
+    if rows.count() < 200:
+        return None
+    w = ridge(rows, HAR, "y", 1e-6)
+    ratio = rows.select(F.exp(F.col("y") - linear(w, HAR)).alias("r"))
+    most = ratio.agg(F.percentile_approx("r", 0.99, 10_000)).first()[0]
+    return w, ratio.agg(F.avg(F.least("r", F.lit(most)))).first()[0]
 
 
 @query()
 def f11_har(spark, sf_dir):
-    """Weights of the log-variance regression; tested against numpy."""
-    rows = har_rows(hourly(spark, sf_dir)).cache()
-    w = ridge(rows, ["d", "w", "m"], "y", 1e-6)
+    """Weights of the regression over all bars, with 60 for a year of them, and its smearing factor; none of under 200 rows.
+    Tested against numpy in tests/test_series.py."""
+    rows = har_rows(hourly(spark, sf_dir), market(spark, sf_dir), year=60).cache()
+    model = har(rows)
     rows.unpersist()
-    return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(["intercept", "day", "week", "month"], w)], "name string, weight double")
+    named = zip(["intercept", *HAR, "smearing"], [*model[0], model[1]]) if model else []
+    return spark.createDataFrame([(n, round(float(v), 6)) for n, v in named], "name string, weight double")
 
 
 def nelder_mead(f, start: np.ndarray, step: float = 0.6, rounds: int = 300) -> np.ndarray:

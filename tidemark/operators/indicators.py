@@ -375,19 +375,32 @@ def candles(bars: DataFrame) -> DataFrame:
   lag(close) OVER w / lag(close, 5) OVER w - 1 AS run, lag(open) OVER w AS o1, lag(high) OVER w AS h1, lag(low) OVER w AS l1, lag(close) OVER w AS c1,
   lag(open, 2) OVER w AS o2, lag(close, 2) OVER w AS c2 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 y AS (SELECT *, span > 0 AND body <= 0.1 * span AS doji FROM x),
-p AS (SELECT symbol, ts, 'doji' AS pattern FROM y WHERE doji
- UNION ALL SELECT symbol, ts, 'hammer' FROM y WHERE span > 0 AND bottom >= 2 * body AND top <= 0.3 * body AND NOT doji AND run < -0.015
- UNION ALL SELECT symbol, ts, 'shooting_star' FROM y WHERE span > 0 AND top >= 2 * body AND bottom <= 0.3 * body AND NOT doji AND run > 0.015
- UNION ALL SELECT symbol, ts, 'bullish_engulfing' FROM y WHERE c1 < o1 AND c > o AND o <= c1 AND c >= o1 AND body > abs(c1 - o1)
- UNION ALL SELECT symbol, ts, 'bearish_harami' FROM y WHERE c1 > o1 AND c < o AND abs(c1 - o1) > mean AND o < c1 AND c > o1
- UNION ALL SELECT symbol, ts, 'dark_cloud' FROM y WHERE c1 > o1 AND c < o AND o > c1 AND c < (o1 + c1) / 2 AND c > o1
- UNION ALL SELECT symbol, ts, 'evening_star' FROM y WHERE c2 > o2 AND abs(c2 - o2) > mean AND abs(c1 - o1) < 0.5 * mean AND c < o AND c < (o2 + c2) / 2
- UNION ALL SELECT symbol, ts, 'three_crows' FROM y WHERE c2 < o2 AND c1 < o1 AND c < o AND c < c1 AND c1 < c2)
+z AS (SELECT *, span > 0 AND bottom >= 2 * body AND top <= 0.3 * body AND NOT doji AS small_top, span > 0 AND top >= 2 * body AND bottom <= 0.3 * body AND NOT doji AS small_bottom FROM y),
+p AS (SELECT symbol, ts, 'dragonfly_doji' AS pattern FROM z WHERE doji AND top <= 0.1 * span AND bottom >= 0.6 * span
+ UNION ALL SELECT symbol, ts, 'gravestone_doji' AS pattern FROM z WHERE doji AND bottom <= 0.1 * span AND top >= 0.6 * span
+ UNION ALL SELECT symbol, ts, 'long_legged_doji' AS pattern FROM z WHERE doji AND top >= 0.3 * span AND bottom >= 0.3 * span
+ UNION ALL SELECT symbol, ts, 'doji' AS pattern FROM z WHERE doji
+ UNION ALL SELECT symbol, ts, 'bullish_marubozu' AS pattern FROM z WHERE span > 0 AND c > o AND body >= 0.95 * span AND body > mean
+ UNION ALL SELECT symbol, ts, 'bearish_marubozu' AS pattern FROM z WHERE span > 0 AND c < o AND body >= 0.95 * span AND body > mean
+ UNION ALL SELECT symbol, ts, 'hammer' AS pattern FROM z WHERE small_top AND run < -0.015
+ UNION ALL SELECT symbol, ts, 'hanging_man' AS pattern FROM z WHERE small_top AND run > 0.015
+ UNION ALL SELECT symbol, ts, 'inverted_hammer' AS pattern FROM z WHERE small_bottom AND run < -0.015
+ UNION ALL SELECT symbol, ts, 'shooting_star' AS pattern FROM z WHERE small_bottom AND run > 0.015
+ UNION ALL SELECT symbol, ts, 'bullish_engulfing' AS pattern FROM z WHERE c1 < o1 AND c > o AND o <= c1 AND c >= o1 AND body > abs(c1 - o1)
+ UNION ALL SELECT symbol, ts, 'bearish_engulfing' AS pattern FROM z WHERE c1 > o1 AND c < o AND o >= c1 AND c <= o1 AND body > abs(c1 - o1)
+ UNION ALL SELECT symbol, ts, 'bullish_harami' AS pattern FROM z WHERE c1 < o1 AND c > o AND abs(c1 - o1) > mean AND o > c1 AND c < o1
+ UNION ALL SELECT symbol, ts, 'bearish_harami' AS pattern FROM z WHERE c1 > o1 AND c < o AND abs(c1 - o1) > mean AND o < c1 AND c > o1
+ UNION ALL SELECT symbol, ts, 'piercing' AS pattern FROM z WHERE c1 < o1 AND c > o AND o < c1 AND c > (o1 + c1) / 2 AND c < o1
+ UNION ALL SELECT symbol, ts, 'dark_cloud' AS pattern FROM z WHERE c1 > o1 AND c < o AND o > c1 AND c < (o1 + c1) / 2 AND c > o1
+ UNION ALL SELECT symbol, ts, 'tweezer_top' AS pattern FROM z WHERE run > 0.015 AND abs(h - h1) <= 0.001 * h AND c1 > o1 AND c < o
+ UNION ALL SELECT symbol, ts, 'tweezer_bottom' AS pattern FROM z WHERE run < -0.015 AND abs(l - l1) <= 0.001 * l AND c1 < o1 AND c > o
+ UNION ALL SELECT symbol, ts, 'morning_star' AS pattern FROM z WHERE c2 < o2 AND abs(c2 - o2) > mean AND abs(c1 - o1) < 0.5 * mean AND c > o AND c > (o2 + c2) / 2
+ UNION ALL SELECT symbol, ts, 'evening_star' AS pattern FROM z WHERE c2 > o2 AND abs(c2 - o2) > mean AND abs(c1 - o1) < 0.5 * mean AND c < o AND c < (o2 + c2) / 2
+ UNION ALL SELECT symbol, ts, 'three_soldiers' AS pattern FROM z WHERE c2 > o2 AND c1 > o1 AND c > o AND c > c1 AND c1 > c2
+ UNION ALL SELECT symbol, ts, 'three_crows' AS pattern FROM z WHERE c2 < o2 AND c1 < o1 AND c < o AND c < c1 AND c1 < c2)
 SELECT * FROM p""")
 def w25_candle_patterns(spark, sf_dir):
-    """Rows of eight of the patterns, which the SQL twin repeats; all are in ``candles``."""
-    some = ["doji", "hammer", "shooting_star", "bullish_engulfing", "bearish_harami", "dark_cloud", "evening_star", "three_crows"]
-    return candles(hourly(spark, sf_dir)).select("symbol", "ts", F.explode("patterns").alias("pattern")).where(F.col("pattern").isin(some))
+    return candles(hourly(spark, sf_dir)).select("symbol", "ts", F.explode("patterns").alias("pattern"))
 
 
 @query(f"""WITH {HOURLY_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars),
