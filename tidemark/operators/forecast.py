@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import skewness, unit_rank
-from tidemark.operators.indicators import last_n, r6, series, with_market
+from tidemark.operators.indicators import last_n, r6, rolling_beta, series, with_market
 from tidemark.registry import query, table
 from tidemark.operators.indicators import _RETURNS_SQL
 from tidemark.sources.bars import HOURLY_SQL, MARKET_SQL, USERS_SQL, filled, hourly, market, users_daily
@@ -41,14 +41,19 @@ def f1_panel(spark, sf_dir):
     return panel(spark, sf_dir).groupBy("t").agg(F.count("*").alias("stocks"), F.count_if(F.col("volume") == 0).alias("carried"), F.round(F.sum("close"), 4).alias("total"))
 
 
+def _sound(y: Column) -> Column:
+    """0 for what is null or not finite."""
+    return F.when(y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")), 0.0).otherwise(y)
+
+
 def factors(bars: DataFrame) -> DataFrame:
     """Columns of a symbol's own history at each bar: momentum, reversals, dispersion, volume, distance to extremes. What
     the history is too short for is 0, and so is what isn't finite."""
     c, back = F.col("close"), lambda n: F.lag("close", n).over(series())
     r = F.ln(c / back(1))
-    b = bars.withColumn("r", r).withColumn("dv", c * F.col("volume"))
+    b = bars.withColumn("r", r).withColumn("dv", c * F.col("volume")).withColumn("d", c - back(1))
     full = lambda n, x: F.when(F.count("*").over(last_n(n)) == n, x)
-    gain, loss = F.sum(F.greatest(F.col("r"), F.lit(0.0))).over(last_n(14)), F.sum(F.greatest(-F.col("r"), F.lit(0.0))).over(last_n(14))
+    gain, loss = F.sum(F.greatest(F.col("d"), F.lit(0.0))).over(last_n(14)), F.sum(F.greatest(-F.col("d"), F.lit(0.0))).over(last_n(14))
     x = {
         "mom_12_1": back(21) / back(252) - 1, "mom_6_1": back(21) / back(126) - 1, "rev_21": c / back(21) - 1, "rev_5": c / back(5) - 1, "rev_1": c / back(1) - 1,
         "vol_20": full(20, F.stddev_samp("r").over(last_n(20))), "max_21": full(21, F.max("r").over(last_n(21))), "skew_60": full(60, skewness(F.col("r"), last_n(60))),
@@ -56,17 +61,73 @@ def factors(bars: DataFrame) -> DataFrame:
         "dollar": F.ln(1 + F.sum("dv").over(last_n(60)) / 60), "high_252": c / F.max("high").over(last_n(252)) - 1, "ma_50": c / F.avg("close").over(last_n(50)) - 1, "ma_200": c / F.avg("close").over(last_n(200)) - 1,
         "rsi_simple": F.when(gain + loss > 0, 100 * gain / (gain + loss)).otherwise(50.0), "night_5": F.sum(F.ln(F.col("open") / back(1))).over(last_n(5)),
     }
-    sound = lambda y: F.when(y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")), 0.0).otherwise(y)
-    return b.select("symbol", "ts", *[sound(v).alias(k) for k, v in x.items()])
+    return b.select("symbol", "ts", *[_sound(v).alias(k) for k, v in x.items()])
+
 
+_OWN = ["mom_12_1", "mom_6_1", "rev_21", "rev_5", "rev_1", "vol_20", "max_21", "skew_60", "illiquid", "vol_ratio", "dollar", "high_252", "ma_50", "ma_200", "rsi_simple", "night_5"]
 
-@query(f"""WITH {HOURLY_SQL}, x AS (SELECT *, ln(close / lag(close) OVER w) AS r, lag(close, 21) OVER w AS c21, lag(close, 126) OVER w AS c126, lag(close, 5) OVER w AS c5 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
-SELECT symbol, ts, round(coalesce(c21 / c126 - 1, 0), 6) AS mom_6_1, round(coalesce(close / c5 - 1, 0), 6) AS rev_5, round(CASE WHEN count(*) OVER a = 20 THEN coalesce(stddev_samp(r) OVER a, 0) ELSE 0 END, 6) AS vol_20,
- round(ln((sum(volume) OVER b / 5 + 1) / (sum(volume) OVER c / 60 + 1)), 6) AS vol_ratio, round(close / avg(close) OVER d - 1, 6) AS ma_50 FROM x
-WINDOW a AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), b AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING), c AS (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING), d AS (PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING)""")
+
+@query(f"""WITH {HOURLY_SQL}, x AS (SELECT *, ln(close / lag(close) OVER w) AS r, close - lag(close) OVER w AS d, close * volume AS dv, lag(close) OVER w AS c1, lag(close, 21) OVER w AS c21, lag(close, 126) OVER w AS c126, lag(close, 252) OVER w AS c252, lag(close, 5) OVER w AS c5 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, ts, round(coalesce(c21 / c252 - 1, 0), 6) AS mom_12_1, round(coalesce(c21 / c126 - 1, 0), 6) AS mom_6_1, round(coalesce(close / c21 - 1, 0), 6) AS rev_21, round(coalesce(close / c5 - 1, 0), 6) AS rev_5, round(coalesce(close / c1 - 1, 0), 6) AS rev_1,
+ round(CASE WHEN count(*) OVER a = 20 THEN coalesce(stddev_samp(r) OVER a, 0) ELSE 0 END, 6) AS vol_20, round(CASE WHEN count(*) OVER m = 21 THEN coalesce(max(r) OVER m, 0) ELSE 0 END, 6) AS max_21,
+ round(CASE WHEN count(*) OVER c = 60 AND stddev_samp(r) OVER c > 0 THEN (avg(r * r * r) OVER c - 3 * avg(r) OVER c * avg(r * r) OVER c + 2 * pow(avg(r) OVER c, 3)) / pow(stddev_samp(r) OVER c, 3) ELSE 0 END, 6) AS skew_60,
+ round(coalesce(ln(1 + avg(CASE WHEN dv > 0 THEN abs(r) / dv END) OVER m * 1e9), 0), 6) AS illiquid, round(ln((sum(volume) OVER b / 5 + 1) / (sum(volume) OVER c / 60 + 1)), 6) AS vol_ratio, round(ln(1 + sum(dv) OVER c / 60), 6) AS dollar,
+ round(close / max(high) OVER y - 1, 6) AS high_252, round(close / avg(close) OVER d - 1, 6) AS ma_50, round(close / avg(close) OVER e - 1, 6) AS ma_200,
+ round(CASE WHEN sum(abs(coalesce(d, 0))) OVER f > 0 THEN 100 * sum(greatest(coalesce(d, 0), 0)) OVER f / sum(abs(coalesce(d, 0))) OVER f ELSE 50 END, 6) AS rsi_simple, round(coalesce(sum(ln(open / c1)) OVER b, 0), 6) AS night_5 FROM x
+WINDOW a AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), b AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING), c AS (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING), d AS (PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING),
+ e AS (PARTITION BY symbol ORDER BY ts ROWS 199 PRECEDING), f AS (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING), m AS (PARTITION BY symbol ORDER BY ts ROWS 20 PRECEDING), y AS (PARTITION BY symbol ORDER BY ts ROWS 251 PRECEDING)""")
 def f2_factors(spark, sf_dir):
     x = factors(hourly(spark, sf_dir))
-    return x.select("symbol", "ts", *[r6(c, F.col(c)) for c in ("mom_6_1", "rev_5", "vol_20", "vol_ratio", "ma_50")])
+    return x.select("symbol", "ts", *[r6(c, F.col(c)) for c in _OWN])
+
+
+def context_factors(bars: DataFrame, index: DataFrame, far: int = 63, days: int = 90) -> DataFrame:
+    """Factors beside a symbol's own prices: beta and dispersion of what the market leaves, reports (surprise, bars since the
+    last and to the next, ``far`` where there is none as near), insiders' purchases and sales known before, recent against
+    usual variance; and the market's volatility and momentum. ``bars`` has report (a surprise in percent, null where none
+    comes out), bought and sold."""
+    w, all_before = series(), series().rowsBetween(Window.unboundedPreceding, 0)
+    x = with_market(bars, index).withColumn("beta", rolling_beta()).withColumn("k", F.row_number().over(w))
+    left = F.col("r") - F.lag("beta").over(w) * F.col("m")
+    idio = F.greatest(F.lit(-0.223), F.least(F.lit(0.223), left))
+    x = x.withColumn("idio", F.when(F.col("report").isNull() & left.isNotNull(), idio)).withColumn("at", F.when(F.col("report").isNotNull(), F.col("k")))
+    since = F.col("k") - F.last("at", True).over(all_before)
+    to = F.first("at", True).over(w.rowsBetween(1, Window.unboundedFollowing)) - F.col("k")
+    x = x.withColumn("since", F.when(since < far, since).otherwise(far)).withColumn("to", F.least(F.coalesce(to, F.lit(far)), F.lit(far))).withColumn("surprise", F.last("report", True).over(all_before))
+    x = x.withColumn("seconds", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    known = Window.partitionBy("symbol").orderBy("seconds").rangeBetween(-days * 86400, -1)
+    usual = lambda c, n: F.avg(F.col(c) * F.col(c)).over(last_n(n))
+    market_vol = F.sqrt(usual("m", 22) * 252)
+    out = {
+        "idio_60": F.stddev_samp("idio").over(last_n(60)), "beta": F.col("beta"), "surprise": F.when(F.col("since") < far, F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("surprise")))), "since_report": F.col("since").cast("double"),
+        "to_report": F.col("to").cast("double"), "bought": F.ln(1 + F.coalesce(F.sum("bought").over(known), F.lit(0.0))), "sold": F.ln(1 + F.coalesce(F.sum("sold").over(known), F.lit(0.0))),
+        "var_ratio": F.sqrt(usual("r", 20) / F.greatest(usual("r", 252), F.lit(1e-8))), "market_vol": market_vol, "implied_vol": market_vol * 100, "market_21": F.sum("m").over(last_n(21)),
+    }
+    return x.select("symbol", "ts", *[_sound(v).alias(k) for k, v in out.items()])
+
+
+_CONTEXT = ["idio_60", "beta", "surprise", "since_report", "to_report", "bought", "sold", "var_ratio", "market_vol", "implied_vol", "market_21"]
+
+
+@query(f"""WITH {_RETURNS_SQL}, flow AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, sum(value) FILTER (WHERE user_id % 2 = 0) AS bought, sum(value) FILTER (WHERE user_id % 2 = 1) AS sold FROM events WHERE value > 200 GROUP BY 1, 2),
+k AS (SELECT b.*, row_number() OVER w AS k, greatest(-0.223, least(0.223, CASE WHEN lag(beta) OVER w IS NULL THEN NULL ELSE r - lag(beta) OVER w * m END)) AS idio, CASE WHEN lag(beta) OVER w IS NULL THEN true ELSE false END AS new FROM beta b WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+j AS (SELECT k.*, CASE WHEN k % 40 = 7 THEN volume % 120 - 60 END AS report, bought, sold FROM k LEFT JOIN flow USING (symbol, ts)),
+q AS (SELECT *, CASE WHEN report IS NULL AND NOT new THEN idio END AS clean, CASE WHEN report IS NOT NULL THEN k END AS at_k FROM j),
+g AS (SELECT *, last_value(at_k IGNORE NULLS) OVER b AS last_k, last_value(report IGNORE NULLS) OVER b AS last_report, first_value(at_k IGNORE NULLS) OVER n AS next_k FROM q
+ WINDOW b AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT symbol, ts, round(coalesce(stddev_samp(clean) OVER a, 0), 6) AS idio_60, round(beta, 6) AS beta, round(CASE WHEN k - last_k < 63 THEN greatest(-50, least(50, last_report)) ELSE 0 END, 6) AS surprise,
+ CAST(CASE WHEN k - last_k < 63 THEN k - last_k ELSE 63 END AS DOUBLE) AS since_report, CAST(least(coalesce(next_k - k, 63), 63) AS DOUBLE) AS to_report,
+ round(ln(1 + coalesce(sum(bought) OVER f, 0)), 6) AS bought, round(ln(1 + coalesce(sum(sold) OVER f, 0)), 6) AS sold, round(coalesce(sqrt(avg(r * r) OVER c / greatest(avg(r * r) OVER y, 1e-8)), 0), 6) AS var_ratio,
+ round(coalesce(sqrt(avg(m * m) OVER d * 252), 0), 6) AS market_vol, round(coalesce(sqrt(avg(m * m) OVER d * 252) * 100, 0), 6) AS implied_vol, round(coalesce(sum(m) OVER e, 0), 6) AS market_21 FROM g
+WINDOW a AS (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING), c AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), d AS (PARTITION BY symbol ORDER BY ts ROWS 21 PRECEDING), e AS (PARTITION BY symbol ORDER BY ts ROWS 20 PRECEDING),
+ y AS (PARTITION BY symbol ORDER BY ts ROWS 251 PRECEDING), f AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND INTERVAL 1 SECOND PRECEDING)""")
+def f2_context_factors(spark, sf_dir):
+    """Every fortieth bar stands for a report, large events for insiders' trades."""
+    side = lambda k: F.sum(F.when(F.col("user_id") % 2 == k, F.col("value")))
+    flow = table(spark, sf_dir, "events").where("value > 200").groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(side(0).alias("bought"), side(1).alias("sold"))
+    index = market(spark, sf_dir)
+    b = hourly(spark, sf_dir).join(index.select("ts"), "ts", "left_semi").withColumn("report", F.when(F.row_number().over(series()) % 40 == 7, F.col("volume") % 120 - 60)).join(flow, ["symbol", "ts"], "left")
+    return context_factors(b, index).select("symbol", "ts", *[r6(c, F.col(c)) for c in _CONTEXT])
 
 
 @query(f"""WITH {HOURLY_SQL}, d AS (SELECT symbol, extract(dow FROM ts) AS season, CAST(date_trunc('week', ts) AS DATE) AS year, ln(arg_max(close, ts) / arg_min(close, ts)) AS r FROM bars GROUP BY 1, 2, 3)
