@@ -166,12 +166,12 @@ def equity(bars: DataFrame, t: DataFrame) -> DataFrame:
 @query(f"""WITH {_HOLD_SQL}, won AS (SELECT symbol, exit_at AS ts, sum(ln(greatest(1 + ret, 1e-6::DOUBLE))) AS won FROM t GROUP BY 1, 2), x AS (SELECT b.symbol, b.ts, b.close, coalesce(w.won, 0) AS won FROM bars b LEFT JOIN won w USING (symbol, ts)),
 e AS (SELECT *, won <> 0 OR coalesce(lead(won) OVER w <> 0, false) AS held, exp(sum(won) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS equity, exp(won) - 1 AS r FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 p AS (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM e)
-SELECT symbol, round(arg_max(equity, ts) - 1, 6) AS total_return, round(pow(arg_max(equity, ts), 168.0::DOUBLE / count(*)) - 1, 6) AS weekly, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(8760), 6) AS sharpe, round(least(min(equity / peak - 1), 0), 6) AS drawdown,
+SELECT symbol, round(ln(arg_max(equity, ts)), 6) AS log_return, round(pow(arg_max(equity, ts), 168.0::DOUBLE / count(*)) - 1, 6) AS weekly, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(8760), 6) AS sharpe, round(least(min(equity / peak - 1), 0), 6) AS drawdown,
  round(avg(CASE WHEN held THEN 1.0::DOUBLE ELSE 0 END), 6) AS exposure, round(arg_max(close, ts) / arg_min(close, ts) - 1, 6) AS buy_and_hold FROM p GROUP BY 1""")
 def a16_equity_statistics(spark, sf_dir):
-    """Of each account: total return, what it comes to a week, Sharpe ratio of its bars, drawdown, exposure, and holding all the time."""
+    """Of each account: the logarithm of the total return, what it comes to a week, Sharpe ratio of its bars, drawdown, exposure, and holding all the time."""
     e = equity(hourly(spark, sf_dir), _one_bar(spark, sf_dir)).withColumn("peak", F.max("equity").over(series().rowsBetween(Window.unboundedPreceding, 0)))
     last = F.max_by("equity", "ts")
     return e.groupBy("symbol").agg(
-        r6("total_return", last - 1), r6("weekly", F.pow(last, 168.0 / F.count("*")) - 1), r6("sharpe", F.try_divide(F.avg("ret"), F.stddev_samp("ret")) * F.sqrt(F.lit(8760.0))),
+        r6("log_return", F.ln(last)), r6("weekly", F.pow(last, 168.0 / F.count("*")) - 1), r6("sharpe", F.try_divide(F.avg("ret"), F.stddev_samp("ret")) * F.sqrt(F.lit(8760.0))),
         r6("drawdown", F.least(F.min(F.col("equity") / F.col("peak") - 1), F.lit(0.0))), r6("exposure", F.avg(F.col("held").cast("double"))), r6("buy_and_hold", F.max_by("close", "ts") / F.min_by("close", "ts") - 1))
