@@ -23,6 +23,7 @@ at N = 0. Columns beside doc_id and text are ignored. An empty table gives an em
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,48 +47,60 @@ def held_out(folds: int):
 
 class Grams:
     """The n-grams of a block of texts, for n from 2 to ``order``, by their place: the token they end with. Each text has
-    its words and an end token, and start marks before."""
+    its words and an end token, and start marks before. One n is held at a time."""
 
     def __init__(self, codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, order: int):
-        self.order, self.codes, self.lengths = order, codes, lengths
+        self.order, self.codes, self.lengths, self.hashes = order, codes, lengths, hashes
         self.begin = np.concatenate([[0], np.cumsum(lengths + 1)])
-        h = np.empty(self.begin[-1], np.uint64)
-        self.ends = np.zeros(len(h), bool)
+        self.ends = np.zeros(self.begin[-1], bool)
         self.ends[self.begin[1:] - 1] = True
-        h[~self.ends], h[self.ends] = hashes[codes], _END
-        key, keys = h, []
-        for k in range(1, order):
+
+    def keys(self) -> Iterator[np.ndarray]:
+        """63-bit keys of all places, for each n."""
+        h = np.empty(len(self.ends), np.uint64)
+        h[~self.ends], h[self.ends] = self.hashes[self.codes], _END
+        key = h
+        for k in range(1, self.order):
             # The word k places before, a start mark where the text doesn't reach so far.
             before = np.full_like(h, _START)
             before[k:] = h[:-k]
             for j in range(k):
                 at = self.begin[:-1] + j
                 before[at[at < self.begin[1:]]] = _START
-            key = before * _U(0x9E3779B97F4A7C15) + key * _U(0xD1342543DE82EF95) + _U(k)
-            key = (key ^ (key >> _U(32))) * _U(0xD6E8FEB86659FD93)
-            key ^= key >> _U(32)
-            keys.append(key)
-        #: 63-bit keys, those of bigrams before those of trigrams and so on.
-        self.keys = np.concatenate(keys) >> _U(1) if keys else np.empty(0, np.uint64)
-
-    def distinct(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted distinct keys, how often each occurs in texts for which ``training`` holds)."""
-        marked = self.keys << _U(1) | np.tile(np.repeat(training, self.lengths + 1), self.order - 1)
-        marked.sort()
-        keys = marked >> _U(1)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        return keys[first], np.add.reduceat((marked & _U(1)).astype(np.int64), first) if len(first) else first
-
-    def spread(self, totals: np.ndarray) -> list[np.ndarray]:
+            before *= _U(0x9E3779B97F4A7C15)
+            before += key * _U(0xD1342543DE82EF95)
+            before += _U(k)
+            before ^= before >> _U(32)
+            before *= _U(0xD6E8FEB86659FD93)
+            before ^= before >> _U(32)
+            key = before
+            yield key >> _U(1)
+
+    def distinct(self, training: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(sorted distinct keys, how often each occurs in texts for which ``training`` holds), for each n."""
+        flags = np.repeat(training, self.lengths + 1)
+        for marked in self.keys():
+            marked <<= _U(1)
+            marked |= flags
+            marked.sort()
+            known = (marked & _U(1)).astype(np.uint8)
+            marked >>= _U(1)
+            first = np.flatnonzero(np.concatenate([[True], marked[1:] != marked[:-1]])) if len(marked) else np.empty(0, np.int64)
+            yield marked[first], np.add.reduceat(known, first, dtype=np.int64) if len(first) else first
+
+    def spread(self, totals: list[np.ndarray]) -> list[np.ndarray]:
         """``totals`` of the distinct keys at the place of each n-gram, an array for each n."""
-        order = np.argsort(self.keys)
-        ranked = self.keys[order]
-        number = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])) if len(ranked) else order
-        if len(ranked) and number[-1] + 1 != len(totals):
-            raise ValueError("a block and its counts do not fit together")
-        out = np.empty(len(order), np.int64)
-        out[order] = totals[number]
-        return list(out.reshape(self.order - 1, -1))
+        out = []
+        for keys, total in zip(self.keys(), totals):
+            order = np.argsort(keys)
+            keys = keys[order]
+            number = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]), dtype=np.int32) if len(keys) else order
+            if len(keys) and number[-1] + 1 != len(total):
+                raise ValueError("a block and its counts do not fit together")
+            at = np.empty(len(order), np.int64)
+            at[order] = total[number]
+            out.append(at)
+        return out
 
 
 class Automaton:
@@ -154,7 +167,7 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 3, b
 
     table = written(rows.mapInArrow(read, BLOCK), "blocks")
     train, tokens, entries = table.agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()
-    ranges = max(1, math.ceil((order - 1) * (tokens + entries) / range_tokens))
+    ranges = max(1, math.ceil((tokens + entries) / range_tokens))  # of each n
 
     # The distinct-word table, and its counts back at the words' places. A block has a word once, so the first of a word's
     # blocks tells one of its rows. Both sides ask for all columns, so that one exchange serves the two.
@@ -187,13 +200,14 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 3, b
     def send(batches):
         edge = np.array([(k << 63) // ranges for k in range(ranges)], np.uint64)
         for b in batches:
-            for block, held, lengths, codes, words in zip(*(c.to_pylist() for c in b.columns)):
-                keys, counts = grams_of(lengths, codes, words).distinct(~np.array(held, bool))
-                edges = [*np.searchsorted(keys, edge), len(keys)]
-                for k, (a, z) in enumerate(zip(edges, edges[1:])):
-                    if z > a:
-                        steps = np.diff(keys[a:z], prepend=_U(0))
-                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([z - a], pa.int32()), pa.array([to_planes(steps)], pa.binary()), pa.array([to_planes(counts[a:z].astype("<u4"))], pa.binary())], ["block", "part", "size", "keys", "counts"])
+            for block, held, lengths, codes, words in zip(*b.columns):
+                grams = grams_of(lengths.as_py(), codes.as_py(), words.as_py())
+                for n, (keys, counts) in enumerate(grams.distinct(~np.array(held.as_py(), bool))):
+                    edges = [*np.searchsorted(keys, edge), len(keys)]
+                    for k, (a, z) in enumerate(zip(edges, edges[1:])):
+                        if z > a:
+                            steps = np.diff(keys[a:z], prepend=_U(0))
+                            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([n * ranges + k], pa.int32()), pa.array([z - a], pa.int32()), pa.array([to_planes(steps)], pa.binary()), pa.array([to_planes(counts[a:z].astype("<u4"))], pa.binary())], ["block", "part", "size", "keys", "counts"])
 
     def add_up(group: pa.Table) -> pa.Table:
         sizes = group.column("size").to_pylist()
@@ -215,19 +229,19 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 3, b
         out: list = [[] for _ in range(7)]
         for ids, held, lengths, codes, size, words in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "held", "lengths", "codes", "size", "words"))):
             grams = grams_of(lengths, codes, words)
-            count, found, totals = np.zeros(size, np.int64), 0, [np.empty(0, np.int64)]
+            count, found, totals = np.zeros(size, np.int64), 0, [[np.empty(0, np.int64)] for _ in range(order - 1)]
             for part, n, body in parts:
                 if part < 0:
                     raw = pa.decompress(body, 12 * n, "zstd", asbytes=True)
                     count[np.frombuffer(raw, "<i4", n)] = np.frombuffer(raw, "<i8", n, 4 * n)
                     found += n
                 else:
-                    totals.append(from_planes(body, n, "<i8"))
+                    totals[part // ranges].append(from_planes(body, n, "<i8"))
             if found != len(count):
                 raise ValueError("a block and its words do not fit together")
             single = np.empty(len(grams.ends), np.int64)
             single[~grams.ends], single[grams.ends] = count[grams.codes], train
-            more = grams.spread(np.concatenate(totals)) if order > 1 else []
+            more = grams.spread([np.concatenate(t) for t in totals])
             automaton = Automaton(grams, single, more, train, whole, mu)
             begin = grams.begin[:-1]
             out[0] += ids
