@@ -10,6 +10,7 @@ import tidemark.operators.ledger  # noqa: F401
 import tidemark.operators.market  # noqa: F401
 import tidemark.operators.outlook  # noqa: F401
 import tidemark.operators.relational  # noqa: F401
+import tidemark.operators.resolver  # noqa: F401
 import tidemark.operators.text_events  # noqa: F401
 import tidemark.plans.rules  # noqa: F401
 import tidemark.sources.bars  # noqa: F401
