@@ -213,3 +213,34 @@ def f20_blend_weight(spark, sf_dir):
     one = x.agg(F.array(*[F.struct(F.avg(loss(a)).alias("loss"), F.lit(a).alias("weight")) for a in BLENDS]).alias("all"), F.count("*").alias("n"))
     best = F.array_min("all")
     return one.select(F.when(F.col("n") > 2000, best["weight"]).otherwise(0.5).alias("weight"), r6("loss", best["loss"]), "n")
+
+
+_LOSS_SQL = f"""{HOURLY_SQL}, v AS (SELECT symbol, ts, greatest(pow(ln(high / low), 2) / (4 * ln(2::DOUBLE)), 1e-6) AS v FROM bars),
+h AS (SELECT ts, count(*) OVER w AS n, v / avg(v) OVER w AS slow, v / avg(v) OVER f AS fast FROM v WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"""WITH {_LOSS_SQL}, s AS (SELECT CAST(ts AS DATE) AS day, avg(slow - ln(slow) - fast + ln(fast)) AS x FROM h WHERE n = 20 GROUP BY 1), d AS (SELECT day, x, x - avg(x) OVER () AS d FROM s), l AS (SELECT *, d * lag(d) OVER (ORDER BY day) AS d1 FROM d)
+SELECT round(avg(x), 6) AS mean, round(avg(x) / sqrt((sum(d * d) + coalesce(sum(d1), 0)) / count(*) / count(*)), 6) AS t, count(*) AS n FROM l""")
+def f22_diebold_mariano(spark, sf_dir):
+    """Whether a slow variance forecast loses more than a fast one: the robust t of each day's mean difference of losses."""
+    v = F.greatest(F.pow(F.ln(F.col("high") / F.col("low")), 2) / (4 * F.ln(F.lit(2.0))), F.lit(1e-6))
+    past = lambda n: F.col("v") / F.avg("v").over(series().rowsBetween(-n, -1))
+    x = hourly(spark, sf_dir).withColumn("v", v).select("ts", F.count("*").over(series().rowsBetween(-20, -1)).alias("n"), past(20).alias("slow"), past(5).alias("fast")).where("n = 20")
+    loss = F.col("slow") - F.ln("slow") - F.col("fast") + F.ln("fast")
+    m = newey_west(x.groupBy(F.to_date("ts").alias("day")).agg(F.avg(loss).alias("x")), "x", "day", 1)
+    return m.select(r6("mean", F.col("mean")), r6("t", F.col("t")), "n")
+
+
+_BANDS = {50: (0.25, 0.75), 80: (0.1, 0.9), 90: (0.05, 0.95)}
+
+
+@query(f"""WITH {_ENS_SQL}, q AS (SELECT symbol, day, y, {", ".join(f"quantile_cont(v, {a}) AS lo{k}, quantile_cont(v, {b}) AS hi{k}" for k, (a, b) in _BANDS.items())}, avg(CASE WHEN v > 50 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM (SELECT symbol, day, y, unnest(x) AS v FROM e WHERE y IS NOT NULL) GROUP BY 1, 2, 3)
+SELECT symbol, {", ".join(f"round(avg(CASE WHEN y BETWEEN lo{k} AND hi{k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage_{k}" for k in _BANDS)}, round(avg(pow(p - CASE WHEN y > 50 THEN 1 ELSE 0 END, 2)), 6) AS brier, count(*) AS n FROM q GROUP BY symbol""")
+def f22_interval_scores(spark, sf_dir):
+    """How often the next day's last close lies in today's 50, 80 and 90 percent bands, and the Brier score of its being over 50."""
+    v = _ensembles(spark, sf_dir).select("symbol", "day", "y", F.explode("x").alias("v"))
+    levels = [p for band in _BANDS.values() for p in band]
+    q = v.groupBy("symbol", "day", "y").agg(F.percentile("v", levels).alias("q"), F.avg((F.col("v") > 50).cast("double")).alias("p"))
+    inside = [r6(f"coverage_{k}", F.avg(F.col("y").between(F.get("q", F.lit(2 * i)), F.get("q", F.lit(2 * i + 1))).cast("double"))) for i, k in enumerate(_BANDS)]
+    brier = F.avg(F.pow(F.col("p") - (F.col("y") > 50).cast("double"), 2))
+    return q.groupBy("symbol").agg(*inside, r6("brier", brier), F.count("*").alias("n"))
