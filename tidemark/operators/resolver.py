@@ -57,18 +57,19 @@ def resolved(docs: DataFrame, names: DataFrame, common: list[str] = (), blocked:
     explicit = explicit.join(symbols, "symbol").select("doc_id", "symbol", F.lit("explicit").alias("method"), F.col("symbol").alias("matched"))
 
     phrases = names.groupBy("phrase").agg(F.min("symbol").alias("symbol"), F.max("symbol").alias("other"), F.max("alias").alias("alias")).where("symbol = other").drop("other")
-    caps = F.transform(F.filter(F.regexp_extract_all("x", F.lit(_RUN), F.lit(0)), lambda v: ~v.rlike("^[a-z$]")), F.lower)
-    w = d.select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("x"), _OTHER, " ")), " ").alias("w"), F.array_distinct(caps).alias("caps"))
-    w = w.select("doc_id", "w", "caps", F.posexplode("w").alias("pos", "word"))
-
-    def run(k: Column) -> Column:
-        phrase = F.array_join(F.slice("w", F.col("pos") + 1, k), " ")
-        return F.struct(k.alias("len"), phrase.alias("phrase"))
-
-    room = F.least(F.lit(longest), F.size("w") - F.col("pos"))
-    runs = w.select("doc_id", "pos", F.array_contains("caps", F.col("word")).alias("capital"), F.get("w", F.col("pos") + 1).isin(*LEGAL_FORMS).alias("form"), F.inline(F.transform(F.sequence(F.lit(1), room), run)))
-    sound = F.col("capital") & ~F.upper("phrase").isin(*blocked) & (~F.col("phrase").isin(*common) | F.col("alias") | F.coalesce("form", F.lit(False)))
-    runs = runs.join(phrases, "phrase").where((F.col("len") > 1) | sound)
+    w = d.select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("x"), _OTHER, " ")), " ").alias("w"))
+    n = F.size("w")
+
+    def runs_at(i: Column) -> Column:
+        form = F.coalesce(F.get("w", i).isin(*LEGAL_FORMS), F.lit(False))
+        one = lambda k: F.struct(i.alias("pos"), k.alias("len"), F.array_join(F.slice("w", i, k), " ").alias("phrase"), form.alias("form"))
+        return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), one)
+
+    runs = w.select("doc_id", F.inline(F.flatten(F.transform(F.sequence(F.lit(1), n), runs_at)))).join(phrases, "phrase")
+    caps = F.filter(F.regexp_extract_all("x", F.lit(_RUN), F.lit(0)), lambda v: ~v.rlike("^[a-z$]"))
+    capital = d.select("doc_id", F.explode(F.array_distinct(F.transform(caps, F.lower))).alias("phrase"))
+    sound = ~F.upper("phrase").isin(*blocked) & (~F.col("phrase").isin(*common) | F.col("alias") | F.col("form"))
+    runs = runs.where("len > 1").unionByName(runs.where((F.col("len") == 1) & sound).join(capital, ["doc_id", "phrase"], "left_semi"))
     method = F.when(F.col("alias"), "alias").when(F.col("len") == 1, "sole_name").otherwise("legal_name")
     named = _longest_first(runs).select("doc_id", "symbol", method.alias("method"), F.col("phrase").alias("matched"))
 
@@ -99,10 +100,11 @@ _SQL_LIST = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]"
 @query(f"""WITH RECURSIVE d AS (SELECT doc_id, text || {_SQL_LIST(_ADDED)}[1 + doc_id % 4] AS text FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, text, regexp_replace(text, '{_QUALIFIED}', ' ', 'g') AS x FROM d),
 names(symbol, phrase, alias) AS (VALUES {", ".join(f"('{s}', '{p}', {str(a).lower()})" for s, p, a in _NAMES)}), one AS (SELECT phrase, min(symbol) AS symbol, bool_or(alias) AS alias FROM names GROUP BY phrase HAVING count(DISTINCT symbol) = 1),
 explicit AS (SELECT DISTINCT doc_id, upper(symbol) AS symbol FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_QUALIFIED}', 1)) AS symbol FROM x)),
-w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(x), '{_OTHER}', ' ', 'g')), ' ') AS w, list_transform(list_filter(regexp_extract_all(x, '{_RUN}'), lambda v: NOT regexp_matches(v, '^[a-z$]')), lambda v: lower(v)) AS caps FROM x),
-p AS (SELECT doc_id, w, caps, generate_subscripts(w, 1) AS pos FROM w), g AS (SELECT doc_id, w, caps, pos, unnest(range(1, 9)) AS len FROM p),
-r AS (SELECT doc_id, pos, len, symbol, alias, one.phrase FROM g JOIN one ON one.phrase = array_to_string(list_slice(w, pos, pos + len - 1), ' ') WHERE pos + len - 1 <= len(w)
-AND (len > 1 OR (list_contains(caps, one.phrase) AND NOT list_contains({_SQL_LIST(_BLOCKED)}, upper(one.phrase)) AND (NOT list_contains({_SQL_LIST(_COMMON)}, one.phrase) OR alias OR coalesce(list_contains({_SQL_LIST(LEGAL_FORMS)}, w[pos + 1]), false))))),
+w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(x), '{_OTHER}', ' ', 'g')), ' ') AS w FROM x), caps AS (SELECT DISTINCT doc_id, lower(v) AS v FROM (SELECT doc_id, unnest(regexp_extract_all(x, '{_RUN}')) AS v FROM x) WHERE NOT regexp_matches(v, '^[a-z$]')),
+p AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS pos FROM w), l AS (SELECT *, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+g AS (SELECT doc_id, pos, b, 1 AS len, a AS phrase FROM l UNION ALL SELECT doc_id, pos, b, 2, a || ' ' || b FROM l UNION ALL SELECT doc_id, pos, b, 3, a || ' ' || b || ' ' || c FROM l),
+r AS (SELECT g.doc_id, pos, len, symbol, alias, g.phrase FROM g JOIN one USING (phrase) LEFT JOIN caps ON caps.doc_id = g.doc_id AND caps.v = g.phrase
+WHERE len > 1 OR (caps.v IS NOT NULL AND NOT list_contains({_SQL_LIST(_BLOCKED)}, upper(g.phrase)) AND (NOT list_contains({_SQL_LIST(_COMMON)}, g.phrase) OR alias OR coalesce(list_contains({_SQL_LIST(LEGAL_FORMS)}, b), false)))),
 n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY len DESC) = 1), nx AS (SELECT a.doc_id, a.pos, min(b.pos) AS nxt FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.pos >= a.pos + a.len GROUP BY 1, 2),
 walk AS (SELECT doc_id, min(pos) AS pos FROM n GROUP BY 1 UNION ALL SELECT walk.doc_id, nx.nxt FROM walk JOIN nx ON nx.doc_id = walk.doc_id AND nx.pos = walk.pos),
 named AS (SELECT n.* FROM n JOIN walk USING (doc_id, pos)),
