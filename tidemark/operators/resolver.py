@@ -118,4 +118,5 @@ def t14_resolver_ladder(spark, sf_dir):
     """Whole texts, with a sentence of names behind each, as the table names no companies."""
     added = F.element_at(F.array(*map(F.lit, _ADDED)), (1 + F.col("doc_id") % 4).cast("int"))
     docs = headlines(spark, sf_dir).select("doc_id", F.concat("body", added).alias("text"))
-    return resolved(docs, spark.createDataFrame(_NAMES, "symbol string, phrase string, alias boolean"), _COMMON, _BLOCKED)
+    longest = max(len(p.split()) for _, p, _ in _NAMES)  # no run of more words can meet the dictionary
+    return resolved(docs, spark.createDataFrame(_NAMES, "symbol string, phrase string, alias boolean"), _COMMON, _BLOCKED, longest)
