@@ -260,9 +260,10 @@ def f_expectation(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r6("expectation", expectation(shares)))
 
 
-@query("""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), f AS (SELECT DISTINCT word || 's' AS word FROM w) SELECT word, CASE WHEN regexp_matches(word, '...ies$') THEN regexp_replace(word, 'ies$', 'y') WHEN regexp_matches(word, '(ch|sh|s|x)es$') THEN regexp_replace(word, 'es$', '') WHEN regexp_matches(word, '[^su]s$') THEN regexp_replace(word, 's$', '') ELSE word END AS stem FROM f""")
+@query(f"""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), f AS (SELECT DISTINCT word || unnest(['s', 'ies', 'sses', 'xes', 'is']) AS word FROM w) SELECT word, {tx.stem_sql('word')} AS stem FROM f""")
 def f_stem(spark, sf_dir):
-    w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).select(F.concat("w", F.lit("s")).alias("word")).distinct()
+    ends = F.explode(F.array(*map(F.lit, ("s", "ies", "sses", "xes", "is")))).alias("end")
+    w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).select("w", ends).select(F.concat("w", "end").alias("word")).distinct()
     return w.select("word", tx.stem(F.col("word")).alias("stem"))
 
 

@@ -43,10 +43,10 @@ def digest(parts: list[Column], digits: int = 32) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """https, host in lower case without www and port, no fragment or tracking parameters, parameters sorted, no slash at
+    """https, host in lower case without www and the ports 80 and 443, no fragment or tracking parameters, parameters sorted, no slash at
     the end. Null for what is no http URL."""
     rest = F.regexp_replace(F.regexp_replace(F.trim(url), r"(?i)^https?://", ""), r"#.*$", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1)), r"^www\.", ""), r":\d+$", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1)), r"^www\.", ""), r":(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"/+$", "")
     pairs = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING))
     query = F.array_join(F.array_sort(pairs), "&")
@@ -76,14 +76,34 @@ def sentence_pattern(n: int) -> str:
 
 
 def stem(word: Column) -> Column:
-    """Singular of a plural: ies to y; es behind ch, sh, s, x; s."""
+    """Singular of a plural: ies to y and ches, shes, sses, xes without es in words of over four bytes; without s in words of
+    over three, but for ss, us and is."""
+    n = F.octet_length(word)
     return (
-        F.when(word.rlike("...ies$"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("(ch|sh|s|x)es$"), F.regexp_replace(word, "es$", ""))
-        .when(word.rlike("[^su]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
+        F.when((n > 4) & word.endswith("ies"), F.regexp_replace(word, "ies$", "y"))
+        .when((n > 4) & word.rlike("(ch|sh|ss|x)es$"), F.regexp_replace(word, "es$", ""))
+        .when((n > 3) & word.rlike("[^sui]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
     )
 
 
+def stem_sql(word: str) -> str:
+    """The same in DuckDB."""
+    return (
+        f"CASE WHEN strlen({word}) > 4 AND {word} LIKE '%ies' THEN regexp_replace({word}, 'ies$', 'y') WHEN strlen({word}) > 4 AND regexp_matches({word}, '(ch|sh|ss|x)es$') THEN regexp_replace({word}, 'es$', '') "
+        f"WHEN strlen({word}) > 3 AND regexp_matches({word}, '[^sui]s$') THEN regexp_replace({word}, 's$', '') ELSE {word} END"
+    )
+
+
+def joined_plans(text: Column) -> Column:
+    """A text with "401(k)" and its like as one word."""
+    return F.regexp_replace(text, r"(?i)\b(\d{3})\s?\(\s?([a-z])\s?\)", "$1$2")
+
+
+def plans_sql(text: str) -> str:
+    """The same in DuckDB."""
+    return rf"regexp_replace({text}, '(?i)\b(\d{{3}})\s?\(\s?([a-z])\s?\)', '\1\2', 'g')"
+
+
 def strip_publisher(title: Column, publisher: Column) -> Column:
     """A title without " - Publisher" at its end, in any of four separators."""
     tail = F.regexp_extract(title, r"^.*( - | \| | – | — )(.*)$", 2)

@@ -277,7 +277,7 @@ def t14_entity_mentions(spark, sf_dir):
 _TRACKING = "[" + ", ".join(f"'{t}'" for t in tx.TRACKING) + "]"
 
 
-@query(f"""WITH u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), p AS (SELECT page_id, 'https://' || regexp_replace(regexp_replace(lower(regexp_extract(u, '(?i)^https?://([^/?]*)', 1)), '^www\\.', ''), ':\\d+$', '')
+@query(f"""WITH u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), p AS (SELECT page_id, 'https://' || regexp_replace(regexp_replace(lower(regexp_extract(u, '(?i)^https?://([^/?]*)', 1)), '^www\\.', ''), ':(80|443)$', '')
  || regexp_replace(regexp_extract(u, '(?i)^https?://[^/?]*([^?]*)', 1), '/+$', '') AS bare, list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT list_contains({_TRACKING}, lower(split_part(x, '=', 1))))) AS pairs FROM u)
 SELECT page_id, bare || CASE WHEN len(pairs) > 0 THEN '?' || array_to_string(pairs, '&') ELSE '' END AS canonical FROM p""")
 def t15_canonical_urls(spark, sf_dir):
