@@ -14,6 +14,7 @@ import tidemark.operators.resolver  # noqa: F401
 import tidemark.operators.search  # noqa: F401
 import tidemark.operators.text_events  # noqa: F401
 import tidemark.operators.walkforward  # noqa: F401
+import tidemark.plans.alerts  # noqa: F401
 import tidemark.plans.rules  # noqa: F401
 import tidemark.sources.bars  # noqa: F401
 import tidemark.sources.parsers  # noqa: F401
