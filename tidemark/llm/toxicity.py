@@ -141,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, bits: int = 20, sample: int = 16_3
     return mean["coordinate"].to_numpy(np.int64), mean["weight"].to_numpy(np.float64)
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = 20, cut: float = 0.7, block_bytes: int = 8 << 20) -> DataFrame:
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = 20, cut: float = 0.7, block_bytes: int = 4 << 20) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text), columns as in ``SCHEMA``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
