@@ -39,7 +39,7 @@ def test_scopes_states_and_cooldowns(spark):
     assert after == {("own", "A"): (now, True), ("lists", "A"): (now - datetime.timedelta(hours=23), True), ("lists", "D"): (now, True), ("lists", "E"): (DAY, False)}
     # The state a run leaves silences the next.
     again = al.alerts(bars, texts, "1d", lists, spark.createDataFrame([(*k, *v) for k, v in after.items()], fired.schema), F.lit(now + datetime.timedelta(hours=1)))
-    assert {(r.rule, r.symbol) for r in again.where("fires").collect()} == {("own", "A")}
+    assert {(r.rule, r.symbol) for r in again.where("fires").collect()} == {("own", "A"), ("lists", "A")}
 
 
 def test_without_any_sound_rule(spark):
