@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +51,14 @@ class TokenizerA:
         self.bpe = bpe.Bpe(path)
         self.bpe.tok.encode_special_tokens = True
         back = bpe.byte_of_char()
-        self.of = {k: bytes(back[c] for c in v) if all(c in back for c in v) else v.encode() for v, k in self.bpe.tok.get_vocab(with_added_tokens=True).items()}
+        of = {k: bytes(back[c] for c in v) if all(c in back for c in v) else v.encode() for v, k in self.bpe.tok.get_vocab(with_added_tokens=True).items()}
+        self.of = [of.get(k, b"") for k in range(max(of) + 1)]
+        self.table = _table(self.of)
 
     def ids(self, chunks: list[str]) -> list[list[int]]:
-        out: list = [None] * len(chunks)
-        fast = [k for k, t in enumerate(chunks) if self.bpe.fast is not None and (t.isascii() or bpe._SURE.fullmatch(t))]
-        for k, x in zip(fast, self.bpe.fast.encode_ordinary_batch([chunks[k] for k in fast], num_threads=1) if fast else []):
-            out[k] = x
+        fast, sure = self.bpe.fast, bpe._SURE.fullmatch
+        # One by one: the engine's own batches hand each text to a thread.
+        out = [fast.encode_ordinary(t) if fast is not None and (t.isascii() or sure(t)) else None for t in chunks]
         rest = [k for k, x in enumerate(out) if x is None]
         for k, e in zip(rest, self.bpe.tok.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False) if rest else []):
             out[k] = e.ids
@@ -72,6 +74,7 @@ class TokenizerB:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path or piece_path())
         pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.table = _table(self.of)
         self.space = self.model.piece_to_id("▁")
         closed = not any(re.search("[^▁]▁", p) or "\n" in p for p in pieces)
         probes = ("a b", "one two", "Some words\nhere", "the quick, Brown")
@@ -102,13 +105,36 @@ def tokenizers(a: str | None, b: str | None) -> tuple[TokenizerA, TokenizerB]:
     return TokenizerA(a), TokenizerB(b)
 
 
-def _joined(ids: list[list[int]], of) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
-    """(all ids, byte lengths of all, all bytes, where each list's bytes begin)."""
-    flat = np.fromiter((i for x in ids for i in x), np.int64)
-    parts = [of[i] for i in flat.tolist()]
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    return flat, lengths, b"".join(parts), ends[np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])]
+class Tokens:
+    """Ids of many chunks one behind another, with their bytes: ``at`` tells where each chunk's bytes begin."""
+
+    def __init__(self, ids: list[list[int]], table: tuple[np.ndarray, np.ndarray]):
+        all_bytes, offsets = table
+        self.ids = np.array(list(chain.from_iterable(ids)), np.int64)
+        self.lengths = offsets[self.ids + 1] - offsets[self.ids]
+        ends = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.bytes = all_bytes[np.arange(ends[-1]) + np.repeat(offsets[self.ids] - ends[:-1], self.lengths)]
+        self.at = ends[np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])]
+
+    def differ(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether a chunk's bytes are others than ``raw`` has for it."""
+        if len(self.bytes) == len(raw) and np.array_equal(self.at, at) and np.array_equal(self.bytes, raw):
+            return np.zeros(len(at) - 1, bool)
+        same = [np.array_equal(self.bytes[p:q], raw[r:s]) for p, q, r, s in zip(self.at, self.at[1:], at, at[1:])]
+        return ~np.array(same, bool)
+
+
+def _table(of: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all ids of a vocabulary, and where each begins."""
+    return np.frombuffer(b"".join(of), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in of])])
+
+
+def _lists(values: pa.Array, sizes: np.ndarray, by: str) -> pa.Array:
+    """Consecutive strings, so many for each list, joined."""
+    import pyarrow.compute as pc
+
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, values), pa.scalar(by, pa.large_string()))
 
 
 class Aligned:
@@ -117,17 +143,15 @@ class Aligned:
 
     def __init__(self, chunks: list[str], a: TokenizerA, b: TokenizerB):
         ids_a, ids_b = a.ids(chunks), b.ids(chunks)
-        self.fine = np.ones(len(chunks), bool)
-        for _ in range(2):
-            flat_a, len_a, bytes_a, at_a = _joined(ids_a, a.of)
-            flat_b, len_b, bytes_b, at_b = _joined(ids_b, b.of)
-            raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
-            wrong = [k for k in range(len(chunks)) if self.fine[k] and not raw[k] == bytes_a[at_a[k] : at_a[k + 1]] == bytes_b[at_b[k] : at_b[k + 1]]]
-            if not wrong:
-                break
-            self.fine[wrong] = False
-            for k in wrong:
+        raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
+        x, y, raw = Tokens(ids_a, a.table), Tokens(ids_b, b.table), np.frombuffer(b"".join(raw), np.uint8)
+        self.fine = ~(x.differ(raw, at) | y.differ(raw, at))
+        if not self.fine.all():
+            for k in np.flatnonzero(~self.fine).tolist():
                 ids_a[k], ids_b[k] = [], []
+            x, y = Tokens(ids_a, a.table), Tokens(ids_b, b.table)
+        flat_a, len_a, bytes_a, at_a, flat_b, len_b = x.ids, x.lengths, x.bytes, x.at, y.ids, y.lengths
         self.a, self.b, self.n_bytes = flat_a, flat_b, len(bytes_a)
         owner_a, owner_b = np.repeat(np.arange(len(flat_a)), len_a), np.repeat(np.arange(len(flat_b)), len_b)
         new_a, new_b = (np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.empty(0, bool) for x in (owner_a, owner_b))
@@ -161,15 +185,13 @@ class Aligned:
         first = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(chunk) else np.empty(0, np.int64)
         return chunk[first], a[first], b[first], np.add.reduceat(times, first) if len(first) else times
 
-    def strings(self) -> list[str]:
+    def strings(self) -> pa.Array:
         """The groups of each chunk as ``a1,a2|b1;a3|b2,b3``."""
-        groups = []
-        starts_a, starts_b = np.searchsorted(self.group_a, np.arange(len(self.chunk) + 1)).tolist(), np.searchsorted(self.group_b, np.arange(len(self.chunk) + 1)).tolist()
-        words_a, words_b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        for p, q, r, s in zip(starts_a, starts_a[1:], starts_b, starts_b[1:]):
-            groups.append(f"{words_a[p] if q == p + 1 else ','.join(words_a[p:q])}|{words_b[r] if s == r + 1 else ','.join(words_b[r:s])}")
-        edges = np.concatenate([[0], np.cumsum(self.n_groups)]).tolist()
-        return [groups[p] if q == p + 1 else ";".join(groups[p:q]) for p, q in zip(edges, edges[1:])]
+        import pyarrow.compute as pc
+
+        n = len(self.chunk)
+        sides = (_lists(pc.cast(pa.array(ids), pa.large_string()), np.bincount(of, minlength=n), ",") for ids, of in ((self.a, self.group_a), (self.b, self.group_b)))
+        return _lists(pc.binary_join_element_wise(*sides, pa.scalar("|", pa.large_string())), self.n_groups, ";")
 
 
 class Block:
@@ -211,8 +233,8 @@ class Block:
         return total[self.start[1:]] - total[self.start[:-1]]
 
     def digests(self) -> list[str]:
-        strings, codes = self.aligned.strings(), self.codes.tolist()
-        return ["" if a == z else hashlib.sha256(";".join([strings[c] for c in codes[a:z]]).encode()).hexdigest() for a, z in zip(self.start.tolist(), self.start[1:].tolist())]
+        whole = _lists(self.aligned.strings().take(pa.array(self.codes)), self.lengths, ";")
+        return [hashlib.sha256(x.as_py().encode()).hexdigest() if n else "" for x, n in zip(whole, self.lengths.tolist())]
 
 
 STORED = pa.schema([
@@ -296,7 +318,7 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return count.join(count.groupBy("a").agg(F.max("count").alias("top")), "a").select("a", "b", "count", (F.col("count") == F.col("top")).alias("best"))
 
 
-def alignments(docs: DataFrame, a: str | None = None, b: str | None = None, block_bytes: int = 16 << 20) -> DataFrame:
+def alignments(docs: DataFrame, a: str | None = None, b: str | None = None, block_bytes: int = 4 << 20) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text), columns as in ``SCHEMA``. ``a`` and ``b`` are the tokenizers' files."""
     table = written(blocks(docs, a, b, block_bytes), "aligned")
     pairs = pair_rows(table)
