@@ -286,22 +286,32 @@ def t15_canonical_urls(spark, sf_dir):
 
 def clusters(docs: DataFrame, window: int, least: float) -> DataFrame:
     """(doc_id, parent): of the documents within ``window`` before, of the same language, whose titles are of the same key
-    or similar by ``least``, the most similar and then the earliest; itself where there is none. Blocks are pairs of
-    language and a token: of a title's n tokens, rarest first, the first n - ceil(least * n) + 1, one of which any title as
-    similar has among its own. So no pair is lost, and titles that can't be similar seldom meet."""
-    d = docs.select("doc_id", "lang", F.array_distinct(tx.tokens(F.col("title"))).alias("s"), tx.title_key(F.col("title")).alias("key"))
-    each = d.select("doc_id", "lang", F.size("s").alias("size"), F.explode("s").alias("token"))
-    often = each.groupBy("lang", "token").agg(F.count("*").alias("n"))
+    or similar by ``least``, the most similar and then the earliest; itself where there is none.
+
+    Titles of one key are alike, so the earliest of them within the window follows from a window function, and only the
+    documents without one look for others: among the keys of their slots, each once with its documents there, not among
+    documents. Blocks are pairs of language and a token: of a title's n tokens, rarest first, the first
+    n - ceil(least * n) + 1, one of which any title as similar has among its own. So no pair is lost."""
+    d = docs.select("doc_id", "lang", F.array_distinct(tx.tokens(F.col("title"))).alias("s"), tx.title_key(F.col("title")).alias("key"), F.floor(F.col("doc_id") / window).alias("slot"))
+    same = F.min("doc_id").over(Window.partitionBy("lang", "key").orderBy("doc_id").rangeBetween(-window, -1))
+    d = d.withColumn("same", F.when(F.col("key") != "", same))
+    keys = d.where("key <> ''").groupBy("lang", "key").agg(F.min("s").alias("s"), F.count("*").alias("docs"))
+    each = keys.select("lang", "key", "docs", F.size("s").alias("size"), F.explode("s").alias("token"))
+    often = each.groupBy("lang", "token").agg(F.sum("docs").alias("n"))
     first = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1  # 0.55 * 20 is over 11 in floating point
-    rare = each.join(often, ["lang", "token"]).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "token"))).where(F.col("r") <= first)
-    blocks = rare.select("doc_id", "lang", "token", "size", F.floor(F.col("doc_id") / window).alias("slot"))
-    early = blocks.select("lang", "token", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"), F.col("doc_id").alias("p"), F.col("size").alias("psize"))
-    met = blocks.join(early, ["lang", "token", "slot"]).where((F.col("p") < F.col("doc_id")) & (F.col("doc_id") - F.col("p") <= window))
-    pair = met.where(F.least("size", "psize") >= F.greatest("size", "psize") * least - 1e-9).select("doc_id", "p").distinct()
-    pair = pair.join(d.select("doc_id", "s", "key"), "doc_id").join(d.select(F.col("doc_id").alias("p"), F.col("s").alias("ps"), F.col("key").alias("pk")), "p")
-    near = pair.withColumn("sim", F.when(F.col("key") == F.col("pk"), 1.0).otherwise(tx.jaccard(F.col("s"), F.col("ps")))).where(F.col("sim") >= least)
+    rare = each.join(often, ["lang", "token"]).withColumn("r", F.row_number().over(Window.partitionBy("lang", "key").orderBy("n", "token"))).where(F.col("r") <= first)
+    rare = rare.select("lang", "key", "token", "size")
+    late = d.where("same IS NULL").select("doc_id", "lang", "key", "slot").join(rare, ["lang", "key"])
+    there = d.where("key <> ''").groupBy("lang", "key", "slot").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))  # no more than the window has
+    early = there.join(rare, ["lang", "key"]).select("lang", "token", F.col("key").alias("pk"), F.col("size").alias("psize"), "ids", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
+    before = F.get(F.filter("ids", lambda p: (p >= F.col("doc_id") - window) & (p < F.col("doc_id"))), F.lit(0))
+    met = late.join(early, ["lang", "token", "slot"]).where((F.col("key") != F.col("pk")) & (F.least("size", "psize") >= F.greatest("size", "psize") * least - 1e-9))
+    pair = met.select("doc_id", "lang", "key", "pk", before.alias("p")).where("p IS NOT NULL").groupBy("doc_id", "lang", "key", "pk").agg(F.min("p").alias("p"))
+    words = keys.select("lang", "key", "s")
+    near = pair.join(words, ["lang", "key"]).join(words.select("lang", F.col("key").alias("pk"), F.col("s").alias("ps")), ["lang", "pk"])
+    near = near.withColumn("sim", tx.jaccard(F.col("s"), F.col("ps"))).where(F.col("sim") >= least)
     best = near.groupBy("doc_id").agg(F.max_by(F.col("p"), F.struct("sim", (-F.col("p")).alias("k"))).alias("parent"))
-    return d.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("parent", "doc_id").alias("parent"))
+    return d.select("doc_id", "same").join(best, "doc_id", "left").select("doc_id", F.coalesce("same", "parent", "doc_id").alias("parent"))
 
 
 @query()
