@@ -12,6 +12,7 @@ import tidemark.operators.outlook  # noqa: F401
 import tidemark.operators.relational  # noqa: F401
 import tidemark.operators.resolver  # noqa: F401
 import tidemark.operators.search  # noqa: F401
+import tidemark.operators.sectors  # noqa: F401
 import tidemark.operators.text_events  # noqa: F401
 import tidemark.operators.walkforward  # noqa: F401
 import tidemark.plans.alerts  # noqa: F401
