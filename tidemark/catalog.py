@@ -6,6 +6,7 @@ import tidemark.functions.predicates  # noqa: F401
 import tidemark.operators.backtest  # noqa: F401
 import tidemark.operators.forecast  # noqa: F401
 import tidemark.operators.indicators  # noqa: F401
+import tidemark.operators.journal  # noqa: F401
 import tidemark.operators.ledger  # noqa: F401
 import tidemark.operators.market  # noqa: F401
 import tidemark.operators.outlook  # noqa: F401
