@@ -20,6 +20,7 @@ import tidemark.plans.alerts  # noqa: F401
 import tidemark.plans.rules  # noqa: F401
 import tidemark.sources.bars  # noqa: F401
 import tidemark.sources.parsers  # noqa: F401
+import tidemark.sources.statements  # noqa: F401
 import tidemark.streaming.stream  # noqa: F401
 from tidemark.registry import ORACLE_SQL, QUERIES
 

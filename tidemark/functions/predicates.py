@@ -247,17 +247,24 @@ def p17_foreign_publishers(spark, sf_dir):
 LEVELS = {"none": 0.0, "weak": 0.25, "fair": 0.5, "good": 0.75, "full": 1.0}
 
 
-def expectation(shares: list[Column]) -> Column:
-    """The mean level of a rubric under shares of its levels, which need not add up to 1; null if all are 0."""
+def expectation(shares: list[Column], picked: Column | None = None) -> Column:
+    """The mean level of a rubric under shares of its levels, which need not add up to 1. If all are 0 or missing, the level
+    of the number ``picked``, rounded; 0 if there is no such level. Null without a pick."""
+    shares = [F.coalesce(s, F.lit(0.0)) for s in shares]
     total = reduce(Column.__add__, shares)
     worth = reduce(Column.__add__, [s * F.lit(v) for s, v in zip(shares, LEVELS.values())])
-    return F.try_divide(worth, total)
+    mean = F.when(total > 0, worth / total)
+    if picked is None:
+        return mean
+    level = F.get(F.array(*map(F.lit, LEVELS.values())), F.when(picked >= -0.5, F.floor(picked + 0.5)).otherwise(-1).cast("int"))
+    return F.coalesce(mean, level, F.lit(0.0))
 
 
-@query("""SELECT p_partkey, round((a * 0.0 + b * 0.25 + c * 0.5 + d * 0.75 + e * 1.0) / nullif(a + b + c + d + e, 0), 6) AS expectation FROM (SELECT p_partkey, CAST(p_size % 2 AS DOUBLE) AS a, CAST(p_size % 3 AS DOUBLE) AS b, CAST(p_size % 5 AS DOUBLE) AS c, CAST(p_partkey % 2 AS DOUBLE) AS d, CAST(p_partkey % 3 AS DOUBLE) AS e FROM part)""")
+@query("""SELECT p_partkey, round(CASE WHEN a + b + c + d + e > 0 THEN (a * 0.0 + b * 0.25 + c * 0.5 + d * 0.75 + e * 1.0) / (a + b + c + d + e) ELSE coalesce(CASE WHEN floor(pick + 0.5) BETWEEN 0 AND 4 THEN floor(pick + 0.5) * 0.25::DOUBLE END, 0) END, 6) AS expectation
+FROM (SELECT p_partkey, (p_partkey % 17) / 2.0::DOUBLE AS pick, CAST(p_size % 2 AS DOUBLE) AS a, CAST(p_size % 3 AS DOUBLE) AS b, CAST(p_size % 5 AS DOUBLE) AS c, CAST(p_partkey % 2 AS DOUBLE) AS d, CAST(p_partkey % 3 AS DOUBLE) AS e FROM part)""")
 def f_expectation(spark, sf_dir):
     shares = [(F.col(c) % k).cast("double") for c, k in (("p_size", 2), ("p_size", 3), ("p_size", 5), ("p_partkey", 2), ("p_partkey", 3))]
-    return table(spark, sf_dir, "part").select("p_partkey", r6("expectation", expectation(shares)))
+    return table(spark, sf_dir, "part").select("p_partkey", r6("expectation", expectation(shares, F.col("p_partkey") % 17 / 2)))
 
 
 @query(f"""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), f AS (SELECT DISTINCT word || unnest(['s', 'ies', 'sses', 'xes', 'is']) AS word FROM w) SELECT word, {tx.stem_sql('word')} AS stem FROM f""")

@@ -597,7 +597,7 @@ def walk_forward(rows: DataFrame, x: list[str], y: str, step: int = 5, train: in
     for start in range((first or 0) + train + gap, (last if last is not None else -1) + 1, step):
         w = ridge(rows.where((F.col("t") < start - gap) & (F.col("t") >= start - gap - train)), x, y)
         test = rows.where((F.col("t") >= start) & (F.col("t") < start + step)).withColumn("s", linear(w, x)).withColumn("r", F.percent_rank().over(Window.partitionBy("t").orderBy("s")))
-        got = test.groupBy("t").agg(F.corr("s", y).alias("ic"), (F.avg(F.when(F.col("r") >= 0.9, F.col(y))) - F.avg(y)).alias("spread"), F.count("*").alias("n"))
+        got = test.groupBy("t").agg(F.corr("s", y).alias("ic"), (F.avg(F.when(F.col("r") >= 0.9, F.col(y))) - F.avg(F.when(F.col("r") <= 0.1, F.col(y)))).alias("spread"), F.count("*").alias("n"))
         out = got if out is None else out.unionByName(got)
     return out if out is not None else rows.select("t", F.lit(0.0).alias("ic"), F.lit(0.0).alias("spread"), F.lit(0).cast("long").alias("n")).limit(0)
 

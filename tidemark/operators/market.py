@@ -75,15 +75,16 @@ def _scored(spark, sf_dir) -> DataFrame:
     return scan(users_daily(spark, sf_dir), 15).withColumn("signals", signals()).withColumn("score", score())
 
 
-_SWEEPS: dict[tuple[str, str], str] = {}
+_SWEEPS: dict[tuple, str] = {}
 
 
 def sweep(spark, sf_dir: str, anew: bool = False) -> DataFrame:
-    """The session's stored scan of ``sf_dir``: swept once (or ``anew``), written to the shared folder, and read by every
-    screen and list after."""
+    """The session's stored scan of ``sf_dir``: swept once for each state of its files (or ``anew``), written to the shared
+    folder, and read by every screen and list after."""
     from tidemark.streaming.stream import place
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    files = table(spark, sf_dir, "events").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = (spark.sparkContext.applicationId, sf_dir, *files.agg(F.count("*"), F.sum("file_size"), F.max("file_modification_time")).first())
     if anew or key not in _SWEEPS:
         path = place(spark, None).replace("stream-", "sweep-")
         _scored(spark, sf_dir).write.parquet(path)
@@ -288,3 +289,27 @@ def a18_against_benchmark(spark, sf_dir):
     total = lambda c: F.exp(F.sum(F.ln(1 + F.col(c))))
     year = F.sqrt(F.lit(252.0))
     return x.groupBy("symbol").agg(r6("beta", F.regr_slope("r", "m")), r6("alpha", F.regr_intercept("r", "m") * 252), r6("volatility", F.stddev_samp("r") * year), r6("excess", total("r") - total("m")), r6("information_ratio", F.try_divide(F.avg(over), F.stddev_samp(over)) * year))
+
+
+def verdict(beat: Column, trades: Column, excess: Column) -> Column:
+    """What a record says: by the percentage of random traders that it beat, else by how many trades there are, else by what
+    it earned over the market."""
+    return (
+        F.when(beat >= 95, "skill").when(beat <= 50, "luck").when(beat.isNotNull(), "unclear").when(trades < 10, "too few trades")
+        .when(excess > 0, "ahead").otherwise("behind")
+    )
+
+
+@query(f"""WITH {USERS_SQL}, {MARKET_SQL}, m AS (SELECT arg_max(mclose, ts) / arg_min(mclose, ts) - 1 AS m FROM market), t AS (SELECT user_id AS symbol, count(*) AS trades FROM events WHERE event_type = 'purchase' GROUP BY 1),
+r AS (SELECT symbol, arg_max(close, ts) / arg_min(close, ts) - 1 AS r FROM bars GROUP BY 1), x AS (SELECT symbol, coalesce(trades, 0) AS trades, r - m AS excess, r FROM r LEFT JOIN t USING (symbol), m),
+b AS (SELECT *, CASE WHEN trades >= 10 AND symbol % 4 > 0 THEN percent_rank() OVER (PARTITION BY trades >= 10 AND symbol % 4 > 0 ORDER BY r) * 100 END AS beat FROM x)
+SELECT symbol, trades, round(beat, 4) AS beat, CASE WHEN beat >= 95 THEN 'skill' WHEN beat <= 50 THEN 'luck' WHEN beat IS NOT NULL THEN 'unclear' WHEN trades < 10 THEN 'too few trades' WHEN excess > 0 THEN 'ahead' ELSE 'behind' END AS verdict FROM b""")
+def a32_verdicts(spark, sf_dir):
+    """Users as accounts and their purchases as trades; of those with ten, three quarters are ranked among each other."""
+    m = market(spark, sf_dir).agg((F.max_by("mclose", "ts") / F.min_by("mclose", "ts") - 1).alias("m"))  # one row
+    t = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("symbol")).agg(F.count("*").alias("trades"))
+    r = users_daily(spark, sf_dir).groupBy("symbol").agg((F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("r"))
+    x = r.join(t, "symbol", "left").join(F.broadcast(m)).select("symbol", "r", F.coalesce("trades", F.lit(0)).alias("trades"), (F.col("r") - F.col("m")).alias("excess"))
+    tested = (F.col("trades") >= 10) & (F.col("symbol") % 4 > 0)
+    ranked = x.where(tested).select("symbol", (F.percent_rank().over(Window.partitionBy(F.lit(1)).orderBy("r")) * 100).alias("beat"))  # one row an account
+    return x.join(ranked, "symbol", "left").select("symbol", "trades", F.round("beat", 4).alias("beat"), verdict(F.col("beat"), F.col("trades"), F.col("excess")).alias("verdict"))

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -443,6 +444,38 @@ def r8_rule_faults(spark, sf_dir):
     return rules.select("rule", F.explode(faults("text")).alias("field"))
 
 
+def faulty_fields(text: Column) -> Column:
+    """The fields at fault of rule texts, without repeats; none for a sound rule."""
+
+    @F.pandas_udf("array<string>")
+    def faults(texts: pd.Series) -> pd.Series:
+        def of(text):
+            try:
+                parse(text)
+            except RuleError as e:
+                return list(dict.fromkeys(f.split(": ")[0] for f in e.faults))
+            return []
+
+        return texts.map(of)
+
+    return faults(text)
+
+
+@query("""WITH f AS (SELECT p_partkey AS rule, unnest([CASE WHEN p_size * 60 > 2000 THEN 'rule.all[0].period' END, CASE WHEN p_partkey % 7 = 0 THEN 'rule.all[0].op' END, CASE WHEN p_partkey % 5 = 0 THEN 'rule.interval' END,
+ CASE WHEN p_partkey % 11 = 0 THEN 'rule.symbols' END, CASE WHEN p_partkey % 11 > 0 AND p_partkey % 3 = 0 THEN 'rule.symbols[1]' END, CASE WHEN p_partkey % 13 = 0 THEN 'rule.cooldown_hours' END, CASE WHEN p_partkey % 17 = 0 THEN 'rule.extra' END]) AS field FROM part)
+SELECT rule, field FROM f WHERE field IS NOT NULL""")
+def r8_table_faults(spark, sf_dir):
+    """The faults of a rule for each part, made of its numbers."""
+    k = F.col("p_partkey")
+    symbols = F.when(k % 11 == 0, "[]").when(k % 3 == 0, '["AB", "ab"]').otherwise('["AB"]')
+    parts = [
+        '{"name": "', F.col("p_name"), '", "symbols": ', symbols, ', "interval": "', F.when(k % 5 == 0, "2d").otherwise("1d"), '", "cooldown_hours": ', F.when(k % 13 == 0, "-1").otherwise("24"), F.when(k % 17 == 0, ', "extra": 1').otherwise(""),
+        ', "all": [{"indicator": "sma", "period": ', (F.col("p_size") * 60).cast("string"), ', "op": "', F.when(k % 7 == 0, "~").otherwise(">"), '", "value": ', F.col("p_retailprice").cast("string"), "}]}",
+    ]
+    text = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("rule"), F.explode(faulty_fields(text)).alias("field"))
+
+
 @query(f"""WITH {_MOMENTUM_SQL}, last_fired AS (SELECT symbol, min(ts) + INTERVAL 600 HOUR AS fired FROM bars GROUP BY symbol),
 l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS nth FROM hits WHERE hit)
 SELECT symbol, l.ts, l.ts >= f.fired + INTERVAL 24 HOUR AS fires FROM l JOIN last_fired f USING (symbol) WHERE nth <= 3""")
