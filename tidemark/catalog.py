@@ -22,6 +22,7 @@ import tidemark.sources.bars  # noqa: F401
 import tidemark.sources.parsers  # noqa: F401
 import tidemark.sources.statements  # noqa: F401
 import tidemark.sources.versions  # noqa: F401
+import tidemark.streaming.state  # noqa: F401
 import tidemark.streaming.stream  # noqa: F401
 from tidemark.registry import ORACLE_SQL, QUERIES
 

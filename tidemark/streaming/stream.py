@@ -31,11 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.gettempdir()
 
 
-def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", files: int = 8) -> DataFrame:
-    """A table read as a stream of at most ``files`` files a micro-batch, which bounds what a key holds at once; times are
-    instants, as watermarks ask for."""
+def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", files: int = 8, size: int | None = None) -> DataFrame:
+    """A table read as a stream of at most ``files`` files a micro-batch, or of ``size`` bytes (one file at least), which
+    bounds what a key holds at once; times are instants, as watermarks ask for."""
     kind = table(spark, sf_dir, name).schema
-    x = spark.readStream.schema(kind).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parque[t]")
+    bound = ("maxBytesPerTrigger", size) if size else ("maxFilesPerTrigger", files)
+    x = spark.readStream.schema(kind).option(*bound).parquet(f"{sf_dir}/{name}.parque[t]")
     return x.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in kind.names else x
 
 
