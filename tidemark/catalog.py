@@ -10,6 +10,7 @@ import tidemark.operators.journal  # noqa: F401
 import tidemark.operators.ledger  # noqa: F401
 import tidemark.operators.market  # noqa: F401
 import tidemark.operators.outlook  # noqa: F401
+import tidemark.operators.pools  # noqa: F401
 import tidemark.operators.relational  # noqa: F401
 import tidemark.operators.resolver  # noqa: F401
 import tidemark.operators.search  # noqa: F401
