@@ -50,10 +50,16 @@ def terms_of(text: Column) -> Column:
     return F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), tx.stem)
 
 
-def index(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(term, doc_id, field, positions): positions count from 0 in each field."""
+def index(docs: DataFrame, fields: list[str], only: set[str] | None = None) -> DataFrame:
+    """(term, doc_id, field, positions): positions count from 0 in each field. ``only``: the rows of these terms, which is all
+    that searches of documents without a stored index need; the other words stay where they are read."""
     each = [F.struct(F.lit(c).alias("field"), terms_of(F.coalesce(F.col(c), F.lit(""))).alias("w")) for c in fields]
-    words = docs.select("doc_id", F.inline(F.array(*each))).select("doc_id", "field", F.posexplode("w").alias("pos", "term"))
+    words = docs.select("doc_id", F.inline(F.array(*each)))
+    if only is None:
+        words = words.select("doc_id", "field", F.posexplode("w").alias("pos", "term"))
+    else:
+        placed = F.transform("w", lambda t, k: F.struct(k.alias("pos"), t.alias("term")))
+        words = words.select("doc_id", "field", F.inline(F.filter(placed, lambda x: x["term"].isin(sorted(only)))))
     return words.groupBy("term", "doc_id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -293,8 +299,9 @@ def _search_sql() -> str:
 @query(_search_sql())
 def t12_search_forms(spark, sf_dir):
     """All documents that searches of each form find: all words, any word, phrases, exclusions, alternatives of them."""
-    docs = headlines(spark, sf_dir)
-    return found(index(docs, FIELDS), lengths(docs, FIELDS), {k: parse_search(v) for k, v in SEARCHES.items()})
+    docs, searches = headlines(spark, sf_dir), {k: parse_search(v) for k, v in SEARCHES.items()}
+    terms = {t for search in searches.values() for clause in search for i in clause for t in i.terms}
+    return found(index(docs, FIELDS, terms), lengths(docs, FIELDS), searches)
 
 
 @query(f"""WITH m AS ({_search_sql()}), r AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY rank DESC, doc_id) AS nth FROM m) SELECT search, doc_id, rank, nth FROM r WHERE nth <= 20""")
@@ -324,7 +331,8 @@ def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     sources = docs.select("doc_id", F.col("source").alias("host"), trust.alias("trust"), (F.col("doc_id") % 30).alias("age"), (F.trim("body") != "").alias("has_body"))
     names = F.create_map(*[F.lit(x) for name, text in QUESTIONS.items() for x in (f"src{len(text) % 20}", name)])
     subjects = docs.select(F.try_element_at(names, F.col("source")).alias("question"), "doc_id").where("question IS NOT NULL")
-    return evidence(index(docs, FIELDS), sources, QUESTIONS, subjects), sources
+    terms = {t for q in QUESTIONS.values() for t in profile(q).weights}
+    return evidence(index(docs, FIELDS, terms), sources, QUESTIONS, subjects), sources
 
 
 @query(f"{_evidence_sql()} SELECT question, doc_id, raw, relevant, relevance FROM e")
