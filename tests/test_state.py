@@ -79,3 +79,16 @@ def test_small_cases(spark, tmp_path):
 def test_empty(spark, tmp_path, kind):
     x = write(spark, str(tmp_path / "none"), [])
     assert rows(state.timed(x, WORK[kind][0]())) == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as S
+
+    from tidemark.streaming.stream import shared_dir
+
+    def session(master, where):
+        return S(conf=S(get=lambda name, other: None), sparkContext=S(master=master, getConf=lambda: S(get=lambda name: where)))
+
+    assert shared_dir(session("spark://host:7077", "/shared/x/")) == "/shared/x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077", None))
