@@ -22,7 +22,9 @@ TRACKING = [
 
 def tokens(text: Column) -> Column:
     """Words of letters and digits in lower case, without stop words and single characters."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " ")), " ")
+    # Letter by letter, as DuckDB lowers: without the dot that a capital I with one would keep, and without final sigma.
+    low = F.lower(F.translate(text, "\u0130\u03a3", "i\u03c3"))
+    words = F.split(F.trim(F.regexp_replace(low, r"[^\p{L}\p{Nd}]+", " ")), " ")
     return F.filter(words, lambda w: (F.octet_length(w) >= 2) & ~w.isin(STOP_WORDS))
 
 
