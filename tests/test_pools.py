@@ -96,3 +96,13 @@ def test_reading_draws(spark):
     x = spark.createDataFrame([([1.0, 2.0, 4.0], 2.0), ([3.0], 1.0)], "x array<double>, y double")
     got = x.select(pools.split_pit(F.col("x"), F.col("y")), *[pools.read_at(F.col("x"), F.lit(t)) for t in (0.0, 0.25, 0.75, 1.0)]).collect()
     assert [tuple(q) for q in got] == [(0.5, 1.0, 1.5, 3.0, 4.0), (0.25, 3.0, 3.0, 3.0, 3.0)]
+
+
+def test_symbols_do_not_meet_in_their_sector(spark):
+    rows = [(s, s % 2, t, 0.01 * ((s * 7 + t * 3) % 11 - 5), 0.0, t % 4 == 0) for s in range(6) for t in range(40)]
+    x = spark.createDataFrame(rows, "symbol long, sector long, t long, r double, m double, report boolean")
+    jumps = pools.report_jumps(pools.residuals(x, 10, 5), 10, 5, own=99)
+    got = jumps.collect()
+    assert len(got) == 6 and all(r.origin == "sector" and abs(sum(r.jumps)) < 1e-9 for r in got)
+    plan = jumps._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and plan.count("aggregate(raw") <= 1

@@ -74,11 +74,11 @@ def report_jumps(rows: DataFrame, year: int = 252, settled: int = 61, own: int =
     pool = pool.select("sector", (F.col("idio") / F.col("before")).alias("z"), F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("t"), "symbol")).alias("nth"))
     pool = pool.where(F.col("nth") <= shared).groupBy("sector").agg(F.collect_list("z").alias("shared"))
     ends = x.groupBy("symbol").agg(F.max_by(F.struct("sector", "now"), "t").alias("e")).select("symbol", "e.sector", "e.now")
-    j = ends.join(mine, "symbol", "left").join(pool, "sector", "left")
+    j = ends.join(mine, "symbol", "left").join(F.broadcast(pool), "sector", "left")  # one row a sector
     enough = F.coalesce(F.col("n") >= own, F.lit(False))
     j = j.select("symbol", F.when(enough, "own").otherwise("sector").alias("origin"), F.when(enough, F.col("own")).when(F.col("now") > 0, F.transform("shared", lambda z: z * F.col("now"))).alias("raw"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    return j.where(F.size("raw") >= least).select("symbol", "origin", F.transform("raw", lambda v: v - total(F.col("raw")) / F.size("raw")).alias("jumps"))
+    mean = F.aggregate("raw", F.lit(0.0), lambda s, v: s + v) / F.size("raw")  # once a symbol, not for each of its jumps
+    return j.where(F.size("raw") >= least).select("symbol", "origin", F.zip_with("raw", F.array_repeat(mean, F.size("raw")), lambda v, m: v - m).alias("jumps"))
 
 
 # Percentiles
