@@ -20,3 +20,11 @@ def test_ladder(spark):
         (14, "IBM"): (0.97, "legal_name"), (15, "NVDA"): (0.99, "explicit"), (16, "LNG"): (0.97, "legal_name"), (17, "NSB"): (0.97, "legal_name"), (17, "SBN"): (0.97, "legal_name"),
     }
     assert resolver.resolved(docs.limit(0), spark.createDataFrame(names, "symbol string, phrase string, alias boolean")).count() == 0
+
+
+def test_texts_words_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "Acme Watch Group and Apple rose"), (2, "apple Inc, Apple")], "doc_id long, text string")
+    names = spark.createDataFrame([("AWG", "acme watch group", False), ("APL", "apple", False)], "symbol string, phrase string, alias boolean")
+    found = resolver.resolved(docs, names)
+    assert {(r.doc_id, r.symbol, r.matched) for r in found.collect()} == {(1, "AWG", "acme watch group"), (1, "APL", "apple"), (2, "APL", "apple")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 4

@@ -22,6 +22,9 @@ _QUALIFIED = r"(?i)\b(?:" + "|".join(EXCHANGES) + r")\s*[:\-]\s*([A-Z0-9.\-]{1,6
 _OTHER = r"[^\p{L}\p{Nd}]+"
 _RUN = r"[\p{L}\p{N}_$]+"
 _SYMBOL = r"[\p{L}\p{N}_.\-]+"
+# Runs of _RUN that don't begin with a small letter or $, and of _SYMBOL that may be tickers.
+_CAPITAL = r"(?<![\p{L}\p{N}_$])[\p{L}\p{N}_&&[^a-z]][\p{L}\p{N}_$]*"
+_BARE = r"(?<![\p{L}\p{N}_.\-])[A-Z0-9.\-]{3,6}(?![\p{L}\p{N}_.\-])"
 
 
 def shouting(text: Column) -> Column:
@@ -52,29 +55,29 @@ def resolved(docs: DataFrame, names: DataFrame, common: list[str] = (), blocked:
     one of the ``common`` words only if it is an alias or a legal form follows. Null and empty texts name nothing.
     """
     d = docs.where("text IS NOT NULL").select("doc_id", "text", F.regexp_replace("text", _QUALIFIED, " ").alias("x"))
-    symbols = names.select("symbol").distinct()
+    symbols = F.broadcast(names.select("symbol").distinct())  # the dictionary goes to the texts, never their words to it
     explicit = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_QUALIFIED), F.lit(1)), F.upper))).alias("symbol"))
     explicit = explicit.join(symbols, "symbol").select("doc_id", "symbol", F.lit("explicit").alias("method"), F.col("symbol").alias("matched"))
 
     phrases = names.groupBy("phrase").agg(F.min("symbol").alias("symbol"), F.max("symbol").alias("other"), F.max("alias").alias("alias")).where("symbol = other").drop("other")
+    phrases = F.broadcast(phrases)
+    # A row for each word with those that follow; only where a phrase begins are its runs put together.
     w = d.select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("x"), _OTHER, " ")), " ").alias("w"))
-    n = F.size("w")
-
-    def runs_at(i: Column) -> Column:
-        form = F.coalesce(F.get("w", i).isin(*LEGAL_FORMS), F.lit(False))
-        one = lambda k: F.struct(i.alias("pos"), k.alias("len"), F.array_join(F.slice("w", i, k), " ").alias("phrase"), form.alias("form"))
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), one)
-
-    runs = w.select("doc_id", F.inline(F.flatten(F.transform(F.sequence(F.lit(1), n), runs_at)))).join(phrases, "phrase")
-    caps = F.filter(F.regexp_extract_all("x", F.lit(_RUN), F.lit(0)), lambda v: ~v.rlike("^[a-z$]"))
-    capital = d.select("doc_id", F.explode(F.array_distinct(F.transform(caps, F.lower))).alias("phrase"))
+    after = [F.slice("w", k, F.greatest(F.size("w") - (k - 1), F.lit(0))).alias(f"w{k}") for k in range(2, max(longest, 2) + 1)]
+    at = w.select("doc_id", F.posexplode(F.arrays_zip(F.col("w").alias("w1"), *after)).alias("pos", "r")).select("doc_id", (F.col("pos") + 1).alias("pos"), "r.*")
+    heads = phrases.groupBy(F.substring_index("phrase", " ", 1).alias("w1")).agg(F.max(F.size(F.split("phrase", " "))).alias("most"))
+    one = lambda k: F.struct(F.lit(k).alias("len"), F.concat_ws(" ", *[f"w{i}" for i in range(1, k + 1)]).alias("phrase"))
+    runs = F.array_compact(F.array(*[F.when((F.col("most") >= k) & F.col(f"w{k}").isNotNull(), one(k)) for k in range(1, longest + 1)]))
+    form = F.coalesce(F.col("w2").isin(*LEGAL_FORMS), F.lit(False)).alias("form")
+    runs = at.join(F.broadcast(heads), "w1").select("doc_id", "pos", form, F.inline(runs)).join(phrases, "phrase")
+    capital = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("x", F.lit(_CAPITAL), F.lit(0)))).alias("phrase")).select("doc_id", F.lower("phrase").alias("phrase")).join(phrases, "phrase", "left_semi")
     sound = ~F.upper("phrase").isin(*blocked) & (~F.col("phrase").isin(*common) | F.col("alias") | F.col("form"))
     runs = runs.where("len > 1").unionByName(runs.where((F.col("len") == 1) & sound).join(capital, ["doc_id", "phrase"], "left_semi"))
     method = F.when(F.col("alias"), "alias").when(F.col("len") == 1, "sole_name").otherwise("legal_name")
     named = _longest_first(runs).select("doc_id", "symbol", method.alias("method"), F.col("phrase").alias("matched"))
 
-    bare = F.filter(F.regexp_extract_all("x", F.lit(_SYMBOL), F.lit(0)), lambda v: v.rlike(r"^[A-Z0-9.\-]{3,6}$") & ~v.isin(*blocked) & ~v.isin(*EXCHANGES))
-    tickers = d.where(~shouting(F.col("x"))).select("doc_id", F.explode(F.array_distinct(bare)).alias("symbol")).join(symbols, "symbol")
+    bare = F.filter(F.array_distinct(F.regexp_extract_all("x", F.lit(_BARE), F.lit(0))), lambda v: ~v.isin(*blocked) & ~v.isin(*EXCHANGES))
+    tickers = d.select("doc_id", "x", bare.alias("bare")).where((F.size("bare") > 0) & ~shouting(F.col("x"))).select("doc_id", F.explode("bare").alias("symbol")).join(symbols, "symbol")
     tickers = tickers.select("doc_id", "symbol", F.lit("ticker").alias("method"), F.col("symbol").alias("matched"))
 
     confidence = F.create_map(*[F.lit(v) for kv in CONFIDENCE.items() for v in kv])
