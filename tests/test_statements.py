@@ -52,3 +52,16 @@ def test_expectation_and_verdict(spark):
     assert got == {1: 0.75, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.75}
     v = spark.createDataFrame([(99.0, 20, 1.0), (50.0, 20, 1.0), (70.0, 20, 1.0), (None, 9, 1.0), (None, 20, 1.0), (None, 20, None)], "b double, t int, e double")
     assert [r.v for r in v.select(verdict(F.col("b"), F.col("t"), F.col("e")).alias("v")).collect()] == ["skill", "luck", "unclear", "too few trades", "ahead", "behind"]
+
+
+def test_frames_are_read_once(spark):
+    frame = lambda n, ends: spark.createDataFrame([("A", D(2024, *e), n, 1.0 + k) for k, e in enumerate(ends)], "symbol string, period_end date, line string, value double")
+    lead, other = frame("x", [(3, 31), (4, 6), (6, 30)]), frame("y", [(4, 3), (6, 27), (8, 1)])
+    said = spark.createDataFrame([("A", D(2024, 6, 30))], "symbol string, announced date")
+    m = st.merged([(lead, {"x": "m"}, "quarter"), (other, {}, "quarter")], said)
+    got = {r.period_end: (r.report_date, r.metrics, r.raw) for r in m.collect()}
+    assert got == {
+        D(2024, 3, 31): (D(2024, 6, 30), {"m": 1.0}, {"x": 1.0, "y": 1.0}), D(2024, 4, 6): (D(2024, 6, 30), {"m": 2.0}, {"x": 2.0}),
+        D(2024, 6, 30): (D(2024, 6, 30), {"m": 3.0}, {"x": 3.0, "y": 2.0}), D(2024, 8, 1): (None, {}, {"y": 3.0}),
+    }
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3

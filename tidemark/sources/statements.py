@@ -36,12 +36,12 @@ def snapped(frame: DataFrame, ends: DataFrame, tolerance: int) -> DataFrame:
 def report_dates(periods: DataFrame, announcements: DataFrame) -> DataFrame:
     """``periods`` (symbol, period_end, ...) with the first of ``announcements`` (symbol, announced) from the period's end on,
     none if it comes later than ``LATEST`` days."""
-    slots = LATEST + 1
-    ends = periods.select("symbol", "period_end").distinct()
-    left = ends.withColumn("slot", F.explode(F.array(_near(F.col("period_end"), slots), _near(F.col("period_end"), slots) + 1)))
-    right = announcements.select("symbol", "announced", _near(F.col("announced"), slots).alias("slot"))
-    first = left.join(right, ["symbol", "slot"]).where((F.col("announced") >= F.col("period_end")) & (F.col("announced") <= F.date_add("period_end", LATEST)))
-    return periods.join(first.groupBy("symbol", "period_end").agg(F.min("announced").alias("report_date")), ["symbol", "period_end"], "left")
+    # Later dates come first, so the nearest announcement from a period's end on is a running least value.
+    said = announcements.where("symbol IS NOT NULL AND announced IS NOT NULL").select("symbol", F.col("announced").alias("day"), "announced", F.lit(False).alias("period"))
+    both = periods.withColumns({"day": F.col("period_end"), "period": F.lit(True)}).unionByName(said, allowMissingColumns=True)
+    w = Window.partitionBy("symbol").orderBy(F.desc("day")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    next_ = both.withColumn("announced", F.min("announced").over(w)).where("period")
+    return next_.select(*periods.columns, F.when(F.col("announced") <= F.date_add("period_end", LATEST), F.col("announced")).alias("report_date"))
 
 
 def merged(frames: list[tuple[DataFrame, dict[str, str], str]], announcements: DataFrame, tolerance: int = 5) -> DataFrame:
@@ -49,22 +49,32 @@ def merged(frames: list[tuple[DataFrame, dict[str, str], str]], announcements: D
     period. ``frames``: (symbol, period_end, line, value) with the names of the lines that are metrics and the kind, in
     order of precedence, the last one strongest; the first frame of a kind sets its period ends. Values that are not finite
     don't count, and a period without any has no record."""
-    leading: dict[str, DataFrame] = {}
+    first = {kind: nth for nth, (_, _, kind) in reversed(list(enumerate(frames)))}
     rows = []
     for nth, (frame, names, kind) in enumerate(frames):
-        x = frame.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))).select("symbol", "period_end", "line", "value")
-        if kind in leading:
-            x = snapped(x, leading[kind], tolerance)
-        else:
-            leading[kind] = x.select("symbol", "period_end")
+        x = frame.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
         metric = F.try_element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), F.col("line")) if names else F.lit(None).cast("string")
-        rows.append(x.select("symbol", "period_end", F.lit(kind).alias("period_type"), F.lit(nth).alias("nth"), "line", metric.alias("metric"), "value"))
-    every = reduce(DataFrame.unionByName, rows)
+        rows.append(x.select("symbol", "period_end", F.lit(kind).alias("period_type"), F.lit(nth).alias("nth"), F.lit(nth == first[kind]).alias("leads"), "line", metric.alias("metric"), "value"))
+    # All frames in one pass by company, each period a row; the nearest leading end before and after are running values.
+    every = reduce(DataFrame.unionByName, rows).repartition("symbol")
+    every = every.groupBy("symbol", "period_type", "period_end", "nth", "leads").agg(F.collect_list(F.struct("line", "metric", "nth", "value")).alias("values"))
+    end, lead = F.col("period_end"), F.when(F.col("leads"), F.col("period_end"))
+    w = Window.partitionBy("symbol", "period_type")
+    running = (Window.unboundedPreceding, Window.currentRow)
+    every = every.withColumn("before", F.max(lead).over(w.orderBy("period_end").rangeBetween(*running))).withColumn("after", F.min(lead).over(w.orderBy(F.desc("period_end")).rangeBetween(*running)))
+    near = lambda c: F.coalesce(F.abs(F.datediff(c, end)) <= tolerance, F.lit(False))
+    late = near("after") & (~near("before") | (F.datediff("after", end) < F.datediff(end, "before")))
+    every = every.withColumn("period_end", F.when(F.col("leads") | F.col("symbol").isNull(), end).when(late, F.col("after")).when(near("before"), F.col("before")).otherwise(end))
     key = ["symbol", "period_end", "period_type"]
-    # Two period ends of one frame may be snapped together; then the larger value counts.
-    last = lambda c: every.where(F.col(c).isNotNull()).groupBy(*key, c).agg(F.max(F.struct("nth", "value")).alias("v")).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "v.value")))).alias("m"))
-    whole = last("line").withColumnRenamed("m", "raw").join(last("metric").withColumnRenamed("m", "metrics"), key, "left")
-    return report_dates(whole, announcements).select(*key, "report_date", F.coalesce("metrics", F.create_map().cast("map<string,double>")).alias("metrics"), "raw")
+    whole = every.groupBy(*key).agg(F.flatten(F.collect_list("values")).alias("values"))
+
+    def last(name: str) -> Column:
+        """Of each name the value of the last frame; two ends of a frame may be snapped together, then the larger counts."""
+        of = lambda n: F.array_max(F.transform(F.filter("values", lambda v: v[name] == n), lambda v: F.struct(v["nth"], v["value"])))["value"]
+        names = F.array_sort(F.array_distinct(F.filter(F.transform("values", lambda v: v[name]), lambda n: n.isNotNull())))
+        return F.map_from_entries(F.transform(names, lambda n: F.struct(n, of(n))))
+
+    return report_dates(whole.select(*key, last("metric").alias("metrics"), last("line").alias("raw")), announcements).select(*key, "report_date", "metrics", "raw").where(F.size("raw") > 0)
 
 
 def latest_records(history: DataFrame, version: str) -> DataFrame:
@@ -103,7 +113,8 @@ d AS (SELECT p.symbol, p.period_end, min(announced) AS report_date FROM p LEFT J
 SELECT symbol, period_end, period_type, report_date, max(value) FILTER (line = 'Total Revenue') AS revenue, max(value) FILTER (line = 'Orders') AS orders, max(value) FILTER (line = 'Largest') AS largest, count(*) AS lines FROM l JOIN d USING (symbol, period_end) GROUP BY 1, 2, 3, 4""")
 def s21_merged_statements(spark, sf_dir):
     """Six frames; the weaker ones' period ends lie some days off, those of one of them too far to be snapped."""
-    o = table(spark, sf_dir, "orders")
+    # One shuffle, of which all frames take their sums.
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderpriority").repartition("o_custkey")
     frames = [(_frame(o, *f), NAMES, f[1]) for f in _FRAMES]
     announced = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("announced"))
     m = merged(frames, announced)
