@@ -203,3 +203,17 @@ def test_stream_state_carries_over_batches():
     step = stream.cooling(1.5)
     state, rows = step(None, one)
     assert len(rows) == 2 and len(step(state, one)[1]) == 0
+
+
+def test_a_key_takes_a_byte_a_row_in_a_stateful_stream(spark, tmp_path):
+    at = [f"2024-01-01 00:00:0{k}" for k in (3, 1, 2)]
+    rows = [(k, a, name) for k, (a, name) in enumerate((a, n) for n in ("x", None) for a in at)]
+    spark.createDataFrame(rows, "event_id long, at string, event_type string").select("event_id", F.to_timestamp("at").alias("ts"), "event_type").write.parquet(f"{tmp_path}/events.parquet")
+
+    def step(last, pdf):
+        assert pdf["event_type"].dtype == "category"
+        return (len(pdf),), pdf
+
+    s = stream.event_stream(spark, str(tmp_path)).select("event_type", "ts", "event_id")
+    got = stream.drained(stream.stateful(s, "event_type", "event_type string, ts timestamp, event_id long", "n long", step)).collect()
+    assert sorted((r.event_id, r.event_type) for r in got) == [(0, "x"), (1, "x"), (2, "x"), (3, None), (4, None), (5, None)]

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from tidemark.operators.indicators import r6
 from tidemark.registry import query, table
 
 
+SLICE = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is set, a local session (tests) takes a temporary one; on a
     cluster this raises."""
@@ -70,13 +74,16 @@ def upserted(stream: DataFrame, keys: list[str], version: str, name: str | None
 
 
 def stateful(stream: DataFrame, key: str, out: str, state: str, step: Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]) -> DataFrame:
-    """A function of a key's state and its new rows of a micro-batch, in order of time, to the next state and rows to emit."""
+    """A function of a key's state and its new rows of a micro-batch, in order of time, to the next state and rows to emit.
+    The key's column is a byte a row until rows are emitted, some at a time: as strings it would take most of the memory."""
 
     def work(k, batches, held: GroupState):
-        pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        after, rows = step(tuple(held.get) if held.exists else None, pdf.assign(**{key: k[0]}))
+        pdf = pd.concat([b.drop(columns=key) for b in batches], ignore_index=True).sort_values("ts", kind="stable", ignore_index=True)
+        pdf[key] = pd.Categorical.from_codes(np.zeros(len(pdf), "int8"), [""])
+        after, rows = step(tuple(held.get) if held.exists else None, pdf)
         held.update(after)
-        yield rows
+        for at in range(0, len(rows), SLICE):
+            yield rows.iloc[at : at + SLICE].assign(**{key: k[0]})
 
     return stream.groupBy(key).applyInPandasWithState(work, out, state, "append", GroupStateTimeout.NoTimeout)
 
