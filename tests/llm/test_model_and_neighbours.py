@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -51,6 +52,21 @@ def test_scores_against_plain_counts(spark, sf01_dir, docs01):
     compare(QUERIES["op8_lm_score"](spark, sf01_dir).collect(), plain_scores([(i, t) for i, (t, _) in docs01.items()], 20.0, 2))
 
 
+def test_scores_hold_counts_only():
+    """What a block's texts need besides their counts doesn't grow with the block."""
+    peaks = []
+    for texts in (80, 240):
+        lengths = np.full(texts, 5000)
+        grams = lm_score.Grams(np.arange(texts * 5000, dtype=np.int32) % 1000, lengths, np.arange(1000, dtype=np.uint64), 2)
+        single, more = np.ones(len(grams.ends), np.int64), [np.ones(len(grams.ends), np.int64)]
+        tracemalloc.start()
+        known = [int(n) for columns in lm_score.judged(grams, single, more, 10, 1e6, 20.0) for n in columns[0]]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert known == [5001] * texts
+    assert peaks[1] < 1.2 * peaks[0]
+
+
 def test_scores_odd_rows(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     for order in (1, 2, 3, 4):

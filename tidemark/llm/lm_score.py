@@ -94,37 +94,49 @@ class Grams:
         for keys, total in zip(self.keys(), totals):
             order = np.argsort(keys)
             keys = keys[order]
-            number = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]), dtype=np.int32) if len(keys) else order
-            if len(keys) and number[-1] + 1 != len(total):
+            new = np.zeros(len(keys), bool)
+            np.not_equal(keys[1:], keys[:-1], out=new[1:])
+            del keys
+            number = np.cumsum(new, dtype=np.int32)
+            if len(number) and number[-1] + 1 != len(total):
                 raise ValueError("a block and its counts do not fit together")
             at = np.empty(len(order), np.int64)
             at[order] = total[number]
             out.append(at)
         return out
 
+    def slices(self, tokens: int = 1 << 17) -> Iterator[tuple[slice, slice]]:
+        """Consecutive texts with about so many tokens, one text at least, and the places of their tokens."""
+        a, n = 0, len(self.lengths)
+        while a < n:
+            z = max(a + 1, int(np.searchsorted(self.begin, self.begin[a] + tokens, "right")) - 1)
+            yield slice(a, z), slice(int(self.begin[a]), int(self.begin[z]))
+            a = z
+
 
 class Automaton:
-    """The states and arcs that the texts of a block can reach, held by the token at which they are looked up."""
+    """The states and arcs that some texts can reach, held by the token at which they are looked up."""
 
-    def __init__(self, grams: Grams, single: np.ndarray, more: list[np.ndarray], train: int, whole: float, mu: float):
-        """``single``: counts of each token; ``more``: counts of the n-grams that end with it, by n."""
-        self.grams, p = grams, (single + 0.1) / whole
+    def __init__(self, begin: np.ndarray, single: np.ndarray, more: list[np.ndarray], train: int, whole: float, mu: float):
+        """``begin``: where each text begins, and the last one ends; ``single``: counts of each token; ``more``: counts of the
+        n-grams that end with it, by n."""
+        self.begin, p = begin, (single + 0.1) / whole
         self.root = np.log10(p)
         #: For each n from 2: whether the state of n - 1 words has an arc for the token, its weight, the failure weight.
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         shorter = single
         for count in more:
             history = np.empty_like(count)
-            history[1:], history[grams.begin[:-1]] = shorter[:-1], train
+            history[1:], history[begin[:-1]] = shorter[:-1], train
             p = (count + mu * p) / (history + mu)
             self.levels.append((count > 0, np.log10(p), np.log10(mu / (history + mu))))
             shorter = count
 
     def traverse(self) -> np.ndarray:
         """The score of each text, from left to right."""
-        out = np.empty(len(self.grams.lengths))
+        out = np.empty(len(self.begin) - 1)
         top = len(self.levels)
-        for k, (a, z) in enumerate(zip(self.grams.begin.tolist(), self.grams.begin[1:].tolist())):
+        for k, (a, z) in enumerate(zip(self.begin.tolist(), self.begin[1:].tolist())):
             root = self.root[a:z].tolist()
             levels = [tuple(x[a:z].tolist() for x in level) for level in self.levels]
             state, score = top, 0.0
@@ -143,6 +155,14 @@ class Automaton:
         return out
 
 
+def judged(grams: Grams, single: np.ndarray, more: list[np.ndarray], train: int, whole: float, mu: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(known tokens, base score, score) of a block's texts, some texts at a time, so that only counts are held of a block."""
+    for texts, at in grams.slices():
+        begin = grams.begin[texts.start : texts.stop + 1] - at.start
+        automaton = Automaton(begin, single[at], [c[at] for c in more], train, whole, mu)
+        yield np.add.reduceat((single[at] > 0).astype(np.int64), begin[:-1]), np.add.reduceat(automaton.root, begin[:-1]), automaton.traverse()
+
+
 def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 2, block_bytes: int = 40 << 20, range_tokens: int = 4_000_000) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text), columns as in ``SCHEMA``; ``order``: the n of the longest n-grams,
     1 at least."""
@@ -163,6 +183,8 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 2, b
                 pa.array([to_planes(flat, "<i4")], pa.binary()), pa.array([len(words)], pa.int32()), pa.array([to_packed(words)], pa.binary()), pa.array([to_planes(counts, "<i8")], pa.binary()),
                 pa.array([train], pa.int64()), pa.array([int(counts.sum()) + train], pa.int64()),
             ], [f.split()[0] for f in BLOCK.split(", ")])
+            del block, flat, words, counts
+            pa.default_memory_pool().release_unused()
             nth += 1
 
     table = written(rows.mapInArrow(read, BLOCK), "blocks")
@@ -214,7 +236,10 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 2, b
         keys = [np.cumsum(from_planes(x, n, "<u8"), dtype=np.uint64) for x, n in zip(group.column("keys").to_pylist(), sizes)]
         counts = [from_planes(x, n, "<u4") for x, n in zip(group.column("counts").to_pylist(), sizes)]
         all_, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts), len(all_)).astype("<i8")
+        del keys
+        total = np.zeros(len(all_), "<i8")
+        for x, c in zip(np.split(inverse, np.cumsum(sizes)[:-1]), counts):
+            total[x] += c  # a block has a key once
         back = [to_planes(total[x]) for x in np.split(inverse, np.cumsum(sizes)[:-1])]
         return pa.table([group.column("block"), group.column("part"), group.column("size"), pa.array(back, pa.binary()), pa.array([0] * len(back), pa.int64())], ["block", "part", "size", "body", "new"])
 
@@ -225,12 +250,16 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 2, b
     whole = tokens + 0.1 * (known + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = sorted(zip(*(right.column(c).to_pylist() for c in ("part", "size", "body"))), key=lambda x: x[0])
+        # Bodies are opened one after another, and texts judged some at a time: of a block only codes and counts are held.
+        place = np.argsort(right.column("part").to_numpy(), kind="stable").tolist()
         out: list = [[] for _ in range(7)]
-        for ids, held, lengths, codes, size, words in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "held", "lengths", "codes", "size", "words"))):
+        for row in range(left.num_rows):
+            ids, held, lengths, codes, size, words = (left.column(c)[row].as_py() for c in ("doc_ids", "held", "lengths", "codes", "size", "words"))
             grams = grams_of(lengths, codes, words)
+            del codes, words
             count, found, totals = np.zeros(size, np.int64), 0, [[np.empty(0, np.int64)] for _ in range(order - 1)]
-            for part, n, body in parts:
+            for k in place:
+                part, n, body = (right.column(c)[k].as_py() for c in ("part", "size", "body"))
                 if part < 0:
                     raw = pa.decompress(body, 12 * n, "zstd", asbytes=True)
                     count[np.frombuffer(raw, "<i4", n)] = np.frombuffer(raw, "<i8", n, 4 * n)
@@ -242,15 +271,15 @@ def scores(docs: DataFrame, folds: int = 10, mu: float = 20.0, order: int = 2, b
             single = np.empty(len(grams.ends), np.int64)
             single[~grams.ends], single[grams.ends] = count[grams.codes], train
             more = grams.spread([np.concatenate(t) for t in totals])
-            automaton = Automaton(grams, single, more, train, whole, mu)
-            begin = grams.begin[:-1]
+            del totals, count
             out[0] += ids
             out[1] += held
             out[2] += (grams.lengths + 1).tolist()
-            out[3] += np.add.reduceat((single > 0).astype(np.int64), begin).tolist()
             out[4] += [tokens] * len(ids)
-            out[5] += np.add.reduceat(automaton.root, begin).tolist()
-            out[6] += automaton.traverse().tolist()
+            for columns in judged(grams, single, more, train, whole, mu):
+                for c, values in zip((3, 5, 6), columns):
+                    out[c] += values.tolist()
+        pa.default_memory_pool().release_unused()
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

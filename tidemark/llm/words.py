@@ -64,7 +64,11 @@ def hashes_of(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word."""
     import xxhash
 
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+    out = np.empty(len(words), np.uint64)
+    for k in range(0, len(words), 1 << 16):
+        part = words.slice(k, 1 << 16)
+        out[k : k + len(part)] = np.fromiter(map(xxhash.xxh3_64_intdigest, part.to_pylist()), np.uint64, len(part))
+    return out
 
 
 def by_block(batches, rows: int = 1 << 20):
