@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import alignment, bpe, conversation_repair, toxicity
@@ -99,6 +100,27 @@ def test_groups_cover_the_bytes(spark):
         assert [i for r in groups for i in r.b] == m.encode(STRANGE[doc_id])
 
 
+def test_chunks_aligned_some_at_a_time():
+    """A block's chunks give the same by parts, and its documents the same counts, without all tokens at once."""
+    a, b = alignment.tokenizers(None, None)
+    chunks = [f" word{k} unbelievable{k * k}" for k in range(300)] + [" Straßenbahn" * 40, " naïveté"]
+    whole, parts = alignment.Aligned(chunks, a, b), alignment.Sums(chunks, a, b, 64)
+    assert len(parts.found) > 100
+    for x, y in zip(whole.links(), parts.links()):
+        assert np.array_equal(x, y)
+    assert whole.strings().to_pylist() == parts.strings().to_pylist()
+    for name in ("fine", "n_a", "n_b", "n_groups", "n_overlaps"):
+        assert np.array_equal(getattr(whole, name), getattr(parts, name))
+    texts = pa.array(["one two two", None, "", "two three", "one  two\nthree", "two three"])
+    found = alignment.Block(texts, a, b, alignment.Sums)
+    assert found.digests() == alignment.Block(texts, a, b).digests()
+    chunk, link_a, link_b, _ = found.aligned.links()
+    pairs, number = np.unique(link_a.astype(np.int64) << 20 | link_b, return_inverse=True)
+    count = alignment.documents_of_pairs(found, np.bincount(chunk, minlength=len(found.aligned.fine)), number, len(pairs))
+    held = [{p for c in found.codes[found.start[k] : found.start[k + 1]] for p in number[chunk == c].tolist()} for k in range(len(texts))]
+    assert count.tolist() == [sum(p in h for h in held) for p in range(len(pairs))]
+
+
 def test_overlaps_are_all_pairs_that_share_a_byte():
     a, b = alignment.tokenizers(None, None)
     found = alignment.Aligned([" unbelievable", " Straßenbahn", " naïveté"], a, b)

@@ -194,10 +194,45 @@ class Aligned:
         return _lists(pc.binary_join_element_wise(*sides, pa.scalar("|", pa.large_string())), self.n_groups, ";")
 
 
+class Sums:
+    """What Aligned finds in chunks, found some chunks at a time: counts by chunk, links and group strings, without tokens,
+    owners and overlaps."""
+
+    def __init__(self, chunks: list[str], a: TokenizerA, b: TokenizerB, size: int = 1 << 17):
+        self.found, self.texts, kept = [], [], []
+        for part in _slices(np.fromiter(map(len, chunks), np.int64, len(chunks)), size):
+            x = Aligned(chunks[part], a, b)
+            chunk, *link = x.links()
+            self.found.append([c.astype(np.int32) for c in (chunk + part.start, *link[:2])] + [link[2]])
+            self.texts.append(x.strings())
+            kept.append((x.fine, x.n_groups, x.n_overlaps, x.n_a, x.n_b))
+            del x, chunk, link
+        empty = [(np.empty(0, bool), *[np.empty(0, np.int64)] * 4)]
+        self.fine, self.n_groups, self.n_overlaps, self.n_a, self.n_b = (np.concatenate(c) for c in zip(*(kept or empty)))
+
+    def links(self) -> tuple[np.ndarray, ...]:
+        if not self.found:
+            return (*[np.empty(0, np.int32)] * 3, np.empty(0, np.int64))
+        return tuple(np.concatenate(c) for c in zip(*self.found))
+
+    def strings(self) -> pa.Array:
+        return pa.concat_arrays(self.texts) if self.texts else pa.array([], pa.large_string())
+
+
+def _slices(sizes: np.ndarray, most: int):
+    """Consecutive slices whose sizes add up to about ``most``, one item at least."""
+    ends, k = np.cumsum(sizes), 0
+    while k < len(sizes):
+        z = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most, "right")))
+        yield slice(k, z)
+        k = z
+
+
 class Block:
-    """Texts cut into chunks: ``chunks`` distinct ones, ``codes`` of all, ``lengths`` by text; and what Aligned finds."""
+    """Texts cut into chunks: ``chunks`` distinct ones, ``codes`` of all, ``lengths`` by text; and what ``of`` (Aligned or
+    Sums) finds in them."""
 
-    def __init__(self, column: pa.Array, a: TokenizerA, b: TokenizerB):
+    def __init__(self, column: pa.Array, a: TokenizerA, b: TokenizerB, of: type = Aligned):
         import pyarrow.compute as pc
 
         filled = pc.fill_null(column, "")
@@ -212,14 +247,14 @@ class Block:
         row = np.repeat(np.arange(len(column)), lengths)
         keep = np.array([c != "" for c in chunks] or [True])[codes] & ~empty[row]
         row, codes = row[keep], codes[keep].astype(np.int64)
-        self.aligned = Aligned(chunks, a, b)
+        self.aligned = of(chunks, a, b)
         # Texts with a chunk that doesn't fit are encoded whole.
         odd = np.unique(row[~self.aligned.fine[codes]])
         if len(odd):
             whole = [" " + filled[int(k)].as_py() for k in odd]
             keep = ~np.isin(row, odd)
             row, codes = np.concatenate([row[keep], odd]), np.concatenate([codes[keep], len(chunks) + np.arange(len(odd))])
-            self.aligned = Aligned(chunks + whole, a, b)
+            self.aligned = of(chunks + whole, a, b)
             keep = self.aligned.fine[codes]
             row, codes = row[keep], codes[keep]
             order = np.argsort(row, kind="stable")
@@ -233,8 +268,11 @@ class Block:
         return total[self.start[1:]] - total[self.start[:-1]]
 
     def digests(self) -> list[str]:
-        whole = _lists(self.aligned.strings().take(pa.array(self.codes)), self.lengths, ";")
-        return [hashlib.sha256(x.as_py().encode()).hexdigest() if n else "" for x, n in zip(whole, self.lengths.tolist())]
+        strings, out = self.aligned.strings(), []
+        for part in _slices(self.lengths, 1 << 16):
+            whole = _lists(strings.take(pa.array(self.codes[self.start[part.start] : self.start[part.stop]])), self.lengths[part], ";")
+            out += [hashlib.sha256(x.as_py().encode()).hexdigest() if n else "" for x, n in zip(whole, self.lengths[part].tolist())]
+        return out
 
 
 STORED = pa.schema([
@@ -267,6 +305,23 @@ def groups(docs: DataFrame, a: str | None = None, b: str | None = None, block_by
     return texts(docs).mapInArrow(find, from_arrow_schema(GROUPS))
 
 
+def documents_of_pairs(found: Block, sizes: np.ndarray, number: np.ndarray, pairs: int) -> np.ndarray:
+    """How many documents of a block hold each pair, some documents at a time. ``sizes``: links of each chunk, ``number``:
+    the pair of each link."""
+    count, first = np.zeros(pairs, np.int64), np.cumsum(sizes) - sizes
+    total = np.concatenate([[0], np.cumsum(sizes[found.codes])])
+    for part in _slices(np.diff(total[found.start]), 1 << 18):
+        own = slice(found.start[part.start], found.start[part.stop])
+        # Distinct chunks of a document, then distinct pairs.
+        seen = np.unique(found.row[own] * len(sizes) + found.codes[own])
+        of = seen % max(len(sizes), 1)
+        many = sizes[of]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[of], many)
+        held = np.unique(np.repeat(seen // max(len(sizes), 1), many) * pairs + number[at])
+        count += np.bincount(held % max(pairs, 1), minlength=pairs)
+    return count
+
+
 def blocks(docs: DataFrame, a: str | None, b: str | None, block_bytes: int) -> DataFrame:
     """Blocks of texts, aligned: what of a text needs no counts of all texts, and its links as pairs of the block."""
 
@@ -275,25 +330,20 @@ def blocks(docs: DataFrame, a: str | None, b: str | None, block_bytes: int) -> D
 
         part = TaskContext.get().partitionId()
         for nth, block in enumerate(gathered(batches, 1, block_bytes)):
-            found = Block(one(block.column(1)), *tokenizers(a, b))
+            found = Block(one(block.column(1)), *tokenizers(a, b), Sums)
             x = found.aligned
             chunk, link_a, link_b, times = x.links()
-            pairs, number = np.unique(link_a << 20 | link_b, return_inverse=True)
+            pairs, number = np.unique(link_a.astype(np.int64) << 20 | link_b, return_inverse=True)
+            del link_a, link_b
             sizes = np.bincount(chunk, minlength=len(x.fine))
-            # Documents of each pair: distinct chunks of a document, then distinct pairs.
-            seen = np.unique(found.row * len(x.fine) + found.codes)
-            of, many = seen % max(len(x.fine), 1), sizes[seen % max(len(x.fine), 1)]
-            first = np.cumsum(sizes) - sizes
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[of], many)
-            held = np.repeat(seen // max(len(x.fine), 1), many) * len(pairs) + number[at]
-            held.sort()
-            held = held[np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))] if len(held) else held
-            count = np.bincount(held % max(len(pairs), 1), minlength=len(pairs))
+            count = documents_of_pairs(found, sizes, number, len(pairs))
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((
                 part << 24 | nth, block.column(0).to_pylist(), found.lengths, to_planes(found.codes, "<i4"), len(chunk), len(pairs), len(x.fine), to_planes(sizes, "<i4"),
                 to_planes(number, "<i4"), to_planes(times, "<i8"), to_planes(pairs >> 20, "<i4"), to_planes(pairs & 0xFFFFF, "<i4"), to_planes(count, "<i4"),
                 *(found.sums(v) for v in (x.n_a, x.n_b, x.n_groups, x.n_overlaps)), found.digests(),
             ), STORED.types)], STORED.names)
+            del found, x, chunk, times, pairs, number, count
+            pa.default_memory_pool().release_unused()
 
     return texts(docs).mapInArrow(read, from_arrow_schema(STORED))
 
