@@ -61,3 +61,22 @@ def test_prior_and_scenarios(spark):
 def test_shrinking(spark):
     got = spark.createDataFrame([(2.0, 6.0), (2.0, 1.5), (2.0, -1.0), (-2.0, -4.0)], "m double, t double").select(o.shrunk(F.col("m"), F.col("t"))).collect()
     assert [r[0] for r in got] == [2.0, 1.0, 0.0, -0.0]
+
+
+def test_series_stops_where_terms_change_nothing(spark):
+    """Fewer terms near the middle give the very value of all of them."""
+    z = [k / 50 for k in range(-420, 421)]
+
+    def whole(z):
+        z = min(max(z, -8.0), 8.0)
+        term = total = z
+        for k in range(1, 121):
+            term = term * z * z / (2 * k + 1)
+            total += term
+        return total
+
+    x = spark.createDataFrame([(v,) for v in z], "z double")
+    clipped = F.least(F.greatest("z", F.lit(-8.0)), F.lit(8.0))
+    got = x.select("z", o.normal_cdf(F.col("z")).alias("p"), o.normal_pdf(clipped).alias("d"), o.series_terms(F.col("z")).alias("n")).collect()
+    assert all(r.p == 0.5 + r.d * whole(r.z) for r in got)
+    assert all(r.n < 40 for r in got if abs(r.z) <= 2)

@@ -135,8 +135,8 @@ def measured(scores: DataFrame) -> DataFrame:
     tenth = F.greatest(F.lit(1), F.floor(F.count("*").over(by) / 10))
     up, down = F.row_number().over(by.orderBy(F.desc("score"), "symbol")), F.row_number().over(by.orderBy("score", F.desc("symbol")))
     z = F.try_divide(F.col("y") - F.col("mu"), F.col("sd"))
-    p = scores.withColumn("top", up <= tenth).withColumn("bottom", down <= tenth).withColumn("pit", F.when(F.col("sd") > 0, normal_cdf(z)).otherwise(0.5))
-    p = p.withColumn("crps", normal_crps(F.col("mu"), F.col("sd"), F.col("y"))).withColumn("crps0", normal_crps(F.col("mean0"), F.col("sd0"), F.col("y")))
+    p = scores.withColumn("top", up <= tenth).withColumn("bottom", down <= tenth).withColumn("cdf", normal_cdf(z)).withColumn("pit", F.when(F.col("sd") > 0, F.col("cdf")).otherwise(0.5))
+    p = p.withColumn("crps", normal_crps(F.col("mu"), F.col("sd"), F.col("y"), F.col("cdf"))).withColumn("crps0", normal_crps(F.col("mean0"), F.col("sd0"), F.col("y")))
     inside = lambda a: F.avg(F.col("pit").between(a, 1 - a).cast("double"))
     days = p.groupBy("t", "fold").agg(
         F.count("*").alias("n"), F.corr("score", "rank").alias("ic"), (F.avg(F.when(F.col("top"), F.col("y"))) - F.avg(F.when(F.col("bottom"), F.col("y")))).alias("spread"),
