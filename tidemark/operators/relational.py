@@ -35,11 +35,18 @@ def lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem")
 
 
+def positions(spark, sf_dir) -> DataFrame:
+    """Line items as (fund, period, cusip, shares, cents), dealt out by fund and cusip into tasks that aren't merged. Nearly
+    each is a position of its own, so sums made before the shuffle, or in few tasks, would hold a large part of the table."""
+    period = F.date_trunc("quarter", "l_shipdate").cast("date").alias("period")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents")
+    x = lines(spark, sf_dir).select(F.col("l_suppkey").alias("fund"), period, F.col("l_partkey").alias("cusip"), F.col("l_quantity").alias("shares"), cents)
+    return x.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fund", "cusip")
+
+
 def holdings(spark, sf_dir) -> DataFrame:
     """(fund, period, cusip, shares, value), one row a position; value in whole cents."""
-    period = F.date_trunc("quarter", "l_shipdate").cast("date").alias("period")
-    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
-    return lines(spark, sf_dir).groupBy(F.col("l_suppkey").alias("fund"), period, F.col("l_partkey").alias("cusip")).agg(F.sum("l_quantity").cast("long").alias("shares"), cents.alias("value"))
+    return positions(spark, sf_dir).groupBy("fund", "period", "cusip").agg(F.sum("shares").cast("long").alias("shares"), F.sum("cents").alias("value"))
 
 
 HOLD = """hold AS (SELECT l_suppkey AS fund, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period, l_partkey AS cusip,
@@ -121,9 +128,12 @@ def j10_scalar_subquery(spark, sf_dir):
 
 @query(f"""WITH {HOLD} SELECT h.fund, h.cusip, coalesce(p_name, 'cusip ' || h.cusip) AS symbol, sum(h.value)::BIGINT AS value FROM hold h LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = h.cusip GROUP BY 1, 2, 3""")
 def j15_symbol_resolution(spark, sf_dir):
-    names = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("cusip"), "p_name")
-    x = holdings(spark, sf_dir).join(names, "cusip", "left")
-    return x.groupBy("fund", "cusip", F.coalesce("p_name", F.concat(F.lit("cusip "), F.col("cusip"))).alias("symbol")).agg(F.sum("value").alias("value"))
+    """Names are counted by part and symbol first, so that the sums by fund and part need no second grouping."""
+    symbol = F.coalesce("p_name", F.concat(F.lit("cusip "), F.col("cusip"))).alias("symbol")
+    names = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("cusip"), "p_name").groupBy("cusip", symbol).agg(F.count("*").alias("n"))
+    x = positions(spark, sf_dir).groupBy("fund", "cusip").agg(F.sum("cents").alias("value")).join(names, "cusip", "left")
+    bare = F.coalesce("symbol", F.concat(F.lit("cusip "), F.col("cusip")))
+    return x.select("fund", "cusip", bare.alias("symbol"), (F.col("value") * F.coalesce("n", F.lit(1))).alias("value"))
 
 
 @query("""WITH u AS (SELECT page_id, regexp_replace(lower(url), '[?#].*$', '') AS canonical, strlen(html) AS n FROM pages)
