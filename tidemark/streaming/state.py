@@ -6,14 +6,19 @@ are taken in order of time, and between two of them whatever fell due, so rows a
 input is cut into micro-batches, as long as no row comes later than the watermark allows (Spark drops such rows). A row that
 isn't later than the key's last one is taken as if at the same instant. Rows without key or time are left out. What falls due
 after the last watermark is still to come and isn't emitted; a run that goes on later emits it.
+
+A call for a key costs milliseconds, whatever it does. So a processor without timers may name ``SHARDS``: keys are dealt to so
+many groups by hash, whose states are one value each, and a call takes all rows of a group.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +36,18 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 @contextmanager
-def rocks(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, which values, lists and timers of a key ask for."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
+def rocks(spark: SparkSession, timers: bool = True) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which values, lists and timers of a key ask for. Without timers
+    nothing falls due, and no micro-batch without rows is run."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS} | ({} if timers else {"spark.sql.streaming.noDataMicroBatches.enabled": "false"})
+    before = {name: spark.conf.get(name, None) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
 
 
 def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -127,36 +135,44 @@ class Heat(StatefulProcessor):
 class Inbox(StatefulProcessor):
     """Rows (key, at, id) to (key, id, at, seq, taken, dropped). A reader takes a message at a time, ``pace`` microseconds
     apart; at most ``capacity`` wait, and one that finds no room is dropped (``taken`` null) and counted. Numbers go on over
-    dropped ones, so that a reader sees the gap."""
+    dropped ones, so that a reader sees the gap. The state of a shard has an entry a key: its counts and what waits."""
 
     OUT = "key long, id long, at long, seq long, taken long, dropped long"
+    SHARDS = 4096
 
     def __init__(self, pace: int, capacity: int = CAPACITY):
         self.pace, self.capacity = pace, capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "seq long, dropped long, last long")
-        self.waiting = handle.getListState("waiting", "taken long")
+        self.held = handle.getValueState("inboxes", "keys array<long>, seq array<long>, dropped array<long>, last array<long>, waiting array<array<long>>")
 
     def handleInputRows(self, key, rows, timerValues):
-        seq, dropped, last = self.counts.get() if self.counts.exists() else (0, 0, None)
-        queue = [r[0] for r in self.waiting.get()] if last is not None else []
-        out = []
-        for now, name in in_order(rows)[["at", "id"]].itertuples(index=False):
-            queue, seq = [t for t in queue if t > now], seq + 1
-            taken = None
-            if len(queue) < self.capacity:
-                taken = last = now if last is None else max(now, last + self.pace)
-                if taken > now:
-                    queue.append(taken)
-            dropped += taken is None
-            out.append((key[0], name, now, seq, taken, dropped))
-        self.counts.update((seq, dropped, last))
-        if queue:
-            self.waiting.put([(t,) for t in queue])
-        else:
-            self.waiting.clear()
-        yield pd.DataFrame(out, columns=["key", "id", "at", "seq", "taken", "dropped"]).astype({"taken": "Int64"})
+        held = {k: (*counts, deque(queue)) for k, *counts, queue in zip(*self.held.get())} if self.held.exists() else {}
+        columns = ("key", "at", "id")
+        parts = [[pdf[c].to_numpy() for c in columns] for pdf in rows]
+        keys, ats, ids = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((ids, ats, keys))
+        keys, ats, ids = keys[order], ats[order], ids[order]
+        numbers, lost, takes = [], [], []
+        ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for start, end in zip([0, *ends], ends):
+            name = int(keys[start])
+            seq, dropped, last, queue = held.get(name, (0, 0, None, deque()))
+            for now in ats[start:end].tolist():
+                while queue and queue[0] <= now:  # what waits is in order of time
+                    queue.popleft()
+                seq, taken = seq + 1, None
+                if len(queue) < self.capacity:
+                    taken = last = now if last is None else max(now, last + self.pace)
+                    if taken > now:
+                        queue.append(taken)
+                dropped += taken is None
+                numbers.append(seq)
+                takes.append(taken)
+                lost.append(dropped)
+            held[name] = (seq, dropped, last, queue)
+        self.held.update((list(held), *([v[c] for v in held.values()] for c in range(3)), [list(v[3]) for v in held.values()]))
+        yield pd.DataFrame({"key": keys, "id": ids, "at": ats, "seq": numbers, "taken": pd.array(takes, "Int64"), "dropped": lost})
 
     def close(self) -> None:
         pass
@@ -211,8 +227,10 @@ def timed(stream: DataFrame, work: StatefulProcessor, delay: str = "0 seconds",
     """Runs a stream with columns key, ts and id through a processor until nothing is left; instants come back as ``at``.
     ``delay``: how far behind the latest row others may come."""
     x = stream.where("key IS NOT NULL AND ts IS NOT NULL").withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay)
-    with rocks(stream.sparkSession):
-        rows = drained(x.groupBy("key").transformWithStateInPandas(work, work.OUT, "Append", "EventTime"), name=name)
+    shards = getattr(work, "SHARDS", None)
+    x = x.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))) if shards else x
+    with rocks(stream.sparkSession, timers=not shards):
+        rows = drained(x.groupBy("shard" if shards else "key").transformWithStateInPandas(work, work.OUT, "Append", "EventTime"), name=name)
     return rows.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("at", "taken") if c in rows.columns})
 
 
