@@ -97,8 +97,8 @@ def stem_sql(word: str) -> str:
 
 
 def joined_plans(text: Column) -> Column:
-    """A text with "401(k)" and its like as one word."""
-    return F.regexp_replace(text, r"(?i)\b(\d{3})\s?\(\s?([a-z])\s?\)", "$1$2")
+    """A text with "401(k)" and its like as one word; only texts with a bracket are looked through."""
+    return F.when(F.contains(text, F.lit("(")), F.regexp_replace(text, r"(?i)\b(\d{3})\s?\(\s?([a-z])\s?\)", "$1$2")).otherwise(text)
 
 
 def plans_sql(text: str) -> str:

@@ -44,28 +44,39 @@ GENERIC = (
 # The index
 
 
+def words_in(text: Column) -> Column:
+    """The words of a text in order, in lower case."""
+    return F.array_remove(F.split(F.lower(tx.joined_plans(text)), r"[^\p{L}\p{Nd}]+"), "")
+
+
 def terms_of(text: Column) -> Column:
     """The terms of a text in order."""
-    plain = F.trim(F.regexp_replace(F.lower(tx.joined_plans(text)), r"[^\p{L}\p{Nd}]+", " "))
-    return F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), tx.stem)
+    return F.transform(words_in(text), tx.stem)
+
+
+def forms_of(terms: set[str]) -> list[str]:
+    """All words that ``text.stem`` may turn into one of some terms, so that other words needn't be folded."""
+    return sorted({w for t in terms for w in (t, t + "s", t + "es", *([t[:-1] + "ies"] if t.endswith("y") else []))})
 
 
 def index(docs: DataFrame, fields: list[str], only: set[str] | None = None) -> DataFrame:
     """(term, doc_id, field, positions): positions count from 0 in each field. ``only``: the rows of these terms, which is all
     that searches of documents without a stored index need; the other words stay where they are read."""
-    each = [F.struct(F.lit(c).alias("field"), terms_of(F.coalesce(F.col(c), F.lit(""))).alias("w")) for c in fields]
-    words = docs.select("doc_id", F.inline(F.array(*each)))
     if only is None:
-        words = words.select("doc_id", "field", F.posexplode("w").alias("pos", "term"))
+        each = [F.struct(F.lit(c).alias("field"), terms_of(F.coalesce(F.col(c), F.lit(""))).alias("w")) for c in fields]
+        words = docs.select("doc_id", F.inline(F.array(*each))).select("doc_id", "field", F.posexplode("w").alias("pos", "term"))
     else:
-        placed = F.transform("w", lambda t, k: F.struct(k.alias("pos"), t.alias("term")))
-        words = words.select("doc_id", "field", F.inline(F.filter(placed, lambda x: x["term"].isin(sorted(only)))))
+        forms = forms_of(only)
+        each = [F.struct(F.lit(c).alias("field"), words_in(F.coalesce(F.col(c), F.lit(""))).alias("w")) for c in fields]
+        placed = F.transform("w", lambda w, k: F.when(w.isin(forms), F.struct(k.alias("pos"), w.alias("word"))))
+        words = docs.select("doc_id", F.inline(F.array(*each))).select("doc_id", "field", F.inline(F.array_compact(placed)))
+        words = words.select("doc_id", "field", "pos", tx.stem(F.col("word")).alias("term")).where(F.col("term").isin(sorted(only)))
     return words.groupBy("term", "doc_id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def lengths(docs: DataFrame, fields: list[str]) -> DataFrame:
     """(doc_id, words) of all fields together."""
-    return docs.select("doc_id", sum((F.size(terms_of(F.coalesce(F.col(c), F.lit("")))) for c in fields), F.lit(0)).alias("words"))
+    return docs.select("doc_id", sum((F.size(words_in(F.coalesce(F.col(c), F.lit("")))) for c in fields), F.lit(0)).alias("words"))
 
 
 def stored(found: DataFrame, path: str) -> DataFrame:
